@@ -11,6 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lattica.llm import packing
+
+    return packing.as_digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import substring
 
