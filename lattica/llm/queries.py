@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import warc
+
+    return warc.as_digest(warc.archived(table(spark, sf_dir, "pages")))
+
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -22,6 +28,16 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.as_digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the urls of pages whose article has nothing below its heading."""
+    from pyspark.sql import functions as F
+
+    from lattica.llm import urlfilter
+
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.url_filter(pages, pages.where(F.contains("html", F.lit("<br></article>"))).select("url"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import substring
 
@@ -34,6 +50,21 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import licenses
+
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lattica.llm import topk
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.whole("embedding").alias("v"))
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import quality
 
