@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm import bloom
 from lattica.llm import text as tx
 from lattica.operators.graph import connected_components
 from lattica.session import fan_out, ship, written
@@ -288,7 +289,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
 
     counted = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component")
     wanted = written(classes.join(counted, "k").select("k", "class_id", "copies", "component", "n"), "wanted")
-    sets = texts.join(wanted.select(F.col("class_id").alias("doc_id"), "k", "component", "copies"), "doc_id").select("text", "k", "component", "copies")
+    ids = wanted.select(F.col("class_id").alias("doc_id"), "k", "component", "copies")
+    needed = bloom.tested(texts, "doc_id", bloom.build(ids, "doc_id"), "maybe").where("maybe").drop("maybe")  # only these texts are shuffled
+    sets = needed.join(ids, "doc_id").select("text", "k", "component", "copies")
     sets = sets.mapInArrow(_sets(n), "k long, component long, copies long, shingles binary")
     pairs = _dealt(sets.join(wanted.select("k", "n"), "k"), "component", "n", GROUP_BLOCK)
     found = pairs.select("component", "lo", "hi", "k", "block", "copies", "shingles").repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
