@@ -89,19 +89,6 @@ class _Block:
                 yield (p, _ENTRIES, block, np.ascontiguousarray(h[i:j]).tobytes(), ids[used].tobytes(), places.tobytes())
 
 
-def _batches(rows: Iterator[tuple], types: list[tuple[str, pa.DataType]], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches of bounded bytes."""
-    held, size = [], 0
-    for r in rows:
-        held.append(r)
-        size += sum(len(x) for x in r if isinstance(x, bytes)) + 64
-        if size > limit:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), types, strict=True)], [n for n, _ in types])
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), types, strict=True)], [n for n, _ in types])
-
-
 _INDEX_TYPES = [("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in "abc")]
 
 
@@ -116,7 +103,7 @@ def _index(parts: int, window: int):
         if block.ids:
             yield from block.rows(task + n, parts)
 
-    return lambda batches: _batches(rows(batches), _INDEX_TYPES)
+    return lambda batches: tx.batched(rows(batches), _INDEX_TYPES)
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +148,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, k, n in zip(*np.unique(b, return_index=True, return_counts=True), strict=True):
             yield (int(block), _ENTRIES, None, None, np.sort(p[k : k + n]).astype("<u4").tobytes())
 
-    return _batches(rows(), [("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abc")])
+    return tx.batched(rows(), [("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abc")])
 
 
 def _factors(window: int):

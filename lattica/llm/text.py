@@ -151,3 +151,16 @@ def covered(begin: np.ndarray, n: int, total: int) -> np.ndarray:
     ends = np.minimum(begin + n, total)
     d -= np.bincount(ends, minlength=total + 1)[: total + 1].astype(np.int32)
     return np.cumsum(d[:total]) > 0
+
+
+def batched(rows: Iterator[tuple], types: list[tuple[str, pa.DataType]], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of bounded bytes."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(x) for x in r if isinstance(x, bytes)) + 64
+        if size > limit:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), types, strict=True)], [n for n, _ in types])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), types, strict=True)], [n for n, _ in types])
