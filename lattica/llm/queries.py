@@ -50,6 +50,21 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import lm
+
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_gumbel_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four segmentations of every turn of the conversations."""
+    import public_tokenizers
+
+    from lattica.llm import segment
+
+    return segment.sample_segmentations(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import licenses
 

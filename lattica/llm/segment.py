@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ MARK = "▁"
 SAMPLES = 4
 _CHUNK = re.compile("(?<=[^▁])(?=▁)|(?<=\n)(?=[^\n])|(?<=[^\n])(?=\n)")
 _CELLS = 2 << 20  # texts are searched together as long as texts times longest text stays below
-_CACHE_CHARS = 4 << 20
+_CACHE_CHARS = 1 << 20
 
 
 class Pieces:
@@ -86,8 +87,8 @@ class _Lattices:
 
     def clear(self) -> None:
         self.root: dict[str, int] = {}
-        self.first, self.degree = [], []  # of nodes
-        self.piece, self.next, self.share = [], [], []  # of edges; next is -1 at the chunk's end
+        self.first, self.degree = array("q"), array("q")  # of nodes
+        self.piece, self.next, self.share = array("i"), array("q"), array("d")  # of edges; next is -1 at the chunk's end
         self.chars = 0
 
     def add(self, chunk: str) -> int:
@@ -132,7 +133,7 @@ class _Lattices:
         return base
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        return tuple(np.array(x, dtype=t) for x, t in ((self.first, np.int64), (self.degree, np.int64), (self.piece, np.int32), (self.next, np.int64), (self.share, np.float64)))
+        return tuple(np.array(x) for x in (self.first, self.degree, self.piece, self.next, self.share))
 
 
 def _gumbel(keys: np.ndarray, sample: int, step: np.ndarray, child: int) -> np.ndarray:
