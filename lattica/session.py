@@ -64,12 +64,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_UNKNOWN = 1 << 52  # plans without statistics count as 2**63 bytes, less in proportion to the columns taken
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes of a plan; it only sizes partition counts."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fan_out(df: DataFrame, bytes_each: int) -> int:
-    """Shuffle partitions: the session's count, or more if the input is larger."""
+    """Shuffle partitions: the session's count, or more if the input is known to be larger."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-min(input_bytes(df), 1 << 55) // bytes_each))
+    size = input_bytes(df)
+    return least if size >= _UNKNOWN else max(least, -(-size // bytes_each))
