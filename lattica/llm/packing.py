@@ -22,6 +22,7 @@ import heapq
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,19 @@ LINEAR, QUADRATIC = 1.0, 1 / 2048
 BLOCK = 8192  # remainders packed together
 LOOK = 16  # cheapest sequences in which a piece may fit whole before it is cut
 
-_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z|\0")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_SPACE = "\u0120"  # a space byte in a byte-level vocabulary
+_JOIN = 1000
 _CACHED_CHUNK = 64
 _CACHE_SIZE = 1_200_000
 
 
+def _uneven(text: str) -> bool:
+    """Whether there are other blanks than single spaces and line ends between two words."""
+    found, blanks = text.split(), text.count(" ") + text.count("\n")
+    return len(found) != blanks + 1 or len("".join(found)) != len(text) - blanks or "\0" in text
+
+
 class Encoder:
     """Token ids by `tokenizers`, with the ids of earlier chunks kept.
 
@@ -56,6 +64,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(_SPACE)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -63,36 +74,60 @@ class Encoder:
         self.ids, self.n = np.array([self.end], dtype=np.uint32), 1
         self.at, self.len, self.used = np.zeros(1024, dtype=np.int64), np.ones(1024, dtype=np.int64), 1
 
-    def _learn(self, chunks: list[str]) -> list[int]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        new = [e.ids for e in found]
-        lens = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and lengths of chunks that begin with their only space: encoded as one text, where an id whose bytes begin with a space begins a chunk."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        begins = np.flatnonzero(self.spaced[ids])
+        if len(begins) != len(chunks) or begins[0]:
+            return None
+        return ids, np.diff(np.append(begins, len(ids)))
+
+    def _learn(self, chunks: list[str], odd: set[str]) -> list[int]:
+        """Places of the chunks, which are put in the same order; odd: those of texts with runs of blanks."""
+        plain = [c for c in chunks if c[:1] == " " and c not in odd]
+        rest = set(chunks).difference(plain)
+        parts = []
+        for k in range(0, len(plain), _JOIN):
+            if (got := self._joined(plain[k : k + _JOIN])) is None:
+                rest.update(plain[k : k + _JOIN])
+            else:
+                parts.append((plain[k : k + _JOIN], *got))
+        if rest:
+            single = list(rest)
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(single, add_special_tokens=False)]
+            parts.append((single, np.concatenate([np.asarray(x, dtype=np.uint32) for x in found]), np.fromiter(map(len, found), dtype=np.int64, count=len(found))))
+        chunks[:] = [c for part in parts for c in part[0]]
+        new, lens = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         total = int(lens.sum())
         while self.n + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), 1 << 16), dtype=np.uint32)])
-        while self.used + len(new) > len(self.at):
+        while self.used + len(lens) > len(self.at):
             self.at, self.len = (np.concatenate([x, np.zeros(len(x), dtype=np.int64)]) for x in (self.at, self.len))
-        self.ids[self.n : self.n + total] = np.concatenate([np.asarray(x, dtype=np.uint32) for x in new])
-        self.at[self.used : self.used + len(new)] = self.n + np.cumsum(lens) - lens
-        self.len[self.used : self.used + len(new)] = lens
-        out = range(self.used, self.used + len(new))
-        self.n, self.used = self.n + total, self.used + len(new)
+        self.ids[self.n : self.n + total] = new
+        self.at[self.used : self.used + len(lens)] = self.n + np.cumsum(lens) - lens
+        self.len[self.used : self.used + len(lens)] = lens
+        out = range(self.used, self.used + len(lens))
+        self.n, self.used = self.n + total, self.used + len(lens)
         return list(out)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and where each text's begin (and the end)."""
         if len(self.known) > _CACHE_SIZE or self.n > 8 * _CACHE_SIZE:
             self.clear()
-        split = [_CUT.split(t) if _ODD_SPACE.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        missing = list({c for chunks in split for c in chunks}.difference(self.known))
+        odd = [_uneven(t) for t in texts]
+        split = [_CUT.split(t) if x else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t, x in zip(texts, odd, strict=True)]
+        missing = list(set(chain.from_iterable(split)).difference(self.known))
         if missing:
-            self.known.update(zip(missing, self._learn(missing), strict=True))
-        known = self.known
-        picks = np.fromiter((k for chunks in split for k in (*map(known.__getitem__, chunks), 0)), dtype=np.int64)
+            places = self._learn(missing, set(chain.from_iterable(c for c, x in zip(split, odd, strict=True) if x)))
+            self.known.update(zip(missing, places, strict=True))
+        per_text = np.fromiter(map(len, split), dtype=np.int64, count=len(split)) + 1
+        picks = np.zeros(per_text.sum(), dtype=np.int64)  # 0 is the end id's place
+        body = np.ones(len(picks), dtype=bool)
+        body[np.cumsum(per_text) - 1] = False
+        picks[body] = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), dtype=np.int64)
         for c in missing:  # long chunks are as good as unique
             if len(c) > _CACHED_CHUNK:
-                del known[c]
-        per_text = np.fromiter((len(c) + 1 for c in split), dtype=np.int64, count=len(split))
+                del self.known[c]
         lens = self.len[picks]
         ends = np.cumsum(lens)
         ids = self.ids[np.repeat(self.at[picks] - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
