@@ -22,7 +22,7 @@ import heapq
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -116,18 +116,22 @@ class Encoder:
             self.clear()
         odd = [_uneven(t) for t in texts]
         split = [_CUT.split(t) if x else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t, x in zip(texts, odd, strict=True)]
-        missing = list(set(chain.from_iterable(split)).difference(self.known))
-        if missing:
-            places = self._learn(missing, set(chain.from_iterable(c for c, x in zip(split, odd, strict=True) if x)))
-            self.known.update(zip(missing, places, strict=True))
+        flat = list(chain.from_iterable(split))
         per_text = np.fromiter(map(len, split), dtype=np.int64, count=len(split)) + 1
+        places = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        unseen = np.flatnonzero(places < 0).tolist()
+        if unseen:
+            missing = list({flat[i] for i in unseen})
+            found = self._learn(missing, set(chain.from_iterable(c for c, x in zip(split, odd, strict=True) if x)))
+            self.known.update(zip(missing, found, strict=True))
+            places[unseen] = [self.known[flat[i]] for i in unseen]
+            for c in missing:  # long chunks are as good as unique
+                if len(c) > _CACHED_CHUNK:
+                    del self.known[c]
         picks = np.zeros(per_text.sum(), dtype=np.int64)  # 0 is the end id's place
         body = np.ones(len(picks), dtype=bool)
         body[np.cumsum(per_text) - 1] = False
-        picks[body] = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), dtype=np.int64)
-        for c in missing:  # long chunks are as good as unique
-            if len(c) > _CACHED_CHUNK:
-                del self.known[c]
+        picks[body] = places
         lens = self.len[picks]
         ends = np.cumsum(lens)
         ids = self.ids[np.repeat(self.at[picks] - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]

@@ -35,7 +35,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import urlfilter
 
     pages = table(spark, sf_dir, "pages")
-    return urlfilter.url_filter(pages, pages.where(F.contains("html", F.lit("<br></article>"))).select("url"))
+    return urlfilter.url_filter(pages, pages.where(F.contains("html", F.lit("<br></article>"))).select("url")).drop("possible")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

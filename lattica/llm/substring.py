@@ -241,7 +241,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def as_digest(found: DataFrame) -> DataFrame:
     """The contract's columns."""
     one_space = F.trim(F.regexp_replace("kept_text", "[ \\t-\\r]+", " "))
-    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(one_space, 256).alias("kept_sha256"), "spans")
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(one_space, 256).alias("kept_sha256"))
 
 
 def substring_stage(docs: DataFrame) -> DataFrame:
