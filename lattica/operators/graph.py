@@ -46,3 +46,58 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     else:
         raise RuntimeError("components did not settle")
     return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
+    """root, node: everything that each root reaches along directed edges, itself included.
+
+    edges: src, dst; roots: root. A breadth-first frontier of (root, node) pairs; each round joins
+    the frontier with the edges, drops what is known, and is written.
+    """
+    e = edges.select("src", "dst").distinct()
+    seen = frontier = written(roots.select("root", F.col("root").alias("node")).distinct(), "bfs")
+    parts = [seen]
+    for _ in range(rounds):
+        nxt = frontier.join(e, frontier["node"] == e["src"]).select("root", F.col("dst").alias("node")).distinct()
+        frontier = written(nxt.join(seen, ["root", "node"], "left_anti"), "bfs")
+        if frontier.isEmpty():
+            return seen
+        parts.append(frontier)
+        seen = parts[0]
+        for p in parts[1:]:
+            seen = seen.unionByName(p)
+        if len(parts) > 8:
+            seen = written(seen, "bfs")
+            parts = [seen]
+    raise RuntimeError("the search did not end")
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, decay: float, tolerance: float) -> DataFrame:
+    """node, domain, score: seed labels spread over weighted undirected edges (Jacobi rounds).
+
+    edges: src, dst, weight (parallel edges count each); seeds: node, domain, score. A node's next
+    score is decay times the weighted mean of its neighbours' scores; seeds keep theirs. Stops when
+    no score changes by the tolerance. Scores stay in long form, so zeros take no space.
+    """
+    e = edges.where("weight > 0 and src <> dst")
+    both = e.select("src", "dst", "weight").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    both = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    degree = both.groupBy("dst").agg(F.sum("weight").alias("degree"))
+    links = written(both.join(degree, "dst").select("src", "dst", (F.col("weight") / F.col("degree")).alias("share")), "prop")
+    fixed = written(seeds.select("node", "domain", "score"), "prop")
+    held = fixed.select("node").distinct()
+    scores = fixed
+    for _ in range(rounds):
+        told = links.join(scores, links["src"] == scores["node"]).groupBy(F.col("dst").alias("node"), "domain").agg((F.sum(F.col("share") * F.col("score")) * decay).alias("score"))
+        new = written(told.join(held, "node", "left_anti").unionByName(fixed), "prop")
+        both_ = scores.select("node", "domain", F.col("score").alias("a")).join(new.select("node", "domain", F.col("score").alias("b")), ["node", "domain"], "full_outer")
+        change = both_.agg(F.max(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))).alias("d")).first()["d"]
+        scores = new
+        if change is None or change < tolerance:
+            break
+    return scores
+
+
+def propagate_rounds(edges: DataFrame, seeds: DataFrame, rounds: int, decay: float) -> DataFrame:
+    """The scores after a fixed number of rounds."""
+    return propagate(edges, seeds, rounds, decay, -1.0)
