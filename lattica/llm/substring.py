@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.llm import bloom
 from lattica.llm import text as tx
 from lattica.session import fan_out, ship, written
 
@@ -233,7 +234,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     factors = written(duplicate_factors(docs, window), "factors")
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = rows.join(factors, ["id", "key"], "left").select("row", "text", "factors")
+    tested = bloom.tested(rows, "key", bloom.build(factors, "key"), "maybe")  # only texts with duplicate spans are shuffled
+    hits = tested.where("maybe").join(factors, ["id", "key"], "left").select("row", "text", "factors")
+    joined = tested.where("not maybe").select("row", "text", F.lit(None).cast("binary").alias("factors")).unionByName(hits)
     schema = joined.select("row").schema.add("n_words", "long").add("n_removed", "long").add("spans", _SPANS).add("kept_text", "string")
     return joined.mapInArrow(_cut, schema)
 
