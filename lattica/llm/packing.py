@@ -18,6 +18,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import os
 import re
@@ -43,7 +44,7 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 _SPACE = "\u0120"  # a space byte in a byte-level vocabulary
 _JOIN = 1000
 _CACHED_CHUNK = 64
-_CACHE_SIZE = 1_200_000
+_CACHE_SIZE = 800_000
 
 
 def _uneven(text: str) -> bool:
@@ -72,7 +73,7 @@ class Encoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.n = np.array([self.end], dtype=np.uint32), 1
-        self.at, self.len, self.used = np.zeros(1024, dtype=np.int64), np.ones(1024, dtype=np.int64), 1
+        self.at, self.len, self.used = np.zeros(1024, dtype=np.int32), np.ones(1024, dtype=np.int32), 1
 
     def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids and lengths of chunks that begin with their only space: encoded as one text, where an id whose bytes begin with a space begins a chunk."""
@@ -102,7 +103,7 @@ class Encoder:
         while self.n + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), 1 << 16), dtype=np.uint32)])
         while self.used + len(lens) > len(self.at):
-            self.at, self.len = (np.concatenate([x, np.zeros(len(x), dtype=np.int64)]) for x in (self.at, self.len))
+            self.at, self.len = (np.concatenate([x, np.zeros(len(x), dtype=np.int32)]) for x in (self.at, self.len))
         self.ids[self.n : self.n + total] = new
         self.at[self.used : self.used + len(lens)] = self.n + np.cumsum(lens) - lens
         self.len[self.used : self.used + len(lens)] = lens
@@ -133,9 +134,9 @@ class Encoder:
         body[np.cumsum(per_text) - 1] = False
         picks[body] = places
         lens = self.len[picks]
-        ends = np.cumsum(lens)
-        ids = self.ids[np.repeat(self.at[picks] - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends[np.cumsum(per_text) - 1]]) if len(split) else np.zeros(1, dtype=np.int64)
+        ends = np.cumsum(lens, dtype=np.int32)  # a batch of texts has fewer than 2**31 tokens
+        ids = self.ids[np.repeat(self.at[picks] - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        return ids, np.concatenate([[0], ends[np.cumsum(per_text) - 1].astype(np.int64)]) if len(split) else np.zeros(1, dtype=np.int64)
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -184,6 +185,13 @@ _NAMES = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "s
 
 def _packer(path: str, capacity: int, end: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and the chunk table is large to walk
+        try:
+            yield from packed(batches)
+        finally:
+            gc.enable()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, used = encoder(path, end), TaskContext.get().partitionId() << 40, 0
         rows: list[tuple] = []
         rest: list[tuple] = []  # doc_id, start, doc_tokens, ids
