@@ -77,11 +77,12 @@ def file_layer(t):
 _TIERS = "CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'PROMO' THEN 3 WHEN 'SMALL' THEN 4 END"
 
 
-@query(f", f AS (SELECT node_id, {_TIERS} AS tier, unnest(list_distinct(string_split(p_name, ' '))) AS token FROM paths WHERE p_size <= 5) SELECT a.node_id AS source_id, b.node_id AS target_id, string_agg(DISTINCT a.token, ',' ORDER BY a.token) AS called_names FROM f a JOIN f b ON a.token = b.token AND a.tier < b.tier GROUP BY 1, 2", "paths")
+@query(f", f AS (SELECT node_id, {_TIERS} AS tier, unnest(list_distinct(list_transform(string_split(p_name, ' '), lambda w: w || '-' || p_size || split_part(canonical_path, '/', 4)))) AS token FROM paths) SELECT a.node_id AS source_id, b.node_id AS target_id, string_agg(DISTINCT a.token, ',' ORDER BY a.token) AS called_names FROM f a JOIN f b ON a.token = b.token AND a.tier < b.tier GROUP BY 1, 2", "paths")
 def naming_edges(t):
     first = F.split("p_type", " ")[0]
     tier = F.when(first == "ECONOMY", 0).when(first == "LARGE", 1).when(first == "MEDIUM", 2).when(first == "PROMO", 3).when(first == "SMALL", 4)
-    f = v.paths(t).where("p_size <= 5").select("node_id", tier.alias("tier"), F.array_distinct(F.split("p_name", " ")).alias("tokens"))
+    mark = F.concat(F.lit("-"), F.col("p_size"), F.split("canonical_path", "/")[3])
+    f = v.paths(t).select("node_id", tier.alias("tier"), F.array_distinct(F.transform(F.split("p_name", " "), lambda w: F.concat(w, mark))).alias("tokens"))
     return infer.naming_edges(f).withColumn("called_names", F.array_join("called_names", ","))
 
 
@@ -106,9 +107,9 @@ def adaptive_buckets(t):
 _DIRS = "regexp_replace(canonical_path, '/[^/]*$', '')"
 
 
-@query(f", f AS (SELECT node_id, {_DIRS} AS dir FROM paths WHERE p_size <= 10) SELECT a.node_id AS source_id, b.node_id AS target_id FROM f a JOIN f b ON a.dir = b.dir AND a.node_id <> b.node_id", "paths")
+@query(f", f AS (SELECT node_id, {_DIRS} AS dir FROM paths) SELECT a.node_id AS source_id, b.node_id AS target_id FROM f a JOIN f b ON a.dir = b.dir AND a.node_id <> b.node_id", "paths")
 def sibling_edges(t):
-    return infer.sibling_edges(v.paths(t).where("p_size <= 10").select("node_id", fn.parent(F.col("canonical_path")).alias("dir")))
+    return infer.sibling_edges(v.paths(t).select("node_id", fn.parent(F.col("canonical_path")).alias("dir")))
 
 
 @query(f", l AS (SELECT min(node_id) AS layout_id, array_to_string(string_split(canonical_path, '/')[1:(2 + node_id % 2)], '/') AS dir FROM paths WHERE p_size <= 3 GROUP BY 2), f AS (SELECT node_id, {_DIRS} AS dir FROM paths), c AS (SELECT f.node_id, arg_max(layout_id, length(l.dir)) AS layout_id FROM f JOIN l ON starts_with(f.dir, l.dir || '/') GROUP BY 1) SELECT layout_id AS source_id, node_id AS target_id FROM c WHERE layout_id <> node_id", "paths")
@@ -208,11 +209,11 @@ def resolve_probe(t):
     return resolve.resolve(imports, registry, empty, t.spark.createDataFrame([], "package string, dir string"))
 
 
-@query("""WITH e AS (SELECT user_id, event_type, lower(event_type || ':' || (value::INTEGER % 20)) AS event FROM events WHERE event_id % 5 = 0)
+@query("""WITH e AS (SELECT user_id, event_type, lower(event_type || ':' || value::INTEGER) AS event FROM events)
 SELECT a.event, count(DISTINCT a.user_id)::BIGINT AS emitters, count(DISTINCT b.user_id)::BIGINT AS listeners, count(DISTINCT (a.user_id, b.user_id))::BIGINT AS pairs FROM e a JOIN e b ON a.event = b.event WHERE a.user_id % 2 = 0 AND b.user_id % 2 = 1 GROUP BY 1""".replace("value::INTEGER", "floor(value)::INTEGER"))
 def event_join(t):
-    name = fn.event_name(F.concat("event_type", F.lit(":"), (F.floor("value").cast("int") % 20).cast("string")))
-    e = t.events.where("event_id % 5 = 0").select(F.col("user_id").alias("id"), name.alias("event")).where("event is not null")
+    name = fn.event_name(F.concat("event_type", F.lit(":"), F.floor("value").cast("int").cast("string")))
+    e = t.events.select(F.col("user_id").alias("id"), name.alias("event")).where("event is not null")
     return infer.event_pairs(e.where("id % 2 = 0"), e.where("id % 2 = 1")).groupBy("event").agg(F.countDistinct("emitter").alias("emitters"), F.countDistinct("listener").alias("listeners"), F.count("*").alias("pairs"))
 
 

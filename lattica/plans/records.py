@@ -82,14 +82,14 @@ def override_overlay(t):
     return history.overlay(n, n.where("path like '%7'").select("path", F.lit("moved").alias("cluster_id")))
 
 
-@query("""WITH b AS (SELECT c_custkey AS k, c_mktsegment AS value, (c_custkey % 3)::BIGINT AS version FROM customer WHERE c_custkey % 4 > 0), c AS (SELECT c_custkey AS k, 'new' AS value, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey % 2)::BIGINT END AS expected FROM customer WHERE c_custkey % 2 = 0),
+@query("""WITH b AS (SELECT c_custkey AS k, c_mktsegment AS value, (c_custkey % 3)::BIGINT AS version FROM customer WHERE c_acctbal > 0), c AS (SELECT c_custkey AS k, 'new' AS value, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey % 2)::BIGINT END AS expected FROM customer WHERE c_mktsegment > 'B'),
 j AS (SELECT coalesce(b.k, c.k) AS k, b.value AS old, version, c.value AS new, expected, b.k IS NOT NULL AS stored, c.k IS NOT NULL AS asked FROM b FULL JOIN c ON b.k = c.k),
 s AS (SELECT *, CASE WHEN NOT asked THEN 'UNCHANGED' WHEN NOT stored AND expected IS NULL THEN 'INSERTED' WHEN NOT stored OR (expected IS NOT NULL AND expected <> version) THEN 'CONFLICT' ELSE 'UPDATED' END AS status FROM j)
 SELECT k, CASE WHEN status IN ('INSERTED', 'UPDATED') THEN new ELSE old END AS value, CASE status WHEN 'INSERTED' THEN 0 WHEN 'UPDATED' THEN version + 1 ELSE version END AS version, status FROM s""")
 def optimistic_upsert(t):
     k = F.col("c_custkey")
-    b = t.customer.where("c_custkey % 4 > 0").select(k.alias("k"), F.col("c_mktsegment").alias("value"), (k % 3).alias("version"))
-    c = t.customer.where("c_custkey % 2 = 0").select(k.alias("k"), F.lit("new").alias("value"), F.when(k % 5 != 0, k % 2).alias("expected"))
+    b = t.customer.where("c_acctbal > 0").select(k.alias("k"), F.col("c_mktsegment").alias("value"), (k % 3).alias("version"))
+    c = t.customer.where("c_mktsegment > 'B'").select(k.alias("k"), F.lit("new").alias("value"), F.when(k % 5 != 0, k % 2).alias("expected"))
     return history.upsert(b, c, "k")
 
 
@@ -159,12 +159,12 @@ def _w(key):
 
 @query("""WITH m AS (SELECT o_orderkey AS project_id, c_custkey AS user_id, o_custkey AS owner, c_custkey % 3 AS r FROM orders JOIN customer oc ON o_custkey = oc.c_custkey JOIN customer uc ON false WHERE false),
 o AS (SELECT o_orderkey AS project_id, c_nationkey AS org_id, o_custkey AS owner_id FROM orders JOIN customer ON o_custkey = c_custkey), u AS (SELECT c_nationkey AS org_id, c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'ADMIN' ELSE 'MEMBER' END AS role FROM customer)
-SELECT user_id, count(*)::BIGINT AS projects FROM o JOIN u USING (org_id) WHERE role <> 'MEMBER' OR owner_id = user_id OR (user_id + project_id) % 10 = 0 GROUP BY 1""".replace("WITH m AS (SELECT o_orderkey AS project_id, c_custkey AS user_id, o_custkey AS owner, c_custkey % 3 AS r FROM orders JOIN customer oc ON o_custkey = oc.c_custkey JOIN customer uc ON false WHERE false),\no AS", "WITH o AS"))
+SELECT user_id, count(*)::BIGINT AS projects FROM o JOIN u USING (org_id) WHERE role <> 'MEMBER' OR owner_id = user_id OR user_id = owner_id + 25 GROUP BY 1""".replace("WITH m AS (SELECT o_orderkey AS project_id, c_custkey AS user_id, o_custkey AS owner, c_custkey % 3 AS r FROM orders JOIN customer oc ON o_custkey = oc.c_custkey JOIN customer uc ON false WHERE false),\no AS", "WITH o AS"))
 def visible_projects(t):
     org = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("org_id"))
     p = t.orders.join(org, "o_custkey").select(F.col("o_orderkey").alias("project_id"), "org_id", F.col("o_custkey").alias("owner_id"))
     u = t.customer.select(F.col("c_nationkey").alias("org_id"), F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 3 == 0, "ADMIN").otherwise("MEMBER").alias("role"))
-    m = p.join(u, "org_id").where("(user_id + project_id) % 10 = 0").select("project_id", "user_id")
+    m = p.select("project_id", (F.col("owner_id") + 25).alias("user_id"))
     return analytics.visible_projects(p, m, u).groupBy("user_id").agg(F.count("*").alias("projects"))
 
 
@@ -174,9 +174,9 @@ def role_threshold(t):
     return t.customer.select(F.col("c_custkey").alias("user_id"), role.alias("role"), analytics.at_least(role, "ADMIN").alias("is_admin"))
 
 
-@query("SELECT o_orderkey AS member, c_name AS name, c_mktsegment AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0")
+@query("SELECT o_orderkey AS member, c_name AS name, c_mktsegment AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
 def member_left_join(t):
-    c = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    c = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     return t.orders.join(c, "o_custkey", "left").select(F.col("o_orderkey").alias("member"), "name", "segment")
 
 

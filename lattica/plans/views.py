@@ -37,10 +37,9 @@ def paths(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("node_id"), p.alias("canonical_path"), "p_size", "p_type", "p_name", "p_retailprice")
 
 
-def digraph(t: Tables, every: int = 8, kind: str | None = "purchase") -> DataFrame:
-    e = t.events.where(F.col("event_id") % every == 0)
-    e = e if kind is None else e.where(F.col("event_type") == kind)
-    return e.select(F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst")).where("dst is not null").distinct()
+def digraph(t: Tables) -> DataFrame:
+    """Distinct links from users to the numbers in their events."""
+    return t.events.select(F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst")).where("dst is not null").distinct()
 
 
 def snapshot(t: Tables, year: int) -> DataFrame:
@@ -60,7 +59,7 @@ CTE = {
         CASE WHEN l_linenumber > 1 THEN l_linenumber END AS source_line, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS o FROM lineitem""",
     "nodes": "SELECT 'p' || p_partkey AS node_id, 'N' || (p_partkey % 25) AS cluster_id FROM part UNION ALL SELECT 's' || s_suppkey, 'N' || s_nationkey FROM supplier",
     "paths": "SELECT p_partkey AS node_id, 'src/' || lower(p_type) || '/' || replace(p_name, ' ', '-') || '/' || p_brand || '/' || p_partkey || '.ts' AS canonical_path, p_size, p_type, p_name, p_retailprice FROM part",
-    "digraph": "SELECT DISTINCT user_id AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst FROM events WHERE event_id % 8 = 0 AND event_type = 'purchase' AND json_extract_string(props, '$.k') IS NOT NULL",
+    "digraph": "SELECT DISTINCT user_id AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
     "prev": "SELECT o_custkey AS path, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS cluster_id FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1",
     "next": "SELECT o_custkey AS path, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS cluster_id FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1",
     "vec": "SELECT vec_id AS id, label AS grp, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings",
