@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 KEYS_A_BLOCK = 32
 MAX_BLOCKS = 1 << 18  # 16 MB of bits
 _SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
-_WORDS = [f"_w{i}" for i in range(8)]
+_WORDS = [f"__lattica_w{i}" for i in range(8)]
 
 
 def _block(h: Column, blocks: int) -> Column:
@@ -35,16 +35,16 @@ def build(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     while blocks * KEYS_A_BLOCK < n and blocks < MAX_BLOCKS:
         blocks *= 2
     h = F.xxhash64(F.col(key))
-    words = keys.select(_block(h, blocks).alias("_block"), *(_bit(h, s).alias(w) for w, s in zip(_WORDS, _SALTS, strict=True)))
-    return words.groupBy("_block").agg(*(F.bit_or(w).alias(w) for w in _WORDS)), blocks
+    words = keys.select(_block(h, blocks).alias("__lattica_block"), *(_bit(h, s).alias(w) for w, s in zip(_WORDS, _SALTS, strict=True)))
+    return words.groupBy("__lattica_block").agg(*(F.bit_or(w).alias(w) for w in _WORDS)), blocks
 
 
 def tested(rows: DataFrame, key: str, filter_: tuple[DataFrame, int], flag: str) -> DataFrame:
     """rows and a flag: false only if the key is not in the list."""
     words, blocks = filter_
     h = F.xxhash64(F.col(key))
-    found = rows.withColumn("_block", _block(h, blocks)).join(F.broadcast(words), "_block", "left")
+    found = rows.withColumn("__lattica_block", _block(h, blocks)).join(F.broadcast(words), "__lattica_block", "left")
     holds = F.lit(True)
     for w, s in zip(_WORDS, _SALTS, strict=True):
         holds = holds & (F.coalesce(F.col(w), F.lit(0).cast("long")).bitwiseAND(_bit(h, s)) != 0)
-    return found.withColumn(flag, holds).drop("_block", *_WORDS)
+    return found.withColumn(flag, holds).drop("__lattica_block", *_WORDS)

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import bloom
@@ -311,14 +311,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
 
 def near_duplicate_stage(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group the document with the
-    smallest doc_id. Rows without a doc_id stay; of rows that repeat it, one stays."""
-    kept = near_duplicates(docs).where("doc_id = group_id").select("doc_id").distinct()
-    found = docs.join(kept, "doc_id", "left_semi")
-    first = found.withColumn("_lattica_n", F.row_number().over(_one("doc_id"))).where("_lattica_n = 1").drop("_lattica_n")
-    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
-
-
-def _one(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(key)
+    smallest doc_id. Rows without a doc_id stay; of rows that repeat it, one stays.
+
+    Only rows whose id a Bloom filter of dropped and repeated ids passes are shuffled."""
+    found = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") != F.col("group_id")).alias("__lattica_dropped"))
+    special = written(found.where("__lattica_dropped or n > 1").select("doc_id", "__lattica_dropped"), "special")
+    tested = bloom.tested(docs, "doc_id", bloom.build(special, "doc_id"), "__lattica_maybe")
+    sure = tested.where("not __lattica_maybe or doc_id is null").select(docs.columns)
+    rest = tested.where("__lattica_maybe and doc_id is not null").join(special, "doc_id", "left").where("not coalesce(__lattica_dropped, false)")
+    first = rest.withColumn("__lattica_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__lattica_n = 1")
+    return sure.unionByName(first.select(docs.columns))

@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import types as T
 
 DOCS = T.StructType().add("doc_id", "long").add("text", "string").add("lang", "string").add("source", "string").add("n_chars", "long")
-for _c in ("row", "id", "key", "k", "part", "block", "component", "factors", "maybe", "sig", "kept"):
+for _c in ("row", "id", "key", "k", "part", "block", "component", "factors", "maybe", "sig", "kept", "__lattica"):
     DOCS = DOCS.add(_c, "string")  # names that the operators use inside
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -34,7 +34,7 @@ def texts(seed: int = 7) -> list[tuple]:
 
 def docs(spark, rows=None):
     rows = texts() if rows is None else rows
-    return spark.createDataFrame([(i, t, ("en", None, "xx", "de")[k % 4], None if k % 3 else "s", len(t or ""), *["z"] * 11) for k, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    return spark.createDataFrame([(i, t, ("en", None, "xx", "de")[k % 4], None if k % 3 else "s", len(t or ""), *["z"] * 12) for k, (i, t) in enumerate(rows)], DOCS).repartition(3)
 
 
 def substring(rows, n=20):
