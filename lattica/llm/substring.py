@@ -35,7 +35,8 @@ from lattica.llm import text as tx
 from lattica.session import fan_out, ship, written
 
 WINDOW = 20
-BLOCK_WORDS = 1 << 21  # words of a block; with a text on top it stays under 2**24
+BLOCK_WORDS = 1 << 20  # words of a block; with a text on top it stays under 2**24
+PART_BYTES = 8 << 20  # of compressed input whose entries meet in one task
 _ENTRIES, _BLOCK = 0, 1
 _LAST = np.iinfo(np.int64).max
 _SPANS = T.ArrayType(T.StructType().add("start", "long").add("length", "long"))
@@ -68,6 +69,7 @@ class _Block:
         ids, keys = np.concatenate(self.ids), np.concatenate(self.keys)
         at = np.concatenate([[0], np.cumsum(np.concatenate(self.counts))])
         h, place = np.concatenate(self.hash), np.concatenate(self.place)
+        self.hash.clear(), self.place.clear()
         doc = np.searchsorted(at, place, side="right") - 1
         start = place - at[doc]
         order = np.lexsort((start, ids[doc], h))
@@ -111,7 +113,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All entries of a part of the hashes: places that have an earlier one, by block."""
 
     def rows() -> Iterator[tuple]:
-        hs, ids, starts, places, blocks = [], [], [], [], []
+        hs, ids, starts, places, blocks, names = [], [], [], [], [], []
         for b in batches:
             for kind, block, x, y, z in zip(*(b[c].to_pylist() for c in ("kind", "block", "a", "b", "c")), strict=True):
                 if kind == _BLOCK:
@@ -124,11 +126,12 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids.append(used[doc])
                 starts.append(place - at[doc])
                 places.append(place)
-                blocks.append(np.full(len(h), block))
+                blocks.append(np.full(len(h), len(names), dtype=np.int32))
+                names.append(block)
         if not hs:
             return
         h, i, s, p, b = (np.concatenate(x) for x in (hs, ids, starts, places, blocks))
-        hs.clear(), ids.clear(), starts.clear()
+        hs.clear(), ids.clear(), starts.clear(), places.clear(), blocks.clear()
         order = np.argsort(h, kind="stable")
         same = h[order[1:]] == h[order[:-1]]
         again = np.zeros(len(h), dtype=bool)
@@ -147,7 +150,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(b, kind="stable")
         p, b = p[order], b[order]
         for block, k, n in zip(*np.unique(b, return_index=True, return_counts=True), strict=True):
-            yield (int(block), _ENTRIES, None, None, np.sort(p[k : k + n]).astype("<u4").tobytes())
+            yield (names[block], _ENTRIES, None, None, np.sort(p[k : k + n]).astype("<u4").tobytes())
 
     return tx.batched(rows(), [("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abc")])
 
@@ -185,7 +188,7 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     id is doc_id with null as the largest number, key the text's hash; factors packs the starts
     and then the ends, as little-endian unsigned 32-bit numbers."""
     ship(docs.sparkSession)
-    parts = fan_out(docs.select("text"), 64 << 20)
+    parts = fan_out(docs.select("text"), PART_BYTES)
     index = _keyed(docs).mapInArrow(_index(parts, window), _INDEX)
     matched = index.repartitionById(parts, F.col("part")).mapInArrow(_match, "block long, kind int, a binary, b binary, c binary")
     found = matched.groupBy("block").applyInArrow(_factors(window), "id long, key long, factors binary")
