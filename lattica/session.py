@@ -11,12 +11,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of any cluster, once per application.
+    """Prepare a session for Python workers: importable sources and small Arrow batches.
 
-    The sources travel with ``addPyFile``, which Spark's own file server distributes.
+    The sources travel with ``addPyFile`` once per application, which Spark's own file server
+    distributes. Batches are bounded in bytes below Spark's default, so long texts don't add up.
     """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, "16m")
     if getattr(sc, "_lattica_shipped", False):
         return
     root = Path(__file__).resolve().parent
