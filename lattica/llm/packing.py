@@ -143,7 +143,7 @@ _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 def encoder(path: str, end: int) -> Encoder:
-    """One encoder for a worker's life; its chunk table is emptied after each task."""
+    """One encoder for a worker's life; later tasks find the chunks of earlier ones."""
     if (path, end) not in _ENCODERS:
         _ENCODERS[path, end] = Encoder(path, end)
     return _ENCODERS[path, end]
@@ -190,7 +190,6 @@ def _packer(path: str, capacity: int, end: int, id_type: pa.DataType):
             yield from packed(batches)
         finally:
             gc.enable()
-            encoder(path, end).clear()  # the worker may go on to other work
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, used = encoder(path, end), TaskContext.get().partitionId() << 40, 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -9,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20  # text bytes worked on at a time; one longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # text bytes worked on at a time; one longer text is a slice of its own
 LONG_WORD = 128  # longer words are hashed one by one
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -109,6 +111,13 @@ def words(texts: pa.Array, blank: np.ndarray = BLANK, lower: bool = False) -> Wo
     return Words(data, at, s, e, np.searchsorted(s, at), out)
 
 
+def release() -> None:
+    """Give memory that nothing uses back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about `limit` bytes of text at most, or one row."""
     for batch in batches:
@@ -120,6 +129,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, side="right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+        del batch
+        release()
 
 
 def windows(h: np.ndarray, word_at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,3 +175,5 @@ def batched(rows: Iterator[tuple], types: list[tuple[str, pa.DataType]], limit:
             held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), types, strict=True)], [n for n, _ in types])
+    held.clear()
+    release()
