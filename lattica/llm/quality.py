@@ -2,10 +2,11 @@
 
 A document's character-class histogram and its histogram of common words are compared with
 references of its language by Jensen-Shannon distance. The references are sums over all
-documents of each language listed in COMMON; other languages are held against the sum of all.
+documents of each language listed in COMMON.
 
-Defined cases: a null or empty text has no words and fails; a null or unlisted language uses
-the pooled reference; documents under MIN_WORDS words are judged by the base rules alone (the
+Defined cases: a null or empty text has no words and fails; a null or unlisted language has no
+reference and so no divergence verdict (its distances are those from the sum of all documents);
+documents under MIN_WORDS words are judged by the base rules alone (the
 histograms of so few words say nothing); repeated rows get the same answer each; other columns
 are carried along by `quality_filter` and ignored by `quality_rules`.
 """
@@ -132,10 +133,11 @@ def measures(texts: pa.Array, langs: list, refs: np.ndarray) -> dict[str, np.nda
     n = w.counts
     rep = tx.per_text(cover, w.word_at)
     hist_c, hist_w = histograms(w, _lowered(texts))
-    ref = refs[_lang(langs)]
+    lang = _lang(langs)
+    ref = refs[lang]
     dc, dw = distance(hist_c, ref[:, : N_CLASSES - 1]), distance(hist_w, ref[:, N_CLASSES - 1 :])
     failed = (n < 50) | (100 * rep > 50 * n)
-    odd = (n >= MIN_WORDS) & ((dc > MAX_CHARS) | (dw > MAX_WORDS))
+    odd = (n >= MIN_WORDS) & (lang < len(COMMON)) & ((dc > MAX_CHARS) | (dw > MAX_WORDS))
     return {"n_words": n, "word_chars": chars_at, "n_symbols": tx.per_text(_SYMBOL[w.data], at), "n_dup_lines": dup, "n_repeat_words": rep, "char_distance": dc, "word_distance": dw, "base_failed": failed, "kept": ~failed & ~odd}
 
 
