@@ -79,14 +79,16 @@ class _Grams:
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Unsigned integers in as few bytes each as hold the largest; the first byte says how many."""
-    top = int(x.max(initial=0))
-    kind = next(k for k in "124" if top < 1 << (8 * int(k))) if top < 1 << 32 else "8"
-    return kind.encode() + x.astype(f"<u{kind}").tobytes()
+    """Counts as a byte each; those of 255 or more stand in full before them, in order."""
+    big = x[x >= 255].astype("<u8")
+    return len(big).to_bytes(8, "little") + big.tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes()
 
 
 def _large(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"<u{chr(x[0])}", offset=1).astype(np.int64)
+    n = int.from_bytes(x[:8], "little")
+    out = np.frombuffer(x, np.uint8, offset=8 + 8 * n).astype(np.int64)
+    out[out == 255] = np.frombuffer(x, "<u8", n, 8).astype(np.int64)
+    return out
 
 
 def _packed(h: np.ndarray) -> bytes:

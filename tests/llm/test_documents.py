@@ -182,7 +182,7 @@ def test_lm_packs_hashes():
     for n in (1, 2, 50, 5000):
         h = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
         assert (lm._unpacked(lm._packed(h)) == h).all()
-    assert lm._large(lm._small(np.array([0, 255, 70000]))).tolist() == [0, 255, 70000]
+    assert lm._large(lm._small(np.array([0, 255, 70000, 254, 1 << 40]))).tolist() == [0, 255, 70000, 254, 1 << 40] and lm._large(lm._small(np.array([], dtype=np.int64))).tolist() == []
 
 
 def test_lm_beats_the_base_on_held_out_prose(spark):
