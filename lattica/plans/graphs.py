@@ -199,7 +199,7 @@ def multi_source_coverage(t):
     return graph.reachable(e, e.select(F.col("src").alias("root"))).groupBy("root").agg(F.count("*").alias("reached"))
 
 
-@query(_REACH + ", n AS (SELECT src AS node FROM digraph UNION SELECT dst FROM digraph) SELECT count(*)::BIGINT AS unreached, string_agg(node, ',' ORDER BY node) FILTER (r <= 50) AS sample FROM (SELECT node, row_number() OVER (ORDER BY node) AS r FROM n WHERE node NOT IN (SELECT node FROM reach))", "digraph")
+@query(_REACH + ", n AS (SELECT src AS node FROM digraph UNION SELECT dst FROM digraph) SELECT count(*)::BIGINT AS unreached, coalesce(string_agg(node, ',' ORDER BY node) FILTER (r <= 50), '') AS sample FROM (SELECT node, row_number() OVER (ORDER BY node) AS r FROM n WHERE node NOT IN (SELECT node FROM reach))", "digraph")
 def unreached(t):
     e = v.digraph(t)
     n = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
