@@ -74,18 +74,29 @@ def file_layer(t):
     return v.paths(t).select("node_id", fn.file_layer(_layered()).alias("tier"))
 
 
+def _tier():
+    first = F.split("p_type", " ")[0]
+    return F.when(first == "ECONOMY", 0).when(first == "LARGE", 1).when(first == "MEDIUM", 2).when(first == "PROMO", 3).when(first == "SMALL", 4)
+
+
 _TIERS = "CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'PROMO' THEN 3 WHEN 'SMALL' THEN 4 END"
 
 
 @query(f", f AS (SELECT node_id, {_TIERS} AS tier, unnest(list_distinct(list_transform(string_split(p_name, ' '), lambda w: w || '-' || p_size || split_part(canonical_path, '/', 4)))) AS token FROM paths) SELECT a.node_id AS source_id, b.node_id AS target_id, string_agg(DISTINCT a.token, ',' ORDER BY a.token) AS called_names FROM f a JOIN f b ON a.token = b.token AND a.tier < b.tier GROUP BY 1, 2", "paths")
 def naming_edges(t):
-    first = F.split("p_type", " ")[0]
-    tier = F.when(first == "ECONOMY", 0).when(first == "LARGE", 1).when(first == "MEDIUM", 2).when(first == "PROMO", 3).when(first == "SMALL", 4)
+    tier = _tier()
     mark = F.concat(F.lit("-"), F.col("p_size"), F.split("canonical_path", "/")[3])
     f = v.paths(t).select("node_id", tier.alias("tier"), F.array_distinct(F.transform(F.split("p_name", " "), lambda w: F.concat(w, mark))).alias("tokens"))
     return infer.naming_edges(f).withColumn("called_names", F.array_join("called_names", ","))
 
 
+@query()
+def naming_edges_all(t):
+    """The plain words of every row: naming_edges and its SQL pair rows of one size and brand only."""
+    f = v.paths(t).select("node_id", _tier().alias("tier"), F.array_distinct(F.split("p_name", " ")).alias("tokens"))
+    return infer.naming_edges(f).withColumn("called_names", F.array_join("called_names", ","))
+
+
 @query(", b AS (SELECT node_id, string_split(canonical_path, '/') AS p FROM paths) SELECT node_id, CASE WHEN len(p) <= 1 THEN regexp_replace(p[1], '\\.[^.]*$', '') ELSE array_to_string(p[1:2], '/') END AS two, array_to_string(p[1:4], '/') AS four FROM b", "paths")
 def canonical_bucket(t):
     p = F.col("canonical_path")

@@ -108,6 +108,21 @@ def test_naming_edges(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_naming_edges_all_pairs_every_shared_word(spark, tmp_path):
+    from lattica.plans import registry
+
+    kinds = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+    rows = [(i, f"{'red blue tan lime'.split()[i % 4]} {'sky sea red'.split()[i % 3]}", f"{kinds[i % 6]} X", f"Brand#{i % 5}", i % 7, 1.0) for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for i, a, s, *_ in rows:
+        for j, b, t, *_ in rows:
+            if "STANDARD" not in s + t and s < t and (both := {*a.split()} & {*b.split()}):
+                want.add((i, j, ",".join(sorted(both))))
+    got = [(r["source_id"], r["target_id"], r["called_names"]) for r in registry.load()[0]["naming_edges_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_state_edges_and_their_guard(spark):
     rows = [(1, 0, "m.ts", True, False), (2, 0, "m.ts", False, True)] + [(100 + i, 9, "big.ts", True, False) for i in range(13)] + [(200 + i, 9, "big.ts", False, True) for i in range(12)]
     i = spark.createDataFrame(rows, "source_id long, target_id long, label string, provides boolean, consumes boolean")
