@@ -1,12 +1,13 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template a set of words. A block matches a template if it holds
-at least THRESHOLD of the template's words (containment). Words are ordered by their frequency
-in the whole corpus, rarest first; a matching block must hold one of a template's first
-|T| - ceil(THRESHOLD * |T|) + 1 words (prefix filter), have enough distinct words (length filter),
-and at the first of them that it holds, enough of the template must be left (positional filter).
-What passes is verified by counting. The templates are a short list; only counts of their own
-words reach the driver.
+A template is a set of words, a block a window of words of one text, over its line ends, WINDOW
+times as long as the template. The windows begin at each template word and so overlap; whatever
+their place, the best one is among them. A block matches a template if it holds at least THRESHOLD
+of the template's words (containment). Words are ordered by their frequency in the whole corpus,
+rarest first; a matching block must hold one of a template's first |T| - ceil(THRESHOLD * |T|) + 1
+words (prefix filter), have enough template words (length filter), and at the first of them that it
+holds, enough of the template must be left (positional filter). What passes is verified by counting.
+The templates are a short list; only counts of their own words reach the driver.
 
 Apart from the sets, phrases are found where their words stand one after the other.
 
@@ -29,6 +30,7 @@ from lattica.llm import text as tx
 from lattica.session import ship
 
 THRESHOLD = 0.8
+WINDOW = 2  # words of a block for each word of the template
 #: Phrases that give a label by themselves (fixed values).
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Sentences from license texts and notices (fixed values).
@@ -88,33 +90,26 @@ class _Scan:
         self.rank = rank
         place = lambda hs: np.searchsorted(vocabulary, hs)
         self.templates = []
-        self.first: dict[int, list[tuple[int, int]]] = {}  # prefix word -> (template, position)
-        for k, (hs, (_, label)) in enumerate(zip(hashed([t for t, _ in templates]), templates, strict=True)):
+        for hs, (_, label) in zip(hashed([t for t, _ in templates]), templates, strict=True):
             ordered = np.unique(rank[place(hs)])
             need = math.ceil(threshold * len(ordered) - 1e-9)
-            self.templates.append((frozenset(ordered.tolist()), need, label))
-            for p, r in enumerate(ordered[: len(ordered) - need + 1].tolist()):
-                self.first.setdefault(r, []).append((k, p))
-        self.prefix = np.zeros(len(vocabulary), dtype=bool)
-        self.prefix[list(self.first)] = True
+            position = np.full(len(vocabulary), -1, dtype=np.int64)
+            position[ordered] = np.arange(len(ordered))
+            self.templates.append((position, len(ordered), need, WINDOW * len(hs), label))
         self.phrases = [(rank[place(hs)], label) for hs, (_, label) in zip(hashed([t for t, _ in phrases]), phrases, strict=True)]
 
-    def blocks(self, ranks: np.ndarray, size_of_block: int) -> list[tuple[str, float]]:
-        """Labels and containments of the templates that a block matches, given its template words."""
-        held = sorted(set(ranks.tolist()))
-        tried, out = set(), []
-        for r in held:
-            for k, p in self.first.get(r, ()):
-                if k in tried:
-                    continue
-                tried.add(k)  # the first prefix word that the block holds: the template's earlier ones are missing
-                words, need, label = self.templates[k]
-                if size_of_block < need or len(words) - p < need:
-                    continue
-                n = len(words.intersection(held))
-                if n >= need:
-                    out.append((label, n / len(words)))
-        return out
+    def blocks(self, ranks: np.ndarray, at: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, str, float]]:
+        """Text, label and containment of each window that matches, given the template words' ranks, places and texts."""
+        for position, size, need, length, label in self.templates:
+            own = np.flatnonzero(position[ranks] >= 0)
+            p, place, text = position[ranks[own]], at[own], of[own]
+            end = np.minimum(np.searchsorted(place, place + length), np.searchsorted(text, text, side="right"))
+            begin = np.arange(len(own))
+            prefix = np.concatenate([[0], np.cumsum(p <= size - need)])
+            for i in np.flatnonzero((end - begin >= need) & (prefix[end] > prefix[begin])).tolist():
+                held = np.unique(p[i : end[i]])
+                if size - held[0] >= need and len(held) >= need:
+                    yield int(text[i]), label, len(held) / size
 
     def run(self, texts: pa.Array) -> list[list]:
         w = tx.words(texts, tx.NOT_ALNUM, lower=True)
@@ -140,16 +135,9 @@ class _Scan:
                 places[t].append(a - int(w.word_at[t]))
                 base[t].add(label)
                 score[t] = 1.0
-        line = np.searchsorted(np.flatnonzero(w.data == 10), w.s[hit]) if len(hit) else hit
-        change = np.flatnonzero((np.diff(line) != 0) | (np.diff(of[hit]) != 0)) + 1 if len(hit) > 1 else np.zeros(0, dtype=np.int64)
-        lim = np.concatenate([[0], change, [len(hit)]]) if len(hit) else np.zeros(1, dtype=np.int64)
-        wanted = np.add.reduceat(self.prefix[ranks], lim[:-1]) if len(hit) else np.zeros(0)
-        for b in np.flatnonzero(wanted):
-            lo, hi = lim[b], lim[b + 1]
-            t = of[hit[lo]]
-            for label, c in self.blocks(ranks[lo:hi], hi - lo):
-                labels[t].add(label)
-                score[t] = max(score[t], c)
+        for t, label, c in self.blocks(ranks, hit, of[hit]):
+            labels[t].add(label)
+            score[t] = max(score[t], c)
         rows = []
         for t in range(n):
             rows.append([int(w.counts[t]), len(places[t]), min(places[t], default=None), max(places[t], default=None), ",".join(sorted(base[t])), ",".join(sorted(base[t] | labels[t])), float(score[t])])

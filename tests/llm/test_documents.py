@@ -232,6 +232,37 @@ def test_license_scan_matches_brute_force(spark):
     assert got == Counter((i, *license_brute(t)) for i, t in rows)
 
 
+def test_license_scan_reads_over_line_ends_and_not_over_whole_texts(spark):
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    apache = " * you may not use this file except in\n * compliance with the License.\n * You may obtain a copy of the\n * License at"
+    words = licenses.TEMPLATES[1][0].split()
+    scattered = " ".join(f"{w} " + " ".join(f"x{i}y{j}" for j in range(20)) for i, w in enumerate(words))
+    inside = " ".join(f"z{i}" for i in range(5000)) + f" {' '.join(words)} " + " ".join(f"z{i}" for i in range(5000))
+    across = [(5, " ".join(words[:12])), (6, " ".join(words[12:]))]
+    rows = [(1, wrapped), (2, apache), (3, scattered), (4, inside), *across, (7, "\n".join(words))]
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in rows_of(licenses.license_scan(util.docs(spark, rows).coalesce(1)))}
+    assert found == {1: ("mit", 1.0), 2: ("apache-2", 1.0), 3: ("", 0.0), 4: ("mit", 1.0), 5: ("", 0.0), 6: ("", 0.0), 7: ("mit", 1.0)}
+
+
+def test_license_windows_match_brute_force():
+    r = np.random.default_rng(3)
+    vocabulary = licenses._vocabulary(licenses.TEMPLATES, licenses.PHRASES)
+    scan = licenses._Scan(vocabulary, np.arange(len(vocabulary)), licenses.TEMPLATES, licenses.PHRASES, licenses.THRESHOLD)
+    texts = []
+    for k in range(60):
+        words = licenses.TEMPLATES[k % len(licenses.TEMPLATES)][0].split()
+        texts.append("".join(w + r.choice([" ", "\n"]) + "filler " * int(r.integers(0, 3)) for w in words if r.random() < 0.9) * int(r.integers(1, 3)))
+    for t, row in zip(texts, scan.run(licenses.pa.array(texts)), strict=True):
+        w, want = t.split(), {}
+        for text, label in licenses.TEMPLATES:
+            need = set(text.split())
+            best = max(len(need & set(w[i : i + licenses.WINDOW * len(text.split())])) for i in range(len(w)))
+            if best >= licenses.THRESHOLD * len(need) - 1e-9:
+                want[label] = max(want.get(label, 0), best / len(need))
+        score = max([1.0 if row[4] else 0.0, *want.values()])
+        assert (set(row[5].split(",")) - {""}, row[6]) == (set(want) | set(row[4].split(",")) - {""}, score)
+
+
 def test_empty_tables(spark):
     P = pytest.importorskip("public_tokenizers")
     none = util.docs(spark, [])
