@@ -56,13 +56,25 @@ def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
-def op7_gumbel_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four segmentations of every turn of the conversations."""
+def _segmented(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Four segmentations of every text, each with the hash of what its ids decode to."""
     import public_tokenizers
+    from pyspark.sql import functions as F
 
     from lattica.llm import segment
 
-    return segment.sample_segmentations(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], public_tokenizers.path("piece_bpe_32k.model"))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return segment.decoded(segment.sample_segmentations(rows, keys, path), path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
+def op7_gumbel_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segmentations of every document."""
+    return _segmented(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op7_gumbel_top_k_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segmentations of every turn of the conversations."""
+    return _segmented(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

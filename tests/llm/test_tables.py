@@ -152,6 +152,24 @@ def test_segmentations_round_trip_and_are_distinct(spark):
     assert segment.sample_segmentations(df.limit(0), ["conv_id", "turn"], path).count() == 0
 
 
+def test_segmentation_queries_read_documents_and_turns_and_decode(spark, tmp_path):
+    import hashlib
+
+    pytest.importorskip("public_tokenizers")
+    from lattica.llm import queries
+
+    spark.createDataFrame([(i, text) for i, (_, _, text) in enumerate(TURNS)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(TURNS, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    found = rows_of(queries.op7_gumbel_top_k(spark, str(tmp_path)))
+    assert {r["doc_id"] for r in found} == set(range(len(TURNS)))
+    assert all(r["decoded_sha256"] == sha(TURNS[r["doc_id"]][2]) for r in found)
+    texts = {(c, t): x for c, t, x in TURNS}
+    turns = rows_of(queries.op7_gumbel_top_k_turns(spark, str(tmp_path)))
+    assert {(r["conv_id"], r["turn"]) for r in turns} == set(texts)
+    assert all(r["decoded_sha256"] == sha(texts[r["conv_id"], r["turn"]]) for r in turns)
+
+
 def test_segmentations_follow_their_distribution():
     P = pytest.importorskip("public_tokenizers")
     v = segment.pieces(P.path("piece_bpe_32k.model"))
