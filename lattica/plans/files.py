@@ -130,6 +130,14 @@ def ancestor_layout(t):
     return infer.layout_edges(v.paths(t).select("node_id", fn.parent(F.col("canonical_path")).alias("dir")), infer.first_of_directory(l_))
 
 
+@query()
+def ancestor_layout_all(t):
+    """Every row is a layout: ancestor_layout and its SQL take rows of a p_size of 3 and less."""
+    p = F.split("canonical_path", "/")
+    l_ = v.paths(t).select("node_id", F.array_join(F.slice(p, F.lit(1), (2 + F.col("node_id") % 2).cast("int")), "/").alias("dir"))
+    return infer.layout_edges(v.paths(t).select("node_id", fn.parent(F.col("canonical_path")).alias("dir")), infer.first_of_directory(l_))
+
+
 _STEMS = _strings(S.ENTRY_STEMS)
 _UI = " OR ".join(f"contains(tgt, '{h}')" for h in S.SHARED_UI)
 _CLASS = f"""SELECT source_id, target_id, 'app/' || CASE l_linenumber % 3 WHEN 0 THEN 'page.tsx' WHEN 1 THEN 'Layout.tsx' ELSE 'util.ts' END AS src,
@@ -182,6 +190,21 @@ def url_match_join(t):
     return infer.url_pairs(u, s.distinct()).groupBy("server").agg(F.count("*").alias("clients"))
 
 
+@query()
+def url_match_join_all(t):
+    """A route of every page: url_match_join and its SQL take two ids in ten.
+
+    Pages that share an address or a route are matched once and counted as often as they stand."""
+    u = t.pages.select(F.col("page_id").alias("id"), fn.normalize_url(F.col("url")).alias("url"))
+    p = F.split("url", "/")
+    route = F.when(F.col("id") % 2 == 0, F.concat(F.lit("/"), p[1], F.lit("/*"))).otherwise(F.concat(F.lit("/*/"), F.get(p, F.lit(2))))
+    s = u.select("id", route.alias("url")).where("url is not null").distinct()
+    c = u.groupBy("url").agg(F.count("*").alias("n"))
+    pairs = infer.url_pairs(c.select(F.col("url").alias("id"), "url"), s.select(F.col("url").alias("id"), "url").distinct())
+    per_route = pairs.join(c.select(F.col("url").alias("client"), "n"), "client").groupBy("url").agg(F.sum("n").alias("clients"))
+    return s.join(per_route, "url").select(F.col("id").alias("server"), "clients")
+
+
 @query("""WITH p AS (SELECT page_id, string_split(url, '/') AS s FROM pages), q AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN ['(' || s[3] || ')', s[4]] WHEN 1 THEN ['[' || s[4] || ']'] WHEN 2 THEN ['@' || s[4], 'Deep', s[4]] ELSE [] END AS d FROM p)
 SELECT page_id, CASE WHEN page_id % 7 <> 6 THEN '/' || array_to_string(list_transform(list_filter(d, lambda x: NOT regexp_matches(x, '^\\([^)]+\\)$') AND NOT starts_with(x, '@')), lambda x: CASE WHEN regexp_matches(x, '^\\[.*\\]$') THEN ':' || trim(x, '[].') ELSE x END), '/') END AS url FROM q""")
 def page_url(t):

@@ -129,6 +129,37 @@ def test_state_edges_and_their_guard(spark):
     assert [tuple(r) for r in infer.state_edges(i, i.select("source_id", "target_id")).collect()] == [(1, 2, "m.ts")]
 
 
+def test_url_match_join_all_gives_every_page_a_route(spark, tmp_path):
+    from lattica.plans import registry
+
+    rows = [(i, f"http://h/{'abc'[i % 3]}" + f"/x{i % 4}" * (i % 5 != 4) + "/y" * (i % 7 == 6)) for i in range(60)] + [(60, "http://h/*/x1"), (61, "http://h/"), (62, "http://h/7/x2"), (63, None)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    star = lambda s: "*" if s.isdigit() else s
+    path = {i: [star(s) for s in url[len("http://h/") :].split("/") if s] for i, url in rows if url}
+    want = {}
+    for i, p in path.items():
+        route = [x for x in [(p or [""])[0], "*"] if x] if i % 2 == 0 else ["*", p[1]] if len(p) > 1 else None
+        if route:
+            n = sum(len(q) == len(route) and all(a == b or "*" in (a, b) for a, b in zip(q, route, strict=True)) for q in path.values())
+            want |= {i: n} if n else {}
+    got = {r["server"]: r["clients"] for r in registry.load()[0]["url_match_join_all"](spark, str(tmp_path)).collect()}
+    assert got == want and {i % 10 for i in got} > {0, 1}
+
+
+def test_ancestor_layout_all_takes_layouts_of_any_size(spark, tmp_path):
+    from lattica.plans import registry
+
+    rows = [(i, f"a{i % 3} b", f"T{i % 2}", f"B{i % 2}", 1 + i % 50, 1.0) for i in range(4, 40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    dirs = {i: ["src", kind.lower(), name.replace(" ", "-"), brand] for i, name, kind, brand, *_ in rows}
+    first = {}
+    for i in sorted(dirs):
+        first.setdefault(tuple(dirs[i][: 2 + i % 2]), i)
+    want = {(next(first[tuple(d[:n])] for n in (3, 2, 1) if tuple(d[:n]) in first), i) for i, d in dirs.items()}
+    got = {(r["source_id"], r["target_id"]) for r in registry.load()[0]["ancestor_layout_all"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b) for a, b in want if a != b}
+
+
 def test_url_pairs_use_an_equality(spark):
     c = spark.createDataFrame([(1, "/a/*/c"), (2, "/*/x"), (3, "/q"), (4, "/")], "id long, url string")
     s = spark.createDataFrame([(7, "/a/b/c"), (8, "/y/x"), (9, "/*"), (10, "/")], "id long, url string")
