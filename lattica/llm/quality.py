@@ -2,11 +2,13 @@
 
 A document's character-class histogram and its histogram of common words are compared with
 references of its language by Jensen-Shannon distance. The references are sums over all
-documents of each language listed in COMMON.
+documents of each value of lang: of each language listed in COMMON, and of each other value with
+REFERENCE_WORDS words. Documents without a language, or of a rarer one, are compared with the
+reference that fits them best: they are rejected if they are far from every one.
 
-Defined cases: a null or empty text has no words and fails; a null or unlisted language has no
-reference and so no divergence verdict (its distances are those from the sum of all documents);
-documents under MIN_WORDS words are judged by the base rules alone (the
+Defined cases: a null or empty text has no words and fails; where no language has a reference, the
+sum of all documents is it; of more than MOST values of lang, those with the fewest words count as
+rare; documents under MIN_WORDS words are judged by the base rules alone (the
 histograms of so few words say nothing); repeated rows get the same answer each; other columns
 are carried along by `quality_filter` and ignored by `quality_rules`.
 """
@@ -14,6 +16,7 @@ are carried along by `quality_filter` and ignored by `quality_rules`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 100  # no divergence verdict below
 MAX_CHARS = 0.28  # Jensen-Shannon distances (base 2, 0 to 1) above which a document is rejected
 MAX_WORDS = 0.32
+REFERENCE_WORDS = 10_000  # words of a language that isn't listed, for a reference of its own
+MOST = 1000  # values of lang that reach the driver
 
 _CLASSES = np.full(256, 9, dtype=np.int64)
 for _k, _bytes in enumerate([range(0x61, 0x7B), range(0x41, 0x5B), range(0x30, 0x3A), b" ", b"\n", b"\t\r\x0b\x0c", b".,;:!?'\"-()", SYMBOLS, range(0xC0, 0x100), None, range(0x80, 0xC0)]):
@@ -81,36 +86,81 @@ def _lowered(texts: pa.Array) -> np.ndarray:
     return tx.words(texts, lower=True).hashes()
 
 
-def _lang(names: list) -> np.ndarray:
-    known = {k: i for i, k in enumerate(COMMON)}
-    return np.array([known.get(x, len(known)) for x in names], dtype=np.int64)
+@dataclass
+class References:
+    """The histograms of the languages, a row each, and which row is whose."""
+
+    row: dict[str, int]
+    sums: np.ndarray
+
+    def nearest(self, langs: list, hist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Character and word distances of each text from its language's reference, else from the one that fits best."""
+        k = N_CLASSES - 1
+        own = np.array([self.row.get(x, -1) for x in langs], dtype=np.int64)
+        dc, dw = (distance(hist[:, part], self.sums[own][:, part]) for part in (np.s_[:k], np.s_[k:]))
+        rest = np.flatnonzero(own < 0)
+        best = np.full(len(rest), np.inf)
+        for ref in self.sums if len(rest) else ():
+            if not ref.any():
+                continue
+            c, w = (distance(hist[rest, part], np.broadcast_to(ref[part], hist[rest, part].shape)) for part in (np.s_[:k], np.s_[k:]))
+            far = np.maximum(c / MAX_CHARS, w / MAX_WORDS)
+            nearer = far < best
+            best[nearer], dc[rest[nearer]], dw[rest[nearer]] = far[nearer], c[nearer], w[nearer]
+        return dc, dw
+
+
+def _cells(held: dict) -> pa.RecordBatch:
+    total = np.array(list(held.values()))
+    k, c = np.nonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()).take(pa.array(k)), pa.array(c, pa.int32()), pa.array(total[k, c])], ["lang", "cell", "n"])
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((len(COMMON) + 1, N_CLASSES - 1 + N_COMMON), dtype=np.int64)
+    held: dict = {}
     for b in tx.slices(batches):
-        chars, common = histograms(tx.words(b["text"]), _lowered(b["text"]))
-        np.add.at(total, _lang(b["lang"].to_pylist()), np.hstack([chars, common]))
-    k, c = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(c, pa.int32()), pa.array(total[k, c])], ["lang", "cell", "n"])
-
-
-def references(docs: DataFrame) -> np.ndarray:
-    """Histograms of each listed language, and of everything, summed over all documents.
-
-    What reaches the driver is one row for each language and cell, under 1,000 in all."""
+        both = np.hstack(histograms(tx.words(b["text"]), _lowered(b["text"])))
+        names = b["lang"].to_pylist()
+        found = {x: i for i, x in enumerate(dict.fromkeys(names))}
+        total = np.zeros((len(found), both.shape[1]), dtype=np.int64)
+        np.add.at(total, [found[x] for x in names], both)
+        for x, i in found.items():
+            held[x] = held.get(x, 0) + total[i]
+        if len(held) > MOST:
+            yield _cells(held)
+            held = {}
+    if held:
+        yield _cells(held)
+
+
+def references(docs: DataFrame) -> References:
+    """Histograms of the languages, summed over all documents.
+
+    What reaches the driver is one row for each of MOST languages at most, with its cells."""
     ship(docs.sparkSession)
-    out = np.zeros((len(COMMON) + 1, N_CLASSES - 1 + N_COMMON), dtype=np.int64)
-    for r in docs.select("text", "lang").mapInArrow(_sums, "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect():
-        out[r["lang"], r["cell"]] = r["n"]
-    out[-1] = out.sum(0)
-    return out
+    cells = docs.select("text", "lang").mapInArrow(_sums, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    words = F.sum(F.when(F.col("cell") >= N_CLASSES - 1, F.col("n")).otherwise(0))
+    langs = cells.groupBy("lang").agg(words.alias("words"), F.collect_list(F.struct("cell", "n")).alias("cells"))
+    listed = F.coalesce(F.col("lang").isin(*COMMON), F.lit(False))
+    row, sums = {x: i for i, x in enumerate(COMMON)}, [np.zeros(N_CLASSES - 1 + N_COMMON, dtype=np.int64) for _ in COMMON]
+    pool = np.zeros(N_CLASSES - 1 + N_COMMON, dtype=np.int64)
+    for r in langs.orderBy(listed.desc(), F.col("words").desc(), "lang").limit(MOST).collect():
+        h = np.zeros_like(pool)
+        for cell, n in r["cells"]:
+            h[cell] = n
+        pool += h
+        if r["lang"] in row:
+            sums[row[r["lang"]]] = h
+        elif r["lang"] is not None and r["words"] >= REFERENCE_WORDS:
+            row[r["lang"]] = len(sums)
+            sums.append(h)
+    return References(row, np.array(sums if any(h.any() for h in sums) else [*sums, pool]))
 
 
 _SYMBOL = tx.table(SYMBOLS)
 
 
-def measures(texts: pa.Array, langs: list, refs: np.ndarray) -> dict[str, np.ndarray]:
+def measures(texts: pa.Array, langs: list, refs: References) -> dict[str, np.ndarray]:
     """All columns of `quality_rules` for a slice."""
     w = tx.words(texts)
     total = len(w.s)
@@ -133,18 +183,16 @@ def measures(texts: pa.Array, langs: list, refs: np.ndarray) -> dict[str, np.nda
     n = w.counts
     rep = tx.per_text(cover, w.word_at)
     hist_c, hist_w = histograms(w, _lowered(texts))
-    lang = _lang(langs)
-    ref = refs[lang]
-    dc, dw = distance(hist_c, ref[:, : N_CLASSES - 1]), distance(hist_w, ref[:, N_CLASSES - 1 :])
+    dc, dw = refs.nearest(langs, np.hstack([hist_c, hist_w]))
     failed = (n < 50) | (100 * rep > 50 * n)
-    odd = (n >= MIN_WORDS) & (lang < len(COMMON)) & ((dc > MAX_CHARS) | (dw > MAX_WORDS))
+    odd = (n >= MIN_WORDS) & ((dc > MAX_CHARS) | (dw > MAX_WORDS))
     return {"n_words": n, "word_chars": chars_at, "n_symbols": tx.per_text(_SYMBOL[w.data], at), "n_dup_lines": dup, "n_repeat_words": rep, "char_distance": dc, "word_distance": dw, "base_failed": failed, "kept": ~failed & ~odd}
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
-def _judge(refs: np.ndarray, keep: list[str]):
+def _judge(refs: References, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches):
             found = measures(b["text"], b["lang"].to_pylist(), refs)
@@ -153,7 +201,7 @@ def _judge(refs: np.ndarray, keep: list[str]):
     return run
 
 
-def quality_rules(docs: DataFrame, refs: np.ndarray | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, refs: References | None = None) -> DataFrame:
     """doc_id and all measures and verdicts, a row for each row of docs (doc_id, text, lang)."""
     ship(docs.sparkSession)
     refs = references(docs) if refs is None else refs

@@ -44,6 +44,29 @@ def test_quality_rejects_symbol_junk_and_keeps_prose(spark):
     assert 100 not in kept
 
 
+def test_quality_judges_every_language(spark):
+    r = np.random.default_rng(5)
+    say = lambda words, n: " ".join(str(x) + str(i % 7) * (i % 2) for i, x in enumerate(r.choice(words, n)))
+    italian, german = "il la che non per una sono mi ho lo ma ti cosa le con".split(), quality.COMMON["de"]
+    junk = lambda k: " ".join(f"{'#$%&'[j % 4] * 3}{j + k}{'*|' * 3}" for j in range(150))
+    upper = " ".join(f"QXZ{'ABCDEFG'[j % 7] * 4}{'HIJKLMNO'[j % 8] * 3}{chr(65 + j % 26)}{chr(65 + j // 26)}" for j in range(200))
+    rows = [(i, say(quality.COMMON["en"], 200), "en") for i in range(40)] + [(100 + i, say(german, 200), "de") for i in range(40)] + [(200 + i, say(italian, 300), "it") for i in range(40)]
+    rows += [(300, say(quality.COMMON["en"], 200), None), (301, say(german, 200), "de-AT"), (302, say(italian, 200), "it-CH")]
+    rows += [(400 + i, t, lang) for i, (t, lang) in enumerate([(t, lang) for t in (junk(1), junk(2), upper) for lang in (None, "it", "en-US", "en")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {x["doc_id"]: x for x in rows_of(quality.quality_rules(df))}
+    assert not any(x["base_failed"] for x in found.values())
+    assert {i for i, x in found.items() if not x["kept"]} == set(range(400, 412))
+
+
+def test_quality_without_any_language_is_judged_by_all(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(str(x) + str(j % 7) * (j % 2) for j, x in enumerate(r.choice(quality.COMMON["en"], 200)))) for i in range(40)]
+    rows += [(100, " ".join(f"{'#$%&'[j % 4] * 3}{j}{'*|' * 3}" for j in range(150)))]
+    df = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, lang string")
+    assert {x["doc_id"] for x in rows_of(quality.quality_rules(df)) if not x["kept"]} == {100}
+
+
 def test_substring_matches_brute_force(spark):
     want = util.substring(util.texts())
     found = rows_of(substring.substring_dedup(util.docs(spark)).selectExpr("row.doc_id", "n_words", "n_removed", "kept_text", "spans"))
