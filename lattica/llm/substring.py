@@ -1,12 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against blocks of reference text.
+"""Substring deduplication by a join of window hashes over blocks of text.
 
 Every document is reference for all later ones. The corpus is read in blocks; each block's index
 maps the hash of every run of `window` words to the first place that holds it. The index entries
-of all blocks are dealt out by hash, so each document is parsed against every block's index at
-once: a position matches if an entry of an earlier place (smaller doc_id, or the same document,
-earlier start) has its hash. Consecutive matching positions form a factor, `window` words or
-longer; positions at the end of one factor and before the next are looked up on their own, so
-windows that straddle a factor boundary are found as well. The factors are the duplicate spans.
+of all blocks are dealt out by hash and equal hashes meet: a position matches if an entry of an
+earlier place (smaller doc_id, or the same document, earlier start) has its hash. Consecutive
+matching positions form a factor, `window` words or longer. The factors are the duplicate spans.
+There is no Lempel-Ziv parse, and equal hashes are not compared on the text.
 
 What moves: one entry of about 10 to 20 bytes for each distinct window of a block (copies inside
 a block are settled there, so a passage that all documents share costs an entry a block, not one
