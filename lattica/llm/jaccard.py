@@ -1,10 +1,10 @@
 """Near-duplicate join on word shingles: MinHash LSH forest with exact verification.
 
 Texts with the same words are one class. Each class has a MinHash signature, read as TREES
-labels of DEPTH values; the sorted labels of a tree are a prefix trie, and classes that share a
-label's prefix lie below one node. Matching starts from whole labels and shortens the prefix
-until a pair at the threshold is found in one of the trees with the target recall
-(`matched_depth`). Pairs below a node whose signatures agree far less than the threshold asks
+labels of DEPTH values; classes that share a label's first values lie below one node. How many
+values that is follows from the threshold and the target recall alone (`matched_depth`), so this
+is banding at a fixed depth: no prefix trie is built, and none is shortened by what was found.
+Pairs below a node whose signatures agree far less than the threshold asks
 are dropped, the others link into candidate groups; then shingle sets are compared exactly for
 all pairs of a candidate group, so a group's links are complete whatever tree found it.
 
