@@ -57,14 +57,16 @@ def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segmented(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Four segmentations of every text, each with the hash of what its ids decode to."""
+    """Four segmentations of every text: how many ids, their hash and that of what they decode to."""
     import public_tokenizers
     from pyspark.sql import functions as F
 
     from lattica.llm import segment
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return segment.decoded(segment.sample_segmentations(rows, keys, path), path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    found = segment.decoded(segment.sample_segmentations(rows, keys, path), path)
+    ids = (F.octet_length("ids") / 4).cast("int").alias("n_ids"), F.crc32("ids").alias("ids_crc32")
+    return found.select(*keys, "sample", *ids, "log_prob", "perturbed", "inclusion", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_gumbel_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

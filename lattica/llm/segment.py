@@ -1,33 +1,39 @@
 """SentencePiece encoding and decoding with k distinct sampled segmentations of a text.
 
 All segmentations of a text into pieces form a lattice, weighted by piece probabilities. The k
-segmentations are drawn without replacement by Gumbel top-k: every partial segmentation has the
-log-probability of all its completions (the exact A* estimate, from a backward pass), perturbed
-by Gumbel noise that is conditioned on its parent's, and the best k completions are those that a
-best-first search reaches first. Only the k best open branches of a text can still matter, so
-its queue holds no more. The search runs for many texts at once, a step of all of them at a time.
-
-Pieces never hold a space mark behind another character, so a text's lattice is the chain of its
-chunks' lattices, and these are built once for each distinct chunk. Piece probabilities are
-counted over the whole table with the vocabulary's own encoding, plus one for each piece; the
-vocabulary itself is given. Noise is a hash of the row's key, the sample and the step: the same
-row gives the same samples anywhere.
+segmentations are drawn without replacement by Gumbel top-k, as a perturbed A-star search: a
+partial segmentation has the log-probability of all its completions (the exact estimate, from a
+backward pass over the lattice), perturbed by Gumbel noise. Expanding a node, one child goes on
+with its parent's perturbed score; it is drawn by its probability. The others' scores are Gumbel
+variates cut at that score, and wait in a queue. The best one waiting is where the next sample
+leaves the path of an earlier one. Only the k best waiting branches of a text can still matter, so
+its queue holds no more, and a branch that is too unlikely for any noise to bring it in is not made.
+
+Pieces never hold a space mark behind another character (this is asserted), so a text's lattice is
+the chain of its chunks' lattices; these are built once for each distinct chunk, and the random
+completions of all chunks of many texts are drawn at once. Piece probabilities are counted over
+the whole table with the vocabulary's own encoding, plus one for each piece; the vocabulary itself
+is given. Noise is a hash of the row's key, the sample and the place: the same row gives the same
+samples anywhere.
 
 log_prob is a segmentation's share of all segmentations of the text, perturbed its Gumbel score,
 inclusion the probability that it exceeds the best score left out (1 where none is left).
 
 Defined cases: a null or empty text has one segmentation, the empty one; a text with fewer than k
 segmentations gives them all; a literal space mark is decoded as a space, as in the format; null
-keys hash as null; repeated rows give the same samples each; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+keys hash as null; repeated rows give the same samples each, and rows that share a key but not the
+text share their noise; an empty table gives an empty result; other columns are ignored, whatever
+their names. A text longer than a slice is worked on alone.
 """
 
 from __future__ import annotations
 
-import math
+import contextlib
 import re
-from array import array
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +46,52 @@ from lattica.session import ship
 
 MARK = "▁"
 SAMPLES = 4
-_CHUNK = re.compile("(?<=[^▁])(?=▁)|(?<=\n)(?=[^\n])|(?<=[^\n])(?=\n)")
-_CELLS = 2 << 20  # texts are searched together as long as texts times longest text stays below
-_CACHE_CHARS = 1 << 20
+_CHUNK = re.compile("▁+[^▁\n]*|[^▁\n]+|\n+")
+_CACHE_CHUNKS = 200_000
+_WALK = 1 << 17  # chunks that are completed together
+_SLICE = 1 << 20
+
+
+class _Trie:
+    """A trie as a hash table from (state, character) to the next state; the root is 0."""
+
+    def __init__(self, words: list[str]) -> None:
+        states: dict[int, int] = {}
+        self.ends = []
+        for w in words:
+            s = 0
+            for c in w:
+                s = states.setdefault(s << 21 | ord(c), len(states) + 1)
+            self.ends.append(s)
+        self.states = len(states) + 1
+        self.bits = max(4, (4 * len(states)).bit_length())
+        self.key, self.value = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, -1, dtype=np.int64)
+        key, value = np.fromiter(states, dtype=np.int64, count=len(states)), np.arange(1, len(states) + 1)
+        slot = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.key[slot] < 0)
+            self.key[slot[free]] = key[free]  # of several keys the last one gets the slot
+            placed = self.key[slot] == key
+            self.value[slot[placed]] = value[placed]
+            key, value, slot = key[~placed], value[~placed], (slot[~placed] + 1) & (len(self.key) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def child(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The next states; -1 where there is none."""
+        key = (state << 21) | char
+        slot = self._slot(key)
+        out, held = self.value[slot], self.key[slot]
+        todo = np.flatnonzero((held != key) & (held >= 0))
+        out[held != key] = -1
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.key) - 1)
+            held = self.key[slot[todo]]
+            same = held == key[todo]
+            out[todo[same]] = self.value[slot[todo[same]]]
+            todo = todo[~same & (held >= 0)]
+        return out
 
 
 class Pieces:
@@ -56,8 +105,21 @@ class Pieces:
         special = [self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i) for i in range(n)]
         self.byte = {int(self.model.id_to_piece(i)[1:-1], 16): i for i in range(n) if self.model.is_byte(i)}
         self.place = {self.model.id_to_piece(i): i for i in range(n) if not special[i] and not self.model.is_byte(i)}
-        self.longest = max(map(len, self.place))
+        if len(self.byte) != 256 or any("\n" in p or MARK in p.lstrip(MARK) for p in self.place):
+            raise ValueError("a vocabulary with byte fallback is needed whose pieces hold no line end, and no space mark behind another character")
         self.size = n
+        self.trie = _Trie(list(self.place))
+        self.piece_of = np.full(self.trie.states, -1, dtype=np.int64)
+        self.piece_of[self.trie.ends] = list(self.place.values())
+        # what each piece stands for, one after the other
+        plain = [b"" if special[i] else self.model.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
+        for b, i in self.byte.items():
+            plain[i] = bytes([b])
+        self.plain = np.frombuffer(b"".join(plain), dtype=np.uint8)
+        self.plain_n = np.array([len(p) for p in plain], dtype=np.int64)
+        self.plain_at = np.cumsum(self.plain_n) - self.plain_n
+        self.marked = np.array([not special[i] and self.model.id_to_piece(i).startswith(MARK) for i in range(n)])
+        self.special = np.array(special)
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -75,199 +137,307 @@ def decode(path: str, ids: list[int]) -> str:
 
 
 def chunks(text: str) -> list[str]:
-    return _CHUNK.split(MARK + text.replace(" ", MARK)) if text else []
-
-
-class _Lattices:
-    """Chunk lattices as one growing graph: nodes, and edges with pieces and conditional log-probabilities."""
-
-    def __init__(self, vocabulary: Pieces, log_p: list[float]) -> None:
-        self.vocabulary, self.log_p = vocabulary, log_p
-        self.clear()
-
-    def clear(self) -> None:
-        self.root: dict[str, int] = {}
-        self.first, self.degree = array("q"), array("q")  # of nodes
-        self.piece, self.next, self.share = array("i"), array("q"), array("d")  # of edges; next is -1 at the chunk's end
-        self.chars = 0
-
-    def add(self, chunk: str) -> int:
-        place, log_p, longest = self.vocabulary.place, self.log_p, self.vocabulary.longest
-        n = len(chunk)
-        edges: list[list[tuple[list[int], int, float]]] = []
-        total = [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            mine = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = place.get(chunk[i:j])
-                if p is not None:
-                    mine.append(([p], j, log_p[p] + total[j]))
-            if chunk[i] not in place:
-                ids = [self.vocabulary.byte[b] for b in chunk[i].encode("utf-8", "surrogatepass")]
-                mine.append((ids, i + 1, sum(log_p[b] for b in ids) + total[i + 1]))
-            top = max(x[2] for x in mine)
-            total[i] = top + math.log(sum(math.exp(x[2] - top) for x in mine))
-            edges.append([(ids, j, score - total[i]) for ids, j, score in mine])
-        edges.reverse()
-        base = len(self.first)
-        extra: list[tuple[int, int]] = []  # nodes between the bytes of a character: piece, next
-        for i in range(n):
-            self.first.append(len(self.piece))
-            self.degree.append(len(edges[i]))
-            for ids, j, share in edges[i]:
-                target = base + j if j < n else -1
-                for p in reversed(ids[1:]):
-                    extra.append((p, target))
-                    target = base + n + len(extra) - 1
-                self.piece.append(ids[0])
-                self.next.append(target)
-                self.share.append(share)
-        for p, target in extra:
-            self.first.append(len(self.piece))
-            self.degree.append(1)
-            self.piece.append(p)
-            self.next.append(target)
-            self.share.append(0.0)
-        self.root[chunk] = base
-        self.chars += n
-        return base
-
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        return tuple(np.array(x) for x in (self.first, self.degree, self.piece, self.next, self.share))
-
-
-def _gumbel(keys: np.ndarray, sample: int, step: np.ndarray, child: int) -> np.ndarray:
-    h = tx.mix(keys ^ tx.mix(step.astype(np.uint64) * np.uint64(1 << 20) + np.uint64((sample << 12) + child + 1)))
-    return -np.log(-np.log((h >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54))
-
-
-def search(roots: list[np.ndarray], graph: tuple[np.ndarray, ...], keys: np.ndarray, k: int) -> tuple[list[np.ndarray], ...]:
-    """Samples of texts given as the roots of their chunks: (paths, lengths, phi, perturbed) of each
-    sample as arrays over the texts, and the best perturbed score that was left out."""
-    first, degree, piece, following, share = graph
-    n = len(roots)
-    per = np.array([len(r) for r in roots])
-    flat = np.concatenate(roots) if n else np.zeros(0, dtype=np.int64)
-    end = np.cumsum(per)
-    pool = {name: np.zeros((n, k), dtype=kind) for name, kind in (("phi", float), ("at", np.int64), ("node", np.int64), ("step", np.int64), ("piece", np.int32), ("from", np.int64))}
-    score = np.full((n, k), -np.inf)
-    paths, lengths, phis, perturbed = [], [], [], []
+    return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+
+
+@dataclass
+class Graph:
+    """Lattices of chunks as arrays over nodes (first edge, number of edges) and over edges.
+
+    A chunk's root is the place of its first character among all chunks' characters."""
+
+    first: np.ndarray
+    degree: np.ndarray
+    piece: np.ndarray
+    next: np.ndarray  # -1 at a chunk's end
+    source: np.ndarray
+    share: np.ndarray  # log-probability among a node's edges
+    upto: np.ndarray  # probability of the node's edges so far, this one included; above 1 for the last
+
+
+def lattices(v: Pieces, log_p: np.ndarray, lens: np.ndarray, chars: np.ndarray) -> Graph:
+    """The lattices of chunks of some lengths, whose characters follow one another."""
+    n, ends = len(chars), np.cumsum(lens)
+    end = np.repeat(ends, lens)
+    at, state, steps = np.arange(n), np.zeros(n, dtype=np.int64), []
+    alone = np.zeros(n, dtype=bool)  # characters that are a piece
+    length = 0
+    while len(at):  # all pieces from all places, a character more each time
+        state = v.trie.child(state, chars[at + length])
+        length += 1
+        at, state = at[state >= 0], state[state >= 0]
+        p = v.piece_of[state]
+        hit = np.flatnonzero(p >= 0)
+        steps.append((at[hit], p[hit], length))
+        if length == 1:
+            alone[at[hit]] = True
+        more = at + length < end[at]
+        at, state = at[more], state[more]
+    degree = np.bincount(np.concatenate([x[0] for x in steps]), minlength=n) + ~alone
+    first = np.cumsum(degree) - degree
+    total_edges = int(degree.sum())
+    piece, target, weight = np.zeros(total_edges, dtype=np.int32), np.zeros(total_edges, dtype=np.int32), np.zeros(total_edges)
+    used = np.zeros(n, dtype=np.int64)
+    for where, p, length in reversed(steps):
+        slot = first[where] + used[where]
+        used[where] += 1
+        piece[slot], weight[slot], target[slot] = p, log_p[p], where + length
+    missing = np.flatnonzero(~alone)
+    chain_first, chain_piece, chain_next = [], [], []
+    for c in np.unique(chars[missing]).tolist():  # such a character is the chain of its bytes
+        where = missing[chars[missing] == c]
+        ids = [v.byte[b] for b in chr(c).encode("utf-8", "surrogatepass")]
+        slot = first[where] + used[where]
+        piece[slot], weight[slot], target[slot] = ids[0], log_p[ids].sum(), where + 1
+        for k, i in enumerate(ids[1:]):
+            chain_first.append(slot if k == 0 else np.full(len(slot), -1))
+            chain_piece.append(np.full(len(slot), i))
+            chain_next.append(np.full(len(slot), len(ids) - 2 - k))
+    total, p = np.zeros(n + 1), np.zeros(total_edges)
+    share = np.zeros(total_edges)
+    order = np.argsort(-lens, kind="stable")
+    by_length, longer = ends[order], np.searchsorted(-lens[order], -np.arange(1, int(lens.max(initial=0)) + 1), side="right")
+    for back, m in enumerate(longer.tolist(), 1):  # the places with `back` characters left
+        node = by_length[:m] - back
+        d = degree[node]
+        e = _spans(first[node], d)
+        begin = np.cumsum(d) - d
+        t = target[e]
+        score = weight[e] + np.where(t < end[node].repeat(d), total[t], 0.0)
+        top = np.maximum.reduceat(score, begin)
+        x = np.exp(score - top.repeat(d))
+        whole = np.add.reduceat(x, begin)
+        total[node] = top + np.log(whole)
+        p[e], share[e] = x / whole.repeat(d), score - total[node].repeat(d)
+    source = np.repeat(np.arange(n, dtype=np.int32), degree)
+    target[target == end[source]] = -1
+    upto = p
+    for k in range(1, int(degree.max(initial=0))):
+        e = first[degree > k] + k
+        upto[e] += upto[e - 1]
+    upto[first + degree - 1] = 2.0
+    if chain_first:
+        # the chain's nodes stand behind the others, in the order of the characters' bytes; a node's edge is its own
+        base, m = n, total_edges
+        more_next = []
+        for slot, left in zip(chain_first, chain_next, strict=True):
+            ids = base + np.arange(len(left))
+            if (slot >= 0).all():
+                goal = target[slot]
+                target[slot] = ids
+            more_next.append(np.where(left > 0, ids + len(left), goal))
+            base += len(left)
+        extra = base - n
+        first, degree = np.concatenate([first, m + np.arange(extra)]), np.concatenate([degree, np.ones(extra, dtype=degree.dtype)])
+        piece, target = np.concatenate([piece, *chain_piece]), np.concatenate([target, *more_next])
+        source = np.concatenate([source, n + np.arange(extra)])
+        share, upto = np.concatenate([share, np.zeros(extra)]), np.concatenate([upto, np.full(extra, 2.0)])
+    return Graph(first, degree, piece.astype(np.int32), target, source, share, upto)
+
+
+_DEPTH, _SAMPLE, _ALL = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, (1 << 64) - 1
+_MOST = 38.0  # no exponential variate of a 53-bit number is below e**-38
+
+
+def _uniform(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+
+
+def _walk(g: Graph, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A random completion of the chunk from each node: edges one after the other, and their numbers."""
+    lens = np.zeros(len(node), dtype=np.int64)
+    act, v, picks = np.arange(len(node)), node, []
+    while len(act):
+        e = g.first[v]
+        many = np.flatnonzero(g.degree[v] > 1)
+        if len(many):
+            u = _uniform(tx.mix(seed[act[many]] + np.uint64(_DEPTH * (len(picks) + 1) & _ALL)))
+            at, todo = e[many], np.arange(len(many))
+            while len(todo):
+                todo = todo[u[todo] >= g.upto[at[todo]]]
+                at[todo] += 1
+            e[many] = at
+        picks.append((act, e))
+        lens[act] += 1
+        v = g.next[e]
+        more = v >= 0
+        act, v = act[more], v[more]
+    out, begin = np.empty(int(lens.sum()), dtype=np.int32), np.cumsum(lens) - lens
+    for depth, (act, e) in enumerate(picks):
+        out[begin[act] + depth] = e
+    return out, lens
+
+
+def _spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each span, one after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(begin - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Open:
+    """The k best open branches of each text: where they leave which sample's path, and by which edge."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.score = np.full((n, k), -np.inf)
+        self.phi = np.zeros((n, k))
+        self.at = {name: np.zeros((n, k), dtype=np.int64) for name in ("step", "chunk", "edge", "of")}
+
+    def offer(self, text: np.ndarray, score: np.ndarray, phi: np.ndarray, **at: np.ndarray) -> None:
+        k = self.score.shape[1]
+        order = np.lexsort((-score, text))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = text[order[1:]] != text[order[:-1]]
+        rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        for r in range(min(k, int(rank.max(initial=-1)) + 1)):
+            x = order[rank == r]
+            low = self.score[text[x]].argmin(1)
+            better = score[x] > self.score[text[x], low]
+            x, low = x[better], low[better]
+            self.score[text[x], low], self.phi[text[x], low] = score[x], phi[x]
+            for name, values in at.items():
+                self.at[name][text[x], low] = values[x] if isinstance(values, np.ndarray) else values
+
+
+def _expand(g: Graph, path: np.ndarray, begin: np.ndarray, end: np.ndarray, perturbed: np.ndarray, keys: np.ndarray, sample: int, texts: np.ndarray, step: np.ndarray, phi: np.ndarray, chunk: np.ndarray, queue: _Open) -> None:
+    """Offers the branches that leave the paths of some texts from a step on.
+
+    A branch's score is a Gumbel variate around its log-probability, cut at its path's own score. It
+    exceeds that log-probability by no more than _MOST, so a path is left where none can enter the queue."""
+    width = 16
+    while len(texts):
+        width = max(16, min(width, (1 << 19) // len(texts)))
+        least = queue.score.min(1)
+        idx = begin[texts][:, None] + step[:, None] + np.arange(width)
+        ok = idx < end[texts][:, None]
+        e = path[np.minimum(idx, len(path) - 1)]
+        over = ok & (g.next[e] < 0)
+        after = np.cumsum(np.concatenate([phi[:, None], np.where(ok, g.share[e], 0.0)], axis=1), axis=1)
+        done = np.cumsum(over, axis=1)
+        v = g.source[e]
+        row, col = np.nonzero(ok & (g.degree[v] > 1))
+        node, taken = v[row, col], e[row, col]
+        count = g.degree[node].astype(np.int64)
+        which = np.repeat(np.arange(len(row)), count)
+        slot = _spans(np.zeros(len(count), dtype=np.int64), count)
+        edge = g.first[node][which] + slot
+        text = texts[row[which]]
+        f = after[row, col][which] + g.share[edge]
+        keep = np.flatnonzero((edge != taken[which]) & (f + _MOST > least[text]))
+        which, slot, edge, text, f = which[keep], slot[keep], edge[keep], text[keep], f[keep]
+        place = step[row[which]] + col[which]
+        noise = tx.mix(keys[text] ^ tx.mix((place.astype(np.uint64) << np.uint64(20)) + np.uint64((sample + 1) << 12) + slot.astype(np.uint64)))
+        score = f - np.log(np.exp(f - perturbed[text]) - np.log(_uniform(noise)))
+        keep = np.flatnonzero(score > least[text])
+        if len(keep):
+            which = which[keep]
+            queue.offer(text[keep], score[keep], f[keep], step=place[keep], chunk=chunk[row[which]] + (done - over)[row[which], col[which]], edge=edge[keep].astype(np.int64), of=sample)
+        step, phi, chunk = step + width, after[:, -1], chunk + done[:, -1]
+        on = np.flatnonzero((begin[texts] + step < end[texts]) & (phi + _MOST > queue.score[texts].min(1)))
+        texts, step, phi, chunk, width = texts[on], step[on], phi[on], chunk[on], 2 * width
+
+
+@dataclass
+class Sample:
+    """The nth segmentation of some texts: its pieces, one text after the other."""
+
+    texts: np.ndarray
+    pieces: np.ndarray
+    at: np.ndarray
+    log_prob: np.ndarray
+    perturbed: np.ndarray
+
+
+def search(g: Graph, roots: np.ndarray, per: np.ndarray, keys: np.ndarray, k: int) -> tuple[list[Sample], np.ndarray]:
+    """Samples of texts given as the roots of their chunks and their numbers, and the best perturbed
+    score of each text that was left out.
+
+    A sample takes its source's path up to the branch, then the branch, then a random completion."""
+    n = len(per)
+    begin_chunk = np.cumsum(per) - per
+    of = np.repeat(np.arange(n), per)
+    place = tx.mix(keys[of] ^ tx.mix((np.arange(len(roots)) - begin_chunk[of] + 1).astype(np.uint64)))
+    queue = _Open(n, k)
+    out: list[Sample] = []
+    paths: list[tuple[np.ndarray, np.ndarray]] = []
     for s in range(k):
-        path = np.zeros((n, 64), dtype=np.int32)
-        step, phi, g = np.zeros(n, dtype=np.int64), np.zeros(n), np.full(n, -np.inf)
-        at, node = end - per, np.zeros(n, dtype=np.int64)
+        seed = np.uint64(_SAMPLE * (s + 1) & _ALL)
+        parts = [_walk(g, roots[i : i + _WALK], tx.mix(place[i : i + _WALK] ^ seed)) for i in range(0, len(roots), _WALK)] or [(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))]
+        fresh = np.concatenate([p[0] for p in parts])
+        fresh_at = np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
         if s == 0:
-            g = _gumbel(keys, k + 1, step, 0)
-            live = per > 0
-            node[live] = flat[at[live]]
+            texts, path, at = np.arange(n), fresh, fresh_at[np.append(begin_chunk, len(roots))]
+            perturbed = -np.log(-np.log(_uniform(tx.mix(keys ^ np.uint64(0xA0761D6478BD642F)))))
+            from_step, phi, chunk = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n, dtype=np.int64)
         else:
-            best = score.argmax(1)
-            rows = np.arange(n)
-            g = score[rows, best]
-            live = g > -np.inf
+            best = queue.score.argmax(1)
+            perturbed = queue.score[np.arange(n), best]
+            texts = np.flatnonzero(perturbed > -np.inf)
+            best = best[texts]
+            step, chunk, edge, source = (queue.at[name][texts, best] for name in ("step", "chunk", "edge", "of"))
+            phi = queue.phi[texts, best]
+            queue.score[texts, best] = -np.inf
+            # the rest of the branch's chunk, and of the text
+            going = np.flatnonzero(g.next[edge] >= 0)
+            inner, inner_n = _walk(g, g.next[edge[going]], tx.mix(keys[texts[going]] ^ tx.mix(step[going].astype(np.uint64) + (seed >> np.uint64(1)))))
+            mid = np.zeros(len(texts), dtype=np.int64)
+            mid[going] = inner_n
+            tail = fresh_at[begin_chunk[texts] + chunk + 1]
+            tail_n = fresh_at[begin_chunk[texts] + per[texts]] - tail
+            length = np.zeros(n, dtype=np.int64)
+            length[texts] = step + 1 + mid + tail_n
+            at = np.concatenate([[0], np.cumsum(length)])
+            to = at[texts]
+            path = np.empty(at[-1], dtype=np.int32)
             for src in range(s):
-                mine = np.flatnonzero(live & (pool["from"][rows, best] == src))
-                if len(mine):
-                    m = int(pool["step"][mine, best[mine]].max())
-                    if m > path.shape[1]:
-                        path = np.pad(path, ((0, 0), (0, m - path.shape[1] + 64)))
-                    path[mine, :m] = paths[src][mine, :m]
-            x = np.flatnonzero(live)
-            b = best[x]
-            step[x], phi[x], at[x], node[x] = pool["step"][x, b], pool["phi"][x, b], pool["at"][x, b], pool["node"][x, b]
-            path[x, step[x] - 1] = pool["piece"][x, b]
-            score[x, b] = -np.inf
-            live = live & (node >= 0)
-        act = np.flatnonzero(live)
-        while len(act):
-            top = int(step[act].max())
-            if top >= path.shape[1]:
-                path = np.pad(path, ((0, 0), (0, path.shape[1])))
-            v = node[act]
-            d = degree[v]
-            width = int(d.max())
-            e = first[v]
-            pick = e
-            if width > 1:
-                gs = np.full((len(act), width), -np.inf)
-                f = np.full((len(act), width), -np.inf)
-                for c in range(width):
-                    has = np.flatnonzero(d > c)
-                    f[has, c] = phi[act[has]] + share[e[has] + c]
-                    gs[has, c] = f[has, c] + _gumbel(keys[act[has]], s, step[act[has]], c)
-                z = gs.max(1)
-                won = gs.argmax(1)
-                parent = g[act]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    w = parent[:, None] - gs + np.log1p(-np.exp(gs - z[:, None]))
-                    cond = parent[:, None] - np.maximum(w, 0) - np.log1p(np.exp(-np.abs(w)))
-                cond[~np.isfinite(gs)] = -np.inf
-                row = np.arange(len(act))
-                cond[row, won] = -np.inf  # the winner goes on with its parent's score
-                pick = e + won
-                for c in range(width):
-                    low = score[act].argmin(1)
-                    into = np.flatnonzero(cond[:, c] > score[act, low])
-                    if not len(into):
-                        continue
-                    r, slot, edge = act[into], low[into], e[into] + c
-                    nxt, place = following[edge], at[r]
-                    over = nxt < 0
-                    place = place + over
-                    more = over & (place < end[r])
-                    nxt = np.where(more, flat[np.minimum(place, len(flat) - 1)], nxt)
-                    score[r, slot] = cond[into, c]
-                    pool["phi"][r, slot], pool["at"][r, slot], pool["node"][r, slot] = f[into, c], place, nxt
-                    pool["step"][r, slot], pool["piece"][r, slot], pool["from"][r, slot] = step[r] + 1, piece[edge], s
-            path[act, step[act]] = piece[pick]
-            step[act] += 1
-            phi[act] += share[pick]
-            nxt = following[pick]
-            over = nxt < 0
-            at[act] += over
-            more = over & (at[act] < end[act])
-            node[act] = np.where(more, flat[np.minimum(at[act], len(flat) - 1)], nxt)
-            act = act[node[act] >= 0]
-        paths.append(path)
-        lengths.append(step)
-        phis.append(phi)
-        perturbed.append(g)
-    return paths, lengths, phis, perturbed, score.max(1)
-
-
-def sampled(texts: list[str], keys: np.ndarray, lattices: _Lattices, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
-    """(text, sample, ids, log_prob, perturbed, inclusion), the texts of similar length together."""
-    if lattices.chars > _CACHE_CHARS:
-        lattices.clear()
+                x = np.flatnonzero(source == src)
+                path[_spans(to[x], step[x])] = paths[src][0][_spans(paths[src][1][texts[x]], step[x])]
+            path[to + step] = edge
+            path[_spans(to + step + 1, mid)] = inner
+            path[_spans(to + step + 1 + mid, tail_n)] = fresh[_spans(tail, tail_n)]
+            from_step, chunk = step + 1, chunk + (g.next[edge] < 0)
+        paths.append((path, at))
+        full = at[:-1][texts] < at[1:][texts]
+        log_prob = np.zeros(len(texts))
+        if full.any():
+            log_prob[full] = np.add.reduceat(g.share[path], at[:-1][texts[full]])
+        out.append(Sample(texts, g.piece[path], at, log_prob, perturbed[texts]))
+        some = np.flatnonzero(full)
+        _expand(g, path, at[:-1], at[1:], perturbed, keys, s, texts[some], from_step[some], phi[some], chunk[some], queue)
+    return out, queue.score.max(1)
+
+
+def sampled(texts: list[str], keys: np.ndarray, v: Pieces, log_p: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each sample: its texts, its number, the pieces and where each text's begin, log_prob, perturbed and inclusion."""
     split = [chunks(t) for t in texts]
-    root = lattices.root
-    for c in {c for cs in split for c in cs}.difference(root):
-        lattices.add(c)
-    graph = lattices.arrays()
-    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-    at = 0
-    while at < len(order):
-        size = max(1, _CELLS // (k * (len(texts[order[at]]) + 16)))
-        while size > 1 and size * k * (len(texts[order[min(at + size, len(order)) - 1]]) + 16) > 2 * _CELLS:
-            size //= 2
-        some = order[at : at + size]
-        at += size
-        roots = [np.array([root[c] for c in split[i]], dtype=np.int64) for i in some]
-        paths, lengths, phi, g, left = search(roots, graph, keys[some], k)
-        for r, i in enumerate(some):
-            found = [s for s in range(k) if s == 0 or g[s][r] > -np.inf]
-            for s in found:
-                inclusion = -math.expm1(-math.exp(min(phi[s][r] - left[r], 50.0))) if left[r] > -np.inf else 1.0
-                yield i, s, paths[s][r, : lengths[s][r]], float(phi[s][r]), float(g[s][r]), inclusion
+    flat = list(chain.from_iterable(split))
+    known = dict(zip(dict.fromkeys(flat), count()))  # noqa: B905
+    lens = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
+    graph = lattices(v, log_p, lens, np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64))
+    roots = (np.cumsum(lens) - lens)[np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))]
+    found, left = search(graph, roots, np.fromiter(map(len, split), dtype=np.int64, count=len(split)), keys, k)
+    for s, x in enumerate(found):
+        with np.errstate(over="ignore"):
+            inclusion = np.where(left[x.texts] > -np.inf, -np.expm1(-np.exp(np.minimum(x.log_prob - left[x.texts], 50.0))), 1.0)
+        yield x.texts, s, x.pieces, np.append(x.at[:-1][x.texts], x.at[-1]), x.log_prob, x.perturbed, inclusion
 
 
 def _counting(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(path)
         n = np.zeros(v.size, dtype=np.int64)
-        for b in tx.slices(batches, limit=1 << 20):
-            for ids in v.model.encode([t or "" for t in b["text"].to_pylist()], num_threads=1):
-                n += np.bincount(ids, minlength=v.size) if ids else 0
+        known: dict[str, list[int]] = {}
+        for b in tx.slices(batches, limit=_SLICE):
+            held = Counter(chain.from_iterable(chunks(t) for t in b["text"].to_pylist()))
+            if len(known) > _CACHE_CHUNKS:
+                known.clear()
+            new = [c for c in held if c not in known]
+            # behind a line end a chunk has no mark put before it; the first two ids are that of the mark and the line end
+            known.update(zip(new, (ids[2:] for ids in v.model.encode(["\n" + c for c in new], num_threads=1)), strict=True))
+            ids = [known[c] for c in held]
+            lens = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(lens.sum()))
+            times = np.repeat(np.fromiter(held.values(), dtype=np.int64, count=len(held)), lens)
+            np.add.at(n, flat, times)
         found = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n[found])], ["piece", "n"])
 
@@ -277,38 +447,62 @@ def _counting(path: str):
 def piece_probabilities(texts: DataFrame, path: str) -> list[float]:
     """Log-probabilities of all pieces, from their counts in all texts; as many numbers as pieces."""
     n = np.ones(pieces(path).size)
-    for r in texts.select("text").mapInArrow(_counting(path), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+    counted = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counting(path), "piece int, n long")
+    for r in counted.groupBy("piece").agg(F.sum("n").alias("n")).collect():
         n[r["piece"]] += r["n"]
     return np.log(n / n.sum()).tolist()
 
 
 def sample_segmentations(rows: DataFrame, keys: list[str], path: str, k: int = SAMPLES) -> DataFrame:
-    """keys, sample, ids, log_prob, perturbed and inclusion of up to k segmentations of each text."""
+    """keys, sample, ids, log_prob, perturbed and inclusion of up to k segmentations of each text.
+
+    ids are little-endian unsigned 32-bit numbers, one after the other."""
     ship(rows.sparkSession)
     log_p = piece_probabilities(rows, path)
     inner = rows.select(F.struct(*keys).alias("key"), F.xxhash64(*keys).alias("seed"), F.coalesce("text", F.lit("")).alias("text"))
-    kinds = [pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64()]
     names = ["sample", "ids", "log_prob", "perturbed", "inclusion"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = _Lattices(pieces(path), log_p)
-        for b in tx.slices(batches, limit=2 << 20):
-            found = list(sampled(b["text"].to_pylist(), tx.mix(b["seed"].to_numpy().view(np.uint64)), lattices, k))
-            which = pa.array([f[0] for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([b["key"].take(which), *(pa.array([f[i + 1] for f in found], t) for i, t in enumerate(kinds))], ["key", *names])
-
-    schema = inner.select("key").schema.add("sample", "integer").add("ids", T.ArrayType(T.IntegerType())).add("log_prob", "double").add("perturbed", "double").add("inclusion", "double")
+        v, p = pieces(path), np.array(log_p)
+        for b in tx.slices(batches, limit=_SLICE):
+            seeds = tx.mix(b["seed"].to_numpy().view(np.uint64))
+            for texts, s, ids, at, log_prob, perturbed, inclusion in sampled(b["text"].to_pylist(), seeds, v, p, k):
+                packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * at).astype("<i4")), pa.py_buffer(ids.astype("<u4"))])
+                which = b["key"].take(pa.array(texts))
+                yield pa.RecordBatch.from_arrays([which, pa.array(np.full(len(texts), s, dtype=np.int32)), packed, *(pa.array(x) for x in (log_prob, perturbed, inclusion))], ["key", *names])
+
+    schema = inner.select("key").schema.add("sample", "integer").add("ids", "binary").add("log_prob", "double").add("perturbed", "double").add("inclusion", "double")
     return inner.mapInArrow(run, schema).select(*(F.col("key").getField(c).alias(c) for c in keys), *names)
 
 
+def texts_of(path: str, ids: pa.BinaryArray) -> pa.Array:
+    """The texts that packed ids stand for: the pieces' bytes without the first mark.
+
+    Ids that don't begin with a mark, hold special ones or make no UTF-8 are left to the model."""
+    v = pieces(path)
+    data, at = tx.raw(ids.fill_null(b""))
+    flat, at = np.frombuffer(data.tobytes(), "<u4"), at // 4
+    n = v.plain_n[flat]
+    raw = v.plain[_spans(v.plain_at[flat], n)].tobytes()
+    ends = np.concatenate([[0], np.cumsum(n)])[at]
+    full = at[:-1] < at[1:]
+    odd = tx.per_text(v.special[flat], at) > 0
+    odd[full] |= ~v.marked[flat[at[:-1][full]]]
+    plain = [raw[a:z] for a, z in zip((ends[:-1] + full).tolist(), ends[1:].tolist(), strict=True)]
+    if not odd.any():
+        with contextlib.suppress(pa.ArrowInvalid):
+            return pa.array(plain, pa.binary()).cast(pa.string())
+    return pa.array([v.model.decode(flat[a:z].tolist()) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+
+
 def decoded(found: DataFrame, path: str) -> DataFrame:
-    """found and the text that its ids stand for."""
+    """found and the text that its ids stand for; null ids stand for the empty text."""
     ship(found.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = pieces(path)
-        for b in batches:
-            ids = b.column(b.schema.get_field_index("ids")).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(v.model.decode(ids) if ids else [], pa.string())], [*b.schema.names, "decoded"])
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                b = batch.slice(i, 256)
+                yield pa.RecordBatch.from_arrays([*b.columns, texts_of(path, b.column(b.schema.get_field_index("ids")))], [*b.schema.names, "decoded"])
 
     return found.mapInArrow(run, T.StructType([*found.schema.fields]).add("decoded", "string"))

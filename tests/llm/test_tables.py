@@ -129,32 +129,46 @@ def test_top_k_empty(spark):
 TURNS = [(1, 0, "Hello  world, this is it"), (1, 1, None), (1, 2, ""), (2, 0, "a\nb\t Ⅷ 😀 x"), (None, 0, "the"), (3, None, " lead and trail "), (4, 0, "hello " * 400), (1, 0, "Hello  world, this is it")]
 
 
+def unpacked(ids):
+    return tuple(np.frombuffer(bytes(ids), "<u4").tolist())
+
+
 def test_segmentations_round_trip_and_are_distinct(spark):
     P = pytest.importorskip("public_tokenizers")
     path = P.path("piece_bpe_32k.model")
     df = spark.createDataFrame([(*t, "z", "y") for t in TURNS], "conv_id long, turn long, text string, key string, ids string")
     found = rows_of(segment.decoded(segment.sample_segmentations(df, ["conv_id", "turn"], path), path))
     again = rows_of(segment.sample_segmentations(df.repartition(3), ["conv_id", "turn"], path))
-    key = lambda r: (str(r["conv_id"]), str(r["turn"]), r["sample"], tuple(r["ids"]))
+    key = lambda r: (str(r["conv_id"]), str(r["turn"]), r["sample"], unpacked(r["ids"]), r["log_prob"], r["perturbed"], r["inclusion"])
     assert sorted(map(key, found)) == sorted(map(key, again))
     by = {}
     for r in found:
         by.setdefault((r["conv_id"], r["turn"]), []).append(r)
     for c, t, text in set(TURNS):
         rs = by[c, t]
-        assert all(r["decoded"] == (text or "") for r in rs)
+        assert all(r["decoded"] == (text or "") == segment.decode(path, unpacked(r["ids"])) for r in rs)
         if not text:
-            assert [r["ids"] for r in rs] == [[]] and rs[0]["inclusion"] == 1
+            assert [r["ids"] for r in rs] == [b""] and rs[0]["inclusion"] == 1
         else:
-            once = {tuple(r["ids"]) for r in rs}
+            once = {unpacked(r["ids"]) for r in rs}
             assert len(once) == len({r["sample"] for r in rs}) and all(0 <= r["inclusion"] <= 1 and r["log_prob"] <= 1e-9 for r in rs)
             assert [r["perturbed"] for r in sorted(rs, key=lambda r: r["sample"])] == sorted((r["perturbed"] for r in rs), reverse=True)
     assert segment.sample_segmentations(df.limit(0), ["conv_id", "turn"], path).count() == 0
 
 
-def test_segmentation_queries_read_documents_and_turns_and_decode(spark, tmp_path):
-    import hashlib
+def test_piece_counts_are_those_of_the_plain_encoding(spark):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("piece_bpe_32k.model")
+    v = segment.pieces(path)
+    want = np.ones(v.size)
+    for _, _, t in TURNS:
+        for i in v.model.encode(t or ""):
+            want[i] += 1
+    df = spark.createDataFrame(TURNS, "conv_id long, turn long, text string")
+    assert np.allclose(segment.piece_probabilities(df, path), np.log(want / want.sum()))
 
+
+def test_segmentation_queries_read_documents_and_turns_and_decode(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     from lattica.llm import queries
 
@@ -170,17 +184,77 @@ def test_segmentation_queries_read_documents_and_turns_and_decode(spark, tmp_pat
     assert all(r["decoded_sha256"] == sha(texts[r["conv_id"], r["turn"]]) for r in turns)
 
 
+def segmentations(v, log_p, text):
+    """All segmentations of a text and their probabilities, by plain enumeration."""
+    whole = segment.MARK + text.replace(" ", segment.MARK)
+
+    def rest(i):
+        if i == len(whole):
+            yield (), 0.0
+        ways = [((v.place[whole[i:j]],), j) for j in range(i + 1, len(whole) + 1) if whole[i:j] in v.place]
+        if i < len(whole) and whole[i] not in v.place:
+            ways.append((tuple(v.byte[b] for b in whole[i].encode()), i + 1))
+        for ids, j in ways:
+            for more, p in rest(j):
+                yield ids + more, p + sum(log_p[x] for x in ids)
+
+    found = dict(rest(0))
+    total = math.log(math.fsum(map(math.exp, found.values())))
+    return {ids: p - total for ids, p in found.items()}
+
+
+def drawn(texts, keys, v, log_p, k):
+    for which, s, ids, at, log_prob, perturbed, inclusion in segment.sampled(texts, keys, v, log_p, k):
+        for r, t in enumerate(which.tolist()):
+            yield t, s, tuple(ids[at[r] : at[r + 1]].tolist()), log_prob[r], perturbed[r], inclusion[r]
+
+
+def test_segmentations_match_plain_enumeration():
+    P = pytest.importorskip("public_tokenizers")
+    v = segment.pieces(P.path("piece_bpe_32k.model"))
+    log_p = np.random.default_rng(4).uniform(-9, -1, v.size)
+    texts = ["the", "ab cd", "\u2167x", "a\nb", "x", " a", "\U0001f600 a"]
+    for k in (1, 3, 400):
+        found: dict = {}
+        for t, s, ids, p, g, q in drawn(texts, segment.tx.mix(np.arange(len(texts), dtype=np.uint64)), v, log_p, k):
+            found.setdefault(t, []).append((s, ids, p, g, q))
+        for t, text in enumerate(texts):
+            want, rows = segmentations(v, log_p, text), found[t]
+            assert len({r[1] for r in rows}) == len(rows) == min(k, len(want)) and [r[0] for r in rows] == list(range(len(rows)))
+            assert all(math.isclose(want[r[1]], r[2], abs_tol=1e-9) for r in rows)
+            scores = [r[3] for r in rows]
+            assert scores == sorted(scores, reverse=True)
+            if k >= len(want):
+                assert all(r[4] == 1 for r in rows)
+            else:  # the score left out follows from any inclusion, and is the same for all
+                left = {round(r[2] - math.log(-math.log1p(-r[4])), 5) for r in rows if 1e-9 < r[4] < 1 - 1e-9}
+                assert len(left) <= 1 and all(x <= scores[-1] + 1e-5 for x in left)
+
+
 def test_segmentations_follow_their_distribution():
     P = pytest.importorskip("public_tokenizers")
     v = segment.pieces(P.path("piece_bpe_32k.model"))
-    lattices = segment._Lattices(v, [math.log(0.2)] * v.size)
-    every = {tuple(ids.tolist()): math.exp(phi) for _, _, ids, phi, _, _ in segment.sampled(["the"], np.array([1], dtype=np.uint64), lattices, 30)}
-    assert math.isclose(sum(every.values()), 1) and len(every) == 8
+    log_p = np.full(v.size, math.log(0.2))
+    every = {ids: math.exp(p) for ids, p in segmentations(v, log_p, "the").items()}
     n = 20_000
-    first, weight = Counter(), Counter()
-    keys = segment.tx.mix(np.arange(n, dtype=np.uint64))
-    for _, s, ids, _, _, q in segment.sampled(["the"] * n, keys, lattices, 2):
-        first[tuple(ids.tolist())] += s == 0
-        weight[tuple(ids.tolist())] += 1 / q
-    for ids, p in every.items():
-        assert abs(first[ids] / n - p) < 5 * math.sqrt(p / n) and (p < 0.1 or abs(weight[ids] / n - 1) < 0.05)
+    order: dict = {}
+    weight = Counter()
+    for t, s, ids, _, _, q in drawn(["the"] * n, segment.tx.mix(np.arange(n, dtype=np.uint64)), v, log_p, 2):
+        order.setdefault(t, []).append(ids)
+        weight[ids] += 1 / q
+    pairs = Counter(map(tuple, order.values()))
+    for a, p in every.items():
+        assert p < 0.1 or abs(weight[a] / n - 1) < 0.05
+        for b, q in every.items():
+            if a != b:
+                w = p * q / (1 - p)  # without replacement
+                assert abs(pairs[a, b] / n - w) < 5 * math.sqrt(w / n) + 1e-4
+
+
+def test_long_texts_are_segmented_whole():
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("piece_bpe_32k.model")
+    v = segment.pieces(path)
+    texts = ["ab" * 700, "one two " * 20_000, "x"]
+    rows = list(drawn(texts, np.arange(3, dtype=np.uint64), v, np.full(v.size, -8.0), 3))
+    assert all(segment.decode(path, ids) == texts[t] for t, _, ids, *_ in rows) and len(rows) == 8
