@@ -91,22 +91,6 @@ def _large(x: bytes) -> np.ndarray:
     return out
 
 
-def _packed(h: np.ndarray) -> bytes:
-    """Ascending hashes as differences of 6 bytes where these suffice."""
-    d = np.diff(h, prepend=h[:1] * np.uint64(0))
-    if len(d) > 1 and int(d[1:].max()) < 1 << 48:
-        return b"6" + int(h[0]).to_bytes(8, "little") + np.ascontiguousarray(d[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-    return b"8" + h.astype("<u8").tobytes()
-
-
-def _unpacked(x: bytes) -> np.ndarray:
-    if x[:1] == b"8":
-        return np.frombuffer(x, "<u8", offset=1)
-    d = np.zeros(((len(x) - 9) // 6, 8), dtype=np.uint8)
-    d[:, :6] = np.frombuffer(x, np.uint8, offset=9).reshape(-1, 6)
-    return np.concatenate([np.frombuffer(x, "<u8", 1, 1), d.view("<u8").ravel()]).cumsum(dtype=np.uint64)
-
-
 def _ipc(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -126,7 +110,7 @@ def _requests(parts: int):
             for p in range(parts):
                 i, j = cut[p], cut[p + 1]
                 if i < j:
-                    yield (p, _REQUEST, block, fold, gram, _packed(keys[i:j]), _small(rest[i:j]), _small(fold_n[i:j]))
+                    yield (p, _REQUEST, block, fold, gram, tx.packed(keys[i:j]), _small(rest[i:j]), _small(fold_n[i:j]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         task, n = TaskContext.get().partitionId() << 32, 0
@@ -162,7 +146,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if row[1] == _TEXTS:
                     yield row
                 else:
-                    asked[row[4]].append((row[2], row[3], _unpacked(row[5]), row[6], row[7]))
+                    asked[row[4]].append((row[2], row[3], tx.unpacked(row[5]), row[6], row[7]))
         for gram, requests in asked.items():
             if not requests:
                 continue

@@ -38,10 +38,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[s:e], the same in every process."""
+def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """64-bit hashes of data[s:e], the same in every process; those of two seeds are independent."""
     n = e - s
-    h = mix(n.astype(np.uint64) * _M1)
+    h = mix(n.astype(np.uint64) * _M1 ^ seed)
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     long = n > LONG_WORD
@@ -53,7 +53,7 @@ def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         at += 8
         todo = todo[n[todo] > at]
     for i in np.flatnonzero(long):
-        h[i] = int.from_bytes(hashlib.blake2b(data[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[s[i] : e[i]].tobytes(), digest_size=8, key=int(seed).to_bytes(8, "little")).digest(), "little")
     return h
 
 
@@ -141,12 +141,34 @@ def windows(h: np.ndarray, word_at: np.ndarray, n: int) -> tuple[np.ndarray, np.
     counts = np.diff(word_at)
     room_at = np.repeat(word_at[1:], counts) - np.arange(len(h))
     room = room_at >= n
+    w = run_hashes(h, n)
+    begin = np.flatnonzero(room[: len(w)])
+    return mix(w[begin]), begin
+
+
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """One number for each n neighbours of h, not yet mixed."""
     w = h[: len(h) - n + 1].copy()
     for k in range(1, n):
         w *= _M1
         w += h[k : len(h) - n + 1 + k]
-    begin = np.flatnonzero(room[: len(w)])
-    return mix(w[begin]), begin
+    return w
+
+
+def packed(h: np.ndarray) -> bytes:
+    """Ascending hashes as differences of 6 bytes where these suffice."""
+    d = np.diff(h, prepend=h[:1] * np.uint64(0))
+    if len(d) > 1 and int(d[1:].max()) < 1 << 48:
+        return b"6" + int(h[0]).to_bytes(8, "little") + np.ascontiguousarray(d[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return b"8" + h.astype("<u8").tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    if x[:1] == b"8":
+        return np.frombuffer(x, "<u8", offset=1)
+    d = np.zeros(((len(x) - 9) // 6, 8), dtype=np.uint8)
+    d[:, :6] = np.frombuffer(x, np.uint8, offset=9).reshape(-1, 6)
+    return np.concatenate([np.frombuffer(x, "<u8", 1, 1), d.view("<u8").ravel()]).cumsum(dtype=np.uint64)
 
 
 def per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from lattica.llm import jaccard, licenses, lm, packing, quality, substring
+from lattica.llm import text as tx
 
 from . import util
 
@@ -67,20 +68,66 @@ def test_quality_without_any_language_is_judged_by_all(spark):
     assert {x["doc_id"] for x in rows_of(quality.quality_rules(df)) if not x["kept"]} == {100}
 
 
+def spans_of(factors):
+    return {i for f in factors for i in range(f["start"], f["start"] + f["length"])}
+
+
 def test_substring_matches_brute_force(spark):
     want = util.substring(util.texts())
-    found = rows_of(substring.substring_dedup(util.docs(spark)).selectExpr("row.doc_id", "n_words", "n_removed", "kept_text", "spans"))
+    found = rows_of(substring.substring_dedup(util.docs(spark)).selectExpr("row.doc_id", "n_words", "n_removed", "kept_text", "factors"))
     assert len(found) == len(util.texts())
     wanted = Counter((i, *want[i, t]) for i, t in util.texts())
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], " ".join(util.words(r["kept_text"]))) for r in found) == wanted
-    assert all(sum(s["length"] for s in r["spans"]) == r["n_removed"] for r in found)
+    assert all(len(spans_of(r["factors"])) == r["n_removed"] for r in found)
+
+
+def test_substring_factors_match_their_sources(spark):
+    rows = [(i, t) for i, t in util.texts() if i not in (None, 1, 4)] + [(1, util.texts()[0][1]), (4, util.texts()[3][1])]
+    texts = {i: util.words(t) for i, t in rows}
+    found = {r["doc_id"]: r["factors"] for r in rows_of(substring.substring_dedup(util.docs(spark, rows)).selectExpr("row.doc_id", "factors"))}
+    for i, factors in found.items():
+        for f in factors:
+            s, n, j, a = f["start"], f["length"], f["source"], f["source_start"]
+            assert n >= 20 and (j, a) < (i, s) and texts[i][s : s + n] == texts[j][a : a + n]
+        assert [f["start"] for f in factors] == sorted(f["start"] for f in factors)
+    whole = found[2]
+    assert [(f["start"], f["length"], f["source"], f["source_start"]) for f in whole] == [(0, 200, 1, 0)]
+
 
+def test_substring_factors_are_greedy_and_checked_at_boundaries():
+    place, doc = np.array([3, 4, 5, 6, 40]), np.zeros(5, dtype=np.int64)
+    source, start = np.array([1, 1, 2, 2, 2]), np.array([7, 8, 0, 1, 35])
+    begin, length = substring.greedy_factors(place, doc, source, start, 20)
+    assert begin.tolist() == [0, 2, 4] and length.tolist() == [21, 21, 20]
 
-def test_substring_over_many_blocks(spark, monkeypatch):
+
+@pytest.mark.parametrize("block, bits, window", [(50, 64, 20), (50, 3, 20), (substring.BLOCK_WORDS, 1, 20), (200, 64, 3), (30, 2, 1)])
+def test_substring_in_small_blocks_and_with_weak_hashes(spark, block, bits, window):
     rows = util.texts(3)
-    whole = rows_of(substring.as_digest(substring.substring_dedup(util.docs(spark, rows))))
-    want = {(i, *(v[0], v[1], hashlib.sha256(v[2].encode()).hexdigest())) for (i, _), v in util.substring(rows).items()}
-    assert {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in whole} == want
+    found = rows_of(substring.substring_dedup(util.docs(spark, rows).coalesce(1), window, block, bits).selectExpr("row.doc_id", "n_words", "n_removed", "kept_text"))
+    brute = util.substring(rows, window)
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], " ".join(util.words(r["kept_text"]))) for r in found) == Counter((i, *brute[i, t]) for i, t in rows)
+
+
+def test_substring_of_texts_above_a_slice(spark):
+    r = np.random.default_rng(9)
+    long = " ".join(map(str, r.integers(0, 10**6, 300_000).tolist()))
+    assert len(long) > tx.SLICE_BYTES
+    w = long.split()
+    rows = [(1, " ".join(w[200_000:200_050])), (2, long), (3, " ".join(["x", *w[5:299_000]])), (4, " ".join(w[:30]) + " y")]
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in rows_of(substring.as_digest(substring.substring_dedup(util.docs(spark, rows))))}
+    assert found == {1: (50, 0), 2: (300_000, 50), 3: (298_996, 298_995), 4: (31, 30)}
+
+
+def test_substring_anchors_of_equal_windows_are_equal():
+    r = np.random.default_rng(1)
+    h = tx.mix(r.integers(0, 4, 3000).astype(np.uint64))
+    s, begin, anchor = substring.anchors(h, np.array([0, 1000, 1000, 3000]), 8)
+    known: dict = {}
+    for b, a in zip(begin.tolist(), anchor.tolist(), strict=True):
+        assert b <= a <= b + 4
+        assert known.setdefault(h[b : b + 8].tobytes(), (a - b, int(s[a]))) == (a - b, int(s[a]))
+    assert len(begin) == 993 + 1993
 
 
 def test_substring_stage_keeps_columns(spark):
@@ -204,7 +251,7 @@ def test_lm_weights_and_brute_force_score(spark):
 def test_lm_packs_hashes():
     for n in (1, 2, 50, 5000):
         h = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
-        assert (lm._unpacked(lm._packed(h)) == h).all()
+        assert (tx.unpacked(tx.packed(h)) == h).all()
     assert lm._large(lm._small(np.array([0, 255, 70000, 254, 1 << 40]))).tolist() == [0, 255, 70000, 254, 1 << 40] and lm._large(lm._small(np.array([], dtype=np.int64))).tolist() == []
 
 
