@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -63,11 +64,58 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read again.
 
-    The copy survives lost executors, unlike a cached or local checkpoint.
+    The copy survives lost executors, unlike a cached or local checkpoint. It is deleted by
+    ``dropped``, or else when the application ends.
     """
-    path = scratch(df.sparkSession, tag)
+    spark, path = df.sparkSession, scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, where = _store(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lattica_path = path
+    _open_scopes and _open_scopes[-1].append(out)
+    return out
+
+
+def _store(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes what ``written`` has written for frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_lattica_path", None)
+        if path is not None:
+            fs, where = _store(df.sparkSession, path)
+            fs.delete(where, True)
+
+
+_open_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scope():
+    """Deletes at its end what ``written`` has written inside."""
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        dropped(*_open_scopes.pop())
+
+
+def settled(make, tag: str) -> DataFrame:
+    """The DataFrame that make() returns, written; what was written on the way is deleted."""
+    with scope():
+        df = make()
+        _open_scopes.append([])  # the result outlives the scope
+        try:
+            out = written(df, tag)
+        finally:
+            _open_scopes.pop()
+    if _open_scopes:
+        _open_scopes[-1].append(out)
+    return out
 
 
 _UNKNOWN = 1 << 52  # plans without statistics count as 2**63 bytes, less in proportion to the columns taken
