@@ -1,16 +1,24 @@
 """Near-duplicate join on word shingles: MinHash LSH forest with exact verification.
 
-Texts with the same words are one class. Each class has a MinHash signature, read as TREES
-labels of DEPTH values; classes that share a label's first values lie below one node. How many
-values that is follows from the threshold and the target recall alone (`matched_depth`), so this
-is banding at a fixed depth: no prefix trie is built, and none is shortened by what was found.
-Pairs below a node whose signatures agree far less than the threshold asks
-are dropped, the others link into candidate groups; then shingle sets are compared exactly for
-all pairs of a candidate group, so a group's links are complete whatever tree found it.
-
-A large node or group is split into blocks by hash and compared block against block; a task
-counts links and emits at most one edge a member (a spanning forest), never all pairs. Copies
-are collapsed beforehand and re-joined by class. Class keys are 64-bit hashes of the words.
+Texts with the same words are one class. Each class has a MinHash signature, read as TREES labels
+of DEPTH values. A tree is a prefix trie of its labels: sorted, so the classes below a node are
+neighbours. The subtrees below the nodes of depth `shortest_prefix` are dealt out; there a pair at
+the threshold still meets in some tree with the target recall. In its subtree a class matches with
+its whole label first, and its prefix is shortened a value at a time, until what it has found there
+lets the target recall be reached at that depth: each pair found counts for as many as its
+estimated similarity says are missed (1 / s^depth), and the mean of their chances to be found in
+some tree has to be the target or more. A class that finds nothing is shortened to the end. So
+close groups are matched deep in the trie, single classes at its shortest prefix.
+
+Pairs whose signatures agree far less than the threshold asks are dropped, the others link into
+candidate groups; then shingle sets are compared exactly for all pairs of a candidate group, so a
+group's links are complete whatever tree found it.
+
+A large subtree or group is split into blocks, and block is compared against block; in a large
+group only blocks of sizes that the threshold allows meet. A task counts links and emits at most
+one edge a member (a spanning forest), never all pairs. Copies are collapsed beforehand and
+re-joined by class. Class keys are 64-bit hashes of the words: at 10^10 classes about three pairs
+would be expected to share one.
 
 Result, a row for each row of docs: doc_id; class_id, the smallest doc_id with the same words;
 group_id, the smallest doc_id reachable over links; n_links, the number of other documents whose
@@ -18,17 +26,19 @@ similarity is at least the threshold, copies included.
 
 Defined cases: a text of 1 to SHINGLE-1 words is one shingle; a null text or one without words
 is a class of its own without links; a null doc_id takes no part (null class, null group, no
-links); rows that repeat doc_id and text count as copies; an empty table gives an empty result;
-other columns are ignored, whatever their names.
+links); rows that repeat doc_id and text count as copies; rows that repeat a doc_id with other texts
+are judged each by its text; an empty table gives an empty result; other columns are ignored,
+whatever their names. A text longer than a slice is worked on alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import bloom
@@ -38,17 +48,23 @@ from lattica.session import fan_out, ship, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-TREES, DEPTH = 24, 7
+TREES, DEPTH = 20, 8
 RECALL = 0.999
-SLACK = 0.15  # signatures that agree by less than the threshold minus this (5 standard errors) are no candidates
+SLACK = 0.15  # signatures that agree by less than the threshold minus this (4.7 standard errors) are no candidates
 NODE_BLOCK, GROUP_BLOCK = 1024, 512
+_PAIRS = 100_000  # compared at a time
 _SEED = 20_011
 
 
-def matched_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+def found_in_some_tree(similarity, depth: int, trees: int = TREES):
+    """The chance that a pair shares a prefix of a length in one tree or more."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def shortest_prefix(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
     """The longest prefix at which a pair at the threshold meets in some tree with the target recall."""
     d = depth
-    while d > 1 and 1 - (1 - threshold**d) ** trees < recall:
+    while d > 1 and found_in_some_tree(threshold, d, trees) < recall:
         d -= 1
     return d
 
@@ -90,21 +106,22 @@ def _signatures(trees: int, depth: int, n: int):
                     sig[:, k] = np.minimum.reduceat((sh * a[k] + b[k]) >> np.uint64(16), at[full]) >> np.uint64(16)
             sigs = np.full(batch.num_rows, None, dtype=object)
             sigs[full] = [s.tobytes() for s in sig]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(key.view(np.int64)), pa.array(list(sigs), pa.binary())], ["doc_id", "k", "sig"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["t"], pa.array(key.view(np.int64)), pa.array(list(sigs), pa.binary())], ["doc_id", "t", "k", "sig"])
 
     return run
 
 
-def _prefixes(trees: int, depth: int, used: int):
+def _subtrees(trees: int, depth: int, shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
             sig = np.frombuffer(b"".join(b["sig"].to_pylist()), "<u2").reshape(n, trees, depth).astype(np.uint64)
             h = np.broadcast_to(tx.mix(np.arange(trees, dtype=np.uint64) + np.uint64(1)), (n, trees))
-            for d in range(used):
+            for d in range(shortest):
                 h = tx.mix(h ^ (sig[:, :, d] + np.uint64(0x10001) * np.uint64(d + 1)))
             k = np.repeat(b["k"].to_numpy(), trees)
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(k)], ["g", "k"])
+            tree = np.tile(np.arange(trees, dtype=np.int32), n)
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(tree), pa.array(k)], ["g", "tree", "k"])
 
     return run
 
@@ -160,31 +177,73 @@ def _bounds(cols: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[0], change, [len(cols[0])]])
 
 
-def _candidates(least: float):
-    """Edges between classes below one node (or two blocks of it) whose signatures agree."""
+def _agreement(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    parts = [(sig[i[p : p + _PAIRS]] == sig[j[p : p + _PAIRS]]).mean(1) for p in range(0, len(i), _PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def shortened(rest: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray, shortest: int, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs among i and j, neighbours below a trie's nodes, and the depth at which each class stopped.
+
+    rest holds each class's label behind the shortest prefix, sig its whole signature. A class's
+    prefix is shortened until the pairs found reach the target recall; a pair is compared at the
+    depth of its common prefix, if one of the two is still open then."""
+    common = shortest + np.cumprod(rest[i] == rest[j], axis=1, dtype=np.int64).sum(1)
+    longest = shortest + rest.shape[1]
+    depth, still = np.full(len(sig), longest), np.ones(len(sig), dtype=bool)
+    fi = fj = np.zeros(0, dtype=np.int64)
+    fs = np.zeros(0)
+    for d in range(longest, shortest - 1, -1):
+        depth[still] = d
+        new = np.flatnonzero((common == d) & (still[i] | still[j]))
+        s = _agreement(sig, i[new], j[new])
+        new, s = new[s >= threshold - SLACK], s[s >= threshold - SLACK]
+        fi, fj, fs = np.concatenate([fi, i[new]]), np.concatenate([fj, j[new]]), np.concatenate([fs, np.maximum(s, threshold)])
+        stands_for = fs**-d
+        ends = np.concatenate([fi, fj])
+        every = np.bincount(ends, weights=np.tile(stands_for, 2), minlength=len(sig))
+        seen = np.bincount(ends, weights=np.tile(stands_for * found_in_some_tree(fs, d, trees), 2), minlength=len(sig))
+        still &= (every == 0) | (seen < recall * every)
+        if not still.any():
+            break
+    return fi, fj, depth
+
+
+def _pairs_below(lim: np.ndarray, block: np.ndarray, apart: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of each group, those of small groups together; only pairs of two blocks where the group is marked."""
+    sizes = np.diff(lim)
+    for m in np.unique(sizes[(sizes > 1) & (sizes <= 32)]):
+        first = lim[:-1][sizes == m]
+        x, y = np.triu_indices(int(m), 1)
+        step = max(1, 2 * _PAIRS // len(x))
+        for p in range(0, len(first), step):
+            f = first[p : p + step]
+            yield (f[:, None] + x).ravel(), (f[:, None] + y).ravel()
+    for g in np.flatnonzero(sizes > 32):
+        x, y = np.triu_indices(int(sizes[g]), 1)
+        if apart[g]:
+            two = block[lim[g] + x] != block[lim[g] + y]
+            x, y = x[two], y[two]
+        yield lim[g] + x, lim[g] + y
+
+
+def _candidates(threshold: float, trees: int, shortest: int, recall: float):
+    """Edges between classes of one subtree (or two blocks of it) that the shortened prefixes bring together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_group(batches, ["g", "lo", "hi"]):
-            k = b["k"].to_numpy()
-            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), "<u2").reshape(len(k), -1).astype(np.uint8)
-            lim = _bounds([b[c].to_numpy() for c in ("g", "lo", "hi")])
+            k, lows, highs = b["k"].to_numpy(), b["lo"].to_numpy(), b["hi"].to_numpy()
+            whole = np.frombuffer(b"".join(b["sig"].to_pylist()), "<u2").reshape(len(k), trees, -1)
+            rest = whole[np.arange(len(k)), b["tree"].to_numpy(), shortest:]
+            sig = whole.reshape(len(k), -1).astype(np.uint8)
+            lim = _bounds([b["g"].to_numpy(), lows, highs])
             ai, aj = [], []
-            sizes = np.diff(lim)
-            for m in np.unique(sizes[(sizes > 1) & (sizes <= 32)]):  # all small groups of a size at once
-                first = lim[:-1][sizes == m]
-                x, y = np.triu_indices(int(m), 1)
-                for p in range(0, len(first), max(1, 200_000 // len(x))):
-                    f = first[p : p + max(1, 200_000 // len(x))]
-                    i, j = (f[:, None] + x).ravel(), (f[:, None] + y).ravel()
-                    ok = (sig[i] == sig[j]).mean(1) >= least
-                    ai.append(i[ok])
-                    aj.append(j[ok])
-            for g in np.flatnonzero(sizes > 32):
-                lo, hi = lim[g], lim[g + 1]
-                for i in range(lo, hi - 1):  # a row against all later ones
-                    j = i + 1 + np.flatnonzero((sig[i + 1 : hi] == sig[i]).mean(1) >= least)
-                    ai.append(np.full(len(j), i))
-                    aj.append(j)
+            for i, j in _pairs_below(lim, b["block"].to_numpy(), (lows != highs)[lim[:-1]]):
+                low = int(i.min(initial=0))
+                high = int(j.max(initial=-1)) + 1
+                fi, fj, _ = shortened(rest[low:high], sig[low:high], i - low, j - low, shortest, threshold, trees, recall)
+                ai.append(fi + low)
+                aj.append(fj + low)
             i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (ai, aj))
             root = _roots(len(k), i, j)
             linked = np.flatnonzero(root != np.arange(len(k)))
@@ -201,7 +260,8 @@ def _sets(n: int):
             sh, at, key = shingles(tx.words(b["text"]), n)
             same = np.flatnonzero(key.view(np.int64) == b["k"].to_numpy())
             sets = [np.unique(sh[at[i] : at[i + 1]]).tobytes() for i in same]
-            yield pa.RecordBatch.from_arrays([*(b[c].take(pa.array(same)) for c in ("k", "component", "copies")), pa.array(sets, pa.binary())], ["k", "component", "copies", "shingles"])
+            size = pa.array([len(x) // 8 for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b[c].take(pa.array(same)) for c in ("k", "component", "copies", "n")), size, pa.array(sets, pa.binary())], ["k", "component", "copies", "n", "size", "shingles"])
 
     return run
 
@@ -263,7 +323,7 @@ def _verify(threshold: float):
     return run
 
 
-def _dealt(members: DataFrame, key: str, n: str, size: int) -> DataFrame:
+def _dealt(members: DataFrame, n: str, size: int) -> DataFrame:
     """members with block, lo and hi: a row for each pair of blocks that a member's block is in."""
     blocks = F.ceil(F.col(n) / size).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
@@ -271,53 +331,87 @@ def _dealt(members: DataFrame, key: str, n: str, size: int) -> DataFrame:
     return rows.withColumn("lo", F.least("block", "y")).withColumn("hi", F.greatest("block", "y")).drop("y", "blocks")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, group_id, n_links of every row of docs (doc_id, text)."""
+def _dealt_by_size(sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """sets with own block, lo and hi: a row for each pair of blocks that can hold links of the member.
+
+    The members of a large group are put into bands of sizes, a factor of 1 / threshold wide; links
+    join members of one band or of neighbouring ones. A band is split into blocks by hash."""
+    banded = sets.withColumn("band", F.when(F.col("n") > block, F.floor(F.log(F.col("size").cast("double")) / (math.log(1 / threshold) * (1 + 1e-6)))).otherwise(0).cast("int"))
+    blocks = banded.where(F.col("n") > block).groupBy("component", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    per_group = blocks.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"))  # a few dozen bands
+    rows = banded.join(per_group, "component", "left")
+    count = lambda b: F.coalesce(F.try_element_at("bands", b), F.lit(0))
+    code = lambda band, x: (band.cast("long") * (1 << 32) + x).alias("c")
+    band = F.col("band")
+    own = F.coalesce(F.pmod(F.xxhash64("k"), F.greatest(count(band), F.lit(1))), F.lit(0))
+    mine = code(band, own)
+
+    def with_band(b: Column) -> Column:
+        ys = F.when(count(b) > 0, F.sequence(F.lit(0), count(b) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(ys, lambda y: F.struct(F.least(mine, code(b, y)).alias("lo"), F.greatest(mine, code(b, y)).alias("hi")))
+
+    cells = F.when(F.col("bands").isNull(), F.array(F.struct(mine.alias("lo"), mine.alias("hi")))).otherwise(F.concat(*(with_band(band + d) for d in (-1, 0, 1))))
+    return rows.withColumn("block", mine).withColumn("cell", F.explode(cells)).select("component", "cell.lo", "cell.hi", "k", "block", "copies", "shingles")
+
+
+def _judged(docs: DataFrame, threshold: float, n: int, trees: int, depth: int, recall: float) -> DataFrame:
+    """doc_id, t (the text's hash), unit (one number for each group), class_id, group_id and n_links of the rows with a doc_id."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = written(texts.mapInArrow(_signatures(trees, depth, n), f"doc_id {kind}, k long, sig binary"), "signatures")
+    parts = fan_out(docs.select("text"), 16 << 20)
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+    signed = written(texts.mapInArrow(_signatures(trees, depth, n), f"doc_id {kind}, t long, k long, sig binary"), "signatures")
     worded = signed.where("sig is not null")
     classes = written(worded.groupBy("k").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
 
-    nodes = classes.select("k", "sig").mapInArrow(_prefixes(trees, depth, matched_depth(threshold, trees, depth, recall)), "g long, k long")
+    shortest = shortest_prefix(threshold, trees, depth, recall)
+    nodes = classes.select("k", "sig").mapInArrow(_subtrees(trees, depth, shortest), "g long, tree int, k long")
     sizes = nodes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    below = _dealt(nodes.join(sizes, "g"), "g", "n", NODE_BLOCK).join(classes.select("k", "sig"), "k").select("g", "lo", "hi", "k", "sig")
-    parts = fan_out(docs.select("text"), 64 << 20)
-    edges = below.repartition(parts, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(_candidates(threshold - SLACK), "src long, dst long")
+    below = _dealt(nodes.join(sizes, "g"), "n", NODE_BLOCK).join(classes.select("k", "sig"), "k").select("g", "lo", "hi", "block", "tree", "k", "sig")
+    below = below.repartition(parts, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+    edges = below.mapInArrow(_candidates(threshold, trees, shortest, recall), "src long, dst long")
     groups = connected_components(edges).withColumnRenamed("node", "k")
 
     counted = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component")
     wanted = written(classes.join(counted, "k").select("k", "class_id", "copies", "component", "n"), "wanted")
-    ids = wanted.select(F.col("class_id").alias("doc_id"), "k", "component", "copies")
+    ids = wanted.select(F.col("class_id").alias("doc_id"), "k", "component", "copies", "n")
     needed = bloom.tested(texts, "doc_id", bloom.build(ids, "doc_id"), "maybe").where("maybe").drop("maybe")  # only these texts are shuffled
-    sets = needed.join(ids, "doc_id").select("text", "k", "component", "copies")
-    sets = sets.mapInArrow(_sets(n), "k long, component long, copies long, shingles binary")
-    pairs = _dealt(sets.join(wanted.select("k", "n"), "k"), "component", "n", GROUP_BLOCK)
-    found = pairs.select("component", "lo", "hi", "k", "block", "copies", "shingles").repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    sets = needed.join(ids, "doc_id").select("text", "k", "component", "copies", "n")
+    sets = written(sets.mapInArrow(_sets(n), "k long, component long, copies long, n long, size long, shingles binary"), "sets")
+    found = _dealt_by_size(sets, threshold, GROUP_BLOCK).repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
     found = written(found.mapInArrow(_verify(threshold), "k long, links long, other long"), "links")
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
     linked = connected_components(found.where("k <> other"), "k", "other").withColumnRenamed("node", "k")
     named = linked.join(classes.select("k", "class_id"), "k").groupBy("component").agg(F.min("class_id").alias("group_id"))
     per_class = classes.select("k", "class_id", "copies").join(links, "k", "left").join(linked, "k", "left").join(named, "component", "left")
-    per_class = per_class.select("k", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    per_class = per_class.select("k", "class_id", F.coalesce("component", "k").alias("unit"), F.coalesce("group_id", "class_id").alias("group_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+    out = worded.select("doc_id", "t", "k").join(per_class, "k").select("doc_id", "t", "unit", "class_id", "group_id", "n_links")
+    alone = signed.where("sig is null").select("doc_id", "t", F.lit(None).cast("long").alias("unit"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(alone)
 
-    out = worded.select("doc_id", "k").join(per_class, "k").select("doc_id", "class_id", "group_id", "n_links")
-    alone = signed.where("sig is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
-    empty = F.lit(None).cast(kind)
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, group_id, n_links of every row of docs (doc_id, text)."""
+    found = _judged(docs, threshold, n, trees, depth, recall).select("doc_id", "class_id", "group_id", "n_links")
+    empty = F.lit(None).cast(docs.schema["doc_id"].dataType)
     nameless = docs.where("doc_id is null").select(empty.alias("doc_id"), empty.alias("class_id"), empty.alias("group_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(alone).unionByName(nameless)
+    return found.unionByName(nameless)
 
 
 def near_duplicate_stage(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group the document with the
-    smallest doc_id. Rows without a doc_id stay; of rows that repeat it, one stays.
+    smallest doc_id (of several texts of that doc_id in the group, one). Rows without a doc_id stay;
+    of rows that repeat doc_id and text, one stays.
 
     Only rows whose id a Bloom filter of dropped and repeated ids passes are shuffled."""
-    found = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") != F.col("group_id")).alias("__lattica_dropped"))
-    special = written(found.where("__lattica_dropped or n > 1").select("doc_id", "__lattica_dropped"), "special")
-    tested = bloom.tested(docs, "doc_id", bloom.build(special, "doc_id"), "__lattica_maybe")
-    sure = tested.where("not __lattica_maybe or doc_id is null").select(docs.columns)
-    rest = tested.where("__lattica_maybe and doc_id is not null").join(special, "doc_id", "left").where("not coalesce(__lattica_dropped, false)")
-    first = rest.withColumn("__lattica_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__lattica_n = 1")
-    return sure.unionByName(first.select(docs.columns))
+    mark = "__lattica_"
+    found = _judged(docs, THRESHOLD, SHINGLE, TREES, DEPTH, RECALL).groupBy("doc_id", "t", "unit", "group_id").agg(F.count("*").alias("n"))
+    first = found.where("unit is not null and doc_id = group_id").groupBy("unit").agg(F.min("t").alias("first_t"))
+    judged = found.join(first, "unit", "left").select("doc_id", "t", "n", F.coalesce((F.col("doc_id") != F.col("group_id")) | (F.col("t") != F.col("first_t")), F.lit(False)).alias(f"{mark}dropped"))
+    special = written(judged.where(f"{mark}dropped or n > 1").select("doc_id", F.col("t").alias(f"{mark}t"), f"{mark}dropped"), "special")
+    tested = bloom.tested(docs, "doc_id", bloom.build(special, "doc_id"), f"{mark}maybe")
+    sure = tested.where(f"not {mark}maybe or doc_id is null").select(docs.columns)
+    rest = tested.where(f"{mark}maybe and doc_id is not null").withColumn(f"{mark}t", F.xxhash64("text"))
+    rest = rest.join(special, ["doc_id", f"{mark}t"], "left").where(f"not coalesce({mark}dropped, false)").dropDuplicates(["doc_id", f"{mark}t"])
+    return sure.unionByName(rest.select(docs.columns))

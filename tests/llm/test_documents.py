@@ -153,6 +153,15 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_links"]) for r in found if r["doc_id"] is not None) == Counter(util.links(util.texts()))
 
 
+def test_near_duplicates_of_many_sizes_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_BLOCK", 3)
+    r = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[: int(n)])) for i, n in enumerate(r.integers(60, 400, 60))]
+    found = rows_of(jaccard.near_duplicates(util.docs(spark, rows)))
+    assert Counter((x["doc_id"], x["n_links"]) for x in found) == Counter(util.links(rows))
+
+
 def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     docs = util.docs(spark)
     kept = jaccard.near_duplicate_stage(docs)
@@ -161,9 +170,63 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert ids[1] == ids[4] == 1 and not {2, 3, 11, *range(20, 32)} & set(ids) and ids[None] == 3
 
 
-def test_matched_depth_reaches_recall():
-    d = jaccard.matched_depth()
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL and (d == jaccard.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES < jaccard.RECALL)
+def test_near_duplicate_stage_judges_texts_of_a_repeated_id_each(spark):
+    r = np.random.default_rng(2)
+    a, b, c = (" ".join(map(str, r.integers(0, 10**6, 60))) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, c), (9, c + " x"), (11, None), (11, ""), (11, "")]
+    kept = Counter((x["doc_id"], x["text"]) for x in rows_of(jaccard.near_duplicate_stage(util.docs(spark, rows))))
+    nine = [k for k in kept if k[0] == 9]
+    assert len(nine) == 1 and nine[0][1] in (c, c + " x")
+    del kept[nine[0]]
+    assert kept == Counter({(3, a): 1, (5, b): 1, (11, None): 1, (11, ""): 1})
+
+
+def test_shortest_prefix_reaches_recall():
+    d = jaccard.shortest_prefix()
+    assert d < jaccard.DEPTH and 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+
+
+def test_prefixes_are_shortened_by_what_they_find():
+    r = np.random.default_rng(3)
+    d, m = jaccard.shortest_prefix(), jaccard.TREES * jaccard.DEPTH
+    base = r.integers(0, 1 << 16, m)
+
+    def near(s):  # a signature that agrees by s, whole in the first tree's shortest prefix
+        out = np.where(r.random(m) < s, base, r.integers(0, 1 << 16, m))
+        out[:d] = base[:d]
+        return out
+
+    def depths(sims, shared):
+        sig = np.stack([base, *map(near, sims)])
+        for row, n in zip(sig[1:], shared, strict=True):
+            row[d : d + n] = base[d : d + n]
+            if d + n < jaccard.DEPTH:
+                row[d + n] = base[d + n] + 1
+        i, j = np.triu_indices(len(sig), 1)
+        fi, fj, depth = jaccard.shortened(sig[:, d : jaccard.DEPTH], (sig & 255).astype(np.uint8), i, j, d)
+        return depth, set(zip(fi.tolist(), fj.tolist(), strict=True))
+
+    deep, found = depths([0.99, 0.98], [3, 3])
+    assert deep.tolist() == [jaccard.DEPTH] * 3 and {(0, 1), (0, 2)} <= found
+    lone, found = depths([0.82, 0.1], [0, 0])
+    assert lone.tolist() == [d, d, d] and found == {(0, 1)}
+    mixed, found = depths([0.99, 0.84], [3, 1])
+    assert mixed[0] == mixed[1] == jaccard.DEPTH and mixed[2] < jaccard.DEPTH and (0, 2) in found
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    r = np.random.default_rng(12)
+    rows, want = [], set()
+    for i in range(400):
+        w = [f"a{x}" for x in r.integers(0, 10**7, 120)]
+        at = sorted(r.choice(np.arange(2, 118, 6), int(r.integers(1, 3)), replace=False))
+        v = [f"b{i}" if j in at else x for j, x in enumerate(w)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        a, b = util.shingles(rows[-2][1]), util.shingles(rows[-1][1])
+        if len(a & b) >= 0.8 * len(a | b):
+            want.add(2 * i + 1)
+    found = {x["doc_id"] for x in rows_of(jaccard.near_duplicates(util.docs(spark, rows))) if x["n_links"] and x["doc_id"] % 2}
+    assert len(want) > 200 and found <= want and len(found) >= 0.995 * len(want)
 
 
 def test_packing_matches_plain_encoding(spark):

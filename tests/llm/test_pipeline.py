@@ -107,6 +107,21 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert sum(v[1] for v in cut.values()) >= 180
 
 
+@pytest.mark.parametrize("some", [[], [(None, None)] * 3 + [(None, ""), (1, None), (1, None), (2, "")]])
+def test_pipeline_of_empty_and_null_tables(spark, tmp_path, some):
+    pytest.importorskip("public_tokenizers")
+    util.docs(spark, some).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_carries_null_ids_and_repeated_rows(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    text = corpus()[0][1]
+    util.docs(spark, [(None, text), (None, text), (5, text), (5, text), (None, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(p["doc_id"], p["start"]) for p in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {d for d, _ in found} <= {5, None} and (5, 0) in found
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     docs = util.docs(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
