@@ -51,7 +51,7 @@ THRESHOLD = 0.8
 TREES, DEPTH = 20, 8
 RECALL = 0.999
 SLACK = 0.15  # signatures that agree by less than the threshold minus this (4.7 standard errors) are no candidates
-NODE_BLOCK, GROUP_BLOCK = 1024, 512
+NODE_BLOCK, GROUP_BLOCK = 512, 512
 _PAIRS = 100_000  # compared at a time
 _SEED = 20_011
 
@@ -188,7 +188,7 @@ def shortened(rest: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray, s
     rest holds each class's label behind the shortest prefix, sig its whole signature. A class's
     prefix is shortened until the pairs found reach the target recall; a pair is compared at the
     depth of its common prefix, if one of the two is still open then."""
-    common = shortest + np.cumprod(rest[i] == rest[j], axis=1, dtype=np.int64).sum(1)
+    common = shortest + np.cumprod(rest[i] == rest[j], axis=1, dtype=np.int8).sum(1, dtype=np.int64)
     longest = shortest + rest.shape[1]
     depth, still = np.full(len(sig), longest), np.ones(len(sig), dtype=bool)
     fi = fj = np.zeros(0, dtype=np.int64)
@@ -220,11 +220,13 @@ def _pairs_below(lim: np.ndarray, block: np.ndarray, apart: np.ndarray) -> Itera
             f = first[p : p + step]
             yield (f[:, None] + x).ravel(), (f[:, None] + y).ravel()
     for g in np.flatnonzero(sizes > 32):
-        x, y = np.triu_indices(int(sizes[g]), 1)
         if apart[g]:
-            two = block[lim[g] + x] != block[lim[g] + y]
-            x, y = x[two], y[two]
-        yield lim[g] + x, lim[g] + y
+            of = block[lim[g] : lim[g + 1]]
+            x, y = np.flatnonzero(of == of[0]), np.flatnonzero(of != of[0])
+            yield lim[g] + np.repeat(x, len(y)), lim[g] + np.tile(y, len(x))
+        else:
+            x, y = np.triu_indices(int(sizes[g]), 1)
+            yield lim[g] + x, lim[g] + y
 
 
 def _candidates(threshold: float, trees: int, shortest: int, recall: float):
@@ -239,8 +241,9 @@ def _candidates(threshold: float, trees: int, shortest: int, recall: float):
             lim = _bounds([b["g"].to_numpy(), lows, highs])
             ai, aj = [], []
             for i, j in _pairs_below(lim, b["block"].to_numpy(), (lows != highs)[lim[:-1]]):
-                low = int(i.min(initial=0))
-                high = int(j.max(initial=-1)) + 1
+                if not len(i):
+                    continue
+                low, high = int(min(i.min(), j.min())), int(max(i.max(), j.max())) + 1
                 fi, fj, _ = shortened(rest[low:high], sig[low:high], i - low, j - low, shortest, threshold, trees, recall)
                 ai.append(fi + low)
                 aj.append(fj + low)
@@ -248,6 +251,7 @@ def _candidates(threshold: float, trees: int, shortest: int, recall: float):
             root = _roots(len(k), i, j)
             linked = np.flatnonzero(root != np.arange(len(k)))
             yield pa.RecordBatch.from_arrays([pa.array(k[linked]), pa.array(k[root[linked]])], ["src", "dst"])
+        tx.release()
 
     return run
 
@@ -319,6 +323,7 @@ def _verify(threshold: float):
                 other.append(every[rows][root])
             k, n, o = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (ks, links, other))
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(o)], ["k", "links", "other"])
+        tx.release()
 
     return run
 
