@@ -23,7 +23,7 @@ def _with_smallest(pairs: DataFrame, rows: int) -> DataFrame:
     The minimum is aggregated before the shuffle. Heavy nodes, fewer than HEAVY by their definition,
     get theirs by a broadcast, so their pairs stay where they are; the other pairs are joined by u."""
     stats = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    bound = max(1, rows // HEAVY)
+    bound = 1 << max(0, rows // HEAVY).bit_length()  # few different numbers, so rounds share their generated code
     heavy = stats.where(F.col("n") > bound).select("u", F.col("m").alias("heavy_m"))
     marked = pairs.join(F.broadcast(heavy), "u", "left")
     light = marked.where("heavy_m is null").select("u", "v").join(stats.where(F.col("n") <= bound).select("u", "m"), "u")

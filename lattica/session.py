@@ -23,7 +23,7 @@ def ship(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
-        spark.conf.set(_BATCH, "16m")
+        spark.conf.set(_BATCH, "4m")
     if getattr(sc, "_lattica_shipped", False):
         return
     root = Path(__file__).resolve().parent
