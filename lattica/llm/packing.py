@@ -223,7 +223,7 @@ def _packer(path: str, capacity: int, end: int, id_type: pa.DataType):
                     rest.append((doc, whole, total, ids[lo + whole : hi].astype("<u4")))
             if len(rest) >= BLOCK:
                 pack()
-            if len(rows) >= 2048:
+            if len(rows) >= 512:
                 yield flush()
         if rest:
             pack()

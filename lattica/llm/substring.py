@@ -212,6 +212,7 @@ def _by_document(table: pa.Table) -> pa.Table:
     doc, word = d.where(np.unique(np.concatenate(found)).astype(np.int64))
     docs, begin = np.unique(doc, return_index=True)
     places = [x.astype("<u4").tobytes() for x in np.split(word, begin[1:])] if len(docs) else []
+    tx.release()
     return pa.table([pa.array(d.ids[docs]), pa.array(d.keys[docs]), pa.array(places, pa.binary())], names=["id", "key", "places"])
 
 
@@ -346,6 +347,7 @@ def _parse(window: int):
         rows = zip(*(np.split(x, cut[1:]) for x in (word[begin], length, source[begin], start[begin])), strict=True) if len(begin) else ()
         packed = [np.stack(r).astype("<i8").tobytes() for r in rows]
         docs = doc[begin][cut]
+        tx.release()
         return pa.table([pa.array(d.ids[docs]), pa.array(d.keys[docs]), pa.array(packed, pa.binary())], names=["id", "key", "factors"])
 
     return run
