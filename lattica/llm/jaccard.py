@@ -54,6 +54,7 @@ SLACK = 0.15  # signatures that agree by less than the threshold minus this (4.7
 NODE_BLOCK, GROUP_BLOCK = 512, 512
 _PAIRS = 100_000  # compared at a time
 _SEED = 20_011
+_MEMBER = ("k", "class_id", "component", "copies", "n")
 
 
 def found_in_some_tree(similarity, depth: int, trees: int = TREES):
@@ -265,7 +266,7 @@ def _sets(n: int):
             same = np.flatnonzero(key.view(np.int64) == b["k"].to_numpy())
             sets = [np.unique(sh[at[i] : at[i + 1]]).tobytes() for i in same]
             size = pa.array([len(x) // 8 for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b[c].take(pa.array(same)) for c in ("k", "component", "copies", "n")), size, pa.array(sets, pa.binary())], ["k", "component", "copies", "n", "size", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(b[c].take(pa.array(same)) for c in _MEMBER), size, pa.array(sets, pa.binary())], [*_MEMBER, "size", "shingles"])
 
     return run
 
@@ -299,7 +300,7 @@ def _verify(threshold: float):
         for b in by_group(batches, ["component", "lo", "hi"]):
             every, copies, block = b["k"].to_numpy(), b["copies"].to_numpy(), b["block"].to_numpy()
             lows, highs, packed = b["lo"].to_numpy(), b["hi"].to_numpy(), b["shingles"]
-            ks, links, other = [], [], []
+            links, every_row, roots = [], [], []
             lim = _bounds([b["component"].to_numpy(), lows, highs])
             for lo, hi in zip(lim[:-1], lim[1:], strict=True):
                 _, first = np.unique(every[lo:hi], return_index=True)  # a class can come once a repeated row
@@ -318,11 +319,12 @@ def _verify(threshold: float):
                     ok &= block[rows][:, None] != block[rows]
                 i, j = np.nonzero(np.triu(ok))
                 root = _roots(len(rows), i, j)
-                ks.append(every[rows])
                 links.append((ok * copies[rows]).sum(1))
-                other.append(every[rows][root])
-            k, n, o = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (ks, links, other))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(o)], ["k", "links", "other"])
+                every_row.append(rows)
+                roots.append(rows[root])
+            n, i, j = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (links, every_row, roots))
+            ends = [pa.StructArray.from_arrays([b["class_id"].take(pa.array(x)), b["k"].take(pa.array(x))], ["class_id", "k"]) for x in (i, j)]
+            yield pa.RecordBatch.from_arrays([pa.array(every[i]), pa.array(n), *ends], ["k", "links", "src", "dst"])
         tx.release()
 
     return run
@@ -356,7 +358,7 @@ def _dealt_by_size(sets: DataFrame, threshold: float, block: int) -> DataFrame:
         return F.transform(ys, lambda y: F.struct(F.least(mine, code(b, y)).alias("lo"), F.greatest(mine, code(b, y)).alias("hi")))
 
     cells = F.when(F.col("bands").isNull(), F.array(F.struct(mine.alias("lo"), mine.alias("hi")))).otherwise(F.concat(*(with_band(band + d) for d in (-1, 0, 1))))
-    return rows.withColumn("block", mine).withColumn("cell", F.explode(cells)).select("component", "cell.lo", "cell.hi", "k", "block", "copies", "shingles")
+    return rows.withColumn("block", mine).withColumn("cell", F.explode(cells)).select("component", "cell.lo", "cell.hi", "k", "class_id", "block", "copies", "shingles")
 
 
 def _judged(docs: DataFrame, threshold: float, n: int, trees: int, depth: int, recall: float) -> DataFrame:
@@ -371,25 +373,26 @@ def _judged(docs: DataFrame, threshold: float, n: int, trees: int, depth: int, r
 
     shortest = shortest_prefix(threshold, trees, depth, recall)
     nodes = classes.select("k", "sig").mapInArrow(_subtrees(trees, depth, shortest), "g long, tree int, k long")
-    sizes = nodes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    below = _dealt(nodes.join(sizes, "g"), "n", NODE_BLOCK).join(classes.select("k", "sig"), "k").select("g", "lo", "hi", "block", "tree", "k", "sig")
+    peopled = nodes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    below = _dealt(nodes.join(peopled, "g"), "n", NODE_BLOCK).join(classes.select("k", "sig"), "k").select("g", "lo", "hi", "block", "tree", "k", "sig")
     below = below.repartition(parts, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
     edges = below.mapInArrow(_candidates(threshold, trees, shortest, recall), "src long, dst long")
     groups = connected_components(edges).withColumnRenamed("node", "k")
 
-    counted = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component")
-    wanted = written(classes.join(counted, "k").select("k", "class_id", "copies", "component", "n"), "wanted")
-    ids = wanted.select(F.col("class_id").alias("doc_id"), "k", "component", "copies", "n")
+    sizes = written(groups.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+    wanted = written(classes.join(groups.join(sizes, "component"), "k").select("k", "class_id", "copies", "component", "n"), "wanted")
+    ids = wanted.withColumn("doc_id", F.col("class_id"))
     needed = bloom.tested(texts, "doc_id", bloom.build(ids, "doc_id"), "maybe").where("maybe").drop("maybe")  # only these texts are shuffled
-    sets = needed.join(ids, "doc_id").select("text", "k", "component", "copies", "n")
-    sets = written(sets.mapInArrow(_sets(n), "k long, component long, copies long, n long, size long, shingles binary"), "sets")
+    sets = needed.join(ids, "doc_id").select("text", *_MEMBER)
+    sets = written(sets.mapInArrow(_sets(n), f"k long, class_id {kind}, component long, copies long, n long, size long, shingles binary"), "sets")
     found = _dealt_by_size(sets, threshold, GROUP_BLOCK).repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
-    found = written(found.mapInArrow(_verify(threshold), "k long, links long, other long"), "links")
+    end = f"struct<class_id:{kind},k:bigint>"
+    found = written(found.mapInArrow(_verify(threshold), f"k long, links long, src {end}, dst {end}"), "links")
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
-    linked = connected_components(found.where("k <> other"), "k", "other").withColumnRenamed("node", "k")
-    named = linked.join(classes.select("k", "class_id"), "k").groupBy("component").agg(F.min("class_id").alias("group_id"))
-    per_class = classes.select("k", "class_id", "copies").join(links, "k", "left").join(linked, "k", "left").join(named, "component", "left")
-    per_class = per_class.select("k", "class_id", F.coalesce("component", "k").alias("unit"), F.coalesce("group_id", "class_id").alias("group_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # nodes are ordered by class_id, so a component's smallest node holds the group's id
+    linked = connected_components(found).select(F.col("node.k").alias("k"), F.col("component.k").alias("unit"), F.col("component.class_id").alias("group_id"))
+    per_class = classes.select("k", "class_id", "copies").join(links, "k", "left").join(linked, "k", "left")
+    per_class = per_class.select("k", "class_id", F.coalesce("unit", "k").alias("unit"), F.coalesce("group_id", "class_id").alias("group_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
 
     out = worded.select("doc_id", "t", "k").join(per_class, "k").select("doc_id", "t", "unit", "class_id", "group_id", "n_links")
     alone = signed.where("sig is null").select("doc_id", "t", F.lit(None).cast("long").alias("unit"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
@@ -412,8 +415,10 @@ def near_duplicate_stage(docs: DataFrame) -> DataFrame:
     Only rows whose id a Bloom filter of dropped and repeated ids passes are shuffled."""
     mark = "__lattica_"
     found = _judged(docs, THRESHOLD, SHINGLE, TREES, DEPTH, RECALL).groupBy("doc_id", "t", "unit", "group_id").agg(F.count("*").alias("n"))
-    first = found.where("unit is not null and doc_id = group_id").groupBy("unit").agg(F.min("t").alias("first_t"))
-    judged = found.join(first, "unit", "left").select("doc_id", "t", "n", F.coalesce((F.col("doc_id") != F.col("group_id")) | (F.col("t") != F.col("first_t")), F.lit(False)).alias(f"{mark}dropped"))
+    heads = found.where("doc_id = group_id")
+    first = heads.where("unit is not null").groupBy("unit").agg(F.min("t").alias("first_t"))
+    dropped = F.coalesce(F.col("t") != F.col("first_t"), F.lit(False))
+    judged = heads.join(first, "unit", "left").select("doc_id", "t", "n", dropped.alias(f"{mark}dropped")).unionByName(found.where("doc_id <> group_id").select("doc_id", "t", "n", F.lit(True).alias(f"{mark}dropped")))
     special = written(judged.where(f"{mark}dropped or n > 1").select("doc_id", F.col("t").alias(f"{mark}t"), f"{mark}dropped"), "special")
     tested = bloom.tested(docs, "doc_id", bloom.build(special, "doc_id"), f"{mark}maybe")
     sure = tested.where(f"not {mark}maybe or doc_id is null").select(docs.columns)
