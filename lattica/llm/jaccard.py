@@ -393,6 +393,7 @@ def _judged(docs: DataFrame, threshold: float, n: int, trees: int, depth: int, r
     linked = connected_components(found).select(F.col("node.k").alias("k"), F.col("component.k").alias("unit"), F.col("component.class_id").alias("group_id"))
     per_class = classes.select("k", "class_id", "copies").join(links, "k", "left").join(linked, "k", "left")
     per_class = per_class.select("k", "class_id", F.coalesce("unit", "k").alias("unit"), F.coalesce("group_id", "class_id").alias("group_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    per_class = written(per_class, "judged")  # a class of many copies is split when it is joined back
 
     out = worded.select("doc_id", "t", "k").join(per_class, "k").select("doc_id", "t", "unit", "class_id", "group_id", "n_links")
     alone = signed.where("sig is null").select("doc_id", "t", F.lit(None).cast("long").alias("unit"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
