@@ -189,6 +189,7 @@ def preprocess(source: Column, path: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(raw, r"\s+", " ")), F.lit("")), title)
 
 
+# Categories of files by patterns on their lower-case paths, the first that fits.
 _CATEGORIES = (
     ("config", r"\.(config|setup|env)\.[a-z]+$"),
     ("test", r"\.(test|spec)\.[a-z]+$|/tests/|/__tests__/|/spec/"),
@@ -242,6 +243,11 @@ def json_array(text: Column, ddl: str) -> Column:
     return F.from_json(F.regexp_extract(text, r"(?s)\[.*\]", 0), f"array<{ddl}>")
 
 
+def json_list(text: Column, ddl: str) -> Column:
+    """A stored JSON list; empty if there is none or it can't be read."""
+    return F.coalesce(F.from_json(text, f"array<{ddl}>"), F.array().cast(f"array<{ddl}>"))
+
+
 def trim_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 

@@ -9,6 +9,7 @@ from lattica import schemas as S
 from lattica.functions import scalar as fn
 from lattica.operators.edges import is_journey
 from lattica.operators.graph import reachable
+from lattica.session import written
 
 
 def cluster_edge_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,11 +53,51 @@ def root_cause(report: DataFrame, edges: int) -> DataFrame:
     return found.withColumn("cause", cause)
 
 
-def top_neighbours(edges: DataFrame, k: int = 3) -> DataFrame:
-    """source_id and its k heaviest targets, joined by comma."""
-    w = Window.partitionBy("source_id").orderBy(F.desc("weight"), "target_id")
+def top_neighbours(edges: DataFrame, k: int = 3, incoming: bool = False) -> DataFrame:
+    """source_id and its k heaviest targets, joined by comma; incoming: target_id and its heaviest sources."""
+    own, other, name = ("target_id", "source_id", "sources") if incoming else ("source_id", "target_id", "targets")
+    w = Window.partitionBy(own).orderBy(F.desc("weight"), other)
     top = edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    return top.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "target_id"))), lambda s: s["target_id"]), ",").alias("targets"))
+    return top.groupBy(own).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", other))), lambda s: s[other]), ",").alias(name))
+
+
+def cluster_report(nodes: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
+    """A row for each cluster: its numbers, basis, directories and members with their placement and heaviest neighbours.
+
+    nodes: node_id, canonical_path, cluster_id; edges: source_id, target_id, weight."""
+    held = nodes.where("cluster_id is not null").select("node_id", "canonical_path", "cluster_id")
+    summed = edges.groupBy("source_id", "target_id").agg(F.sum("weight").alias("weight"))
+    where = held.select("node_id", "cluster_id")
+    inner = summed.join(where.toDF("source_id", "sc"), "source_id").join(where.toDF("target_id", "tc"), "target_id").where("sc = tc")
+    linked = inner.select(F.explode(F.array("source_id", "target_id")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("links"))
+    out = top_neighbours(summed, k).withColumnRenamed("source_id", "node_id")
+    back = top_neighbours(summed, k, True).withColumnRenamed("target_id", "node_id")
+    files = held.join(linked, "node_id", "left").join(out, "node_id", "left").join(back, "node_id", "left")
+    basis = F.when(F.col("links") > 0, "topological").otherwise("semantic")
+    member = F.struct("canonical_path", basis.alias("basis"), F.coalesce("links", F.lit(0)).alias("links"), fn.file_category(F.col("canonical_path")).alias("category"), "targets", "sources")
+    members = files.groupBy("cluster_id").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    dirs = directory_histogram(held).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("files")).alias("rank"), "dir", "files"))).alias("d"))
+    dirs = dirs.select("cluster_id", F.transform("d", lambda x: F.struct(x["dir"].alias("dir"), x["files"].alias("files"))).alias("directories"))
+    return cluster_edge_counts(nodes, edges).join(cohesion(nodes, edges).drop("size"), "cluster_id").join(members, "cluster_id").join(dirs, "cluster_id")
+
+
+def category_histogram(files: DataFrame) -> DataFrame:
+    """category, files: what kinds of files there are; files: canonical_path."""
+    return files.groupBy(fn.file_category(F.col("canonical_path")).alias("category")).agg(F.count("*").alias("files"))
+
+
+def snapshot_sizes(clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """cluster_id, files of every cluster, empty ones included; clusters: cluster_id; members: path, cluster_id."""
+    counted = members.groupBy("cluster_id").agg(F.count("path").alias("files"))
+    return clusters.select("cluster_id").distinct().join(counted, "cluster_id", "left").na.fill(0, ["files"])
+
+
+def unreached(nodes: DataFrame, reached: DataFrame, most: int = S.UNREACHED_SAMPLE) -> DataFrame:
+    """unreached_count and a sorted sample of the nodes that aren't reached; both: one column of the same name."""
+    key = nodes.columns[0]
+    rest = nodes.join(reached, key, "left_anti")
+    sample = rest.orderBy(key).limit(most).agg(F.array_sort(F.collect_list(key)).alias("unreached_sample"))
+    return rest.agg(F.count("*").alias("unreached_count")).crossJoin(sample)
 
 
 def top_members(nodes: DataFrame, k: int = 5) -> DataFrame:
@@ -118,9 +159,7 @@ def coverage(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFram
     """reached, total, unreached_count and a sorted sample of files that no entry point reaches."""
     used = edges.where(is_journey(F.col("type"), F.col("is_synthetic"))).select(F.col("source").alias("src"), F.col("target").alias("dst"))
     reached = reachable(used, entries.select(F.explode("render_chain").alias("root"))).select(F.col("node").alias("canonical_path")).distinct()
-    rest = nodes.select("canonical_path").join(reached, "canonical_path", "left_anti")
-    sample = rest.orderBy("canonical_path").limit(S.UNREACHED_SAMPLE).agg(F.array_sort(F.collect_list("canonical_path")).alias("unreached_sample"))
-    return reached.agg(F.count("*").alias("reached")).crossJoin(nodes.agg(F.count("*").alias("total"))).crossJoin(rest.agg(F.count("*").alias("unreached_count"))).crossJoin(sample)
+    return reached.agg(F.count("*").alias("reached")).crossJoin(nodes.agg(F.count("*").alias("total"))).crossJoin(unreached(nodes.select("canonical_path"), reached))
 
 
 def visible_projects(projects: DataFrame, members: DataFrame, org_members: DataFrame) -> DataFrame:
@@ -137,10 +176,21 @@ def at_least(role, least: str):
 
 
 def unique_slugs(names: DataFrame) -> DataFrame:
-    """id, slug: the first holder of a slug gets it plain, later ones a number; names: id, title."""
-    s = names.select("id", fn.slug(F.col("title")).alias("base"))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("id")) - 1
-    return s.withColumn("n", n).select("id", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))).alias("slug"))
+    """id, slug: in order of id, each takes the plain slug of its title or the first number that is free.
+
+    names: id, title. All ask at once, first with their rank among equal titles; where a slug is
+    asked for twice the smaller id gets it, the other one and those behind it of its title ask for
+    later numbers, until every slug is unique."""
+    w = Window.partitionBy("base").orderBy("id")
+    rows = names.select("id", fn.slug(F.col("title")).alias("base")).withColumn("n", F.row_number().over(w) - 1)
+    while True:
+        asked = written(rows.withColumn("slug", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string")))), "slugs")
+        twice = asked.groupBy("slug").agg(F.min("id").alias("holder"), F.count("*").alias("askers")).where("askers > 1").drop("askers")
+        if twice.isEmpty():
+            return asked.select("id", "slug")
+        later = asked.join(twice, "slug", "left").withColumn("n", F.col("n") + F.when(F.col("holder") != F.col("id"), 1).otherwise(0))
+        rank = F.row_number().over(w) - 1
+        rows = later.withColumn("rank", rank).withColumn("n", F.col("rank") + F.max(F.col("n") - F.col("rank")).over(w)).select("id", "base", "n")
 
 
 def invitation_valid(status, expires, email, user_email, now):

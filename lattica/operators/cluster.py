@@ -1,4 +1,4 @@
-"""Hierarchical clusters: directory buckets, Louvain splits, merges and absorption."""
+"""Hierarchical clusters: directory buckets, merges, community splits, reassignment and absorption."""
 
 from __future__ import annotations
 
@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from lattica import schemas as S
 from lattica.functions import scalar as fn
+from lattica.operators import vectors as vec
 from lattica.operators.edges import is_structural
-from lattica.session import ship
+from lattica.operators.graph import connected_components
+from lattica.session import ship, written
+
+PLACED = "node_id, member: a node placed by its vector, and the member of the new cluster that it is nearest to"
 
 
 def adaptive_buckets(files: DataFrame, large: int = S.MAX_CLUSTER_SIZE * 5) -> DataFrame:
@@ -26,50 +30,98 @@ def adaptive_buckets(files: DataFrame, large: int = S.MAX_CLUSTER_SIZE * 5) -> D
     return out.select("node_id", "bucket")
 
 
-def louvain(nodes: list, links: dict[tuple, float], resolution: float = 1.0) -> dict:
-    """Communities by modularity gain; nodes in order, ties to the smaller label, so always the same."""
-    groups = {v: {v} for v in nodes}
-    weights = {k: w for k, w in links.items() if w > 0}
-    while True:
-        adjacent: dict = defaultdict(dict)
-        degree: dict = defaultdict(float)
-        total = sum(weights.values())
+class _Weighted:
+    """An undirected weighted graph of groups of nodes, for community search."""
+
+    def __init__(self, groups: dict, weights: dict[tuple, float], resolution: float) -> None:
+        self.groups, self.weights, self.resolution = groups, weights, resolution
+        self.adjacent: dict = defaultdict(dict)
+        self.degree: dict = defaultdict(float)
+        self.total = sum(weights.values())
         for (a, b), w in weights.items():
-            degree[a] += w
-            degree[b] += w
+            self.degree[a] += w
+            self.degree[b] += w
             if a != b:
-                adjacent[a][b] = adjacent[a].get(b, 0) + w
-                adjacent[b][a] = adjacent[b].get(a, 0) + w
-        label = {v: v for v in groups}
-        inside = {v: degree[v] for v in groups}
-        moved = False
-        for _ in range(50):
+                self.adjacent[a][b] = self.adjacent[a].get(b, 0) + w
+                self.adjacent[b][a] = self.adjacent[b].get(a, 0) + w
+
+    def moved(self, label: dict, inside: dict | None = None) -> bool:
+        """Moves groups to the community with the greatest gain until none gains; whether any moved.
+
+        With `inside`, a group only joins communities of its own part, and only while it is alone."""
+        volume: dict = defaultdict(float)
+        count: dict = defaultdict(int)
+        for v, c in label.items():
+            volume[c] += self.degree[v]
+            count[c] += 1
+        ever, changed = False, bool(self.total)
+        while changed:  # every move raises the modularity, so this ends
             changed = False
-            for v in sorted(groups):
+            for v in sorted(self.groups):
                 own = label[v]
+                if inside is not None and count[own] > 1:
+                    continue
                 toward: dict = defaultdict(float)
-                for u, w in adjacent[v].items():
-                    toward[label[u]] += w
-                inside[own] -= degree[v]
-                gain = lambda c, v=v, toward=toward: toward.get(c, 0) - resolution * inside[c] * degree[v] / (2 * total)
-                best = min(sorted({own, *toward}), key=lambda c, g=gain, o=own: (-round(g(c), 12), c != o, c)) if total else own
-                inside[best] += degree[v]
+                for u, w in self.adjacent[v].items():
+                    if inside is None or inside[u] == inside[v]:
+                        toward[label[u]] += w
+                volume[own] -= self.degree[v]
+                gain = {c: round(toward.get(c, 0) - self.resolution * volume[c] * self.degree[v] / (2 * self.total), 12) for c in {own, *toward}}
+                best = min(gain, key=lambda c: (-gain[c], c != own, c))
+                volume[best] += self.degree[v]
                 if best != own:
-                    label[v], changed, moved = best, True, True
-            if not changed:
-                break
-        if not moved:
-            return {v: min(m) for m in groups.values() for v in m}
+                    label[v], changed, ever = best, True, True
+                    count[own] -= 1
+                    count[best] += 1
+        return ever
+
+    def joined(self, label: dict) -> tuple[_Weighted, dict]:
+        """The graph of the labels' groups, named after their smallest nodes, and each group's new name."""
         merged: dict = defaultdict(set)
-        for v, m in groups.items():
+        for v, m in self.groups.items():
             merged[label[v]] |= m
         names = {c: min(m) for c, m in merged.items()}
-        groups = {names[c]: m for c, m in merged.items()}
-        joined: dict = defaultdict(float)
-        for (a, b), w in weights.items():
-            x, y = sorted((names[label[a]], names[label[b]]))
-            joined[x, y] += w
-        weights = joined
+        weights: dict = defaultdict(float)
+        for (a, b), w in self.weights.items():
+            weights[tuple(sorted((names[label[a]], names[label[b]])))] += w
+        return _Weighted({names[c]: m for c, m in merged.items()}, weights, self.resolution), {v: names[label[v]] for v in self.groups}
+
+
+def communities(nodes: list, links: dict[tuple, float], resolution: float = 1.0, refine: bool = False) -> dict:
+    """Communities by modularity gain (Louvain); nodes in order, ties to the smaller label, so always the same.
+
+    With `refine` (Leiden), a community is taken apart into well-connected parts before the next
+    level, which starts from the community but can move the parts on their own."""
+    graph = _Weighted({v: {v} for v in nodes}, {k: w for k, w in links.items() if w > 0}, resolution)
+    start = {v: v for v in graph.groups}
+    while True:
+        label = dict(start)
+        moved = graph.moved(label)
+        if not moved and len(set(label.values())) == len(label):
+            break
+        parts = label
+        if refine:
+            parts = {v: v for v in graph.groups}
+            graph.moved(parts, label)
+        smaller, name = graph.joined(parts)
+        first: dict = {}
+        for v in sorted(graph.groups):
+            first.setdefault(label[v], name[v])
+        start = {name[v]: first[label[v]] for v in graph.groups}
+        if len(smaller.groups) == len(graph.groups):
+            graph, start = graph.joined(label)[0], None
+            start = {v: v for v in graph.groups}
+            continue
+        graph = smaller
+    return {v: min(m) for m in graph.groups.values() for v in m}
+
+
+def louvain(nodes: list, links: dict[tuple, float], resolution: float = 1.0) -> dict:
+    return communities(nodes, links, resolution)
+
+
+def leiden(nodes: list, links: dict[tuple, float], resolution: float = 1.0) -> dict:
+    return communities(nodes, links, resolution, refine=True)
 
 
 def split(nodes: list, links: dict[tuple, float], most: int, prefix: str, resolution: float = S.SPLIT_RESOLUTION) -> list[tuple[str, str | None, list]]:
@@ -80,7 +132,7 @@ def split(nodes: list, links: dict[tuple, float], most: int, prefix: str, resolu
     members = set(nodes)
     inner = {k: w for k, w in links.items() if k[0] in members and k[1] in members}
     found: dict = defaultdict(list)
-    for v, c in sorted(louvain(nodes, inner, resolution).items()) if inner else ():
+    for v, c in sorted(leiden(nodes, inner, resolution).items()) if inner else ():
         found[c].append(v)
     if len(found) <= 1:
         ordered = sorted(nodes)
@@ -121,38 +173,120 @@ def bucket_flows(buckets: DataFrame, edges: DataFrame) -> DataFrame:
     return j.select(F.explode(F.array(F.struct(F.col("sb").alias("a"), F.col("tb").alias("b")), F.struct(F.col("tb").alias("a"), F.col("sb").alias("b")))).alias("x"), "weight").groupBy("x.a", "x.b").agg(F.sum("weight").alias("w"))
 
 
-def _absorb(sizes: DataFrame, flows: DataFrame, small, home) -> DataFrame:
-    """bucket, target of small buckets: the heaviest neighbour, else the home that shares most leading
-    components, ties by name."""
-    s = sizes.where(small)
-    near = flows.join(s.select(F.col("bucket").alias("a")), "a").groupBy(F.col("a").alias("bucket")).agg(F.min_by("b", F.struct(-F.col("w"), F.col("b"))).alias("target"))
-    alone = s.join(near, "bucket", "left_anti").select("bucket", F.split("bucket", "/")[0].alias("top"))
-    others = sizes.where(home).select(F.col("bucket").alias("other"), F.split("bucket", "/")[0].alias("top"))
-    by_dir = alone.join(others, "top").where("other <> bucket").groupBy("bucket").agg(F.min_by("other", F.struct(-fn.same_components(F.col("bucket"), F.col("other")), F.col("other"))).alias("target"))
-    return near.unionByName(by_dir)
+def _heaviest(small: DataFrame, flows: DataFrame) -> DataFrame:
+    """bucket, target: the neighbour with the greatest weight, ties by name."""
+    return flows.join(small.select(F.col("bucket").alias("a")), "a").groupBy(F.col("a").alias("bucket")).agg(F.min_by("b", F.struct(-F.col("w"), F.col("b"))).alias("target"))
+
+
+def closest_directory(small: DataFrame, every: DataFrame) -> DataFrame:
+    """bucket, target: the other bucket with most components equal at the same place, ties by name.
+
+    Both: bucket. Components are joined with their places; where none is shared, the first other
+    bucket by name is the target."""
+    places = lambda d, n: d.select(F.col("bucket").alias(n), F.posexplode(F.split("bucket", "/")).alias("i", "part"))
+    shared = places(small, "bucket").join(places(every, "other"), ["i", "part"]).where("bucket <> other").groupBy("bucket", "other").agg(F.count("*").alias("n"))
+    best = shared.groupBy("bucket").agg(F.min_by("other", F.struct(-F.col("n"), F.col("other"))).alias("target"))
+    ends = every.orderBy("bucket").limit(2).agg(F.array_sort(F.collect_list("bucket")).alias("first"))
+    alone = small.select("bucket").join(best, "bucket", "left_anti").crossJoin(F.broadcast(ends))
+    other = F.when(F.get("first", F.lit(0)) != F.col("bucket"), F.get("first", F.lit(0))).otherwise(F.get("first", F.lit(1)))
+    return best.unionByName(alone.select("bucket", other.alias("target")).where("target is not null"))
+
+
+def _by_vectors(small: DataFrame, homes: DataFrame, buckets: DataFrame, vectors: DataFrame) -> DataFrame:
+    """bucket, target: the home whose centroid is nearest to the bucket's; nothing for buckets without vectors."""
+    held = buckets.join(vectors, "node_id").select("bucket", "v")
+    c = vec.centroids(held, "bucket")
+    homes_c = c.join(homes.select("bucket"), "bucket", "left_semi")
+    asked = c.join(small.select("bucket"), "bucket", "left_semi").select(F.col("bucket").alias("id"), F.col("centroid").alias("v"))
+    # a bucket is its own nearest one: for each, the best of the others counts
+    pairs = vec.nearest_member(asked.withColumn("grp", F.lit(0)), homes_c.select(F.col("bucket").alias("id"), F.lit(0).alias("grp"), F.col("centroid").alias("v")))
+    return pairs.select(F.col("id").alias("bucket"), F.col("best").alias("target"))
+
+
+def _nearest_in(placed: DataFrame, members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """node_id, member of nodes that a vector has placed; placed: node_id, target; members: node_id, bucket."""
+    q = placed.join(vectors, "node_id").select(F.col("node_id").alias("id"), F.col("target").alias("grp"), "v")
+    m = members.join(vectors, "node_id").select(F.col("node_id").alias("id"), F.col("bucket").alias("grp"), "v")
+    return vec.nearest_member(q, m).select(F.col("id").alias("node_id"), F.col("best").alias("member"))
+
+
+def semantic_edges(placed: DataFrame, existing: DataFrame) -> DataFrame:
+    """SEMANTIC_SIMILARITY edges from placed nodes to their nearest members, where no edge is yet."""
+    from lattica.operators.infer import PAIR, synthetic
+
+    pairs = placed.select(F.col("node_id").alias("source_id"), F.col("member").alias("target_id")).distinct()
+    return synthetic(pairs.join(existing.select(PAIR), PAIR, "left_anti"), "SEMANTIC_SIMILARITY", S.SEMANTIC_WEIGHT)
+
+
+def merged_small(buckets: DataFrame, edges: DataFrame, least: int = S.MIN_CLUSTER_SIZE, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """node_id, bucket once no bucket is under `least` nodes while there is another one; and what vectors have placed.
+
+    A small bucket joins its heaviest neighbour, else the one with the nearest centroid (vectors:
+    node_id, v), else the closest directory. All small buckets choose at once; those that choose
+    each other or form a chain become one (components of the choices), named after its largest
+    bucket. This is repeated until nothing changes: every round at least halves the small ones."""
+    placed = None
+    while True:
+        buckets = written(buckets.select("node_id", "bucket"), "buckets")
+        sizes = written(buckets.groupBy("bucket").agg(F.count("*").alias("n")), "sizes")
+        small = sizes.where(F.col("n") < least).select("bucket")
+        if small.isEmpty() or sizes.limit(2).count() < 2:
+            return buckets, placed
+        chosen = _heaviest(small, bucket_flows(buckets, edges))
+        rest = small.join(chosen, "bucket", "left_anti")
+        if vectors is not None:
+            near = written(_by_vectors(rest, sizes, buckets, vectors), "near")
+            fresh = _nearest_in(buckets.join(near, "bucket").select("node_id", "target"), buckets, vectors)
+            placed = written(fresh if placed is None else placed.unionByName(fresh), "placed")
+            chosen, rest = chosen.unionByName(near), rest.join(near, "bucket", "left_anti")
+        chosen = written(chosen.unionByName(closest_directory(rest, sizes)), "chosen")
+        groups = connected_components(chosen, "bucket", "target").withColumnRenamed("node", "bucket")
+        names = groups.join(sizes, "bucket").groupBy("component").agg(F.min_by("bucket", F.struct(-F.col("n"), F.col("bucket"))).alias("into"))
+        buckets = buckets.join(groups.join(names, "component").select("bucket", "into"), "bucket", "left").select("node_id", F.coalesce("into", "bucket").alias("bucket"))
 
 
 def merge_small(buckets: DataFrame, edges: DataFrame, least: int = S.MIN_CLUSTER_SIZE) -> DataFrame:
-    """node_id, bucket once buckets under `least` nodes have joined their heaviest neighbour.
+    """node_id, bucket as of `merged_small`, without vectors."""
+    return merged_small(buckets, edges, least)[0]
 
-    All small buckets choose at once; those that choose each other or form a chain become one
-    (components of the choices), named after its largest bucket."""
-    from lattica.operators.graph import connected_components
 
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
-    chosen = _absorb(sizes, bucket_flows(buckets, edges), F.col("n") < least, F.lit(True))
-    groups = connected_components(chosen, "bucket", "target").withColumnRenamed("node", "bucket")
-    names = groups.join(sizes, "bucket").groupBy("component").agg(F.min_by("bucket", F.struct(-F.col("n"), F.col("bucket"))).alias("into"))
-    return buckets.join(groups.join(names, "component").select("bucket", "into"), "bucket", "left").select("node_id", F.coalesce("into", "bucket").alias("bucket"))
+def reassigned(heads: DataFrame, members: DataFrame, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """members (node_id, bucket) and the heads: each in the cluster with the nearest centroid, or in one of its own.
 
+    heads: node_id. Also gives what vectors have placed."""
+    own = heads.select("node_id", F.concat(F.lit("head/"), F.col("node_id").cast("string")).alias("bucket"))
+    if vectors is None:
+        return members.unionByName(own), None
+    c = vec.centroids(members.join(vectors, "node_id").select("bucket", "v"), "bucket")
+    found = vec.nearest_centroid(heads.join(vectors, "node_id").select(F.col("node_id").alias("id"), "v"), c, "bucket").select(F.col("id").alias("node_id"), F.col("best").alias("target"))
+    placed = _nearest_in(found, members, vectors)
+    home = own.join(found, "node_id", "left").select("node_id", F.coalesce("target", "bucket").alias("bucket"))
+    return members.unionByName(home), placed
 
-def absorb_singletons(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """node_id, bucket once clusters of one node have joined the cluster of several they are tied to most."""
+
+def absorbed(members: DataFrame, edges: DataFrame, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """node_id, bucket once clusters of one node have joined a cluster of several, and what vectors have placed.
+
+    A single node joins the cluster that it has most structural weight with, else the one with the
+    nearest centroid; without either it stays alone."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    several = sizes.where("n > 1").select(F.col("bucket").alias("b"))
-    flows = bucket_flows(members, edges).join(several, "b")
-    chosen = _absorb(sizes, flows, F.col("n") == 1, F.col("n") > 1)
-    return members.join(chosen, "bucket", "left").select("node_id", F.coalesce("target", "bucket").alias("bucket"))
+    several = sizes.where("n > 1").select("bucket")
+    single = sizes.where("n = 1").select("bucket")
+    chosen = _heaviest(single, bucket_flows(members, edges).join(several.toDF("b"), "b"))
+    placed = None
+    if vectors is not None:
+        rest = members.join(single.join(chosen, "bucket", "left_anti"), "bucket").join(vectors, "node_id")
+        c = vec.centroids(members.join(several, "bucket").join(vectors, "node_id").select("bucket", "v"), "bucket")
+        near = vec.nearest_centroid(rest.select(F.col("node_id").alias("id"), "v"), c, "bucket")
+        near = near.join(rest.select(F.col("node_id").alias("id"), "bucket"), "id").select("id", "bucket", F.col("best").alias("target"))
+        placed = _nearest_in(near.select(F.col("id").alias("node_id"), "target"), members, vectors)
+        chosen = chosen.unionByName(near.select("bucket", "target"))
+    return members.join(chosen, "bucket", "left").select("node_id", F.coalesce("target", "bucket").alias("bucket")), placed
+
+
+def absorb_singletons(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, bucket as of `absorbed`, without vectors."""
+    return absorbed(members, edges)[0]
 
 
 def leaves(membership: DataFrame) -> DataFrame:

@@ -17,6 +17,12 @@ def layer_words(tokens: DataFrame, share: float = S.LAYER_WORD_SHARE) -> DataFra
     return df.crossJoin(F.broadcast(n)).where(F.col("files") / F.col("n") >= share).select("token", "files")
 
 
+def layer_word_set(tokens: DataFrame) -> DataFrame:
+    """token: the words that name layers, by their share of the files or by custom."""
+    custom = tokens.sparkSession.createDataFrame([(w,) for w in sorted(set(S.LAYER_WORDS))], "token string")
+    return layer_words(tokens).select("token").unionByName(custom).distinct()
+
+
 def token_classes(tokens: DataFrame) -> DataFrame:
     """token, files, kind: common words, and the recurring words that can name a domain of their own."""
     known = sorted({w for ws in S.LEXICON.values() for w in ws.split()})

@@ -28,13 +28,52 @@ def delta_document(delta: DataFrame, prev: DataFrame, new: DataFrame) -> DataFra
     return c.crossJoin(d)
 
 
-def ownership(lines: DataFrame) -> DataFrame:
-    """path, author, lines, percentage, is_primary; lines: path, author (one row a line, null: unattributed)."""
-    per = lines.where("author is not null").groupBy("path", "author").agg(F.count("*").alias("lines"))
+def ownership(lines: DataFrame, keys: tuple[str, ...] = ("author",)) -> DataFrame:
+    """path, keys, lines, percentage, is_primary; lines: path and the columns that name an author
+    (e.g. author and email), a row for each line; unattributed ones have a null in the first."""
+    per = lines.where(F.col(keys[0]).isNotNull()).groupBy("path", *keys).agg(F.count("*").alias("lines"))
     w = Window.partitionBy("path")
     share = F.col("lines") * 100.0 / F.sum("lines").over(w)
-    first = F.row_number().over(w.orderBy(F.desc("lines"), "author")) == 1
-    return per.select("path", "author", "lines", fn.half_up(share, 1).alias("percentage"), first.alias("is_primary"))
+    first = F.row_number().over(w.orderBy(F.desc("lines"), *keys)) == 1
+    return per.select("path", *keys, "lines", fn.half_up(share, 1).alias("percentage"), first.alias("is_primary"))
+
+
+def ownership_totals(lines: DataFrame, keys: tuple[str, ...] = ("author",)) -> DataFrame:
+    """keys, lines, files, percentage over all paths."""
+    known = lines.where(F.col(keys[0]).isNotNull())
+    per = known.groupBy(*keys).agg(F.count("*").alias("lines"), F.countDistinct("path").alias("files"))
+    return per.crossJoin(F.broadcast(known.agg(F.count("*").alias("all")))).select(*keys, "lines", "files", fn.half_up(F.col("lines") * 100.0 / F.col("all"), 1).alias("percentage"))
+
+
+def revision_created(revisions: DataFrame, asked: DataFrame) -> DataFrame:
+    """The new rows of revisions: numbered from the largest, with the edits of the one that they copy.
+
+    revisions: project_id, snapshot_id, number, removed, added; asked: project_id, snapshot_id,
+    copy_from (null: none). A copy of a revision that the snapshot lacks is no row."""
+    keys = ["project_id", "snapshot_id"]
+    numbered = asked.join(next_numbers(revisions, keys, "number"), keys, "left").withColumn("number", F.coalesce("next_number", F.lit(1)))
+    source = revisions.select(*keys, F.col("number").alias("copy_from"), "removed", "added", F.lit(True).alias("known"))
+    found = numbered.join(source, [*keys, "copy_from"], "left").where("copy_from is null or known")
+    none = lambda c: F.coalesce(c, F.array().cast(revisions.schema[c].dataType))
+    return found.select(*keys, "number", none("removed").alias("removed"), none("added").alias("added"))
+
+
+def revision_changed(revisions: DataFrame, changes: DataFrame) -> DataFrame:
+    """revisions with the lists that changes name; changes: keys, removed, added, deleted."""
+    keys = ["project_id", "snapshot_id", "number"]
+    j = revisions.join(changes.select(*keys, F.col("removed").alias("r"), F.col("added").alias("a"), "deleted"), keys, "left").where("not coalesce(deleted, false)")
+    return j.select(*keys, F.coalesce("r", "removed").alias("removed"), F.coalesce("a", "added").alias("added"))
+
+
+def in_order(rows: DataFrame, key: str, order: list[str], newest_first: bool = False) -> DataFrame:
+    """rows with place, their number under their key: how notes and revisions are listed."""
+    by = [F.desc(c) if newest_first else F.asc(c) for c in order]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*by)))
+
+
+def overrides_of(overrides: DataFrame, snapshot_id: str) -> DataFrame:
+    """The overrides of one snapshot, by path."""
+    return overrides.where(F.col("snapshot_id") == snapshot_id).orderBy("path")
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -50,16 +50,18 @@ def layout_edges(files: DataFrame, layouts: DataFrame) -> DataFrame:
 def url_pairs(clients: DataFrame, servers: DataFrame) -> DataFrame:
     """client, server, url of client addresses that a server's route matches, `*` being any segment.
 
-    Both have id and url. Joined on the segment count and on the first segment, where a `*` there
-    stands for every first segment of the other side; the rest is a residual."""
-    keyed = lambda d, n: d.where("url is not null").select(F.col("id").alias(n), F.col("url").alias(f"{n}_url"), F.size(fn.segments(F.col("url"))).alias("arity"), F.coalesce(F.get(fn.segments(F.col("url")), F.lit(0)), F.lit("")).alias("head"))
-    c, s = keyed(clients, "client"), keyed(servers, "server")
-    match = fn.urls_match(F.col("client_url"), F.col("server_url"))
-    exact = c.where("head <> '*'").join(s.where("head <> '*'"), ["arity", "head"])
-    wild_c = c.where("head = '*'").drop("head").join(s.drop("head"), "arity")
-    wild_s = c.where("head <> '*'").drop("head").join(s.where("head = '*'").drop("head"), "arity")
-    cols = ["client", "server", "client_url", "server_url"]
-    return exact.select(cols).unionByName(wild_c.select(cols)).unionByName(wild_s.select(cols)).where(match).select("client", "server", F.col("server_url").alias("url"))
+    Both have id and url. Joined on the number of segments and on the place and text of the route's
+    last segment that isn't `*`; a client has a key for each of its segments, so a pair meets once.
+    Routes of nothing but `*` are joined on the number alone. The rest is a residual."""
+    known = lambda d, n: d.where("url is not null").select(F.col("id").alias(n), F.col("url").alias(f"{n}_url"), fn.segments(F.col("url")).alias("s")).withColumn("arity", F.size("s"))
+    places = F.transform("s", lambda x, i: F.struct(i.alias("at"), x.alias("part")))
+    free = F.array(F.struct(F.lit(-1).alias("at"), F.lit("").alias("part")))
+    c = known(clients, "client").select("client", "client_url", "arity", F.explode(F.concat(free, places)).alias("k")).select("client", "client_url", "arity", "k.*")
+    plain = F.filter(places, lambda x: x["part"] != "*")
+    last = F.try_element_at(plain, F.lit(-1))
+    keys = F.when(F.size(plain) > 0, F.array(last, F.struct(last["at"].alias("at"), F.lit("*").alias("part")))).otherwise(free)
+    s = known(servers, "server").select("server", "server_url", "arity", F.explode(keys).alias("k")).select("server", "server_url", "arity", "k.*")
+    return c.join(s, ["arity", "at", "part"]).where(fn.urls_match(F.col("client_url"), F.col("server_url"))).select("client", "server", F.col("server_url").alias("url"))
 
 
 def event_pairs(emitters: DataFrame, listeners: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import scalar as fn
-from lattica.operators.analytics import auto_titles, chunks, top_members
+from lattica.operators.analytics import auto_titles, top_members
 from lattica.session import ship
+from lattica.sources.code import registry
 
 BATCH = 8
 ANSWER = "struct<cluster_id:string,title:string,summary:string>"
@@ -28,27 +29,33 @@ def prompts(nodes: DataFrame, by: str = "cluster_id") -> DataFrame:
     top = top_members(nodes).join(nodes.select(by, "canonical_path", "text_summary"), [by, "canonical_path"])
     line = F.concat(F.lit("- "), "canonical_path", F.lit(": "), F.coalesce(F.substring("text_summary", 1, 100), F.lit("")))
     per = top.withColumn("line", line).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"]), "\n").alias("lines"))
-    numbered = chunks(per.withColumn("all", F.lit(1)), ["all"], [by], BATCH)
+    ids = registry(per.select(F.col(by).cast("string").alias("canonical_path"))).select(F.col("canonical_path").alias(by), F.floor(F.col("node_id") / BATCH).alias("chunk"))
+    numbered = per.join(ids, by)
     text = F.concat(F.lit("Cluster "), by, F.lit(":\n"), "lines")
     joined = numbered.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("c"), text.alias("t")))).alias("x"))
     return joined.select(F.col("chunk").alias("batch"), F.concat(F.lit("Answer with a JSON array of objects with cluster_id, title and summary.\n\n"), F.array_join(F.transform("x", lambda s: s["t"]), "\n\n")).alias("prompt"))
 
 
 def answered(asked: DataFrame, model: Callable[[str], str | None], ddl: str) -> DataFrame:
-    """Rows of the JSON arrays that a model returns; a failed call gives none."""
+    """Rows of the JSON arrays that a model returns, asked one prompt after the other.
+
+    A failed call gives none, and no more calls are made after it: a provider that fails has already
+    been tried again by its own client. The prompts are few, and one task asks them in order."""
     ship(asked.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed = False
         for f in frames:
             out = []
             for p in f["prompt"]:
                 try:
-                    out.append(model(p))
+                    out.append(None if failed else model(p))
                 except Exception:  # a provider's failure is answered by the fallback
+                    failed = True
                     out.append(None)
             yield pd.DataFrame({"answer": out})
 
-    return asked.select("prompt").mapInPandas(run, "answer string").select(F.explode(fn.json_array(F.col("answer"), ddl)).alias("a")).select("a.*")
+    return asked.orderBy("batch").select("prompt").coalesce(1).mapInPandas(run, "answer string").select(F.explode(fn.json_array(F.col("answer"), ddl)).alias("a")).select("a.*")
 
 
 def label_clusters(nodes: DataFrame, model: Callable[[str], str | None] | None = None) -> DataFrame:

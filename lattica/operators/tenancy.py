@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.analytics import at_least
+from lattica.operators.analytics import at_least, invitation_valid
 
 
 def members_with_profiles(members: DataFrame, users: DataFrame) -> DataFrame:
@@ -53,3 +53,14 @@ def deletable_notes(notes: DataFrame, members: DataFrame, user_id: int) -> DataF
     """Notes that a user may delete: their own, or all in projects where they rank ADMIN or higher."""
     role = members.where(F.col("user_id") == user_id).select("project_id", "role")
     return notes.join(role, "project_id", "left").where((F.col("author_id") == user_id) | at_least(F.col("role"), "ADMIN")).drop("role")
+
+
+def accepted(invitations: DataFrame, asked: DataFrame, now) -> DataFrame:
+    """Each request to accept with its outcome, and the role that an accepted one brings.
+
+    invitations: invitation_id, org_id, email, role, status, expires_at; asked: invitation_id, user_id, email."""
+    j = asked.withColumnRenamed("email", "user_email").join(invitations, "invitation_id", "left")
+    good = invitation_valid(F.col("status"), F.col("expires_at"), F.col("email"), F.col("user_email"), now)
+    result = F.when(F.col("status").isNull(), "NOT_FOUND").when(good, "ACCEPTED").when(F.col("status") != "PENDING", "CLOSED").when(F.col("expires_at") < now, "EXPIRED").otherwise("FORBIDDEN")
+    out = j.withColumn("result", result)
+    return out.select("invitation_id", "user_id", "org_id", "result", F.when(F.col("result") == "ACCEPTED", F.col("role")).alias("role"))

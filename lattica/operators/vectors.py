@@ -1,11 +1,34 @@
-"""Vectors of files and clusters: centroids and nearest neighbours."""
+"""Vectors of files and clusters: embedding, centroids and nearest neighbours."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import scalar as fn
+from lattica.session import ship
+
+BROADCAST_BYTES = 32 << 20  # of centroids, counted before they are broadcast
+BLOCK = 2048  # vectors of a side that meet in one task beyond that
+
+
+def embedded(texts: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
+    """id, v: the vector that a model gives each text (null: empty); texts: id, text.
+
+    The model is any function from texts to vectors, called with `batch` texts at a time."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, batch):
+                part = b.slice(i, batch)
+                vectors = model([t or "" for t in part["text"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float64()))], ["id", "v"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, v array<double>")
 
 
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
@@ -15,21 +38,40 @@ def centroids(vectors: DataFrame, by: str) -> DataFrame:
     return mean.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def nearest_centroid(vectors: DataFrame, centers: DataFrame, by: str, bound: int = 100_000) -> DataFrame:
+def _slices(n, size: int):
+    return F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+
+
+def _slice(key, slices):
+    return F.pmod(F.xxhash64(key), slices).cast("int")
+
+
+def nearest_centroid(vectors: DataFrame, centers: DataFrame, by: str, bound: int = BROADCAST_BYTES, block: int = BLOCK) -> DataFrame:
     """id, best, similarity: the centroid with the greatest cosine, ties to the smaller name.
 
-    Centers are few (one for each cluster); they are broadcast only below `bound` rows."""
+    Centroids of up to `bound` bytes in all are broadcast. More are dealt into blocks, as are the
+    vectors, and every block meets every other one; the best of a vector is aggregated."""
     c = centers.select(F.col(by).alias("best"), "centroid")
-    small = c.limit(bound + 1).count() <= bound
-    pairs = vectors.crossJoin(F.broadcast(c) if small else c)
+    size = c.agg(F.count("*").alias("n"), F.sum(F.size("centroid") * F.lit(8) + F.lit(64)).alias("bytes")).first()
     sim = fn.cosine(F.col("v"), F.col("centroid"))
+    if (size["bytes"] or 0) <= bound:
+        pairs = vectors.select("id", "v").crossJoin(F.broadcast(c))
+    else:
+        across, down = (F.lit(max(1, -(-n // block))) for n in (size["n"], vectors.count()))
+        q = vectors.select("id", "v", _slice("id", down).alias("y"), F.explode(F.sequence(F.lit(0), across - 1)).alias("x"))
+        pairs = q.join(c.select("best", "centroid", _slice("best", across).alias("x"), F.explode(F.sequence(F.lit(0), down - 1)).alias("y")), ["x", "y"])
     return pairs.withColumn("s", sim).groupBy("id").agg(F.min_by(F.struct("best", "s"), F.struct(-F.col("s"), F.col("best"))).alias("r")).select("id", "r.best", F.col("r.s").alias("similarity"))
 
 
-def nearest_member(queries: DataFrame, members: DataFrame) -> DataFrame:
+def nearest_member(queries: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
     """id, best, similarity: the nearest other member of the same group, ties to the smaller id.
 
-    Both: id, grp, v. An equi-join on the group."""
-    m = members.select("grp", F.col("id").alias("best"), F.col("v").alias("w"))
-    pairs = queries.join(m, "grp").where("id <> best").withColumn("s", fn.cosine(F.col("v"), F.col("w")))
+    Both: id, grp, v. An equi-join on the group and a pair of slices, so that a large group's pairs
+    are dealt out; of each vector the best is aggregated."""
+    asked = queries.groupBy("grp").agg(_slices(F.count("*"), block).alias("down"))
+    held = members.groupBy("grp").agg(_slices(F.count("*"), block).alias("across"))
+    sizes = asked.join(held, "grp")
+    q = queries.join(sizes, "grp").select("grp", "id", "v", _slice("id", F.col("down")).alias("y"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"))
+    m = members.join(sizes, "grp").select("grp", F.col("id").alias("best"), F.col("v").alias("w"), _slice("id", F.col("across")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"))
+    pairs = q.join(m, ["grp", "x", "y"]).where("id <> best").withColumn("s", fn.cosine(F.col("v"), F.col("w")))
     return pairs.groupBy("id").agg(F.min_by(F.struct("best", "s"), F.struct(-F.col("s"), F.col("best"))).alias("r")).select("id", "r.best", F.col("r.s").alias("similarity"))

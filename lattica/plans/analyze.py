@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lattica import schemas as S
 from lattica.functions import scalar as fn
 from lattica.operators import analytics, cluster, domains, edges, infer, resolve
+from lattica.operators import vectors as vec
 from lattica.session import written
 from lattica.sources import code
 
@@ -82,8 +83,10 @@ def bound(files: DataFrame, every: DataFrame, ids: DataFrame) -> DataFrame:
     return e.select("canonical_path", F.explode(F.array_union(F.array("binding"), "called_names")).alias("name"), "target").groupBy("canonical_path", "name").agg(F.min("target").alias("target"))
 
 
-def analyze(spark: SparkSession, root: str, progress: Callable[[str, int], None] | None = None) -> Analysis:
-    """Crawl, extract, resolve, infer, cluster, name and rank; admin files get a cluster of their own."""
+def analyze(spark: SparkSession, root: str, progress: Callable[[str, int], None] | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None) -> Analysis:
+    """Crawl, extract, resolve, infer, cluster, name and rank; admin files get a cluster of their own.
+
+    embed gives texts their vectors; without it files are placed by edges and directories alone."""
     tell = progress or (lambda stage, percent: None)
     tell("crawl", 0)
     found = written(code.crawl(spark, root), "files")
@@ -105,12 +108,18 @@ def analyze(spark: SparkSession, root: str, progress: Callable[[str, int], None]
     merged = written(edges.boost_tests(edges.merge_edges(app_edges, ["seq"]), app), "merged")
     shared = written(edges.shared_dependencies(app, merged), "shared")
     rest, kept = edges.without_shared(app, merged)
-    heads = written(edges.orchestrators(app, merged), "heads")
-    inner = kept.join(heads.select(F.col("node_id").alias("source_id")), "source_id", "left_anti")
-    members = cluster.merge_small(cluster.adaptive_buckets(rest), inner)
-    members = written(cluster.absorb_singletons(members, inner), "members")
-    tree = written(cluster.split_buckets(members, inner), "tree")
-    where = cluster.leaves(tree).unionByName(shared.select("node_id", F.lit(S.INFRA_CLUSTERS[0]).alias("cluster_id"))).unionByName(admin.select("node_id", F.lit(S.INFRA_CLUSTERS[1]).alias("cluster_id")))
+    heads = written(edges.orchestrators(app, merged).select("node_id"), "heads")
+    seeds = rest.join(heads, "node_id", "left_anti")
+    vectors = None if embed is None else written(vec.embedded(base.select(F.col("node_id").alias("id"), F.col("text_summary").alias("text")), embed).withColumnRenamed("id", "node_id"), "vectors")
+    # merge, split, give the heads a place, then absorb single nodes, also those that the split made
+    members, merged_by = cluster.merged_small(cluster.adaptive_buckets(seeds), edges.between(kept, seeds), vectors=vectors)
+    tree = written(cluster.split_buckets(members, kept), "tree")
+    found, headed_by = cluster.reassigned(heads, cluster.leaves(tree).withColumnRenamed("cluster_id", "bucket"), vectors)
+    found, absorbed_by = cluster.absorbed(written(found, "found"), kept, vectors)
+    for placed_by in (merged_by, headed_by, absorbed_by):
+        if placed_by is not None:
+            every = written(every.unionByName(cluster.semantic_edges(placed_by, every).withColumn("seq", F.lit(5 << 20).cast("long")), allowMissingColumns=True), "edges")
+    where = found.withColumnRenamed("bucket", "cluster_id").unionByName(shared.select("node_id", F.lit(S.INFRA_CLUSTERS[0]).alias("cluster_id"))).unionByName(admin.select("node_id", F.lit(S.INFRA_CLUSTERS[1]).alias("cluster_id")))
     placed = base.join(where, "node_id").join(shared.select("node_id", "is_god_file", "centrality_score", "execution_role"), "node_id", "left").na.fill(0.0, ["centrality_score"]).na.fill(False, ["is_god_file"])
     placed = written(placed.drop("execution_role").join(edges.local_roles(placed, merged).select("node_id", "execution_role"), "node_id"), "placed")
     tell("domains", 80)

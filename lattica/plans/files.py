@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from lattica import schemas as S
 from lattica.functions import scalar as fn
 from lattica.operators import domains, infer, resolve
+from lattica.plans import analyze
 from lattica.plans import views as v
 from lattica.plans.registry import query
+from lattica.sources import code
 
 
 def _tok(x: str, least: int, stop: bool) -> str:
@@ -82,17 +84,8 @@ def _tier():
 _TIERS = "CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'PROMO' THEN 3 WHEN 'SMALL' THEN 4 END"
 
 
-@query(f", f AS (SELECT node_id, {_TIERS} AS tier, unnest(list_distinct(list_transform(string_split(p_name, ' '), lambda w: w || '-' || p_size || split_part(canonical_path, '/', 4)))) AS token FROM paths) SELECT a.node_id AS source_id, b.node_id AS target_id, string_agg(DISTINCT a.token, ',' ORDER BY a.token) AS called_names FROM f a JOIN f b ON a.token = b.token AND a.tier < b.tier GROUP BY 1, 2", "paths")
+@query(f", f AS (SELECT node_id, {_TIERS} AS tier, unnest(list_distinct(string_split(p_name, ' '))) AS token FROM paths) SELECT a.node_id AS source_id, b.node_id AS target_id, string_agg(DISTINCT a.token, ',' ORDER BY a.token) AS called_names FROM f a JOIN f b ON a.token = b.token AND a.tier < b.tier GROUP BY 1, 2", "paths")
 def naming_edges(t):
-    tier = _tier()
-    mark = F.concat(F.lit("-"), F.col("p_size"), F.split("canonical_path", "/")[3])
-    f = v.paths(t).select("node_id", tier.alias("tier"), F.array_distinct(F.transform(F.split("p_name", " "), lambda w: F.concat(w, mark))).alias("tokens"))
-    return infer.naming_edges(f).withColumn("called_names", F.array_join("called_names", ","))
-
-
-@query()
-def naming_edges_all(t):
-    """The plain words of every row: naming_edges and its SQL pair rows of one size and brand only."""
     f = v.paths(t).select("node_id", _tier().alias("tier"), F.array_distinct(F.split("p_name", " ")).alias("tokens"))
     return infer.naming_edges(f).withColumn("called_names", F.array_join("called_names", ","))
 
@@ -123,16 +116,8 @@ def sibling_edges(t):
     return infer.sibling_edges(v.paths(t).select("node_id", fn.parent(F.col("canonical_path")).alias("dir")))
 
 
-@query(f", l AS (SELECT min(node_id) AS layout_id, array_to_string(string_split(canonical_path, '/')[1:(2 + node_id % 2)], '/') AS dir FROM paths WHERE p_size <= 3 GROUP BY 2), f AS (SELECT node_id, {_DIRS} AS dir FROM paths), c AS (SELECT f.node_id, arg_max(layout_id, length(l.dir)) AS layout_id FROM f JOIN l ON starts_with(f.dir, l.dir || '/') GROUP BY 1) SELECT layout_id AS source_id, node_id AS target_id FROM c WHERE layout_id <> node_id", "paths")
+@query(f", l AS (SELECT min(node_id) AS layout_id, array_to_string(string_split(canonical_path, '/')[1:(2 + node_id % 2)], '/') AS dir FROM paths GROUP BY 2), f AS (SELECT node_id, string_split({_DIRS}, '/') AS d FROM paths), u AS (SELECT node_id, unnest(range(1, len(d))) AS n, d FROM f), c AS (SELECT u.node_id, arg_max(layout_id, n) AS layout_id FROM u JOIN l ON array_to_string(d[1:n], '/') = l.dir GROUP BY 1) SELECT layout_id AS source_id, node_id AS target_id FROM c WHERE layout_id <> node_id", "paths")
 def ancestor_layout(t):
-    p = F.split("canonical_path", "/")
-    l_ = v.paths(t).where("p_size <= 3").select("node_id", F.array_join(F.slice(p, F.lit(1), (2 + F.col("node_id") % 2).cast("int")), "/").alias("dir"))
-    return infer.layout_edges(v.paths(t).select("node_id", fn.parent(F.col("canonical_path")).alias("dir")), infer.first_of_directory(l_))
-
-
-@query()
-def ancestor_layout_all(t):
-    """Every row is a layout: ancestor_layout and its SQL take rows of a p_size of 3 and less."""
     p = F.split("canonical_path", "/")
     l_ = v.paths(t).select("node_id", F.array_join(F.slice(p, F.lit(1), (2 + F.col("node_id") % 2).cast("int")), "/").alias("dir"))
     return infer.layout_edges(v.paths(t).select("node_id", fn.parent(F.col("canonical_path")).alias("dir")), infer.first_of_directory(l_))
@@ -156,11 +141,29 @@ def classify_edge(t):
     return _classed(t).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("sources"))
 
 
-@query("SELECT o_custkey AS file, bool_and(NOT (used OR len(called) > 0)) AS is_dead, count(*)::BIGINT AS imports FROM (SELECT o_custkey, o_orderstatus = 'F' AS used, list_intersect([o_orderpriority], ['1-URGENT', '2-HIGH']) AS called FROM orders) GROUP BY 1")
+def _sources(t):
+    """A script for each part: it imports the next one, and calls something."""
+    k = F.col("p_partkey")
+    callee = F.when(k % 3 == 0, "dep.run").when(k % 3 == 1, "other").otherwise("hand")
+    text = F.concat(F.lit("import dep, { a as b"), k, F.lit(" } from './"), k + 1, F.lit("';\nconst g = \"image/*\"; // import x from './no'\n"), callee, F.lit("('ev."), "p_size", F.lit("', b"), k % 2 * k, F.lit(");\nexport const e"), k, F.lit(" = `t${x}/*`;"))
+    return t.part.select(F.concat(F.lit("lib/"), k, F.lit(".ts")).alias("canonical_path"), text.alias("source"))
+
+
+@query("""SELECT 'lib/' || p_partkey || '.ts' AS canonical_path, './' || (p_partkey + 1) AS import_path, 1 AS import_line, 'e' || p_partkey AS export_name, 4 AS export_line, 'dep' AS binding, 'b' || p_partkey AS named,
+CASE p_partkey % 3 WHEN 0 THEN 'dep.run' WHEN 1 THEN 'other' ELSE 'hand' END AS callee, 'ev.' || p_size AS first_string, 3 AS call_line, 'b' || (p_partkey % 2 * p_partkey) AS used FROM part""")
+def source_extract(t):
+    one = lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0)))  # noqa: E731  (more than one would be wrong)
+    x = code.extracted(_sources(t))
+    call, imported = one("calls"), one("raw_imports")
+    return x.select("canonical_path", imported["path"].alias("import_path"), imported["line"].alias("import_line"), one(F.map_keys("exports")).alias("export_name"), one(F.map_values("exports")).alias("export_line"), one(F.map_values("bindings")).alias("binding"), one(one(F.map_values("names"))).alias("named"), call["callee"].alias("callee"), infer.first_string(call["args"]).alias("first_string"), call["line"].alias("call_line"), one("ref_usages").alias("used"))
+
+
+@query("SELECT p_partkey AS source_id, p_partkey + 1 AS target_id, NOT (p_partkey % 3 = 0 OR p_partkey % 2 = 1) AS is_dead FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part)")
 def dead_imports(t):
-    called = F.array_intersect(F.array("o_orderpriority"), F.array(F.lit("1-URGENT"), F.lit("2-HIGH")))
-    dead = ~((F.col("o_orderstatus") == "F") | (F.size(called) > 0))
-    return t.orders.groupBy(F.col("o_custkey").alias("file")).agg(F.bool_and(dead).alias("is_dead"), F.count("*").alias("imports"))
+    registry = t.part.select(F.col("p_partkey").alias("node_id"), F.concat(F.lit("lib/"), "p_partkey", F.lit(".ts")).alias("canonical_path"))
+    none = t.spark.createDataFrame([], "scope string, alias string, dir string, ord int")
+    raw = analyze.raw_edges(code.extracted(_sources(t)), registry, none, t.spark.createDataFrame([], "package string, dir string"))
+    return raw.select("source_id", "target_id", F.col("is_dead_import").alias("is_dead"))
 
 
 def url_sql(x: str) -> str:
@@ -180,25 +183,16 @@ def join_url(t):
     return t.pages.select("page_id", fn.join_url(F.concat(F.lit("/api/"), "page_id", F.lit("//")), F.concat(F.lit("/"), F.regexp_extract("url", "[^/]*$", 0))).alias("url"))
 
 
-@query(f"""WITH u AS (SELECT page_id AS id, {url_sql('url')} AS url FROM pages), s AS (SELECT DISTINCT id, '/' || string_split(url, '/')[2] || '/*' AS url FROM u WHERE id % 10 = 0 UNION SELECT id, '/*/' || string_split(url, '/')[3] FROM u WHERE id % 10 = 1),
-c AS (SELECT id, url, list_filter(string_split(url, '/'), lambda x: x <> '') AS p FROM u), r AS (SELECT id, url, list_filter(string_split(url, '/'), lambda x: x <> '') AS p FROM s)
-SELECT r.id AS server, count(*)::BIGINT AS clients FROM c JOIN r ON len(c.p) = len(r.p) AND len(list_filter(list_zip(c.p, r.p), lambda z: NOT (z[1] = z[2] OR z[1] = '*' OR z[2] = '*'))) = 0 GROUP BY 1""")
+@query(f"""WITH u AS (SELECT page_id AS id, {url_sql('url')} AS url FROM pages), s AS (SELECT id, CASE WHEN id % 2 = 0 THEN '/' || string_split(url, '/')[2] || '/*' ELSE '/*/' || string_split(url, '/')[3] END AS url FROM u),
+c AS (SELECT url, count(*) AS n, list_filter(string_split(url, '/'), lambda x: x <> '') AS p FROM u GROUP BY 1), r AS (SELECT DISTINCT url, list_filter(string_split(url, '/'), lambda x: x <> '') AS p FROM s WHERE url IS NOT NULL),
+m AS (SELECT r.url, sum(c.n) AS clients FROM c JOIN r ON len(c.p) = len(r.p) AND len(list_filter(list_zip(c.p, r.p), lambda z: NOT (z[1] = z[2] OR z[1] = '*' OR z[2] = '*'))) = 0 GROUP BY 1)
+SELECT s.id AS server, clients::BIGINT AS clients FROM s JOIN m ON s.url = m.url""")
 def url_match_join(t):
-    u = t.pages.select(F.col("page_id").alias("id"), fn.normalize_url(F.col("url")).alias("url"))
-    p = F.split("url", "/")
-    s = u.where("id % 10 = 0").select("id", F.concat(F.lit("/"), p[1], F.lit("/*")).alias("url")).unionByName(u.where("id % 10 = 1").select("id", F.concat(F.lit("/*/"), F.get(p, F.lit(2))).alias("url")).where("url is not null"))
-    return infer.url_pairs(u, s.distinct()).groupBy("server").agg(F.count("*").alias("clients"))
-
-
-@query()
-def url_match_join_all(t):
-    """A route of every page: url_match_join and its SQL take two ids in ten.
-
-    Pages that share an address or a route are matched once and counted as often as they stand."""
+    """A route of every page. Pages that share an address or a route are matched once and counted as often as they stand."""
     u = t.pages.select(F.col("page_id").alias("id"), fn.normalize_url(F.col("url")).alias("url"))
     p = F.split("url", "/")
     route = F.when(F.col("id") % 2 == 0, F.concat(F.lit("/"), p[1], F.lit("/*"))).otherwise(F.concat(F.lit("/*/"), F.get(p, F.lit(2))))
-    s = u.select("id", route.alias("url")).where("url is not null").distinct()
+    s = u.select("id", route.alias("url")).where("url is not null")
     c = u.groupBy("url").agg(F.count("*").alias("n"))
     pairs = infer.url_pairs(c.select(F.col("url").alias("id"), "url"), s.select(F.col("url").alias("id"), "url").distinct())
     per_route = pairs.join(c.select(F.col("url").alias("client"), "n"), "client").groupBy("url").agg(F.sum("n").alias("clients"))
@@ -215,12 +209,6 @@ def page_url(t):
     return t.pages.select("page_id", fn.page_url(F.array_join(F.concat(F.array(F.lit("web"), F.lit("app")), d, F.array(name)), "/")).alias("url"))
 
 
-@query("SELECT page_id, len(x)::BIGINT AS links, list_count(list_distinct(x))::BIGINT AS targets, x[1] AS first_link FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS x FROM pages)")
-def link_extract(t):
-    x = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
-    return t.pages.select("page_id", F.size(x).cast("long").alias("links"), F.size(F.array_distinct(x)).cast("long").alias("targets"), F.get(x, F.lit(0)).alias("first_link"))
-
-
 _PKG = "CASE WHEN starts_with(s, '@') THEN array_to_string(string_split(s, '/')[1:2], '/') ELSE split_part(s, '/', 1) END"
 
 
@@ -231,16 +219,21 @@ def external_packages(t):
     return p.groupBy("page_id", "package").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'src/' || lower(p_type) || '/main.js' AS source_path, './' || p_brand || '/' || p_partkey AS spec,
-'src/' || lower(p_type) || '/' || p_brand || '/' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.ts' ELSE '.js' END AS resolved FROM part""")
+@query("""SELECT 'src/' || lower(p_type) || '/main.js' AS source_path, CASE p_partkey % 5 WHEN 3 THEN '@/' || p_partkey WHEN 4 THEN '@acme/kit/' || p_partkey ELSE './' || p_brand || '/' || p_partkey END AS spec,
+CASE p_partkey % 5 WHEN 3 THEN 'src/shared/' || p_partkey || '.ts' WHEN 4 THEN 'pkgs/kit/' || CASE WHEN p_partkey % 2 = 0 THEN 'src/' ELSE '' END || p_partkey || '.tsx'
+ELSE 'src/' || lower(p_type) || '/' || p_brand || '/' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.ts' ELSE '.js' END END AS resolved FROM part""")
 def resolve_probe(t):
+    """Relative imports, imports by an alias of the nearest configuration, and imports of a workspace package."""
     k, dir_ = F.col("p_partkey"), F.concat(F.lit("src/"), F.lower("p_type"))
     full = F.concat_ws("/", dir_, "p_brand", k.cast("string"))
     tails = F.when(k % 3 == 0, F.array(F.lit(".ts"), F.lit("/index.ts"))).when(k % 3 == 1, F.array(F.lit("/index.ts"), F.lit("/index.jsx"))).otherwise(F.array(F.lit(".js"), F.lit(".tsx")))
-    registry = t.part.select(F.explode(F.transform(tails, lambda x: F.concat(full, x))).alias("canonical_path"))
-    imports = t.part.select(F.concat(dir_, F.lit("/main.js")).alias("source_path"), F.concat(F.lit("./"), "p_brand", F.lit("/"), k.cast("string")).alias("spec"))
-    empty = t.spark.createDataFrame([], "scope string, alias string, dir string, ord int")
-    return resolve.resolve(imports, registry, empty, t.spark.createDataFrame([], "package string, dir string"))
+    shared = F.array(F.concat(F.lit("src/shared/"), k, F.lit(".ts")), F.concat(F.lit("web/"), k, F.lit(".ts")))
+    kit = F.array_compact(F.array(F.concat(F.lit("pkgs/kit/"), k, F.lit(".tsx")), F.when(k % 2 == 0, F.concat(F.lit("pkgs/kit/src/"), k, F.lit(".tsx")))))
+    registry = t.part.select(F.explode(F.when(k % 5 == 3, shared).when(k % 5 == 4, kit).otherwise(F.transform(tails, lambda x: F.concat(full, x)))).alias("canonical_path"))
+    spec = F.when(k % 5 == 3, F.concat(F.lit("@/"), k)).when(k % 5 == 4, F.concat(F.lit("@acme/kit/"), k)).otherwise(F.concat(F.lit("./"), "p_brand", F.lit("/"), k.cast("string")))
+    imports = t.part.select(F.concat(dir_, F.lit("/main.js")).alias("source_path"), spec.alias("spec"))
+    aliases = t.spark.createDataFrame([(".", "@", "web", 0), ("src", "@", "src/shared", 0), ("src", "@/", "web", 1)], "scope string, alias string, dir string, ord int")
+    return resolve.resolve(imports, registry, aliases, t.spark.createDataFrame([("@acme/kit", "pkgs/kit")], "package string, dir string"))
 
 
 @query("""WITH e AS (SELECT user_id, event_type, lower(event_type || ':' || value::INTEGER) AS event FROM events)
@@ -296,7 +289,15 @@ def name_seed(t):
     return domains.single_winner(domains.word_votes(v.paths(t).select("node_id", fn.tokenize(_named()).alias("tokens")), "node_id"), "node_id")
 
 
-@query()
+@query(f""", lex(domain, words) AS (VALUES {_LEX}), w AS (SELECT node_id, {_tok(_NAMES, 3, True)} AS tokens FROM paths), n AS (SELECT count(*) AS n FROM paths),
+df AS (SELECT token, count(*) AS files FROM (SELECT unnest(tokens) AS token FROM w) GROUP BY 1), common AS (SELECT token FROM df, n WHERE files / n > 0.6),
+emergent AS (SELECT token FROM df, n WHERE files / n <= 0.5 AND files >= 3 AND length(token) >= 4 AND token NOT IN ({_KNOWN}) ORDER BY files DESC, token DESC LIMIT 12),
+cl AS (SELECT coalesce(list(token), []) AS words FROM common), u AS (SELECT node_id, list_filter(tokens, lambda x: NOT list_contains(cl.words, x)) AS tokens FROM w, cl),
+k AS (SELECT *, rank() OVER (PARTITION BY node_id ORDER BY votes DESC) AS r FROM (SELECT node_id, domain, len(list_intersect(tokens, words)) AS votes FROM u, lex) WHERE votes > 0),
+nam AS (SELECT node_id, any_value(domain) AS w FROM k WHERE r = 1 GROUP BY 1 HAVING count(*) = 1), open AS (SELECT node_id, max(token) AS token FROM (SELECT node_id, unnest(tokens) AS token FROM u) WHERE token IN (SELECT token FROM emergent) GROUP BY 1 HAVING count(DISTINCT token) = 1),
+j AS (SELECT p.node_id, CASE p.node_id % 4 WHEN 0 THEN 'PAYMENTS' WHEN 1 THEN 'AUTHENTICATION' END AS d, w, token FROM paths p LEFT JOIN nam ON p.node_id = nam.node_id LEFT JOIN open ON p.node_id = open.node_id)
+SELECT node_id, coalesce(d, w, upper(token[1]) || lower(token[2:])) AS domain, CASE WHEN d = w THEN 0.95 WHEN d IS NOT NULL THEN 0.9 WHEN w IS NOT NULL THEN 0.75 ELSE 0.65 END::DOUBLE AS score,
+'seed:' || CASE WHEN d = w THEN 'dependency+name' WHEN d IS NOT NULL THEN 'dependency' WHEN w IS NOT NULL THEN 'name' ELSE 'name-emergent' END AS source FROM j WHERE coalesce(d, w, token) IS NOT NULL""", "paths")
 def seed_priority(t):
     n = v.paths(t).select("node_id", _named().alias("canonical_path"), F.when(F.col("node_id") % 4 == 0, F.array(F.lit("stripe"))).when(F.col("node_id") % 4 == 1, F.array(F.lit("bcrypt"), F.lit("lodash"))).alias("external_dependencies"))
     return domains.seeds(n)
@@ -347,7 +348,72 @@ def admin_partition(t):
     return t.part.groupBy(fn.is_admin(p).alias("is_admin")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, strlen(html)::BIGINT AS bytes, strlen(html) > 2000 AS truncated, contains(left(html, 1000), chr(0)) AS is_binary FROM pages")
+@query("SELECT CASE page_id % 3 WHEN 2 THEN 'a/../' ELSE 'a/' END || page_id || '.html' AS canonical_path, strlen(html) + (page_id % 4 = 0)::INTEGER AS bytes, strlen(html) > 2000 AND page_id % 4 <> 0 AS truncated, page_id % 4 = 0 AS is_binary, CASE WHEN page_id % 4 = 0 THEN 0 ELSE least(2000, strlen(html)) END AS head_bytes FROM pages WHERE page_id % 5 < 3".replace("strlen(html) + (page_id % 4 = 0)::INTEGER", "(strlen(html) + CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END)::BIGINT").replace("ELSE least(2000, strlen(html)) END", "ELSE least(2000, strlen(html)) END::INTEGER"))
 def preview_truncate(t):
-    b = F.encode("html", "UTF-8")
-    return t.pages.select("page_id", F.octet_length("html").cast("long").alias("bytes"), (F.octet_length("html") > 2000).alias("truncated"), F.contains(F.substring(b, 1, 8192), F.lit(b"\x00")).alias("is_binary"))
+    """Previews of pages; a fifth of the paths is absolute and a fifth escapes, every fourth file holds a zero byte."""
+    k = F.col("page_id")
+    path = F.when(k % 5 == 3, F.concat(F.lit("/etc/"), k)).when(k % 5 == 4, F.concat(F.lit("a/../../"), k)).otherwise(F.concat(F.when(k % 3 == 2, "a/../").otherwise("a/"), k, F.lit(".html")))
+    content = F.concat(F.when(k % 4 == 0, F.lit(b"\x00")).otherwise(F.lit(b"")), F.encode("html", "UTF-8"))
+    found = code.preview(t.pages.select(path.alias("canonical_path"), content.alias("content")), 2000, 1000)
+    return found.select("canonical_path", "bytes", "truncated", "is_binary", F.octet_length("head").alias("head_bytes"))
+
+
+@query("SELECT node_id, array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(translate(regexp_replace(p_name, ' ', 'Service-', 'g'), '-_', '..'), '[A-Z][a-z]+|[a-z]+'), lambda w: lower(w))), lambda w: length(w) >= 3 AND w NOT IN (" + _strings(" ".join(S.TIERS.values()).split()) + "))), ',') AS tokens FROM paths", "paths")
+def domain_tokens(t):
+    path = F.concat(F.lit("lib/"), F.regexp_replace("p_name", " ", "Service-"), F.lit(".ts"))
+    return v.paths(t).select("node_id", F.array_join(F.array_sort(fn.domain_tokens(path)), ",").alias("tokens"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/api/' || page_id % 9 % 2 WHEN 1 THEN '/api/x' || page_id WHEN 2 THEN '/s' || page_id || '/*' END AS url FROM pages".replace("'/api/' || page_id % 9 % 2", "'/api/*'"))
+def route_url(t):
+    k = F.col("page_id")
+    path = F.when(k % 4 == 0, F.concat(F.lit("web/pages/api/"), k, F.lit("/index.ts"))).when(k % 4 == 1, F.concat(F.lit("pages/api/X"), k, F.lit(".js"))).when(k % 4 == 2, F.concat(F.lit("web/app/(g)/@m/S"), k, F.lit("/[id]/route.ts"))).otherwise("src/route.css")
+    return t.pages.select("page_id", fn.route_url(path).alias("url"))
+
+
+_DIRS2 = "SELECT DISTINCT array_to_string(string_split(canonical_path, '/')[2:4], '/') AS bucket FROM paths"
+
+
+@query(f", b AS ({_DIRS2}), p AS (SELECT bucket, unnest(range(1, 1 + len(s))) AS i, unnest(s) AS part FROM (SELECT bucket, string_split(bucket, '/') AS s FROM b)), n AS (SELECT x.bucket, y.bucket AS other, count(*) AS n FROM p x JOIN p y ON x.i = y.i AND x.part = y.part AND x.bucket <> y.bucket GROUP BY 1, 2) SELECT bucket, arg_min(other, (-n, other)) AS target FROM n GROUP BY 1 UNION ALL SELECT bucket, (SELECT min(bucket) FROM b z WHERE z.bucket <> b.bucket) FROM b WHERE bucket NOT IN (SELECT bucket FROM n)", "paths")
+def closest_directory(t):
+    from lattica.operators.cluster import closest_directory as run
+
+    b = v.paths(t).select(F.array_join(F.slice(F.split("canonical_path", "/"), 2, 3), "/").alias("bucket")).distinct()
+    return run(b, b)
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'receiving' WHEN 'view' THEN 'resolving' WHEN 'purchase' THEN 'checkout' ELSE 'working' END AS stage FROM events")
+def clone_stage(t):
+    e = F.col("event_type")
+    title = F.when(e == "click", "Receiving objects").when(e == "view", "remote: Resolving deltas").when(e == "purchase", "Checking out files").otherwise("Updating")
+    return t.events.select("event_id", fn.clone_stage(title).alias("stage"))
+
+
+@query("SELECT 'lib/' || p_partkey || '.ts' AS canonical_path, CASE p_partkey % 3 WHEN 0 THEN '/api/r' || p_partkey % 5 ELSE '/r' || p_partkey % 5 END AS url, 2 AS line, 'router' AS origin FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
+def server_routes(t):
+    """Routes of files that use a server package, or that another file mounts under /api."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("// file\nrouter.get('/r"), k % 5, F.lit("', auth); other.get('/no');"))
+    files = t.part.select(F.concat(F.lit("lib/"), k, F.lit(".ts")).alias("canonical_path"), text.alias("source"), F.when(k % 2 == 0, F.array(F.lit("Express"))).alias("external_dependencies"))
+    main = t.part.where(k % 3 == 0).select(F.concat(F.lit("main/"), k, F.lit(".ts")).alias("canonical_path"), F.concat(F.lit("app.use('/api', r"), k, F.lit(");")).alias("source"), F.lit(None).cast("array<string>").alias("external_dependencies"))
+    every = files.unionByName(main)
+    x = code.extracted(every).join(every.select("canonical_path", "external_dependencies"), "canonical_path")
+    bindings = t.part.where(k % 3 == 0).select(F.concat(F.lit("main/"), k, F.lit(".ts")).alias("canonical_path"), F.concat(F.lit("r"), k).alias("name"), F.concat(F.lit("lib/"), k, F.lit(".ts")).alias("target"))
+    return infer.server_routes(x, bindings).select("canonical_path", "url", "line", "origin")
+
+
+@query("SELECT 'lib/' || p_partkey || '.ts' AS canonical_path, '/a/*/b' || p_partkey % 4 AS url, 1 AS line FROM part WHERE p_partkey % 4 <> 3")
+def client_calls(t):
+    k = F.col("p_partkey")
+    call = F.when(k % 4 == 0, "fetch").when(k % 4 == 1, "axios.post").when(k % 4 == 2, "svc.request").otherwise("console.log")
+    text = F.concat(call, F.lit("(`https://h.example/A/${id}/b"), k % 4, F.lit("?x=1`, opts);"))
+    files = t.part.select(F.concat(F.lit("lib/"), k, F.lit(".ts")).alias("canonical_path"), text.alias("source"))
+    return infer.client_calls(code.extracted(files).withColumn("external_dependencies", F.lit(None).cast("array<string>"))).select("canonical_path", "url", "line")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS n, CASE WHEN event_id % 3 = 0 THEN user_id END AS second FROM events")
+def opaque_json(t):
+    k = F.col("event_id")
+    stored = F.when(k % 3 == 0, F.to_json(F.array("event_id", "user_id"))).when(k % 3 == 1, "no json")
+    found = fn.json_list(stored, "bigint")
+    return t.events.select("event_id", F.size(found).alias("n"), F.get(found, F.lit(1)).alias("second"))

@@ -45,11 +45,14 @@ x AS (SELECT """
     + ", ".join(f"max({c.rsplit('_', 1)[0]}) FILTER (scenario = '{c.rsplit('_', 1)[1]}') AS {c}" for c in _SIDES)
     + " FROM h) SELECT "
     + ", ".join(f"{R4.format(c)} AS {c}" for c in _SIDES)
-    + f", {R4.format('(quality_after - quality_before)')} AS quality_delta, CASE WHEN quality_after - quality_before > 0.1 THEN 'IMPROVES' WHEN quality_after - quality_before < -0.1 THEN 'WORSENS' ELSE 'NEUTRAL' END AS verdict FROM x",
+    + ", " + ", ".join(f"{R4.format(f'({c}_after - {c}_before)')} AS {c}_delta" for c in ("modularity", "cohesion", "coupling", "size_balance", "placement", "quality"))
+    + """, (SELECT cluster_id FROM nodes WHERE node_id = 'p1') AS from_cluster, (SELECT count(*) FROM nodes WHERE cluster_id = (SELECT cluster_id FROM nodes WHERE node_id = 'p1'))::BIGINT AS source_before, (SELECT count(*) - 1 FROM nodes WHERE cluster_id = (SELECT cluster_id FROM nodes WHERE node_id = 'p1'))::BIGINT AS source_after,
+(SELECT count(*) FROM nodes WHERE cluster_id = 'N7')::BIGINT AS target_before, (SELECT count(*) + 1 FROM nodes WHERE cluster_id = 'N7')::BIGINT AS target_after"""
+    + ", CASE WHEN quality_after - quality_before > 0.1 THEN 'IMPROVES' WHEN quality_after - quality_before < -0.1 THEN 'WORSENS' ELSE 'NEUTRAL' END AS verdict FROM x",
     "edges_raw nodes",
 )
 def move_preview(t):
-    return metrics.move_preview(v.nodes(t), v.edges_raw(t), "p1", "N7")
+    return metrics.move_preview(v.nodes(t), v.edges_raw(t), "p1", "N7").drop("reasons")
 
 
 _DEGREES = """, u AS (SELECT node_id, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o FROM (SELECT source_id AS node_id, 0 AS i, 1 AS o FROM {e} UNION ALL SELECT target_id, 1, 0 FROM {e}) GROUP BY 1),
@@ -81,12 +84,12 @@ def shared_dependencies(t):
     return edges.shared_dependencies(*_star(t))
 
 
-@query("""WITH e AS (SELECT DISTINCT 'u' || user_id AS source_id, 'k' || json_extract_string(props, '$.k') AS target_id FROM events), n AS (SELECT DISTINCT unnest([source_id, target_id]) AS node_id FROM e), c AS (SELECT count(*) AS k FROM n),
+@query("""WITH e AS (SELECT DISTINCT o_orderpriority AS source_id, 'c' || (o_custkey % 200) AS target_id FROM orders), n AS (SELECT DISTINCT unnest([source_id, target_id]) AS node_id FROM e), c AS (SELECT count(*) AS k FROM n),
 i AS (SELECT target_id, count(*) AS d FROM e GROUP BY 1), shared AS (SELECT target_id AS node_id FROM i, c WHERE d / k > 0.10 AND target_id NOT IN (SELECT source_id FROM e)),
 e2 AS (SELECT * FROM e WHERE target_id NOT IN (SELECT node_id FROM shared)), n2 AS (SELECT count(*) AS k FROM n WHERE node_id NOT IN (SELECT node_id FROM shared))
 SELECT source_id AS node_id, count(*)::BIGINT AS out_degree FROM e2, n2 WHERE source_id NOT IN (SELECT target_id FROM e2) GROUP BY source_id, k HAVING count(*) / k > 0.15""")
 def orchestrators(t):
-    e = t.events.select(F.concat(F.lit("u"), "user_id").alias("source_id"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("target_id"), F.lit("BELONGS_TO_DOMAIN").alias("edge_type")).where("target_id is not null").distinct()
+    e = t.orders.select(F.col("o_orderpriority").alias("source_id"), F.concat(F.lit("c"), F.col("o_custkey") % 200).alias("target_id"), F.lit("BELONGS_TO_DOMAIN").alias("edge_type")).distinct()
     return edges.orchestrators(e.select(F.explode(F.array("source_id", "target_id")).alias("node_id")).distinct(), e)
 
 
@@ -156,6 +159,11 @@ def top_neighbours(t):
     return analytics.top_neighbours(v.edges_raw(t).groupBy("source_id", "target_id").agg(F.sum("weight").alias("weight")))
 
 
+@query(", s AS (SELECT source_id, target_id, row_number() OVER (PARTITION BY target_id ORDER BY total DESC, source_id) AS r FROM merged) SELECT target_id, string_agg(source_id, ',' ORDER BY r) AS sources FROM s WHERE r <= 3 GROUP BY 1", "edges_raw merged")
+def top_sources(t):
+    return analytics.top_neighbours(v.edges_raw(t).groupBy("source_id", "target_id").agg(F.sum("weight").alias("weight")), incoming=True)
+
+
 _FILES = "SELECT 'N' || (node_id % 25) AS cluster_id, canonical_path, row_number() OVER (PARTITION BY node_id % 25 ORDER BY p_retailprice DESC, canonical_path)::INTEGER AS rank FROM paths"
 
 
@@ -203,9 +211,8 @@ def multi_source_coverage(t):
 def unreached(t):
     e = v.digraph(t)
     n = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    rest = n.join(graph.reachable(e, e.agg(F.min("src").alias("root"))).select("node"), "node", "left_anti")
-    sample = rest.orderBy("node").limit(50).agg(F.array_join(F.array_sort(F.collect_list("node")).cast("array<string>"), ",").alias("sample"))
-    return rest.agg(F.count("*").alias("unreached")).crossJoin(sample)
+    found = analytics.unreached(n, graph.reachable(e, e.agg(F.min("src").alias("root"))).select("node"))
+    return found.select(F.col("unreached_count").alias("unreached"), F.array_join(F.col("unreached_sample").cast("array<string>"), ",").alias("sample"))
 
 
 @query(", b AS (SELECT src AS x, dst AS y FROM digraph UNION SELECT dst, src FROM digraph), reach(a, b) AS (SELECT x, x FROM b UNION SELECT a, y FROM reach JOIN b ON reach.b = b.x) SELECT a AS node, min(b) AS component FROM reach WHERE a IN (SELECT x FROM b WHERE x <> y) GROUP BY 1", "digraph")
@@ -240,13 +247,14 @@ def node_classify(t):
     return domains.classify(found.withColumn("score", fn.half_up(F.col("score"), 6)))
 
 
-@query("""WITH m AS (SELECT c_nationkey AS cluster_id, c_mktsegment AS domain, floor(abs(c_acctbal) / 100) / 100 AS confidence FROM customer),
-z AS (SELECT cluster_id, count(*)::BIGINT AS members FROM m GROUP BY 1), p AS (SELECT cluster_id, domain, count(*)::BIGINT AS files, avg(confidence) AS mean FROM m WHERE domain < 'C' OR cluster_id % 2 = 0 GROUP BY 1, 2),
+@query("""WITH m AS (SELECT c_nationkey AS cluster_id, CASE WHEN c_custkey % 5 < 3 THEN 'D' || (c_nationkey % 4) WHEN c_custkey % 5 = 3 THEN c_mktsegment END AS domain, floor(abs(c_acctbal) / 100) / 100 AS confidence FROM customer),
+z AS (SELECT cluster_id, count(*)::BIGINT AS members FROM m GROUP BY 1), p AS (SELECT cluster_id, domain, count(*)::BIGINT AS files, avg(confidence) AS mean FROM m WHERE domain IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY files DESC, domain) AS r, coalesce(lead(files) OVER (PARTITION BY cluster_id ORDER BY files DESC, domain), 0) AS second FROM p)
 SELECT cluster_id, domain, files, members, floor(least(0.95, files / members * mean) * 100 + 0.5) / 100 AS confidence FROM r JOIN z USING (cluster_id) WHERE r = 1 AND files / members >= 0.4 AND files >= 1.5 * second""")
 def cluster_domain(t):
-    keep = (F.col("c_mktsegment") < "C") | (F.col("c_nationkey") % 2 == 0)
-    m = t.customer.select(F.col("c_nationkey").alias("cluster_id"), F.when(keep, F.col("c_mktsegment")).alias("domain"), (F.floor(F.abs("c_acctbal") / 100) / 100).alias("confidence"))
+    k = F.col("c_custkey") % 5
+    domain = F.when(k < 3, F.concat(F.lit("D"), F.col("c_nationkey") % 4)).when(k == 3, F.col("c_mktsegment"))
+    m = t.customer.select(F.col("c_nationkey").alias("cluster_id"), domain.alias("domain"), (F.floor(F.abs("c_acctbal") / 100) / 100).alias("confidence"))
     return domains.cluster_domains(m)
 
 
@@ -289,19 +297,24 @@ def louvain_split(t):
     return cluster.split_buckets(*_supply(t))
 
 
-@query()
+_JOINED = ", e AS (SELECT target_id AS s, 'x/' || n.cluster_id AS b, sum(weight) AS w FROM edges_raw JOIN nodes n ON source_id = n.node_id WHERE weight > 0 GROUP BY 1, 2), z AS (SELECT 'x/' || cluster_id AS b, count(*) AS n FROM nodes WHERE node_id LIKE 'p%' GROUP BY 1), c AS (SELECT s, arg_min(e.b, (-w, e.b)) AS b FROM e JOIN z USING (b) WHERE n > 1 GROUP BY 1) SELECT node_id, CASE WHEN node_id LIKE 'p%' THEN 'x/' || cluster_id ELSE coalesce(c.b, 'x/' || node_id) END AS bucket FROM nodes LEFT JOIN c ON node_id = s"
+
+
+@query(_JOINED, "edges_raw nodes")
 def merge_small(t):
     b, e = _supply(t)
     return cluster.merge_small(b.withColumn("bucket", F.when(F.col("node_id").startswith("s"), F.concat(F.lit("x/"), "node_id")).otherwise(F.concat(F.lit("x/"), "bucket"))), e)
 
 
-@query()
+@query(_JOINED, "edges_raw nodes")
 def absorb_singletons(t):
     b, e = _supply(t)
     return cluster.absorb_singletons(b.withColumn("bucket", F.when(F.col("node_id").startswith("s"), F.concat(F.lit("x/"), "node_id")).otherwise(F.concat(F.lit("x/"), "bucket"))), e)
 
 
-@query(", imports AS (SELECT source_id, target_id, binding, is_synthetic FROM edges_raw WHERE edge_type <> 'CALLS_API'), m AS (SELECT target_id, count(*) FILTER (binding = 'b1') AS p, count(*) FILTER (binding = 'b2') AS c FROM imports GROUP BY 1), f AS (SELECT target_id FROM m WHERE p > 0 AND c > 0 AND p * c <= 150) SELECT a.source_id, b.source_id AS target_id, min(a.target_id) AS label FROM imports a JOIN imports b ON a.target_id = b.target_id JOIN f ON f.target_id = a.target_id WHERE a.binding = 'b1' AND b.binding = 'b2' AND a.source_id <> b.source_id GROUP BY 1, 2", "edges_raw")
+@query("WITH imports AS (SELECT 'p' || l_partkey AS source_id, 'o' || (l_orderkey // 8) AS target_id, l_linenumber FROM lineitem), m AS (SELECT target_id, count(*) FILTER (l_linenumber = 1) AS p, count(*) FILTER (l_linenumber = 2) AS c FROM imports GROUP BY 1), f AS (SELECT target_id FROM m WHERE p > 0 AND c > 0 AND p * c <= 150) SELECT a.source_id, b.source_id AS target_id, min(a.target_id) AS label FROM imports a JOIN imports b ON a.target_id = b.target_id JOIN f ON f.target_id = a.target_id WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.source_id <> b.source_id GROUP BY 1, 2")
 def state_edges(t):
-    imports = v.edges_raw(t).where("edge_type <> 'CALLS_API'").select("source_id", "target_id", F.col("target_id").alias("label"), (F.col("binding") == "b1").alias("provides"), (F.col("binding") == "b2").alias("consumes"))
+    n = F.col("l_linenumber")
+    module = F.concat(F.lit("o"), F.call_function("div", F.col("l_orderkey"), F.lit(8)))
+    imports = t.lineitem.select(F.concat(F.lit("p"), "l_partkey").alias("source_id"), module.alias("target_id"), module.alias("label"), (n == 1).alias("provides"), (n == 2).alias("consumes"))
     return infer.state_edges(imports, v.edges_raw(t))

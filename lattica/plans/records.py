@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lattica import schemas as S
 from lattica.functions import scalar as fn
-from lattica.operators import analytics, history
+from lattica.operators import analytics, history, tenancy
 from lattica.plans import views as v
 from lattica.plans.registry import query
 from lattica.streaming import progress
@@ -48,7 +48,7 @@ def delta_document(t):
 @query(", k AS (SELECT DISTINCT o_orderpriority AS cluster_id FROM orders) SELECT k.cluster_id, count(n.path)::BIGINT AS files FROM k LEFT JOIN next n ON k.cluster_id = n.cluster_id GROUP BY 1", "next")
 def snapshot_counts(t):
     k = t.orders.select(F.col("o_orderpriority").alias("cluster_id")).distinct()
-    return k.join(v.snapshot(t, 1997), "cluster_id", "left").groupBy("cluster_id").agg(F.count("path").alias("files"))
+    return analytics.snapshot_sizes(k, v.snapshot(t, 1997))
 
 
 @query("SELECT o_custkey AS project, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS snapshot FROM orders GROUP BY 1")
@@ -118,9 +118,10 @@ def edit_violations(t):
     return history.edit_violations(named.where("source_id is not null or true").withColumn("source_id", F.coalesce("source_id", F.lit(-1))), known.unionByName(t.spark.range(1).select(F.lit(-1).cast("long").alias("node_id"))))
 
 
-@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def bulk_delete(t):
-    return history.without(t.events, t.events.where("event_type = 'signup'"), ["user_id"]).select("event_id")
+    doomed = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return history.without(t.orders, doomed, ["o_custkey"]).select("o_orderkey")
 
 
 @query("SELECT l_orderkey AS edge_id, l_linenumber AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT -o_orderkey, 0 FROM orders WHERE o_orderstatus = 'P'")
@@ -176,13 +177,18 @@ def role_threshold(t):
 
 @query("SELECT o_orderkey AS member, c_name AS name, c_mktsegment AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
 def member_left_join(t):
-    c = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    return t.orders.join(c, "o_custkey", "left").select(F.col("o_orderkey").alias("member"), "name", "segment")
+    c = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return tenancy.members_with_profiles(t.orders.withColumnRenamed("o_custkey", "user_id"), c).select(F.col("o_orderkey").alias("member"), "name", "segment")
 
 
-@query("WITH s AS (SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(trim(p_name || '!')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) - 1 AS n FROM s) SELECT id, CASE WHEN n = 0 THEN base ELSE base || '-' || n END AS slug FROM n")
+@query("""WITH RECURSIVE s AS (SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(trim(p_brand || CASE WHEN p_partkey % 4 = 0 THEN ' ' || p_size % 5 ELSE '!' END)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS base FROM part),
+f AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(base, '^(brand-[0-9]+).*$', '\\1') ORDER BY id) AS turn, regexp_replace(base, '^(brand-[0-9]+).*$', '\\1') AS family FROM s),
+g(family, turn, taken, slug, id) AS (SELECT family, turn, [base], base, id FROM f WHERE turn = 1 UNION ALL SELECT f.family, f.turn, list_append(g.taken, x.slug), x.slug, f.id FROM g JOIN f ON f.family = g.family AND f.turn = g.turn + 1, LATERAL (SELECT list_filter(list_prepend(f.base, list_transform(range(1, len(g.taken) + 2), lambda n: f.base || '-' || n)), lambda c: NOT list_contains(g.taken, c))[1] AS slug) x) SELECT id, slug FROM g""")
 def slug_unique(t):
-    return analytics.unique_slugs(t.part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("!")).alias("title")))
+    """Titles of brands, a quarter with a number behind that others get, too."""
+    k = F.col("p_partkey")
+    title = F.concat("p_brand", F.when(k % 4 == 0, F.concat(F.lit(" "), F.col("p_size") % 5)).otherwise("!"))
+    return analytics.unique_slugs(t.part.select(k.alias("id"), title.alias("title")))
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_custkey % 2 = 0 AS valid FROM orders")
@@ -202,3 +208,64 @@ def repository_urls(t):
 def snapshot_summary(t):
     author = F.when(F.col("page_id") % 2 == 0, "  ").otherwise(" a ")
     return t.pages.select("page_id", F.substring(F.md5("url"), 1, 7).alias("short_sha"), F.substring("html", 1, 256).alias("message"), fn.trim_to_null(author).alias("author"))
+
+
+@query("SELECT l_suppkey AS author, l_linenumber AS email, count(*)::BIGINT AS lines, count(DISTINCT l_partkey)::BIGINT AS files, floor(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM lineitem) * 10 + 0.5) / 10 AS percentage FROM lineitem GROUP BY 1, 2")
+def ownership_totals(t):
+    return history.ownership_totals(t.lineitem.select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("author"), F.col("l_linenumber").alias("email")), ("author", "email"))
+
+
+@query("SELECT c_nationkey AS org_id, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 7")
+def user_organisations(t):
+    members = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("org_id"))
+    return tenancy.organisations_of(7, members, t.nation.select(F.col("n_nationkey").alias("org_id"), F.col("n_name").alias("name"))).select("org_id", "name")
+
+
+@query("SELECT 3 * c_custkey AS org_id FROM customer WHERE 3 * c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def deletable_organisations(t):
+    return tenancy.deletable(t.customer.select((3 * F.col("c_custkey")).alias("org_id")), t.orders.select(F.col("o_custkey").alias("org_id")))
+
+
+_MEMBERS = "m AS (SELECT l_orderkey AS project_id, l_linenumber::BIGINT AS user_id, CASE l_linenumber WHEN 1 THEN 'OWNER' WHEN 2 THEN 'ADMIN' ELSE 'MEMBER' END AS role FROM lineitem)"
+
+
+def _members(t):
+    n = F.col("l_linenumber")
+    return t.lineitem.select(F.col("l_orderkey").alias("project_id"), n.cast("long").alias("user_id"), F.when(n == 1, "OWNER").when(n == 2, "ADMIN").otherwise("MEMBER").alias("role"))
+
+
+@query(f"WITH {_MEMBERS}, a AS (SELECT o_orderkey AS project_id, (o_custkey % 5)::BIGINT AS user_id, CASE o_orderstatus WHEN 'F' THEN 'ADMIN' WHEN 'P' THEN 'OWNER' END AS new_role FROM orders) SELECT a.project_id, a.user_id, CASE WHEN role IS NULL THEN 'NOT_FOUND' WHEN role = 'OWNER' OR new_role = 'OWNER' THEN 'FORBIDDEN' WHEN new_role IS NULL THEN 'REMOVED' ELSE 'UPDATED' END AS status FROM a LEFT JOIN m ON a.project_id = m.project_id AND a.user_id = m.user_id")
+def member_changes(t):
+    s = F.col("o_orderstatus")
+    asked = t.orders.select(F.col("o_orderkey").alias("project_id"), (F.col("o_custkey") % 5).cast("long").alias("user_id"), F.when(s == "F", "ADMIN").when(s == "P", "OWNER").alias("new_role"))
+    return tenancy.member_changes(_members(t), asked).select("project_id", "user_id", "status")
+
+
+@query("SELECT o_orderkey AS invitation_id, CASE WHEN o_orderstatus <> 'O' THEN 'CLOSED' WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'EXPIRED' WHEN o_custkey % 2 = 0 THEN 'ACCEPTED' ELSE 'FORBIDDEN' END AS result, CASE WHEN o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_custkey % 2 = 0 THEN 'MEMBER' END AS role FROM orders UNION ALL SELECT -1 - c_custkey, 'NOT_FOUND', NULL FROM customer")
+def invitation_accept(t):
+    k = F.col("o_orderkey").alias("invitation_id")
+    stored = t.orders.select(k, F.col("o_custkey").alias("org_id"), F.lit("A@b.c").alias("email"), F.lit("MEMBER").alias("role"), F.when(F.col("o_orderstatus") == "O", "PENDING").otherwise("ACCEPTED").alias("status"), F.col("o_orderdate").cast("timestamp").alias("expires_at"))
+    asked = t.orders.select(k, F.col("o_custkey").alias("user_id"), F.when(F.col("o_custkey") % 2 == 0, "a@B.c").otherwise("x@b.c").alias("email"))
+    asked = asked.unionByName(t.customer.select((-F.col("c_custkey") - 1).alias("invitation_id"), F.col("c_custkey").alias("user_id"), F.lit("a@b.c").alias("email")))
+    return tenancy.accepted(stored, asked, F.lit("1996-01-01").cast("timestamp")).select("invitation_id", "result", "role")
+
+
+@query("SELECT user_id AS project_id, arg_min(event_id, (ts, event_id)) AS task FROM events GROUP BY 1")
+def first_task(t):
+    return progress.first_task(t.events.select(F.col("event_id").alias("task"), F.col("user_id").alias("project_id"), F.struct("ts", "event_id").alias("seq")))
+
+
+@query("SELECT o_custkey AS project, o_orderkey AS note, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INTEGER AS place FROM orders")
+def notes_in_order(t):
+    n = t.orders.select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("note"), "o_orderdate")
+    return history.in_order(n, "project", ["o_orderdate", "note"], newest_first=True).select("project", "note", "place")
+
+
+@query("WITH r AS (SELECT DISTINCT o_custkey AS p, o_orderpriority AS s FROM orders) SELECT p AS project_id, s AS snapshot_id, 2::BIGINT AS number, CASE WHEN p % 3 = 0 THEN 'x' || p ELSE '' END AS removed FROM r WHERE p % 3 <> 1")
+def revision_create(t):
+    """New revisions beside one that each snapshot has: copies of it, copies of one that isn't there, and empty ones."""
+    k = F.col("o_custkey")
+    r = t.orders.select(k.alias("project_id"), F.col("o_orderpriority").alias("snapshot_id")).distinct()
+    stored = r.select("*", F.lit(1).cast("long").alias("number"), F.array(F.concat(F.lit("x"), "project_id")).alias("removed"), F.array().cast("array<string>").alias("added"))
+    asked = r.withColumn("copy_from", F.when(F.col("project_id") % 3 == 0, F.lit(1)).when(F.col("project_id") % 3 == 1, F.lit(9)).cast("long"))
+    return history.revision_created(stored, asked).select("project_id", "snapshot_id", "number", F.array_join("removed", ",").alias("removed"))

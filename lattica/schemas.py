@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-NODES = "node_id LONG, canonical_path STRING, external_dependencies ARRAY<STRING>, internal_import_count INT, text_summary STRING, exported_names MAP<STRING,INT>, cluster_id STRING, centrality_score DOUBLE, is_god_file BOOLEAN, execution_role STRING, domain STRING, domain_confidence DOUBLE, domain_source STRING"
-EDGES = "source_id LONG, target_id LONG, weight DOUBLE, edge_type STRING, binding STRING, called_names ARRAY<STRING>, is_dead_import BOOLEAN, is_synthetic BOOLEAN, source_line INT, target_line INT, seq LONG"
-CLUSTERS = "cluster_id STRING, name STRING, parent_cluster_id STRING, suggested_title STRING, functional_summary STRING, domain STRING, domain_type STRING, domain_confidence DOUBLE, domain_evidence ARRAY<STRING>"
 FILES = "canonical_path STRING, source STRING"
-CALLS = "ARRAY<STRUCT<callee:STRING,line:INT,args:ARRAY<STRUCT<kind:STRING,value:STRING>>>>"
 BLUEPRINT = "schema_version STRING, metadata STRUCT<total_nodes_indexed:LONG,total_edges:LONG,total_clusters:LONG,max_cluster_size:LONG,domains:ARRAY<STRING>>, nodes ARRAY<STRUCT<id:STRING,canonical_path:STRING,cluster_id:STRING,execution_role:STRING,centrality_score:DOUBLE,is_god_file:BOOLEAN,domain:STRING>>, edges ARRAY<STRUCT<source:STRING,target:STRING,type:STRING,weight:DOUBLE,is_dead_import:BOOLEAN,is_synthetic:BOOLEAN>>, clusters ARRAY<STRUCT<id:STRING,name:STRING,parent_cluster_id:STRING,suggested_title:STRING,domain:STRING>>, entry_points ARRAY<STRUCT<file:STRING,url:STRING,kind:STRING>>"
 
 # Edge types.
@@ -27,12 +23,14 @@ MAX_STATE_PAIRS, MAX_ENTRY_POINTS, UNREACHED_SAMPLE = 150, 40, 50
 
 # Directories that a crawl leaves out, and the suffixes that it takes.
 SKIPPED_DIRS = ("node_modules", ".next", "dist", "build", ".git", ".turbo", "coverage", ".venv", "__pycache__", ".cache")
+# Directories that an uploaded archive leaves out.
+SKIPPED_IN_ZIP = ("node_modules", ".git", ".next", "dist", "build", ".turbo", "coverage", ".cache", "out", ".svn", "__pycache__", ".idea", ".vscode", "vendor", "target", "bin", "obj")
 SUFFIXES = (".js", ".jsx", ".ts", ".tsx", ".mjs")
 PROBES = ("", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", "/index.js", "/index.ts", "/index.jsx", "/index.tsx")
 
 # Administrative files.
 ADMIN_SEGMENT = r"(?i)(^|/)(scripts?|migrations?|migrate|seeders?|seeds?|fixtures?|deploy|deployment|devops|infra|infrastructure|database|db|setup|bootstrap|bin)(/|$)"
-ADMIN_NAME = r"(?i)(\.config\.(js|ts|mjs|cjs)$|\.setup\.(js|ts)$|(ecosystem|jest|webpack|babel|rollup|vite|next|tailwind|postcss|prettier|eslint)\.config\.|knexfile\.|\.seed\.(js|ts)$|create-.*\.(js|ts)$|reset-.*\.(js|ts)$|migrate-.*\.(js|ts)$|quick-fix.*\.(js|ts)$|instrument\.(js|ts)$|test-sentry\.(js|ts)$)"
+ADMIN_NAME = r"(?i)(\.config\.(js|ts|mjs|cjs)$|\.setup\.(js|ts)$|ecosystem\.config\.|jest\.config\.|webpack\.config\.|babel\.config\.|rollup\.config\.|vite\.config\.|next\.config\.|tailwind\.config\.|postcss\.config\.|prettier\.config\.|eslint\.config\.|knexfile\.|\.seed\.(js|ts)$|create-.*\.(js|ts)$|reset-.*\.(js|ts)$|migrate-.*\.(js|ts)$|quick-fix.*\.(js|ts)$|instrument\.(js|ts)$|test-sentry\.(js|ts)$)"
 TEST_FILE = r"(?i)(^|/)(tests?|__tests__|spec)(/|$)|\.(test|spec)\.(js|ts|jsx|tsx|mjs)$"
 
 # Conventions of file names.

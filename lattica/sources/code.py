@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from lattica import schemas as S
 from lattica.functions import scalar as fn
 from lattica.session import ship
+from lattica.sources.scan import extract
 
 PREVIEW_BYTES, SNIFF_BYTES = 2 << 20, 8 << 10
 
@@ -31,8 +33,10 @@ def _relative(path, root: str):
 def crawl(spark: SparkSession, root: str) -> DataFrame:
     """canonical_path, source: the source files below root, outside the skipped directories.
 
+    Only files with a source suffix are opened.
     Suffixes are compared in lower case; bytes that aren't UTF-8 become replacement characters."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    globs = ",".join("*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in S.SUFFIXES)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{globs}}}").load(root)
     path = _relative(F.col("path"), root)
     dirs = F.split(path, "/")
     skipped = F.exists(F.slice(dirs, F.lit(1), F.size(dirs) - 1), lambda d: d.isin(*S.SKIPPED_DIRS))
@@ -81,9 +85,11 @@ def strip_jsonc(text: str) -> str:
 
 
 def _json_udf(f, ddl: str):
-    from pyspark.sql.functions import udf
+    @F.pandas_udf(ddl)
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(f)
 
-    return udf(f, ddl)
+    return run
 
 
 def path_aliases(configs: DataFrame) -> DataFrame:
@@ -131,111 +137,22 @@ def workspace_packages(manifests: DataFrame, workspaces: DataFrame) -> DataFrame
     return dirs.join(rule, F.expr("dir rlike rule"), "left_semi").groupBy("package").agg(F.min("dir").alias("dir"))
 
 
-def preview(files: DataFrame) -> DataFrame:
-    """canonical_path, bytes, truncated, is_binary, head of files (content)."""
+def inside(path):
+    """Whether a path is relative and stays below its root."""
+    parts = F.filter(F.split(fn.posix(path), "/"), lambda x: (x != "") & (x != "."))
+    step = lambda s, x: F.struct((s["depth"] + F.when(x == "..", -1).otherwise(1)).alias("depth"), F.least(s["least"], s["depth"] + F.when(x == "..", -1).otherwise(1)).alias("least"))
+    least = F.aggregate(parts, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least")), step)["least"]
+    return F.coalesce(~path.rlike(r"^([/\\\\]|[A-Za-z]:)") & (F.trim(path) != "") & (least >= 0), F.lit(False))
+
+
+def preview(files: DataFrame, most: int = PREVIEW_BYTES, sniff: int = SNIFF_BYTES) -> DataFrame:
+    """canonical_path, bytes, truncated, is_binary, head of files (content); absolute and escaping paths are left out.
+
+    A file with a zero byte among its first `sniff` bytes is binary: it has no head and isn't truncated."""
     size = F.octet_length("content")
-    return files.select("canonical_path", size.cast("long").alias("bytes"), (size > PREVIEW_BYTES).alias("truncated"), F.contains(F.substring("content", 1, SNIFF_BYTES), F.lit(b"\x00")).alias("is_binary"), F.substring("content", 1, PREVIEW_BYTES).alias("head"))
-
-
-_IMPORT = re.compile(r"""\bimport\s+(?:[\w*{}\s,$]+?\s+from\s+)?['"]([^'"]+)['"]|\bexport\s+[\w*{}\s,$]+?\s+from\s+['"]([^'"]+)['"]|\b(?:require|import)\s*\(\s*['"]([^'"]+)['"]\s*\)""")
-_EXPORTS = (
-    re.compile(r"\bexport\s+(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)"),
-    re.compile(r"\bexport\s+(?:const|let|var)\s+([A-Za-z_$][\w$]*)"),
-    re.compile(r"\b(?:module\.)?exports\.([A-Za-z_$][\w$]*)\s*="),
-)
-_OBJECT = re.compile(r"\bmodule\.exports\s*=\s*\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}")
-_CALL = re.compile(r"(?:\bnew\s+)?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)?)\s*\(")
-_NAME = re.compile(r"[A-Za-z_$][\w$]*")
-_KEYWORDS = frozenset(S.CODE_WORDS) | {"function", "super", "constructor"}
-_REQUIRE = re.compile(r"""(?:const|let|var)\s+(?:\{([^}]+)\}|(\w+))\s*=\s*require\s*\(\s*['"]([^'"]+)['"]\s*\)""")
-_ESM = re.compile(r"""import\s+(?:\*\s+as\s+(\w+)|\{([^}]+)\}|(\w+))\s+from\s+['"]([^'"]+)['"]""")
-
-
-def _line(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1
-
-
-def _arguments(text: str, at: int) -> tuple[list[dict], int]:
-    """Arguments of a call whose opening bracket is before `at`: strings, identifiers and others."""
-    out, depth, start, i = [], 0, at, at
-
-    def add(part: str) -> None:
-        part = part.strip()
-        if not part:
-            return
-        if part[0] in "'\"" and part[-1] == part[0] and len(part) > 1:
-            out.append({"kind": "string", "value": part[1:-1]})
-        elif part[0] == "`" and part[-1] == "`" and len(part) > 1:
-            out.append({"kind": "string", "value": re.sub(r"\$\{[^}]*\}", "*", part[1:-1])})
-        elif re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[\w$]+)*", part):
-            out.append({"kind": "identifier", "value": part})
-        else:
-            out.append({"kind": "other", "value": ""})
-
-    while i < len(text):
-        c = text[i]
-        if c in "'\"`":
-            end = i + 1
-            while end < len(text) and text[end] != c:
-                end += 2 if text[end] == "\\" else 1
-            i = end
-        elif c in "([{":
-            depth += 1
-        elif c in ")]}":
-            if depth == 0:
-                add(text[start:i])
-                return out, i
-            depth -= 1
-        elif c == "," and depth == 0:
-            add(text[start:i])
-            start = i + 1
-        i += 1
-    return out, i
-
-
-def extract(source: str) -> dict:
-    """Imports, exports, calls and names of one source text."""
-    bare = re.sub(r"(?m)(^|[^:'\"`])//[^\n]*|/\*.*?\*/", lambda m: (m.group(1) or "") + "\n" * m.group(0).count("\n"), source, flags=re.DOTALL)
-    imports = [{"path": next(g for g in m.groups() if g), "line": _line(bare, m.start())} for m in _IMPORT.finditer(bare)]
-    exports: dict[str, int] = {}
-    for m in sorted((m for p in _EXPORTS for m in p.finditer(bare)), key=lambda m: m.start()):
-        exports.setdefault(m.group(1), _line(bare, m.start()))
-    for m in _OBJECT.finditer(bare):
-        for part in m.group(1).split(","):
-            name = _NAME.match(part.strip())
-            if name and name.group(0) not in _KEYWORDS:
-                exports.setdefault(name.group(0), _line(bare, m.start()))
-    exports = {k: v for k, v in exports.items() if len(k) < 100}
-    sites, calls, refs = set(), [], set()
-    for m in _CALL.finditer(bare):
-        callee = m.group(1)
-        head = callee.split(".")[0]
-        if head in _KEYWORDS and head != "this" or re.search(r"function\s*$", bare[: m.start()][-12:]):
-            continue
-        sites.update(p for p in callee.split(".") if p != "this")
-        args, _ = _arguments(bare, m.end())
-        for a in args:
-            if a["kind"] == "identifier":
-                refs.add(a["value"].split(".")[0])
-        if any(a["kind"] == "string" and a["value"] for a in args):
-            calls.append({"callee": callee, "line": _line(bare, m.start()), "args": args})
-    for m in re.finditer(r"[\[,{:]\s*([A-Za-z_$][\w$]*)\s*(?=[,\]}])", bare):
-        refs.add(m.group(1))
-    bindings, names = {}, {}
-    for m in _REQUIRE.finditer(bare):
-        parts = [p.strip() for p in (m.group(1) or "").split(",") if p.strip()]
-        first = m.group(2) or (parts[0].split(":")[0].strip() if parts else None)
-        if first:
-            bindings[m.group(3)] = first
-        if parts:
-            names.setdefault(m.group(3), set()).update(p.split(":")[-1].strip() for p in parts)
-    for m in _ESM.finditer(bare):
-        parts = [p.strip().split(" as ")[-1].strip() for p in (m.group(2) or "").split(",") if p.strip()]
-        bindings[m.group(4)] = m.group(1) or m.group(3) or parts[0]
-        if parts:
-            names.setdefault(m.group(4), set()).update(parts)
-    drop = {"require", *_KEYWORDS}
-    return {"raw_imports": imports, "exports": list(exports.items()), "callsites": sorted(sites - drop), "ref_usages": sorted(r for r in refs - drop if not r[0].isdigit()), "calls": calls, "bindings": list(bindings.items()), "names": [(k, sorted(v)) for k, v in names.items()]}
+    binary = F.contains(F.substring("content", 1, sniff), F.lit(b"\x00"))
+    kept = files.where(inside(F.col("canonical_path")))
+    return kept.select("canonical_path", size.cast("long").alias("bytes"), ((size > most) & ~binary).alias("truncated"), binary.alias("is_binary"), F.when(binary, F.lit(b"")).otherwise(F.substring("content", 1, most)).alias("head"))
 
 
 EXTRACTED = "canonical_path STRING, raw_imports ARRAY<STRUCT<path:STRING,line:INT>>, exports MAP<STRING,INT>, callsites ARRAY<STRING>, ref_usages ARRAY<STRING>, calls ARRAY<STRUCT<callee:STRING,line:INT,args:ARRAY<STRUCT<kind:STRING,value:STRING>>>>, bindings MAP<STRING,STRING>, names MAP<STRING,ARRAY<STRING>>, summary STRING"
@@ -256,6 +173,10 @@ def extracted(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, EXTRACTED)
 
 
+# What a package is taken for, by the first dependency found.
+_PARADIGMS = ((("next",), "WEB_FRAMEWORK_NEXTJS"), (("react",), "WEB_FRAMEWORK_REACT"), (("vue",), "WEB_FRAMEWORK_VUE"), (("express", "fastify", "koa", "hapi"), "WEB_API_NODEJS"), (("nestjs", "@nestjs/core"), "WEB_FRAMEWORK_NESTJS"))
+
+
 def paradigm(manifest: DataFrame) -> DataFrame:
     """paradigm of a package.json (source): the first framework that it depends on, else its module type."""
     p = F.from_json("source", "struct<type:string,dependencies:map<string,string>,devDependencies:map<string,string>>")
@@ -263,7 +184,10 @@ def paradigm(manifest: DataFrame) -> DataFrame:
     keys = F.concat(F.coalesce(F.map_keys(p["dependencies"]), none), F.coalesce(F.map_keys(p["devDependencies"]), none))
     has = lambda *names: F.arrays_overlap(keys, F.array(*(F.lit(n) for n in names)))
     esm = F.coalesce(p["type"], F.lit("commonjs")) == "module"
-    kind = F.when(has("next"), "WEB_FRAMEWORK_NEXTJS").when(has("react"), "WEB_FRAMEWORK_REACT").when(has("vue"), "WEB_FRAMEWORK_VUE").when(has("express", "fastify", "koa", "hapi"), F.when(esm, "WEB_API_NODEJS_ESM").otherwise("WEB_API_NODEJS_CJS")).when(has("nestjs", "@nestjs/core"), "WEB_FRAMEWORK_NESTJS").when(esm, "PURE_LIBRARY_ESM").otherwise("PURE_LIBRARY_CJS")
+    kind = F.when(esm, "PURE_LIBRARY_ESM").otherwise("PURE_LIBRARY_CJS")
+    for names, label in reversed(_PARADIGMS):
+        shown = F.when(esm, f"{label}_ESM").otherwise(f"{label}_CJS") if label == "WEB_API_NODEJS" else F.lit(label)
+        kind = F.when(has(*names), shown).otherwise(kind)
     return manifest.select(F.when(p.isNull() | F.get_json_object("source", "$").isNull(), "UNKNOWN").otherwise(kind).alias("paradigm"))
 
 
@@ -275,8 +199,12 @@ def module_system(files: DataFrame) -> DataFrame:
 
 
 def zip_entries(archives: DataFrame) -> DataFrame:
-    """canonical_path, content of the files inside zip archives (content), without skipped directories and escaping names."""
+    """canonical_path, content of the files inside zip archives (content, and name if there is one).
+
+    Names that don't end in .zip are left out, and so are skipped directories and escaping entries."""
     ship(archives.sparkSession)
+    if "name" in archives.columns:
+        archives = archives.where(F.lower("name").endswith(".zip"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
@@ -285,10 +213,11 @@ def zip_entries(archives: DataFrame) -> DataFrame:
         for b in batches:
             for raw in b["content"].to_pylist():
                 with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    for name in z.namelist():
+                    for entry in z.namelist():
+                        name = entry.replace("\\", "/")
                         parts = name.split("/")
-                        if not name.endswith("/") and ".." not in parts and not name.startswith("/") and not set(parts[:-1]) & set(S.SKIPPED_DIRS):
-                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([z.read(name)], pa.binary())], ["canonical_path", "content"])
+                        if not name.endswith("/") and ".." not in parts and not name.startswith("/") and not set(parts) & set(S.SKIPPED_IN_ZIP):
+                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([z.read(entry)], pa.binary())], ["canonical_path", "content"])
 
     return archives.select("content").mapInArrow(run, "canonical_path string, content binary")
 

@@ -5,13 +5,17 @@ The exports are plain files that any store holds; executors need no repository a
 
 from __future__ import annotations
 
+import contextlib
+import io
 import re
+import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica import schemas as S
 from lattica.session import ship
 
 #: The format to export with: git log --name-status --format=LOG_FORMAT
@@ -66,8 +70,28 @@ def log(files: DataFrame) -> DataFrame:
 
 
 def last_commits(rows: DataFrame, n: int) -> DataFrame:
-    """The newest n commits, newest first."""
-    return rows.select("project", "sha", "author", "email", "committed_at", "subject").distinct().orderBy(F.desc("committed_at"), "sha").limit(n)
+    """The newest n commits of each project, newest first."""
+    w = Window.partitionBy("project").orderBy(F.desc("committed_at"), "sha")
+    every = rows.select("project", "sha", "author", "email", "committed_at", "subject").distinct()
+    return every.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).drop("n").orderBy("project", F.desc("committed_at"), "sha")
+
+
+def commit_tree(archives: DataFrame) -> DataFrame:
+    """sha, canonical_path, content of every file of exported commits, without the skipped top directories.
+
+    archives: sha, content (what `git archive` writes, a tar file)."""
+    ship(archives.sparkSession)
+    tops = tuple(f"{d}/" for d in S.SKIPPED_DIRS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for sha, raw in zip(b["sha"].to_pylist(), b["content"].to_pylist(), strict=True):
+                with tarfile.open(fileobj=io.BytesIO(raw or b"")) if raw else contextlib.nullcontext(()) as entries:
+                    for e in entries:
+                        if e.isfile() and not e.name.lower().startswith(tops):
+                            yield pa.RecordBatch.from_arrays([pa.array([sha]), pa.array([e.name]), pa.array([entries.extractfile(e).read()], pa.binary())], ["sha", "canonical_path", "content"])
+
+    return archives.select("sha", "content").mapInArrow(run, "sha string, canonical_path string, content binary")
 
 
 def blame(files: DataFrame) -> DataFrame:

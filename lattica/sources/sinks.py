@@ -16,8 +16,9 @@ def blueprint(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, entries:
     rows = lambda df, order: plain(df).agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in order)))).alias("x"))
     n, e = rows(nodes, ["canonical_path"]).withColumnRenamed("x", "nodes"), rows(edges, ["source", "target"]).withColumnRenamed("x", "edges")
     c, p = rows(clusters, ["cluster_id"]).withColumnRenamed("x", "clusters"), rows(entries, ["file"]).withColumnRenamed("x", "entry_points")
-    meta = F.struct(F.size("nodes").alias("total_nodes_indexed"), F.size("edges").alias("total_edges"), F.size("clusters").alias("total_clusters"), F.array_sort(F.array_distinct(F.filter(F.col("nodes.domain"), lambda d: d.isNotNull()))).alias("domains"))
-    return n.crossJoin(e).crossJoin(c).crossJoin(p).select(F.to_json(F.struct(F.lit("2.2").alias("schema_version"), meta.alias("metadata"), "nodes", "edges", "clusters", "entry_points")).alias("document"))
+    meta = F.struct(F.size("nodes").alias("total_nodes_indexed"), F.size("edges").alias("total_edges"), F.size("clusters").alias("total_clusters"), F.coalesce("largest", F.lit(0).cast("long")).alias("max_cluster_size"), F.array_sort(F.array_distinct(F.filter(F.col("nodes.domain"), lambda d: d.isNotNull()))).alias("domains"))
+    largest = nodes.where("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("size")).agg(F.max("size").alias("largest"))
+    return n.crossJoin(e).crossJoin(c).crossJoin(p).crossJoin(largest).select(F.to_json(F.struct(F.lit("2.2").alias("schema_version"), meta.alias("metadata"), "nodes", "edges", "clusters", "entry_points")).alias("document"))
 
 
 def read_blueprint(spark, path: str) -> DataFrame:
@@ -39,3 +40,29 @@ def persist_snapshot(nodes: DataFrame, edges: DataFrame, snapshot_id: str, root:
 def snapshot(spark, root: str, snapshot_id: str) -> tuple[DataFrame, DataFrame]:
     """A snapshot's tables; only its partition is read."""
     return tuple(spark.read.parquet(f"{root}/{t}").where(F.col("snapshot_id") == snapshot_id) for t in ("nodes", "edges"))
+
+
+def node_ids(nodes: DataFrame) -> DataFrame:
+    """node_id, canonical_path: the ids under which a snapshot's files are stored."""
+    from lattica.sources.code import registry
+
+    return registry(nodes.select("canonical_path"))
+
+
+def persist_header(counts: DataFrame, project_id: str, commit_sha: str | None, created_at: str, root: str) -> None:
+    """Appends the header row of a stored snapshot (counts, as `persist_snapshot` gives them) and points the project at it.
+
+    Pointers are rows, too; the last one of a project counts (`current_snapshot`)."""
+    head = counts.select("snapshot_id", F.lit(project_id).alias("project_id"), F.lit(commit_sha).cast("string").alias("commit_sha"), F.lit(created_at).cast("timestamp").alias("created_at"), "nodes_count", "edges_count", "clusters_count")
+    head.write.mode("append").parquet(f"{root}/snapshots")
+    head.select("project_id", "snapshot_id", "created_at").write.mode("append").parquet(f"{root}/current")
+
+
+def current_snapshot(spark, root: str) -> DataFrame:
+    """project_id, snapshot_id of every project's current graph."""
+    return spark.read.parquet(f"{root}/current").groupBy("project_id").agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id")).alias("snapshot_id"))
+
+
+def persist_delta(delta: DataFrame, previous_id: str, snapshot_id: str, root: str) -> None:
+    """Appends the rows of a delta (`history.snapshot_delta`), partitioned by the snapshot that they lead to."""
+    delta.select(F.lit(previous_id).alias("previous_id"), F.lit(snapshot_id).alias("snapshot_id"), *delta.columns).write.partitionBy("snapshot_id").mode("append").parquet(f"{root}/deltas")

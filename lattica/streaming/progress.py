@@ -39,3 +39,8 @@ def assembled(chunks: DataFrame) -> DataFrame:
 def poll_schedule(polls: DataFrame, most: int = 900) -> DataFrame:
     """task, polls, timed_out: tasks that were asked for too often without an end; polls: task, terminal."""
     return polls.groupBy("task").agg(F.count("*").alias("polls"), ((F.count("*") >= most) & ~F.bool_or("terminal")).alias("timed_out"))
+
+
+def first_task(tasks: DataFrame) -> DataFrame:
+    """project_id, task: the first task that was started for each project; tasks: task, project_id, seq."""
+    return tasks.groupBy("project_id").agg(F.min_by("task", F.struct("seq", "task")).alias("task"))

@@ -65,6 +65,26 @@ def test_extraction():
     assert dict(got["bindings"])["y"] == "ns" and dict(got["names"])["./w"] == ["q", "r"] and {"Thing", "foo"} <= set(got["callsites"]) and "arg" in got["ref_usages"]
 
 
+def test_extraction_knows_strings_comments_templates_and_patterns():
+    got = code.extract('const a = "image/*"; import x from "./x"; const b = "*/*"; // import y from "./y"\nconst re = /["\'`]\\/\\*/g; import z from "./z"\n`${require("./in")} import q from "./q"`')
+    assert [(i["path"], i["line"]) for i in got["raw_imports"]] == [("./x", 1), ("./z", 2), ("./in", 3)]
+    got = code.extract("export const a = 1, b = {c: 2}\nexport async function* f() {}\nexports.h = async (req) => svc.find(req.query);\nmodule.exports = { findAll, k: v, m() {} }\nexport class C {}\nexport default d")
+    assert dict(got["exports"]) == {"a": 1, "b": 1, "f": 2, "h": 3, "findAll": 4, "k": 4} and {"findAll", "v", "req"} <= set(got["ref_usages"]) and set(got["callsites"]) == {"svc", "find"}
+    got = code.extract('a.b.c("x"); this.y("z"); class K { m(p) { go(`q`) } }\nconst { s, t } = props; useQuery<User>("/u"); emitter?.on("e.f", cb)\nconst el = <p className="a">Don\'t /* x</p>;\nfn(({ pa, pb }) => pa, v[i]);')
+    assert [(c["callee"], c["line"]) for c in got["calls"]] == [("go", 1), ("useQuery", 2), ("emitter.on", 2)]
+    assert got["ref_usages"] == ["cb"]
+    assert code.extract("")["raw_imports"] == [] and code.extract("`${`${'")["calls"] == []
+
+
+def test_parse_of_three_files_and_their_dead_import(spark):
+    texts = {"src/controllers/studentController.js": "\nconst studentService = require('../services/studentService');\nconst logger = require('../config/logger');\n\nexports.getAll = async (req, res) => {\n    const students = await studentService.findAll(req.query);\n    res.json(students);\n};\n", "src/services/studentService.js": "\nconst findAll = async (query) => {\n    return [];\n};\nconst findById = async (id) => {\n    return null;\n};\nmodule.exports = { findAll, findById };\n", "src/config/logger.js": "\nconst winston = require('winston');\nmodule.exports = winston.createLogger({});\n"}
+    files = spark.createDataFrame(list(texts.items()), "canonical_path string, source string")
+    reg = spark.createDataFrame([(i, p) for i, p in enumerate(texts)], "node_id long, canonical_path string")
+    raw = analyze.raw_edges(code.extracted(files), reg, spark.createDataFrame([], "scope string, alias string, dir string, ord int"), spark.createDataFrame([], "package string, dir string"))
+    got = {(r["source_id"], r["target_id"]): r for r in raw.collect()}
+    assert set(got) == {(0, 1), (0, 2)} and not got[0, 1]["is_dead_import"] and {"findAll", "findById"} & set(got[0, 1]["called_names"]) and got[0, 2]["is_dead_import"]
+
+
 def test_configuration(spark, root):
     texts = code.decoded(spark.createDataFrame([(p, bytearray(FILES[p].encode())) for p in ("web/tsconfig.json", "package.json", "pkgs/ui/package.json", "pnpm-workspace.yaml")], "canonical_path string, content binary"))
     a = code.path_aliases(texts.where("canonical_path like '%tsconfig.json'")).collect()
@@ -110,15 +130,30 @@ def test_nodes_clusters_and_entries(result):
     assert c["reached"] + c["unreached_count"] == c["total"] == 10
 
 
+def test_analysis_with_vectors_adds_semantic_edges(spark, root):
+    def embed(texts):
+        return [[float(t.count("a") + 1), float(t.count("e")), float(len(t) % 7)] for t in texts]
+
+    got = analyze.analyze(spark, root, embed=embed)
+    nodes = {n["canonical_path"]: n["cluster_id"] for n in got.nodes.collect()}
+    assert len(nodes) == 10 and all(nodes.values())
+    placed = [e for e in got.edges.collect() if e["type"] == "SEMANTIC_SIMILARITY"]
+    assert all(e["weight"] == 0.2 and e["is_synthetic"] for e in placed)
+
+
 def test_blueprint_and_snapshot_round_trip(spark, result, tmp_path):
     doc = sinks.blueprint(result.nodes.withColumn("id", F.col("canonical_path")), result.edges, result.clusters.withColumn("id", F.col("cluster_id")), result.entries)
     text = doc.first()["document"]
     (tmp_path / "b.json").write_text(text)
     back = sinks.read_blueprint(spark, str(tmp_path / "b.json")).first()
+    assert back["metadata"]["max_cluster_size"] == max(c["size"] for c in result.clusters.collect())
     assert back["metadata"]["total_nodes_indexed"] == 10 == len(back["nodes"]) and back["schema_version"] == "2.2"
     for s in ("s1", "s2"):
         counts = sinks.persist_snapshot(result.nodes, result.edges, s, f"{tmp_path}/snap").first()
     assert counts["nodes_count"] == 10 and counts["edges_count"] == result.edges.count()
+    for s in ("s1", "s2"):
+        sinks.persist_header(counts.withColumn("snapshot_id", F.lit(f"{s}h")), "p", None, f"2024-01-0{s[1]} 00:00:00", f"{tmp_path}/snap")
+    assert [tuple(r) for r in sinks.current_snapshot(spark, f"{tmp_path}/snap").collect()] == [("p", "s2h")]
     n, e = sinks.snapshot(spark, f"{tmp_path}/snap", "s1")
     assert n.count() == 10 and "PartitionFilters" in n._jdf.queryExecution().toString() and e.count() == counts["edges_count"]
 
@@ -126,12 +161,16 @@ def test_blueprint_and_snapshot_round_trip(spark, result, tmp_path):
 def test_archives_and_previews(spark):
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
-        for name in ("a/b.js", "node_modules/c.js", "../evil.js", "d/"):
+        for name in ("a/b.js", "node_modules/c.js", "../evil.js", "d/", "vendor/x.js", "a\\\\target\\\\y.js", "a\\\\z.js"):
             z.writestr(name, "x")
     got = code.zip_entries(spark.createDataFrame([(bytearray(raw.getvalue()),)], "content binary"))
-    assert [r["canonical_path"] for r in got.collect()] == ["a/b.js"]
+    assert sorted(r["canonical_path"] for r in got.collect()) == ["a/b.js", "a/z.js"]
+    named = code.zip_entries(spark.createDataFrame([("x.ZIP", bytearray(raw.getvalue())), ("x.tar", bytearray(b"no"))], "name string, content binary"))
+    assert named.count() == 2
+    outside = spark.createDataFrame([(p, bytearray(b"x")) for p in ("/etc/p", "C:/x", "\\\\\\\\h", "../a", "a/../../b", "a/../b", "")], "canonical_path string, content binary")
+    assert [r["canonical_path"] for r in code.preview(outside).collect()] == ["a/../b"]
     p = {r["canonical_path"]: r for r in code.preview(spark.createDataFrame([("t", bytearray(b"abc")), ("b", bytearray(b"a\x00")), ("l", bytearray(b"x" * (3 << 20)))], "canonical_path string, content binary")).collect()}
-    assert (p["t"]["is_binary"], p["b"]["is_binary"], p["l"]["truncated"], len(p["l"]["head"])) == (False, True, True, 2 << 20)
+    assert (p["t"]["is_binary"], p["b"]["is_binary"], p["l"]["truncated"], len(p["l"]["head"])) == (False, True, True, 2 << 20) and p["b"]["head"] == b"" and not p["b"]["truncated"]
     snaps = spark.createDataFrame([("s1", "a", bytearray(gzip.compress(b"{}"))), ("s2", "b", None), ("s3", "c", None)], "snapshot_id string, commit_sha string, compressed_map binary")
     files = spark.createDataFrame([("b", "[]")], "commit_sha string, document string")
     assert {r["snapshot_id"]: r["document"] for r in code.snapshot_document(files, snaps).collect()} == {"s1": "{}", "s2": "[]"}

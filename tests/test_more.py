@@ -1,6 +1,8 @@
 """Labels, tenancy rules and exported history."""
 
 import datetime as dt
+import io
+import tarfile
 
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ def test_labels_with_and_without_a_model(spark):
     assert got["c1"] == "T" and got["c9"] == "User Area Module"
 
 
+def test_no_more_calls_after_a_failed_one(spark):
+    asked = spark.createDataFrame([(i, f"p{i}") for i in range(4)], "batch long, prompt string")
+    said = labels.answered(asked, lambda p: '[{"cluster_id": "%s"}]' % p if p != "p1" else 1 / 0, labels.ANSWER)
+    assert [r["cluster_id"] for r in said.collect()] == ["p0"]
+
+
 def test_domain_validation_is_advisory(spark):
     c = spark.createDataFrame([("c1", "CANONICAL"), ("c2", "UNCLASSIFIED")], "cluster_id string, kind string")
     asked = spark.createDataFrame([(0, "p")], "batch long, prompt string")
@@ -58,6 +66,16 @@ def test_history_from_exports(spark):
     files = {r["sha"]: r for r in history.commit_files(rows.where("path is not null")).collect()}
     assert files["s2"]["modified"] == ["a.js", "new.js"] and files["s2"]["deleted"] == ["z.js"] and files["s1"]["added"] == ["a.js"]
     assert [r["sha"] for r in git.last_commits(rows, 2).collect()] == ["s2", "s1"]
+    both = git.log(spark.createDataFrame([("p", bytearray(text.encode())), ("q", bytearray(text.encode()))], "key string, content binary"))
+    assert [(r["project"], r["sha"]) for r in git.last_commits(both, 1).collect()] == [("p", "s2"), ("q", "s2")]
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w") as z:
+        for name in ("a.js", "Dist/b.js", "src/dist/c.js"):
+            entry = tarfile.TarInfo(name)
+            entry.size = 1
+            z.addfile(entry, io.BytesIO(b"x"))
+    tree = git.commit_tree(spark.createDataFrame([("s1", bytearray(raw.getvalue())), ("s2", None)], "sha string, content binary"))
+    assert {(r["sha"], r["canonical_path"]) for r in tree.collect()} == {("s1", "a.js"), ("s1", "src/dist/c.js")}
     porcelain = "h 1 1 2\nauthor Ann\nauthor-mail <a@x>\n\tline 1\nh 2 2\n\tline 2\nk 3 3\nauthor Not Committed Yet\nauthor-mail <none>\n\tline 3\n"
     b = git.blame(spark.createDataFrame([("a.js", bytearray(porcelain.encode()))], "key string, content binary"))
     assert [(r["line"], r["author"]) for r in b.orderBy("line").collect()] == [(1, "Ann"), (2, "Ann"), (3, None)]

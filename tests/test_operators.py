@@ -62,6 +62,10 @@ def test_move_preview(spark):
     r = metrics.move_preview(m, e, "1", "c2").first()
     want = {"modularity": (-0.2222, 0.0), "cohesion": (33.3333, 100.0), "coupling": (66.6667, 0.0), "size_balance": (100.0, 81.1278), "placement": (0.0, 100.0), "quality": (32.2917, 77.9596)}
     assert {k: (r[f"{k}_before"], r[f"{k}_after"]) for k in want} == want and r["quality_delta"] == 45.6679 and r["verdict"] == "IMPROVES"
+    assert (r["from_cluster"], r["source_before"], r["source_after"], r["target_before"], r["target_after"]) == ("c1", 2, 1, 2, 3)
+    assert r["reasons"] == ["File dependency fit improves by 100.00 percentage points", "Graph modularity improves by 0.2222", "Internal-edge cohesion improves by 66.67 percentage points", "Cluster-size balance decreases by 18.87 percentage points"]
+    lone = metrics.move_preview(m, e.where("source_id = '9'"), "1", "c2").first()
+    assert lone["reasons"][0].startswith("The file has no weighted") and lone["verdict"] == "WORSENS"
 
 
 def test_propagation_on_a_chain(spark):
@@ -108,7 +112,7 @@ def test_naming_edges(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
-def test_naming_edges_all_pairs_every_shared_word(spark, tmp_path):
+def test_naming_edges_query_pairs_every_shared_word(spark, tmp_path):
     from lattica.plans import registry
 
     kinds = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -119,7 +123,7 @@ def test_naming_edges_all_pairs_every_shared_word(spark, tmp_path):
         for j, b, t, *_ in rows:
             if "STANDARD" not in s + t and s < t and (both := {*a.split()} & {*b.split()}):
                 want.add((i, j, ",".join(sorted(both))))
-    got = [(r["source_id"], r["target_id"], r["called_names"]) for r in registry.load()[0]["naming_edges_all"](spark, str(tmp_path)).collect()]
+    got = [(r["source_id"], r["target_id"], r["called_names"]) for r in registry.load()[0]["naming_edges"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
@@ -129,7 +133,7 @@ def test_state_edges_and_their_guard(spark):
     assert [tuple(r) for r in infer.state_edges(i, i.select("source_id", "target_id")).collect()] == [(1, 2, "m.ts")]
 
 
-def test_url_match_join_all_gives_every_page_a_route(spark, tmp_path):
+def test_url_match_join_query_gives_every_page_a_route(spark, tmp_path):
     from lattica.plans import registry
 
     rows = [(i, f"http://h/{'abc'[i % 3]}" + f"/x{i % 4}" * (i % 5 != 4) + "/y" * (i % 7 == 6)) for i in range(60)] + [(60, "http://h/*/x1"), (61, "http://h/"), (62, "http://h/7/x2"), (63, None)]
@@ -142,11 +146,11 @@ def test_url_match_join_all_gives_every_page_a_route(spark, tmp_path):
         if route:
             n = sum(len(q) == len(route) and all(a == b or "*" in (a, b) for a, b in zip(q, route, strict=True)) for q in path.values())
             want |= {i: n} if n else {}
-    got = {r["server"]: r["clients"] for r in registry.load()[0]["url_match_join_all"](spark, str(tmp_path)).collect()}
+    got = {r["server"]: r["clients"] for r in registry.load()[0]["url_match_join"](spark, str(tmp_path)).collect()}
     assert got == want and {i % 10 for i in got} > {0, 1}
 
 
-def test_ancestor_layout_all_takes_layouts_of_any_size(spark, tmp_path):
+def test_ancestor_layout_query_takes_layouts_of_any_size(spark, tmp_path):
     from lattica.plans import registry
 
     rows = [(i, f"a{i % 3} b", f"T{i % 2}", f"B{i % 2}", 1 + i % 50, 1.0) for i in range(4, 40)]
@@ -156,7 +160,7 @@ def test_ancestor_layout_all_takes_layouts_of_any_size(spark, tmp_path):
     for i in sorted(dirs):
         first.setdefault(tuple(dirs[i][: 2 + i % 2]), i)
     want = {(next(first[tuple(d[:n])] for n in (3, 2, 1) if tuple(d[:n]) in first), i) for i, d in dirs.items()}
-    got = {(r["source_id"], r["target_id"]) for r in registry.load()[0]["ancestor_layout_all"](spark, str(tmp_path)).collect()}
+    got = {(r["source_id"], r["target_id"]) for r in registry.load()[0]["ancestor_layout"](spark, str(tmp_path)).collect()}
     assert got == {(a, b) for a, b in want if a != b}
 
 
@@ -199,6 +203,14 @@ def test_visible_projects_and_roles(spark):
 def test_slugs_and_even_chunks(spark):
     s = spark.createDataFrame([(1, "My Org"), (2, "My Org!")], "id long, title string")
     assert {r["id"]: r["slug"] for r in analytics.unique_slugs(s).collect()} == {1: "my-org", 2: "my-org-1"}
+    titles = ["x", "x 1", "x", "x", "x 1", "x 2", "x-1-1", "y 1", "y", "y"]
+    taken, want = set(), {}
+    for i, title in enumerate(titles):
+        base = title.replace(" ", "-")
+        want[i] = next(c for c in [base, *(f"{base}-{n}" for n in range(1, 20))] if c not in taken)
+        taken.add(want[i])
+    got = analytics.unique_slugs(spark.createDataFrame(list(enumerate(titles)), "id long, title string"))
+    assert {r["id"]: r["slug"] for r in got.collect()} == want
     rows = cluster.split(list(range(65)), {}, 30, "b")
     assert [len(v) for _, _, v in rows] == [30, 30, 5]
 
@@ -229,6 +241,65 @@ def test_merging_small_buckets(spark):
     assert got[1] == got[2] == got[3] == "a/y" and set(got) == set(range(1, 8))
 
 
+def test_merging_leaves_no_small_bucket_while_there_is_another(spark):
+    b = spark.createDataFrame([(1, "a/x"), (2, "b/y"), (3, "c/z"), (4, "c/z"), (5, "q/y"), (6, "solo")], "node_id long, bucket string")
+    none = spark.createDataFrame([], "source_id long, target_id long, weight double, edge_type string")
+    got = cluster.merge_small(b, none)
+    sizes = [r["n"] for r in got.groupBy("bucket").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 6 and (min(sizes) >= 3 or len(sizes) == 1)
+    assert cluster.merge_small(b.where("node_id = 1"), none).first()["bucket"] == "a/x"
+    small = spark.createDataFrame([("p/q/r",), ("m/n",)], "bucket string")
+    every = spark.createDataFrame([("p/q/r",), ("p/x/r",), ("p/q/z",), ("a",), ("m/n",)], "bucket string")
+    assert {r["bucket"]: r["target"] for r in cluster.closest_directory(small, every).collect()} == {"p/q/r": "p/q/z", "m/n": "a"}
+
+
+def test_vectors_place_what_edges_do_not(spark):
+    v = spark.createDataFrame([(i, [1.0, 0.1 * i] if i < 5 else [0.0, 1.0 + 0.1 * i]) for i in range(10)], "node_id long, v array<double>")
+    b = spark.createDataFrame([(i, "a" if i < 4 else "alone" if i == 4 else "b" if i < 9 else "last") for i in range(10)], "node_id long, bucket string")
+    none = spark.createDataFrame([], "source_id long, target_id long, weight double, edge_type string")
+    merged, placed = cluster.merged_small(b, none, vectors=v)
+    got = {r["node_id"]: r["bucket"] for r in merged.collect()}
+    assert got[4] == "a" and got[9] == "b"
+    assert {r["node_id"]: r["member"] for r in placed.collect()} == {4: 3, 9: 8}
+    e = cluster.semantic_edges(placed, none).collect()
+    assert {(r["source_id"], r["target_id"], r["edge_type"], r["weight"]) for r in e} == {(4, 3, "SEMANTIC_SIMILARITY", 0.2), (9, 8, "SEMANTIC_SIMILARITY", 0.2)}
+    heads, by = cluster.reassigned(b.where("bucket = 'last'").select("node_id"), b.where("bucket <> 'last'"), v)
+    assert {r["node_id"]: r["bucket"] for r in heads.collect()}[9] == "b" and by.count() == 1
+    alone, by = cluster.absorbed(b, none, v)
+    assert {r["node_id"]: r["bucket"] for r in alone.collect()}[4] == "a" and {r["node_id"] for r in by.collect()} == {4, 9}
+    stay, by = cluster.absorbed(b, none)
+    assert {r["node_id"]: r["bucket"] for r in stay.collect()}[4] == "alone" and by is None
+
+
+def test_nearest_beyond_the_broadcast_and_in_slices(spark):
+    from lattica.operators import vectors
+
+    v = spark.createDataFrame([(i, i % 3, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id long, grp long, v array<double>")
+    c = vectors.centroids(v.withColumn("k", F.col("id") % 11), "k")
+    rows = lambda d: sorted((r["id"], r["best"], round(r["similarity"], 9)) for r in d.collect())
+    assert rows(vectors.nearest_centroid(v, c, "k")) == rows(vectors.nearest_centroid(v, c, "k", bound=0, block=4))
+    assert rows(vectors.nearest_member(v, v)) == rows(vectors.nearest_member(v, v, block=3))
+    model = lambda texts: [[len(t), 1] for t in texts]
+    got = vectors.embedded(spark.createDataFrame([(1, "ab"), (2, None)], "id long, text string"), model)
+    assert {r["id"]: r["v"] for r in got.collect()} == {1: [2.0, 1.0], 2: [0.0, 1.0]}
+
+
+def test_louvain_goes_on_until_nothing_moves():
+    n = 400
+    links = {(i, i + 1): 1.0 + (i % 2) * 1e-3 for i in range(n - 1)}
+    for refine in (False, True):
+        found = cluster.communities(list(range(n)), links, refine=refine)
+        assert set(found) == set(range(n)) and 5 < len(set(found.values())) < 60
+        for c in set(found.values()):  # a chain's communities are connected
+            mine = sorted(v for v in found if found[v] == c)
+            assert mine == list(range(mine[0], mine[-1] + 1))
+
+
+def test_components_of_a_chain_of_1100_links(spark):
+    e = spark.range(1100).selectExpr("id as src", "id + 1 as dst")
+    assert graph.connected_components(e).where("component <> 0").count() == 0
+
+
 def test_resolution_order(spark):
     reg = spark.createDataFrame([("src/a.ts",), ("src/a/index.js",), ("src/lib/x.ts",), ("pkgs/ui/src/button.tsx",), ("pkgs/ui/button.tsx",), ("y.js",)], "canonical_path string")
     imports = spark.createDataFrame([("src/main.ts", "./a"), ("src/lib/b.ts", "../../y"), ("src/main.ts", "@/x"), ("src/main.ts", "@acme/ui/button"), ("src/main.ts", "lodash")], "source_path string, spec string")
