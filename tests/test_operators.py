@@ -254,7 +254,7 @@ def test_merging_leaves_no_small_bucket_while_there_is_another(spark):
 
 
 def test_vectors_place_what_edges_do_not(spark):
-    v = spark.createDataFrame([(i, [1.0, 0.1 * i] if i < 5 else [0.0, 1.0 + 0.1 * i]) for i in range(10)], "node_id long, v array<double>")
+    v = spark.createDataFrame([(i, [1.0, 0.1 * i] if i < 5 else [0.9 - 0.1 * i, 1.0]) for i in range(10)], "node_id long, v array<double>")
     b = spark.createDataFrame([(i, "a" if i < 4 else "alone" if i == 4 else "b" if i < 9 else "last") for i in range(10)], "node_id long, bucket string")
     none = spark.createDataFrame([], "source_id long, target_id long, weight double, edge_type string")
     merged, placed = cluster.merged_small(b, none, vectors=v)
