@@ -3,8 +3,8 @@
 A document is tokenised and cut into whole sequences; what remains of it is packed. A piece of l
 tokens costs LINEAR * l + QUADRATIC * l**2 (feed-forward work, and attention inside the piece).
 The remainders of a block are taken in descending order, each to the lowest-cost sequence with
-remaining capacity; if none of the cheapest has room for all of it, it is cut at the sequence's
-end and goes on in the next cheapest. A block has exactly as many full sequences as its tokens
+remaining capacity for all of it. If none has that, it fills the lowest-cost sequence that has any
+capacity, and what is left of it is taken again in its place in the order. A block has exactly as many full sequences as its tokens
 fill, and the tokens left over get sequences whose capacities are powers of two, which need no
 padding; so nothing is padded.
 
@@ -38,7 +38,6 @@ LENGTH = 1024
 END = 0
 LINEAR, QUADRATIC = 1.0, 1 / 2048
 BLOCK = 8192  # remainders packed together
-LOOK = 16  # cheapest sequences in which a piece may fit whole before it is cut
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _SPACE = "\u0120"  # a space byte in a byte-level vocabulary
@@ -53,12 +52,19 @@ def _uneven(text: str) -> bool:
     return len(found) != blanks + 1 or len("".join(found)) != len(text) - blanks or "\0" in text
 
 
+def _cuttable(tokenizer) -> bool:
+    """Whether a tokenizer is byte-level BPE without normaliser and splits by itself at blanks."""
+    from tokenizers import models, pre_tokenizers
+
+    return tokenizer.normalizer is None and isinstance(tokenizer.model, models.BPE) and isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and tokenizer.pre_tokenizer.use_regex
+
+
 class Encoder:
     """Token ids by `tokenizers`, with the ids of earlier chunks kept.
 
     Byte-level pre-tokenisation never joins what stands before a single space, or on either side
     of a single line end, between two non-blank characters, so a text's ids are those of its
-    chunks, one after the other."""
+    chunks, one after the other. With any other tokenizer a text is one chunk."""
 
     def __init__(self, path: str, end: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,6 +72,7 @@ class Encoder:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.whole = not _cuttable(self.tokenizer)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith(_SPACE)]] = True
         self.clear()
@@ -115,8 +122,8 @@ class Encoder:
         """The ids of all texts, each with the end id, and where each text's begin (and the end)."""
         if len(self.known) > _CACHE_SIZE or self.n > 8 * _CACHE_SIZE:
             self.clear()
-        odd = [_uneven(t) for t in texts]
-        split = [_CUT.split(t) if x else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t, x in zip(texts, odd, strict=True)]
+        odd = [self.whole or _uneven(t) for t in texts]
+        split = [[t] if t else [] for t in texts] if self.whole else [_CUT.split(t) if x else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t, x in zip(texts, odd, strict=True)]
         flat = list(chain.from_iterable(split))
         per_text = np.fromiter(map(len, split), dtype=np.int64, count=len(split)) + 1
         places = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
@@ -155,27 +162,40 @@ def assign(lengths: list[int], capacity: int = LENGTH, linear: float = LINEAR, q
     rooms = [capacity] * (total // capacity)
     left = total % capacity
     rooms += [1 << b for b in range(left.bit_length() - 1, -1, -1) if left >> b & 1]
-    free = rooms.copy()
-    heap = [(0.0, k) for k in range(len(rooms))]
+    free, cost = rooms.copy(), [0.0] * len(rooms)
+    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]  # sequences that have less room than is asked for now
+    for k, room in enumerate(rooms):
+        by_room[room].append(k)
+    opened: list[tuple[float, int]] = []  # those that have as much or more
+    every = [(0.0, k) for k in range(len(rooms))]  # all of them, at former costs too
+    level = capacity + 1
+    items = [(-n, i, 0) for i, n in enumerate(lengths) if n]
+    heapq.heapify(items)
     out = []
-    for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        start, rest = 0, lengths[item]
-        while rest:
-            held = []
-            while heap and len(held) < LOOK:
-                held.append(heapq.heappop(heap))
-                if free[held[-1][1]] >= rest:
-                    break
-            pick = len(held) - 1 if free[held[-1][1]] >= rest else 0
-            cost, k = held.pop(pick)
-            n = min(rest, free[k])
-            out.append((item, start, n, k, rooms[k] - free[k]))
-            free[k] -= n
-            start, rest = start + n, rest - n
-            if free[k]:
-                held.append((cost + linear * n + quadratic * n * n, k))
-            for x in held:
-                heapq.heappush(heap, x)
+    while items:  # what is left of a cut piece queues again, so lengths never rise
+        n, item, start = heapq.heappop(items)
+        n = -n
+        while level > n:
+            level -= 1
+            for k in by_room[level]:
+                if free[k] == level:
+                    heapq.heappush(opened, (cost[k], k))
+            by_room[level].clear()
+        c, k = heapq.heappop(opened or every)
+        while c != cost[k] or not free[k]:
+            c, k = heapq.heappop(every)
+        taken = min(n, free[k])
+        out.append((item, start, taken, k, rooms[k] - free[k]))
+        free[k] -= taken
+        cost[k] = c + linear * taken + quadratic * taken * taken
+        if free[k]:
+            heapq.heappush(every, (cost[k], k))
+            if free[k] >= level:
+                heapq.heappush(opened, (cost[k], k))
+            else:
+                by_room[free[k]].append(k)
+        if taken < n:
+            heapq.heappush(items, (taken - n, item, start + taken))
     return out, rooms
 
 

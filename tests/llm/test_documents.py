@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -265,6 +266,55 @@ def test_assign_balances_cost():
     assert packing.assign([]) == ([], [])
 
 
+def naive_assign(lengths, capacity):
+    """The rule itself: the longest goes to the cheapest sequence with room, else fills the cheapest."""
+    total = sum(lengths)
+    rooms = [capacity] * (total // capacity) + [1 << b for b in range(20, -1, -1) if (total % capacity) >> b & 1]
+    free, cost, out = rooms.copy(), [0.0] * len(rooms), []
+    items = sorted((-n, i, 0) for i, n in enumerate(lengths) if n)
+    while items:
+        n, item, start = items.pop(0)
+        n = -n
+        fits = [k for k in range(len(rooms)) if free[k] >= n] or [k for k in range(len(rooms)) if free[k]]
+        k = min(fits, key=lambda k: (cost[k], k))
+        taken = min(n, free[k])
+        out.append((item, start, taken, k, rooms[k] - free[k]))
+        free[k] -= taken
+        cost[k] += taken + taken * taken / 2048
+        if taken < n:
+            items = sorted([*items, (taken - n, item, start + taken)])
+    return out, rooms
+
+
+def test_assign_follows_the_rule():
+    r = random.Random(8)
+    for _ in range(60):
+        lengths = [r.choice([0, 1, 5, 64, 700, 1023, r.randrange(1, 1024)]) for _ in range(r.randrange(1, 120))]
+        assert packing.assign(lengths) == naive_assign(lengths, 1024)
+
+
+def test_assign_finds_the_only_sequence_with_room():
+    # twenty cheaper sequences have 284 left, only that of the piece of 700 can take 300
+    lengths = [700, *[400] * 20, *[340] * 20, 300, *[284] * 20, 24]
+    pieces, rooms = packing.assign(lengths)
+    assert len(rooms) == 21 and len(pieces) == len(lengths)
+    at = {p[0]: p[3] for p in pieces}
+    assert at[41] == at[0]
+
+
+def test_other_tokenizers_take_whole_texts():
+    P = pytest.importorskip("public_tokenizers")
+    import tokenizers
+
+    path = P.path("word_bpe_49k.json")
+    plain = tokenizers.Tokenizer.from_file(path)
+    texts = ["Hello  world, it's 1 test\n\nof words", "", " x"]
+    encode = packing.Encoder(path, 0)
+    ids, at = encode(texts)
+    assert encode.whole == (not packing._cuttable(plain))
+    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 def lm_tokens(t):
     return [*util.words(util.lower(t or "")), None]
 
