@@ -9,8 +9,8 @@ Queries and candidates are dealt by hash into blocks of bounded size, and every
 block and a candidate block is one task (a grid), so neither side is gathered or broadcast.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do
-rows without vec_id; rows that repeat a vec_id count as one, with the vector that is greatest in
-array order; a row is no candidate of its own query; vectors may differ in length (missing
+rows without vec_id; rows that repeat a vec_id are candidates each, and one query with the vector
+that is greatest in array order; a query's own candidates (all rows of its vec_id) are left out; vectors may differ in length (missing
 components are zero); an empty table gives an empty result; other columns are ignored.
 """
 
@@ -66,8 +66,7 @@ def _cell(k: int):
                         scores += weights * w
                     else:
                         scores[where] += weights * w
-            own = np.searchsorted(ids, query)
-            rest = np.arange(len(ids)) if own >= len(ids) or ids[own] != query else np.delete(np.arange(len(ids)), own)
+            rest = np.flatnonzero(ids != query)
             found = scores[rest]
             if len(found) > k:
                 last = np.partition(found, len(found) - k)[len(found) - k]
@@ -87,12 +86,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     from pyspark.sql import Window
 
     ship(vectors.sparkSession)
-    rows = written(vectors.where("vec_id is not null and v is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.max("v").alias("v")), "vectors")
-    queries = rows.where(is_query)
+    rows = written(vectors.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.monotonically_increasing_id().alias("row")), "vectors")
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.max("v").alias("v"))
     n, n_queries = rows.count(), queries.count()
     across, down = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     q = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(down)).alias("s")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
-    c = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(across)).alias("t")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+    c = rows.select("vec_id", "v", F.pmod(F.xxhash64("row"), F.lit(across)).alias("t")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
     cells = q.groupBy("s", "t").cogroup(c.groupBy("s", "t")).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return cells.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast(T.IntegerType()).alias("rank"), "vec_id", "score")

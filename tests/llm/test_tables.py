@@ -109,14 +109,15 @@ def test_top_k_matches_brute_force(spark, monkeypatch, k):
     r = random.Random(2)
     rows = [(i, [round(r.uniform(-1, 1), 1) if r.random() < 0.6 else 0.0 for _ in range(5)]) for i in range(180)]
     rows += [(200, None), (220, [1.0, None]), (240, [float("nan")]), (260, [float("inf"), 1.0]), (None, [1.0] * 5), (280, []), (300, [0.5, 0.5]), (301, rows[0][1]), (302, rows[0][1]), rows[20], rows[21]]
-    ok = {i: w for i, v in rows if i is not None and (w := whole(v)) is not None}
+    ok = [(i, w) for i, v in rows if i is not None and (w := whole(v)) is not None]
     found = rows_of(topk.top_k(vectors(spark, rows).drop("v").select("vec_id", topk.whole("embedding").alias("v")), (lambda c: c % 20 == 0)(__import__("pyspark.sql.functions", fromlist=["col"]).col("vec_id")), k))
     want = set()
-    for q, a in ok.items():
+    for q, a in dict(sorted(ok)).items():
         if q % 20 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in ok.items() if i != q)[:k]
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in ok if i != q)[:k]
             want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
     assert {(f["query_id"], f["rank"], f["vec_id"], f["score"]) for f in found} == want and len(found) == len(want)
+    assert any(len({f["vec_id"] for f in found if f["query_id"] == q}) < k for q, _ in ok)  # both rows of a repeated vec_id are ranked
 
 
 def test_top_k_empty(spark):
