@@ -100,5 +100,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.as_digest(quality.quality_rules(table(spark, sf_dir, "documents")))
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lattica.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.as_digest(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), ["doc_id"], path), ["doc_id", "n_tokens", "ids"], path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
