@@ -26,11 +26,12 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import text as tx
@@ -40,7 +41,7 @@ _END = "\x01"  # stands behind the last character of a piece, where the model ma
 _GAP = "\x00"  # between pieces; neither is a character of a byte-level alphabet
 _PART = 1 << 20  # characters worked on at a time
 _LEARN = 1 << 15  # characters that are split into pieces in one call
-_CACHE = 800_000
+_CACHE = 400_000  # chunks, pieces and pairs that a worker keeps
 _TAKEN = "__lattica_taken"
 _CACHED = 64  # longer chunks and pieces are as good as unique
 _COMMON = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
@@ -86,8 +87,8 @@ class Merges:
             self.left.append(x)
             self.right.append(y)
             self.merged[x, y] = n
-        self.ids_of = [vocab[t] for t in number]
-        self._known: dict[tuple[int, int], bool] = {}
+        self.ids_of = tuple(vocab[t] for t in number)
+        self._known: dict[int, bool] = {}
         whole = [i < self.first_merge or self._apart(self.left[i], self.right[i], i) for i in range(len(self.text))]
         for i in range(self.first_merge, len(whole)):  # a token that its own text's merges never end in is never met
             whole[i] = whole[i] and whole[self.left[i]] and whole[self.right[i]]
@@ -117,14 +118,14 @@ class Merges:
 
     def compatible(self, a: int, b: int) -> bool:
         """The pair table, filled as pairs are met."""
-        ok = self._known.get((a, b))
+        ok = self._known.get(a << 32 | b)
         if ok is None:
-            if len(self._known) > 4_000_000:
+            if len(self._known) > _CACHE:
                 self._known.clear()
-            ok = self._known[a, b] = self._apart(a, b, len(self.text) + 1)
+            ok = self._known[a << 32 | b] = self._apart(a, b, len(self.text) + 1)
         return ok
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
+    def encode(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """The ids of each piece (characters of the byte-level alphabet)."""
         end = _END if self.suffix else ""
         joined = _GAP.join(p + end for p in pieces) + _GAP
@@ -139,7 +140,7 @@ class Merges:
             at = stop + 1
         return out
 
-    def _walk(self, longest: list[int], at: int, stop: int) -> list[int]:
+    def _walk(self, longest: list[int], at: int, stop: int) -> tuple[int, ...]:
         length, known = self.length, self._known
         taken: list[int] = []
         dead: set[int] = set()
@@ -152,7 +153,7 @@ class Merges:
                     if then not in dead:
                         if last < 0:
                             break
-                        ok = known.get((last, token))
+                        ok = known.get(last << 32 | token)
                         if self.compatible(last, token) if ok is None else ok:
                             break
                     token = self.shorter[token]
@@ -167,7 +168,7 @@ class Merges:
                 last = taken[-1] if taken else -1
             taken.append(token)
             last, at = token, then
-        return list(map(self.ids_of.__getitem__, taken))
+        return tuple(map(self.ids_of.__getitem__, taken))
 
 
 class Coder:
@@ -194,7 +195,7 @@ class Coder:
         texts = [every.get(i, "").encode() + b" " if i in every else b"" for i in range(max(every) + 1)]
         self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        self.pieces: dict[str, list[int]] = {"": []}
+        self.pieces: dict[str, tuple[int, ...]] = {"": ()}
         self.clear()
 
     def clear(self) -> None:
@@ -250,7 +251,7 @@ class Coder:
         following = iter(split)
         return [list(chain.from_iterable([p] if isinstance(p, int) else next(following) for p in ps)) for ps in parts]
 
-    def _fresh(self, chunks: list[str]) -> list[list[int]]:
+    def _fresh(self, chunks: list[str]) -> list:
         """The ids of chunks that aren't known yet."""
         split: list = list(map(self._common, chunks)) if self.cut else [None] * len(chunks)
         rest = [i for i, x in enumerate(split) if x is None]
@@ -284,7 +285,7 @@ class Coder:
         if len(self.chunks) > _CACHE or self.n > 8 * _CACHE:
             self.clear()
         if len(self.pieces) > _CACHE:
-            self.pieces = {"": []}
+            self.pieces = {"": ()}
         split = [t.replace("\n", " ").split(" ") if self.cut else [t] for t in texts]
         flat = list(chain.from_iterable(split))
         places = np.fromiter(map(self.chunks.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
@@ -361,25 +362,27 @@ def _decoder(path: str, keys: list[str]):
     return run
 
 
-def _quoted(names: list[str]) -> list[str]:
-    return [f"`{n.replace('`', '``')}`" for n in names]
+def _column(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
-def _fields(df: DataFrame, keys: list[str]) -> str:
-    return ", ".join(f"{q} {df.schema[k].dataType.simpleString()}" for k, q in zip(keys, _quoted(keys), strict=True))
+def _mapped(rows: DataFrame, keys: list[str], taken: str, run, made: dict[str, str]) -> DataFrame:
+    """keys and the columns made by run, which sees the keys as k0, k1, ... whatever their names."""
+    ship(rows.sparkSession)
+    names = [f"k{i}" for i in range(len(keys))]
+    kinds = [f"{n} {rows.schema[k].dataType.simpleString()}" for n, k in zip(names, keys, strict=True)]
+    plain = rows.select(*(_column(k).alias(n) for k, n in zip(keys, names, strict=True)), _column(taken).alias(_TAKEN))
+    return plain.mapInArrow(run(names), ", ".join([*kinds, *(f"{n} {t}" for n, t in made.items())])).toDF(*keys, *made)
 
 
 def encoded(rows: DataFrame, keys: list[str], tokenizer: str, text: str = "text") -> DataFrame:
     """keys, n_tokens and ids (little-endian unsigned 32-bit) of every row's text."""
-    ship(rows.sparkSession)
-    taken = rows.select(*_quoted(keys), F.col(*_quoted([text])).alias(_TAKEN))
-    return taken.mapInArrow(_encoder(tokenizer, keys), f"{_fields(rows, keys)}, n_tokens long, ids binary")
+    return _mapped(rows, keys, text, partial(_encoder, tokenizer), {"n_tokens": "long", "ids": "binary"})
 
 
-def decoded(rows: DataFrame, keys: list[str], tokenizer: str) -> DataFrame:
+def decoded(rows: DataFrame, keys: list[str], tokenizer: str, ids: str = "ids") -> DataFrame:
     """keys and the decoded text of every row's ids; keys may be any columns of the rows."""
-    ship(rows.sparkSession)
-    return rows.select(*_quoted(keys), F.col("ids").alias(_TAKEN)).mapInArrow(_decoder(tokenizer, keys), f"{_fields(rows, keys)}, decoded string")
+    return _mapped(rows, keys, ids, partial(_decoder, tokenizer), {"decoded": "string"})
 
 
 def as_digest(rows: DataFrame) -> DataFrame:
