@@ -1,0 +1,21 @@
+"""A join of rows with a table of unique keys that withstands hot keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+HEAVY = 1000  # a key is heavy if more than one in so many rows have it
+
+
+def looked_up(rows: DataFrame, known: DataFrame, key: str, weight: Column, total: int) -> DataFrame:
+    """rows with the columns of known, null where it has no such key.
+
+    weight is a column of known: how many rows have its key, and total the number of all rows. So
+    at most a thousand keys are heavy, and these are broadcast; a shuffle meets light keys only.
+    rows and known are read twice, so they should be written; names in known must be new."""
+    share, mark = weight * HEAVY > total, "__lattica_heavy"
+    tried = rows.join(F.broadcast(known.where(share).withColumn(mark, F.lit(1))), key, "left")
+    heavy = tried.where(F.col(mark).isNotNull()).drop(mark)
+    other = tried.where(F.col(mark).isNull()).select(*rows.columns).join(known.where(~share), key, "left")
+    return heavy.unionByName(other)

@@ -109,5 +109,17 @@ def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.as_digest(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), ["doc_id"], path), ["doc_id", "n_tokens", "ids"], path))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import trie
+
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import audit
+
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}

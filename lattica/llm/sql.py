@@ -86,6 +86,51 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
 
+OP12 = """
+WITH t AS (SELECT conv_id, conv_id - conv_id % 20 AS base, turn, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+           FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) - 1 AS i FROM t),
+c AS (SELECT conv_id, any_value(base) AS base, (4294967295 - list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1),
+          lambda k: [ascii(substr(conv_id::VARCHAR, k, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))),
+          lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) % 4 AS h FROM t GROUP BY conv_id),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+rebuilt AS (SELECT c.conv_id, o.i AS pos, o.d, o.text FROM c JOIN own o ON o.conv_id = c.base AND o.i < c.h
+            UNION ALL SELECT c.conv_id, o.i - c.h + least(c.h, coalesce(n.n, 0)), o.d, o.text FROM c JOIN own o ON o.conv_id = c.conv_id AND o.i >= c.h LEFT JOIN n ON n.conv_id = c.base),
+paths AS (SELECT conv_id, '' AS path, '' AS text FROM c UNION ALL SELECT conv_id, string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY pos), text FROM rebuilt),
+ended AS (SELECT conv_id, arg_max(path, length(path)) AS path FROM paths GROUP BY conv_id),
+ends AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS s FROM ended GROUP BY path),
+nodes AS (SELECT path, length(path) // 64 AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\\x20\\x09-\\x0D]+')) AS saved FROM paths GROUP BY path),
+kids AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n FROM nodes WHERE path <> '' GROUP BY 1),
+up AS (SELECT left(path, 64 * unnest(range(depth + 1))) AS path, saved, (path NOT IN (SELECT path FROM kids))::INT AS leaf FROM nodes),
+sums AS (SELECT path, sum(leaf) AS leaves, sum(saved) AS saved FROM up GROUP BY path)
+SELECT x.conv_id, x.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n_convs::BIGINT AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+       s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, coalesce(e.s, sha256('')) AS ends_sha256
+FROM nodes x LEFT JOIN nodes p ON x.path <> '' AND p.path = left(x.path, length(x.path) - 64) LEFT JOIN kids k ON k.path = x.path
+JOIN sums s ON s.path = x.path LEFT JOIN ends e ON e.path = x.path
+"""
+
+OP13 = """
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+x AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS m FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN x.doc_id > m OR (x.doc_id IS NULL AND m IS NOT NULL) THEN 'E' ELSE '' END AS fails
+      FROM x LEFT JOIN l ON x.doc_id = l.doc_id),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+orders(o) AS (SELECT '' UNION ALL SELECT o || c FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE NOT contains(o, c)),
+steps AS (SELECT o, s, substr(o, s, 1) AS c FROM orders, (SELECT unnest(range(1, 6)) AS s) WHERE length(o) = 5),
+e AS (SELECT part, o, s, c, n, good, toxic, fails, contains(fails, c) AS hit, length(translate(left(o, s - 1), fails, '')) < s - 1 AS before FROM g, steps),
+r AS (SELECT part, o, s, c, sum(n) FILTER (NOT hit AND NOT before) AS kept, sum(n) FILTER (hit AND NOT before) AS removed, sum(n) FILTER (hit AND before) AS redundant,
+             sum(n) FILTER (fails = c) AS alone, sum(good) FILTER (hit AND NOT before) AS good, sum(toxic) FILTER (hit AND NOT before) AS toxic FROM e GROUP BY ALL)
+SELECT part, o AS filter_order, s::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(alone, 0)::BIGINT AS unique_fails, coalesce(good, 0)::BIGINT AS good_lost, coalesce(toxic, 0)::BIGINT AS toxic_lost,
+       sum(coalesce(removed, 0)) OVER (PARTITION BY part, c)::BIGINT AS shapley
+FROM r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_archives": OP1,
     "op3_url_filter": OP3,
@@ -93,4 +138,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard_join": OP5,
     "op8_license_scan": OP8,
     "op9_exact_top_k": OP9,
+    "op12_conversation_trie": OP12,
+    "op13_filter_audit": OP13,
 }
