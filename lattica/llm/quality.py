@@ -2,15 +2,22 @@
 
 A document's character-class histogram and its histogram of common words are compared with
 references of its language by Jensen-Shannon distance. The references are sums over all
-documents of each value of lang: of each language listed in COMMON, and of each other value with
-REFERENCE_WORDS words. Documents without a language, or of a rarer one, are compared with the
-reference that fits them best: they are rejected if they are far from every one.
-
-Defined cases: a null or empty text has no words and fails; where no language has a reference, the
-sum of all documents is it; of more than MOST values of lang, those with the fewest words count as
-rare; documents under MIN_WORDS words are judged by the base rules alone (the
-histograms of so few words say nothing); repeated rows get the same answer each; other columns
-are carried along by `quality_filter` and ignored by `quality_rules`.
+documents of each value of lang, however many there are. A language listed in COMMON is judged by
+its sum; any other by its sum without the document itself, where that has MIN_WORDS words (the
+same least length that a document needs for a verdict). Documents without such a reference are
+compared with the one that fits them best among those of their script (mostly ASCII letters or
+mostly others) of the listed languages and of those in more than a thousandth of the documents:
+they are rejected if they are far from every one, and judged by the base rules alone if there is
+none of their script.
+
+References of languages in more than a thousandth of the documents reach every task (a thousand at
+most, and those listed); documents of rarer languages are joined with theirs by lang.
+
+Defined cases: a null or empty text has no words and fails; where no listed or frequent language has
+documents, the sum of all documents stands for them; documents under MIN_WORDS words are judged by the base
+rules alone (the histograms of so few words say nothing); a language of nothing but junk has junk for its
+reference; repeated rows get the same answer each; other columns are carried along by
+`quality_filter`, whatever their names, and ignored by `quality_rules`.
 """
 
 from __future__ import annotations
@@ -22,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.llm import text as tx
-from lattica.session import ship
+from lattica.session import ship, written
 
 #: Frequent function words of each language (fixed values).
 COMMON = {
@@ -37,8 +45,8 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 100  # no divergence verdict below
 MAX_CHARS = 0.28  # Jensen-Shannon distances (base 2, 0 to 1) above which a document is rejected
 MAX_WORDS = 0.32
-REFERENCE_WORDS = 10_000  # words of a language that isn't listed, for a reference of its own
-MOST = 1000  # values of lang that reach the driver
+FREQUENT = 1000  # a language is frequent if more than one document in so many has it
+HELD = 1000  # languages that a task sums up before it hands them on
 
 _CLASSES = np.full(256, 9, dtype=np.int64)
 for _k, _bytes in enumerate([range(0x61, 0x7B), range(0x41, 0x5B), range(0x30, 0x3A), b" ", b"\n", b"\t\r\x0b\x0c", b".,;:!?'\"-()", SYMBOLS, range(0xC0, 0x100), None, range(0x80, 0xC0)]):
@@ -86,25 +94,45 @@ def _lowered(texts: pa.Array) -> np.ndarray:
     return tx.words(texts, lower=True).hashes()
 
 
+_K = N_CLASSES - 1
+_CELLS = _K + N_COMMON
+
+
+def _words_of(hist: np.ndarray) -> np.ndarray:
+    return hist[:, _K:].sum(1)
+
+
+def _latin(hist: np.ndarray) -> np.ndarray:
+    """Whether at least half of the letters are ASCII: the first bytes of other characters are class 8."""
+    return hist[:, 0] + hist[:, 1] >= hist[:, 8]
+
+
+def _apart(hist: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Character and word distances, row by row."""
+    return distance(hist[:, :_K], refs[:, :_K]), distance(hist[:, _K:], refs[:, _K:])
+
+
 @dataclass
 class References:
-    """The histograms of the languages, a row each, and which row is whose."""
+    """The histograms of languages, a row each; which row is whose; and which may stand for others."""
 
-    row: dict[str, int]
+    row: dict[str, int]  # the listed ones first
     sums: np.ndarray
-
-    def nearest(self, langs: list, hist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Character and word distances of each text from its language's reference, else from the one that fits best."""
-        k = N_CLASSES - 1
-        own = np.array([self.row.get(x, -1) for x in langs], dtype=np.int64)
-        dc, dw = (distance(hist[:, part], self.sums[own][:, part]) for part in (np.s_[:k], np.s_[k:]))
-        rest = np.flatnonzero(own < 0)
+    near: np.ndarray
+
+    def distances(self, langs: list, hist: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Character and word distances of each text; own holds the sums of the texts' languages if they have no row here."""
+        at = np.array([self.row.get(x, -1) for x in langs], dtype=np.int64)
+        listed = (at >= 0) & (at < len(COMMON))
+        refs = np.where((at >= 0)[:, None], self.sums[at], 0) if own is None else own
+        refs = np.where(listed[:, None], refs, np.maximum(refs - hist, 0))
+        dc, dw = _apart(hist, refs)
+        rest = np.flatnonzero(~listed & (_words_of(refs) < MIN_WORDS))
         best = np.full(len(rest), np.inf)
-        for ref in self.sums if len(rest) else ():
-            if not ref.any():
-                continue
-            c, w = (distance(hist[rest, part], np.broadcast_to(ref[part], hist[rest, part].shape)) for part in (np.s_[:k], np.s_[k:]))
-            far = np.maximum(c / MAX_CHARS, w / MAX_WORDS)
+        dc[rest] = dw[rest] = 0.0
+        for ref in self.near if len(rest) else ():
+            c, w = _apart(hist[rest], np.broadcast_to(ref, hist[rest].shape))
+            far = np.where(_latin(hist[rest]) == _latin(ref[None])[0], np.maximum(c / MAX_CHARS, w / MAX_WORDS), np.inf)
             nearer = far < best
             best[nearer], dc[rest[nearer]], dw[rest[nearer]] = far[nearer], c[nearer], w[nearer]
         return dc, dw
@@ -117,50 +145,57 @@ def _cells(held: dict) -> pa.RecordBatch:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of each language's histograms, and in the last cell its documents."""
     held: dict = {}
     for b in tx.slices(batches):
-        both = np.hstack(histograms(tx.words(b["text"]), _lowered(b["text"])))
+        both = np.hstack([*histograms(tx.words(b["text"]), _lowered(b["text"])), np.ones((b.num_rows, 1), dtype=np.int64)])
         names = b["lang"].to_pylist()
         found = {x: i for i, x in enumerate(dict.fromkeys(names))}
         total = np.zeros((len(found), both.shape[1]), dtype=np.int64)
         np.add.at(total, [found[x] for x in names], both)
         for x, i in found.items():
             held[x] = held.get(x, 0) + total[i]
-        if len(held) > MOST:
+        if len(held) > HELD:
             yield _cells(held)
             held = {}
     if held:
         yield _cells(held)
 
 
-def references(docs: DataFrame) -> References:
-    """Histograms of the languages, summed over all documents.
+def references(docs: DataFrame) -> tuple[References, DataFrame | None]:
+    """The references that every task gets, and those of rarer languages (lang, ref) if there are any.
 
-    What reaches the driver is one row for each of MOST languages at most, with its cells."""
+    What reaches the driver is the listed languages, those in more than a thousandth of the documents
+    (so a thousand at most), and the sum of all, with some 140 cells each."""
     ship(docs.sparkSession)
     cells = docs.select("text", "lang").mapInArrow(_sums, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    words = F.sum(F.when(F.col("cell") >= N_CLASSES - 1, F.col("n")).otherwise(0))
-    langs = cells.groupBy("lang").agg(words.alias("words"), F.collect_list(F.struct("cell", "n")).alias("cells"))
-    listed = F.coalesce(F.col("lang").isin(*COMMON), F.lit(False))
-    row, sums = {x: i for i, x in enumerate(COMMON)}, [np.zeros(N_CLASSES - 1 + N_COMMON, dtype=np.int64) for _ in COMMON]
-    pool = np.zeros(N_CLASSES - 1 + N_COMMON, dtype=np.int64)
-    for r in langs.orderBy(listed.desc(), F.col("words").desc(), "lang").limit(MOST).collect():
-        h = np.zeros_like(pool)
-        for cell, n in r["cells"]:
-            h[cell] = n
-        pool += h
+    by_lang = F.map_from_entries(F.collect_list(F.struct("cell", "n")))  # bounded by the cells
+    langs = written(cells.groupBy("lang").agg(by_lang.alias("cells"), F.max(F.when(F.col("cell") == _CELLS, F.col("n"))).alias("docs")), "languages")
+    ref = F.transform(F.sequence(F.lit(0), F.lit(_CELLS - 1)), lambda i: F.coalesce(F.col("cells")[i], F.lit(0).cast("long")))
+    total = langs.agg(F.sum("docs")).first()[0] or 0
+    frequent = F.col("lang").isNotNull() & (F.col("lang").isin(*COMMON) | (F.col("docs") * FREQUENT > total))
+    rarer = langs.where(F.col("lang").isNotNull() & ~frequent).select("lang", ref.alias("ref"))
+    row, sums = {x: i for i, x in enumerate(COMMON)}, [np.zeros(_CELLS, dtype=np.int64) for _ in COMMON]
+    for r in langs.where(frequent).select("lang", ref.alias("ref")).orderBy("lang").collect():
+        h = np.array(r["ref"], dtype=np.int64)
         if r["lang"] in row:
             sums[row[r["lang"]]] = h
-        elif r["lang"] is not None and r["words"] >= REFERENCE_WORDS:
+        else:
             row[r["lang"]] = len(sums)
             sums.append(h)
-    return References(row, np.array(sums if any(h.any() for h in sums) else [*sums, pool]))
+    near = [h for h in sums if h.any()]
+    if not near:
+        pool = np.zeros(_CELLS + 1, dtype=np.int64)
+        for r in langs.select(F.explode("cells").alias("cell", "n")).groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            pool[r["cell"]] = r["n"]
+        near = [pool[:-1]]
+    return References(row, np.array(sums), np.array(near)), None if rarer.isEmpty() else rarer
 
 
 _SYMBOL = tx.table(SYMBOLS)
 
 
-def measures(texts: pa.Array, langs: list, refs: References) -> dict[str, np.ndarray]:
+def measures(texts: pa.Array, langs: list, refs: References, own: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """All columns of `quality_rules` for a slice."""
     w = tx.words(texts)
     total = len(w.s)
@@ -183,7 +218,7 @@ def measures(texts: pa.Array, langs: list, refs: References) -> dict[str, np.nda
     n = w.counts
     rep = tx.per_text(cover, w.word_at)
     hist_c, hist_w = histograms(w, _lowered(texts))
-    dc, dw = refs.nearest(langs, np.hstack([hist_c, hist_w]))
+    dc, dw = refs.distances(langs, np.hstack([hist_c, hist_w]), own)
     failed = (n < 50) | (100 * rep > 50 * n)
     odd = (n >= MIN_WORDS) & ((dc > MAX_CHARS) | (dw > MAX_WORDS))
     return {"n_words": n, "word_chars": chars_at, "n_symbols": tx.per_text(_SYMBOL[w.data], at), "n_dup_lines": dup, "n_repeat_words": rep, "char_distance": dc, "word_distance": dw, "base_failed": failed, "kept": ~failed & ~odd}
@@ -192,35 +227,42 @@ def measures(texts: pa.Array, langs: list, refs: References) -> dict[str, np.nda
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
-def _judge(refs: References, keep: list[str]):
+def _judged(docs: DataFrame, kept: Column, schema: T.StructType, result) -> DataFrame:
+    """What result makes of each batch's column kept and its measures; no shuffle but for rare languages."""
+    ship(docs.sparkSession)
+    refs, rarer = references(docs)
+    rows = docs.select(kept.alias("kept"), F.col("text").alias("text"), F.col("lang").alias("lang"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches):
-            found = measures(b["text"], b["lang"].to_pylist(), refs)
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *(pa.array(v) for v in found.values())], [*keep, *found])
+            own = np.array(b["ref"].to_pylist(), dtype=np.int64) if "ref" in b.schema.names else None
+            yield result(b["kept"], measures(b["text"], b["lang"].to_pylist(), refs, own))
 
-    return run
+    if rarer is None:
+        return rows.mapInArrow(run, schema)
+    common = F.col("lang").isNull() | F.col("lang").isin(*refs.row)
+    return rows.where(common).mapInArrow(run, schema).unionAll(rows.where(~common).join(rarer, "lang").select("kept", "text", "lang", "ref").mapInArrow(run, schema))
 
 
-def quality_rules(docs: DataFrame, refs: References | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id and all measures and verdicts, a row for each row of docs (doc_id, text, lang)."""
-    ship(docs.sparkSession)
-    refs = references(docs) if refs is None else refs
-    return docs.select("doc_id", "text", "lang").mapInArrow(_judge(refs, ["doc_id"]), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
+
+    def result(ids: pa.Array, found: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(v) for v in found.values())], ["doc_id", *found])
+
+    schema = T._parse_datatype_string(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
+    return _judged(docs, F.col("doc_id"), schema, result)
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns: one pass, no shuffle."""
-    ship(docs.sparkSession)
-    refs, names = references(docs), docs.columns
-    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text"), F.col("lang"))
+    """The rows of docs that the rules keep, with all their columns."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.slices(batches):
-            kept = measures(b["text"], b["lang"].to_pylist(), refs)["kept"]
-            yield pa.RecordBatch.from_arrays([b["row"].filter(pa.array(kept))], ["row"])
+    def result(rows: pa.Array, found: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([rows.filter(pa.array(found["kept"]))], ["kept"])
 
-    schema = inner.select("row").schema
-    return inner.mapInArrow(run, schema).select(*(F.col("row").getField(c).alias(c) for c in names))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    schema = docs.select(whole.alias("kept")).schema
+    return _judged(docs, whole, schema, result).select(*(F.col("kept").getField(c).alias(c) for c in docs.columns))
 
 
 def as_digest(found: DataFrame) -> DataFrame:
