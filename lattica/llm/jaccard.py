@@ -421,8 +421,9 @@ def near_duplicate_stage(docs: DataFrame) -> DataFrame:
     dropped = F.coalesce(F.col("t") != F.col("first_t"), F.lit(False))
     judged = heads.join(first, "unit", "left").select("doc_id", "t", "n", dropped.alias(f"{mark}dropped")).unionByName(found.where("doc_id <> group_id").select("doc_id", "t", "n", F.lit(True).alias(f"{mark}dropped")))
     special = written(judged.where(f"{mark}dropped or n > 1").select("doc_id", F.col("t").alias(f"{mark}t"), f"{mark}dropped"), "special")
-    tested = bloom.tested(docs, "doc_id", bloom.build(special, "doc_id"), f"{mark}maybe")
-    sure = tested.where(f"not {mark}maybe or doc_id is null").select(docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")  # names of other columns can't clash
+    tested = bloom.tested(rows, "doc_id", bloom.build(special, "doc_id"), f"{mark}maybe")
+    sure = tested.where(f"not {mark}maybe or doc_id is null").select("row")
     rest = tested.where(f"{mark}maybe and doc_id is not null").withColumn(f"{mark}t", F.xxhash64("text"))
     rest = rest.join(special, ["doc_id", f"{mark}t"], "left").where(f"not coalesce({mark}dropped, false)").dropDuplicates(["doc_id", f"{mark}t"])
-    return sure.unionByName(rest.select(docs.columns))
+    return sure.unionByName(rest.select("row")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
