@@ -53,10 +53,10 @@ def _uneven(text: str) -> bool:
 
 
 def _cuttable(tokenizer) -> bool:
-    """Whether a tokenizer is byte-level BPE without normaliser and splits by itself at blanks."""
+    """Whether a tokenizer is byte-level BPE without normaliser, splits by itself at blanks and puts none before a text."""
     from tokenizers import models, pre_tokenizers
 
-    return tokenizer.normalizer is None and isinstance(tokenizer.model, models.BPE) and isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and tokenizer.pre_tokenizer.use_regex
+    return tokenizer.normalizer is None and isinstance(tokenizer.model, models.BPE) and isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and tokenizer.pre_tokenizer.use_regex and not tokenizer.pre_tokenizer.add_prefix_space
 
 
 class Encoder:
