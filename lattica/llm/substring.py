@@ -55,7 +55,7 @@ PART_BYTES = 8 << 20  # of compressed input whose entries meet in one task
 ANCHOR_BITS = 64  # of the anchors' hashes; fewer make more windows candidates, the answer stays
 _ENTRIES, _BLOCK = 0, 1
 _LAST = np.iinfo(np.int64).max
-_PLACE = np.uint64((1 << 28) - 1)  # a slice has fewer words
+_PLACE = np.uint64((1 << 30) - 1)  # a slice is a megabyte or one text, and no text of 2**31 bytes has more words
 _SECOND = np.uint64(0x6C62272E07BB0142)  # sets the second hash of a word apart from the first
 _FACTOR = T.StructType().add("start", "long").add("length", "long").add("source", "long").add("source_start", "long")
 _FACTORS = T.ArrayType(_FACTOR)
@@ -69,7 +69,7 @@ def anchors(h: np.ndarray, word_at: np.ndarray, window: int, bits: int = ANCHOR_
     if len(h) < window:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     s = tx.mix(tx.run_hashes(h, seed)) & np.uint64(((1 << bits) - 1) << (64 - bits))
-    # the least by 36 bits of the hash, then the leftmost; the place stands in the low bits
+    # the least by 34 bits of the hash, then the leftmost; the place stands in the low bits
     least, have, span = (s & ~_PLACE) | np.arange(len(s), dtype=np.uint64), 1, window - seed + 1
     while have < span:  # minima over twice as many seeds each time
         more = min(have, span - have)
