@@ -6,7 +6,8 @@ frequency c(h) (a bucket for each power of two, one for unseen contexts). The we
 expectation-maximisation on the counts of a held-out fold of the training documents (FOLD), with
 estimates from the rest; the final estimates use all training documents. The EM runs on a
 histogram of all the fold's tokens by bucket and estimates (EIGHTHS of a power of two), whose
-size is bounded by its bins, not by the corpus.
+size is bounded by its bins, not by the corpus, until no weight changes by more than TOLERANCE; the
+uniform estimate keeps a weight of LEAST_UNIFORM.
 
 Counting moves n-grams once a block: each block of documents sends its distinct token and bigram
 hashes with their counts to parts dealt by hash, where they are summed over all blocks, and gets
@@ -35,8 +36,8 @@ MODULUS, TEST, FOLD = 7, 2, 3  # crc32(doc_id) mod 7: test documents, and the tr
 BLOCK_TOKENS = 1 << 21
 BUCKETS = 48
 EIGHTHS = 8
-ROUNDS = 60
-LEAST_UNIFORM = 1e-6
+TOLERANCE = 1e-6  # EM ends when no weight changes by more
+LEAST_UNIFORM = 1e-6  # so that an unseen token never has probability zero
 _END, _START = np.uint64(0x5E7D1F0C3A9B2468), np.uint64(0x1F83D9ABFB41BD6B)
 _REQUEST, _TEXTS, _SUMS, _STATS = range(4)
 _UNI, _BI = 0, 1
@@ -219,7 +220,7 @@ def _histogram(tokens: int):
     return run
 
 
-def expectation_maximisation(cells: np.ndarray, vocabulary: int, rounds: int = ROUNDS) -> np.ndarray:
+def expectation_maximisation(cells: np.ndarray, vocabulary: int, tolerance: float = TOLERANCE) -> np.ndarray:
     """Weights (bigram, unigram, uniform) of each bucket from rows of bucket, bins and counts."""
     weights = np.full((BUCKETS, 3), 1 / 3)
     weights[0] = (0, 0.5, 0.5)  # an unseen context says nothing
@@ -228,11 +229,13 @@ def expectation_maximisation(cells: np.ndarray, vocabulary: int, rounds: int = R
     b, n = cells[:, 0], cells[:, 3].astype(float)
     p = np.stack([*(np.where(cells[:, k] >= 0, 2.0 ** (-cells[:, k] / EIGHTHS), 0.0) for k in (1, 2)), np.full(len(cells), 1 / (vocabulary + 1))], axis=1)
     prior = weights.copy()
-    for _ in range(rounds):
+    change = np.inf
+    while change > tolerance:  # each round raises the likelihood, which has one maximum
         share = weights[b] * p
         share *= (n / share.sum(1))[:, None]
-        weights = prior + np.stack([np.bincount(b, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1)
+        before, weights = weights, prior + np.stack([np.bincount(b, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1)
         weights /= weights.sum(1, keepdims=True)
+        change = np.abs(weights - before).max()
     weights[:, 2] = np.maximum(weights[:, 2], LEAST_UNIFORM)
     return weights / weights.sum(1, keepdims=True)
 
