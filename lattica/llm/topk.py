@@ -11,7 +11,9 @@ block and a candidate block is one task (a grid), so neither side is gathered or
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do
 rows without vec_id; rows that repeat a vec_id are candidates each, and one query with the vector
 that is greatest in array order; a query's own candidates (all rows of its vec_id) are left out; vectors may differ in length (missing
-components are zero); an empty table gives an empty result; other columns are ignored.
+components are zero), and the longer they are the smaller are the blocks; components so large that an
+inner product could exceed 64 bits raise ValueError before anything is scored; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from lattica.session import ship, written
 
 K = 20
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 16384
+BLOCK_CELLS = 1 << 24  # components of a candidate block: longer vectors make smaller blocks
 
 
 def whole(vector: str, scale: float = 64.0) -> Column:
@@ -88,8 +91,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     ship(vectors.sparkSession)
     rows = written(vectors.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.monotonically_increasing_id().alias("row")), "vectors")
     queries = rows.where(is_query).groupBy("vec_id").agg(F.max("v").alias("v"))
-    n, n_queries = rows.count(), queries.count()
-    across, down = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    n, dims, largest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
+    if (largest or 0) >= 2.0**63 * (1 - 1e-9):  # no product, nor any part of one, exceeds the largest square
+        raise ValueError("components too large: inner products could exceed 64 bits")
+    n_queries = queries.count()
+    block = max(1, min(CANDIDATE_BLOCK, BLOCK_CELLS // max(dims or 1, 1)))
+    across, down = max(1, -(-n // block)), max(1, -(-n_queries // QUERY_BLOCK))
     q = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(down)).alias("s")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
     c = rows.select("vec_id", "v", F.pmod(F.xxhash64("row"), F.lit(across)).alias("t")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
     cells = q.groupBy("s", "t").cogroup(c.groupBy("s", "t")).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
