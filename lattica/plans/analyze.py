@@ -93,9 +93,7 @@ def analyze(spark: SparkSession, root: str, progress: Callable[[str, int], None]
     registry = written(code.registry(found), "registry")
     files = written(code.extracted(found), "extracted")
     tell("parse", 30)
-    everything = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,yaml}").load(root)
-    rel = code._relative(F.col("path"), root)
-    texts = code.decoded(everything.select(rel.alias("canonical_path"), "content").where(fn.name(rel).isin("tsconfig.json", "tsconfig.base.json", "jsconfig.json", "package.json", "pnpm-workspace.yaml") & ~F.exists(F.split(rel, "/"), lambda d: d.isin(*S.SKIPPED_DIRS))))
+    texts = code.configurations(spark, root)
     of = lambda *names: texts.where(fn.name(F.col("canonical_path")).isin(*names))
     aliases = code.path_aliases(of("tsconfig.json", "tsconfig.base.json", "jsconfig.json"))
     packages = code.workspace_packages(of("package.json"), of("pnpm-workspace.yaml"))

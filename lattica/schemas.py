@@ -17,6 +17,7 @@ SHARED_IN_RATIO, ORCHESTRATOR_OUT_RATIO = 0.10, 0.15
 TEST_BOOST, CONVENTION_WEIGHT, SEMANTIC_WEIGHT = 50.0, 0.4, 0.2
 LAYER_WORD_SHARE, NAME_MAX_SHARE = 0.35, 0.60
 EMERGENT_MIN_FILES, EMERGENT_MAX_SHARE, EMERGENT_LIMIT = 3, 0.50, 12
+POLLS, POLL_SECONDS, POLL_ERRORS = 900, 2, 5  # fixed values: how often a task is asked, how long between, failures in a row
 DECAY, ROUNDS, TOLERANCE, DEAD_FACTOR = 0.85, 30, 1e-4, 0.3
 NODE_MIN_SCORE, MARGIN, CLUSTER_MIN_SHARE = 0.15, 1.5, 0.40
 MAX_STATE_PAIRS, MAX_ENTRY_POINTS, UNREACHED_SAMPLE = 150, 40, 50
@@ -25,6 +26,7 @@ MAX_STATE_PAIRS, MAX_ENTRY_POINTS, UNREACHED_SAMPLE = 150, 40, 50
 SKIPPED_DIRS = ("node_modules", ".next", "dist", "build", ".git", ".turbo", "coverage", ".venv", "__pycache__", ".cache")
 # Directories that an uploaded archive leaves out.
 SKIPPED_IN_ZIP = ("node_modules", ".git", ".next", "dist", "build", ".turbo", "coverage", ".cache", "out", ".svn", "__pycache__", ".idea", ".vscode", "vendor", "target", "bin", "obj")
+CONFIGURATIONS = ("tsconfig.json", "tsconfig.base.json", "jsconfig.json", "package.json", "pnpm-workspace.yaml")
 SUFFIXES = (".js", ".jsx", ".ts", ".tsx", ".mjs")
 PROBES = ("", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", "/index.js", "/index.ts", "/index.jsx", "/index.tsx")
 

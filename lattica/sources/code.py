@@ -19,29 +19,27 @@ from pyspark.sql import functions as F
 from lattica import schemas as S
 from lattica.functions import scalar as fn
 from lattica.session import ship
+from lattica.sources import tree
 from lattica.sources.scan import extract
 
 PREVIEW_BYTES, SNIFF_BYTES = 2 << 20, 8 << 10
 
 
-def _relative(path, root: str):
-    plain = F.regexp_replace(path, "^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")
-    base = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/", root).rstrip("/")
-    return F.substring(plain, len(base) + 2, 1 << 20)
-
-
 def crawl(spark: SparkSession, root: str) -> DataFrame:
     """canonical_path, source: the source files below root, outside the skipped directories.
 
-    Only files with a source suffix are opened.
-    Suffixes are compared in lower case; bytes that aren't UTF-8 become replacement characters."""
-    globs = ",".join("*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in S.SUFFIXES)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{globs}}}").load(root)
-    path = _relative(F.col("path"), root)
-    dirs = F.split(path, "/")
-    skipped = F.exists(F.slice(dirs, F.lit(1), F.size(dirs) - 1), lambda d: d.isin(*S.SKIPPED_DIRS))
-    kept = files.select(path.alias("canonical_path"), "content").where(F.lower(fn.suffix(path)).isin(*S.SUFFIXES) & ~skipped)
-    return decoded(kept).select("canonical_path", "source")
+    Skipped directories are neither listed nor read (`lattica.sources.tree`). Suffixes are compared in
+    lower case; bytes that aren't UTF-8 become replacement characters."""
+    ship(spark)
+    tree.register(spark)
+    return spark.read.format("code_tree").load(root)
+
+
+def configurations(spark: SparkSession, root: str) -> DataFrame:
+    """canonical_path, source: compiler and workspace configuration files outside the skipped directories."""
+    ship(spark)
+    tree.register(spark)
+    return spark.read.format("code_tree").option("names", ",".join(S.CONFIGURATIONS)).load(root)
 
 
 def decoded(files: DataFrame) -> DataFrame:
@@ -131,10 +129,14 @@ def workspace_packages(manifests: DataFrame, workspaces: DataFrame) -> DataFrame
     own = manifests.select(F.explode(_json_udf(globs, "array<string>")("source")).alias("glob"), fn.parent(F.col("canonical_path")).alias("root"))
     pnpm = workspaces.select(F.explode(_json_udf(pnpm_globs, "array<string>")("source")).alias("glob"), fn.parent(F.col("canonical_path")).alias("root"))
     full = own.unionByName(pnpm).withColumn("glob", F.when(F.col("root") == ".", F.col("glob")).otherwise(F.concat_ws("/", "root", "glob"))).withColumn("glob", F.regexp_replace("glob", "/+$", ""))
-    rule = full.select(F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("glob", r"[.+()|^$]", r"\\$0"), r"\*\*", "\u0001"), r"\*", "[^/]+"), "\u0001", ".+"), F.lit("$")).alias("rule")).distinct()
+    literal = F.regexp_replace("glob", r"(^|/)[^/*]*\*.*$", "")  # what stands before the first segment with a wildcard
+    rule = full.select(F.when(literal == "", ".").otherwise(literal).alias("above"), F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("glob", r"[.+()|^$]", r"\\$0"), r"\*\*", "\u0001"), r"\*", "[^/]+"), "\u0001", ".+"), F.lit("$")).alias("rule")).distinct()
     dirs = manifests.select(fn.parent(F.col("canonical_path")).alias("dir"), F.get_json_object("source", "$.name").alias("package")).where("package is not null")
-    # the rules are a few lines of one root configuration; the directories are tested against each
-    return dirs.join(rule, F.expr("dir rlike rule"), "left_semi").groupBy("package").agg(F.min("dir").alias("dir"))
+    # a rule meets the directories at and below its literal part by equality, and they are tested against its pattern
+    parts = F.split("dir", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    known = dirs.withColumn("above", F.explode(F.array_distinct(F.concat(F.array(F.lit(".")), ups))))
+    return known.join(rule, "above").where(F.expr("dir rlike rule")).groupBy("package").agg(F.min("dir").alias("dir"))
 
 
 def inside(path):

@@ -1,45 +1,97 @@
-"""Writing results: blueprint documents and snapshot tables."""
+"""Writing results: blueprint documents and versioned snapshot tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica import schemas as S
+from lattica.session import written
+from lattica.sources.versions import Versions
+
+SCHEMA_VERSION = "2.2"
 
 
 def blueprint(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, entries: DataFrame) -> DataFrame:
     """One row `document`: the flat relational JSON of an analysis.
 
-    A document is one value by definition; for large code bases write the tables instead."""
+    A document is one value by definition; `write_blueprint` writes one of any size."""
     plain = lambda df: df.select(*(F.map_entries(c).alias(c) if k.startswith("map") else F.col(c) for c, k in df.dtypes))  # noqa: E731  (maps have no order)
     rows = lambda df, order: plain(df).agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in order)))).alias("x"))
     n, e = rows(nodes, ["canonical_path"]).withColumnRenamed("x", "nodes"), rows(edges, ["source", "target"]).withColumnRenamed("x", "edges")
     c, p = rows(clusters, ["cluster_id"]).withColumnRenamed("x", "clusters"), rows(entries, ["file"]).withColumnRenamed("x", "entry_points")
     meta = F.struct(F.size("nodes").alias("total_nodes_indexed"), F.size("edges").alias("total_edges"), F.size("clusters").alias("total_clusters"), F.coalesce("largest", F.lit(0).cast("long")).alias("max_cluster_size"), F.array_sort(F.array_distinct(F.filter(F.col("nodes.domain"), lambda d: d.isNotNull()))).alias("domains"))
     largest = nodes.where("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("size")).agg(F.max("size").alias("largest"))
-    return n.crossJoin(e).crossJoin(c).crossJoin(p).crossJoin(largest).select(F.to_json(F.struct(F.lit("2.2").alias("schema_version"), meta.alias("metadata"), "nodes", "edges", "clusters", "entry_points")).alias("document"))
+    return n.crossJoin(e).crossJoin(c).crossJoin(p).crossJoin(largest).select(F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), meta.alias("metadata"), "nodes", "edges", "clusters", "entry_points")).alias("document"))
 
 
 def read_blueprint(spark, path: str) -> DataFrame:
     return spark.read.schema(S.BLUEPRINT).option("multiLine", "true").json(path)
 
 
-def persist_snapshot(nodes: DataFrame, edges: DataFrame, snapshot_id: str, root: str) -> DataFrame:
-    """Appends a snapshot's tables, partitioned by snapshot_id, and returns its counts.
-
-    Edges (source, target, type, weight by path) keep only those whose ends are nodes."""
-    mark = F.lit(snapshot_id).alias("snapshot_id")
-    ends = nodes.select("canonical_path")
-    known = edges.join(ends.withColumnRenamed("canonical_path", "source"), "source", "left_semi").join(ends.withColumnRenamed("canonical_path", "target"), "target", "left_semi")
-    nodes.select(mark, *nodes.columns).write.partitionBy("snapshot_id").mode("append").parquet(f"{root}/nodes")
-    known.select(mark, *known.columns).write.partitionBy("snapshot_id").mode("append").parquet(f"{root}/edges")
-    return nodes.agg(F.count("*").alias("nodes_count"), F.countDistinct("cluster_id").alias("clusters_count")).crossJoin(known.agg(F.count("*").alias("edges_count"))).select(mark, "nodes_count", "edges_count", "clusters_count")
-
-
-def snapshot(spark, root: str, snapshot_id: str) -> tuple[DataFrame, DataFrame]:
-    """A snapshot's tables; only its partition is read."""
-    return tuple(spark.read.parquet(f"{root}/{t}").where(F.col("snapshot_id") == snapshot_id) for t in ("nodes", "edges"))
+def _fragments(df: DataFrame, order: list[str], path: str) -> None:
+    """The rows as JSON in order, each with a comma behind it, a file for each range of the order."""
+    plain = df.select(*(F.map_entries(c).alias(c) if k.startswith("map") else F.col(c) for c, k in df.dtypes))
+    ranged = plain.repartitionByRange(*order).sortWithinPartitions(*order)
+    value = F.to_json(F.struct(*order, *(c for c in df.columns if c not in order)))
+    ranged.select(value.alias("value")).write.mode("overwrite").option("lineSep", ",\n").text(path)
+
+
+def write_document(head: dict, lists: dict[str, tuple[DataFrame, list[str]]], spark: SparkSession, path: str) -> None:
+    """Writes one JSON object of head and lists under one name, without a row that holds it.
+
+    Each list (rows and their order) is written as fragments by ranges of the order, which are copied
+    one after the other: a document takes a buffer of memory, not its size. It replaces what stands
+    at path when it is complete."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    work = f"{path}.parts-{uuid.uuid4().hex}"
+    try:
+        for name, (df, order) in lists.items():
+            _fragments(df, order, f"{work}/{name}")
+        out = fs.create(at(f"{work}/document"), False)
+        try:
+            out.write(bytearray(json.dumps(head, ensure_ascii=False)[:-1].encode()))
+            separator = ", " if head else ""
+            for name in lists:
+                out.write(bytearray(f"{separator}{json.dumps(name)}: [".encode()))
+                separator = ", "
+                parts = sorted((x.getPath().getName(), x.getLen()) for x in fs.listStatus(at(f"{work}/{name}")) if x.getPath().getName().startswith("part-") and x.getLen())
+                for i, (part, size) in enumerate(parts):
+                    source = fs.open(at(f"{work}/{name}/{part}"))
+                    jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, size - 2 * (i == len(parts) - 1))  # the last comma stays out
+                    source.close()
+                out.write(bytearray(b"]"))
+            out.write(bytearray(b"}"))
+        finally:
+            out.close()
+        fs.delete(at(path), False)
+        if not fs.rename(at(f"{work}/document"), at(path)):
+            raise OSError(f"{path} couldn't be put in place")
+    finally:
+        fs.delete(at(work), True)
+
+
+def metadata(nodes: DataFrame, edges: DataFrame, clusters: DataFrame) -> dict:
+    """The counts at a document's head and the names of its domains (a short list by nature)."""
+    sizes = nodes.where("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("size")).agg(F.max("size")).first()[0]
+    domains = [r[0] for r in nodes.select("domain").where("domain is not null").distinct().orderBy("domain").toLocalIterator()]
+    return {"total_nodes_indexed": nodes.count(), "total_edges": edges.count(), "total_clusters": clusters.count(), "max_cluster_size": sizes or 0, "domains": domains}
+
+
+def write_blueprint(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, entries: DataFrame, path: str) -> None:
+    """Writes the document of `blueprint`, of any size, under one name."""
+    lists = {"nodes": (nodes, ["canonical_path"]), "edges": (edges, ["source", "target"]), "clusters": (clusters, ["cluster_id"]), "entry_points": (entries, ["file"])}
+    write_document({"schema_version": SCHEMA_VERSION, "metadata": metadata(nodes, edges, clusters)}, lists, nodes.sparkSession, path)
+
+
+def write_cluster_report(report: DataFrame, path: str) -> None:
+    """Writes `analytics.cluster_report` as one JSON document."""
+    write_document({"schema_version": SCHEMA_VERSION}, {"clusters": (report, ["cluster_id"])}, report.sparkSession, path)
 
 
 def node_ids(nodes: DataFrame) -> DataFrame:
@@ -49,20 +101,58 @@ def node_ids(nodes: DataFrame) -> DataFrame:
     return registry(nodes.select("canonical_path"))
 
 
-def persist_header(counts: DataFrame, project_id: str, commit_sha: str | None, created_at: str, root: str) -> None:
-    """Appends the header row of a stored snapshot (counts, as `persist_snapshot` gives them) and points the project at it.
+def _by_id(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges between known files, their ends by generated id (source_id, target_id)."""
+    named = edges.join(ids.toDF("source_id", "source"), "source").join(ids.toDF("target_id", "target"), "target")
+    return named.select("source_id", "target_id", *(c for c in edges.columns if c not in ("source", "target", "source_id", "target_id")))
+
+
+def persist_snapshot(nodes: DataFrame, edges: DataFrame, snapshot_id: str, root: str, project_id: str | None = None, commit_sha: str | None = None, created_at: str | None = None, delta: DataFrame | None = None, transaction: tuple[str, int] | None = None) -> DataFrame:
+    """Stores a snapshot in one version: nodes, edges by generated id, header and delta; its header row.
 
-    Pointers are rows, too; the last one of a project counts (`current_snapshot`)."""
-    head = counts.select("snapshot_id", F.lit(project_id).alias("project_id"), F.lit(commit_sha).cast("string").alias("commit_sha"), F.lit(created_at).cast("timestamp").alias("created_at"), "nodes_count", "edges_count", "clusters_count")
-    head.write.mode("append").parquet(f"{root}/snapshots")
-    head.select("project_id", "snapshot_id", "created_at").write.mode("append").parquet(f"{root}/current")
+    All of it is there or none (`lattica.sources.versions`), and a snapshot stored again replaces
+    itself. delta: rows of `history.snapshot_delta` with the previous snapshot's id in previous_id."""
+    spark = nodes.sparkSession
+    mark: Column = F.lit(snapshot_id).alias("snapshot_id")
+    ids = written(node_ids(nodes), "ids")
+    stored = written(nodes.drop("node_id").join(ids, "canonical_path").select(mark, "node_id", *(c for c in nodes.columns if c != "node_id")), "nodes")
+    known = written(_by_id(edges, ids).select(mark, "*"), "edges")
+    counts = stored.agg(F.count("*").alias("nodes_count"), F.countDistinct("cluster_id").alias("clusters_count")).first()
+    kind = "snapshot_id string, project_id string, commit_sha string, created_at timestamp, nodes_count long, edges_count long, clusters_count long"
+    row = (snapshot_id, project_id, commit_sha, created_at, counts["nodes_count"], known.count(), counts["clusters_count"])
+    head = spark.createDataFrame([row], kind.replace("timestamp", "string")).withColumn("created_at", F.to_timestamp("created_at"))
+    tables = {"nodes": stored, "edges": known, "snapshots": head}
+    if delta is not None:
+        tables["deltas"] = delta.select(mark, *delta.columns)
+    Versions(spark, root).commit(tables, snapshot_id, transaction=transaction)
+    return head
 
 
-def current_snapshot(spark, root: str) -> DataFrame:
-    """project_id, snapshot_id of every project's current graph."""
-    return spark.read.parquet(f"{root}/current").groupBy("project_id").agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id")).alias("snapshot_id"))
+def snapshot(spark: SparkSession, root: str, snapshot_id: str) -> tuple[DataFrame, DataFrame]:
+    """A snapshot's nodes and edges; only its own folders are opened."""
+    store = Versions(spark, root)
+    at = store.current()
+    return store.read("nodes", snapshot_id, at), store.read("edges", snapshot_id, at)
+
+
+def snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """The headers of all stored snapshots."""
+    return Versions(spark, root).read("snapshots")
+
+
+def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """project_id, snapshot_id of every project's current graph: its last header."""
+    return snapshots(spark, root).groupBy("project_id").agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id")).alias("snapshot_id"))
 
 
 def persist_delta(delta: DataFrame, previous_id: str, snapshot_id: str, root: str) -> None:
-    """Appends the rows of a delta (`history.snapshot_delta`), partitioned by the snapshot that they lead to."""
-    delta.select(F.lit(previous_id).alias("previous_id"), F.lit(snapshot_id).alias("snapshot_id"), *delta.columns).write.partitionBy("snapshot_id").mode("append").parquet(f"{root}/deltas")
+    """Stores the delta that leads to a snapshot; stored again, it replaces itself."""
+    rows = delta.select(F.lit(snapshot_id).alias("snapshot_id"), F.lit(previous_id).alias("previous_id"), *delta.columns)
+    Versions(delta.sparkSession, root).commit({"deltas": rows}, snapshot_id)
+
+
+def rewrite_clusters(root: str, snapshot_id: str, clusters: DataFrame, expected: int | None = None) -> int:
+    """Puts a snapshot's checked clusters in place of the stored ones; the new version.
+
+    With expected, the version that they were read from, a rewrite on something older is a `Conflict`."""
+    return Versions(clusters.sparkSession, root).commit({"clusters": clusters.select(F.lit(snapshot_id).alias("snapshot_id"), *(c for c in clusters.columns if c != "snapshot_id"))}, snapshot_id, expected=expected)

@@ -8,8 +8,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from lattica.operators import analytics
 from lattica.plans import analyze
-from lattica.sources import code, sinks
+from lattica.sources import code, sinks, versions
 
 FILES = {
     "controllers/studentController.js": "const studentService = require('../services/studentService');\nconst logger = require('../config/logger');\nconst list = async (req, res) => {\n  res.json(await studentService.findAll());\n  studentService.findById(1);\n};\nmodule.exports = { list };\n",
@@ -148,14 +149,37 @@ def test_blueprint_and_snapshot_round_trip(spark, result, tmp_path):
     back = sinks.read_blueprint(spark, str(tmp_path / "b.json")).first()
     assert back["metadata"]["max_cluster_size"] == max(c["size"] for c in result.clusters.collect())
     assert back["metadata"]["total_nodes_indexed"] == 10 == len(back["nodes"]) and back["schema_version"] == "2.2"
-    for s in ("s1", "s2"):
-        stored = sinks.persist_snapshot(result.nodes, result.edges, s, f"{tmp_path}/snap")
-        sinks.persist_header(stored, "p", None, f"2024-01-0{s[1]} 00:00:00", f"{tmp_path}/snap")
-    counts = stored.first()
+    root = f"{tmp_path}/snap"
+    for s in ("s1", "s2", "s2"):  # a snapshot stored twice is there once
+        counts = sinks.persist_snapshot(result.nodes, result.edges, s, root, "p", None, f"2024-01-0{s[1]} 00:00:00").first()
     assert counts["nodes_count"] == 10 and counts["edges_count"] == result.edges.count()
-    assert [tuple(r) for r in sinks.current_snapshot(spark, f"{tmp_path}/snap").collect()] == [("p", "s2")]
-    n, e = sinks.snapshot(spark, f"{tmp_path}/snap", "s1")
-    assert n.count() == 10 and "PartitionFilters" in n._jdf.queryExecution().toString() and e.count() == counts["edges_count"]
+    assert [tuple(r) for r in sinks.current_snapshot(spark, root).collect()] == [("p", "s2")]
+    assert sinks.snapshots(spark, root).count() == 2
+    n, e = sinks.snapshot(spark, root, "s1")
+    assert n.count() == 10 and e.count() == counts["edges_count"] and len(n.inputFiles()) < len(versions.Versions(spark, root).read("nodes").inputFiles())
+    paths = {r["node_id"]: r["canonical_path"] for r in n.collect()}
+    assert sorted((paths[r["source_id"]], paths[r["target_id"]]) for r in e.collect()) == sorted((r["source"], r["target"]) for r in result.edges.collect())
+
+
+def test_documents_of_any_size_are_put_together_from_fragments(spark, result, tmp_path):
+    nodes, clusters = result.nodes.withColumn("id", F.col("canonical_path")), result.clusters.withColumn("id", F.col("cluster_id"))
+    path = f"{tmp_path}/b.json"
+    for _ in range(2):  # a second run replaces the first
+        sinks.write_blueprint(nodes, result.edges, clusters, result.entries, path)
+    with open(path) as f:
+        got = json.load(f)
+    assert got == json.loads(sinks.blueprint(nodes, result.edges, clusters, result.entries).first()["document"])
+    assert len(sinks.read_blueprint(spark, path).first()["nodes"]) == 10
+    ids = code.registry(nodes.select("canonical_path"))
+    plain = nodes.drop("node_id").join(ids, "canonical_path")
+    named = result.edges.join(ids.toDF("source_id", "source"), "source").join(ids.toDF("target_id", "target"), "target")
+    sinks.write_cluster_report(analytics.cluster_report(plain, named), f"{tmp_path}/c.json")
+    with open(f"{tmp_path}/c.json") as f:
+        assert [c["cluster_id"] for c in json.load(f)["clusters"]] == sorted({r["cluster_id"] for r in plain.collect()})
+    sinks.write_document({}, {"none": (nodes.where("false"), ["canonical_path"])}, spark, f"{tmp_path}/d.json")
+    with open(f"{tmp_path}/d.json") as f:
+        assert json.load(f) == {"none": []}
+    assert sorted(x.name for x in tmp_path.iterdir() if not x.name.endswith(".crc")) == ["b.json", "c.json", "d.json"]
 
 
 def test_archives_and_previews(spark):
