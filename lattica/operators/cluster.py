@@ -13,6 +13,7 @@ from lattica.functions import scalar as fn
 from lattica.operators import vectors as vec
 from lattica.operators.edges import is_structural
 from lattica.operators.graph import connected_components
+from lattica.operators.joins import looked_up
 from lattica.session import ship, written
 
 PLACED = "node_id, member: a node placed by its vector, and the member of the new cluster that it is nearest to"
@@ -178,18 +179,36 @@ def _heaviest(small: DataFrame, flows: DataFrame) -> DataFrame:
     return flows.join(small.select(F.col("bucket").alias("a")), "a").groupBy(F.col("a").alias("bucket")).agg(F.min_by("b", F.struct(-F.col("w"), F.col("b"))).alias("target"))
 
 
+_PLACES = 10  # components whose sets of places are all written out
+
+
 def closest_directory(small: DataFrame, every: DataFrame) -> DataFrame:
     """bucket, target: the other bucket with most components equal at the same place, ties by name.
 
-    Both: bucket. Components are joined with their places; where none is shared, the first other
-    bucket by name is the target."""
-    places = lambda d, n: d.select(F.col("bucket").alias(n), F.posexplode(F.split("bucket", "/")).alias("i", "part"))
-    shared = places(small, "bucket").join(places(every, "other"), ["i", "part"]).where("bucket <> other").groupBy("bucket", "other").agg(F.count("*").alias("n"))
-    best = shared.groupBy("bucket").agg(F.min_by("other", F.struct(-F.col("n"), F.col("other"))).alias("target"))
+    Both: bucket. A bucket has a key for each set of places with the components there, and two buckets
+    agree in a set if they share its key; so no bucket meets all others below a common directory. Of
+    each key the two first buckets by name are enough. A small bucket of more than ten components, which
+    adaptive depths don't reach, is compared with every bucket that shares a place instead. Where no
+    place is shared, the first other bucket by name is the target."""
+    parts = F.split("bucket", "/")
+    keys = lambda d: d.select("bucket", F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.least(F.size(parts), F.lit(_PLACES))).cast("int") - 1)).alias("places")).withColumn("key", F.transform(parts, lambda x, i: F.when((i < _PLACES) & (F.expr("places").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0), x)))
+    trimmed = lambda d: keys(d).withColumn("key", F.slice("key", F.lit(1), F.floor(F.log2("places")).cast("int") + 1))  # noqa: E731  (up to the last place of the set)
+    held = written(trimmed(every), "places")
+    firsts = held.groupBy("places", "key").agg(F.min("bucket").alias("first"), F.count("*").alias("n")).where("n > 1")
+    seconds = held.join(firsts, ["places", "key"]).where(F.col("bucket") != F.col("first")).groupBy("places", "key").agg(F.min("bucket").alias("second"))
+    known = written(firsts.join(seconds, ["places", "key"]), "groups")
+    deep = F.size(parts) > _PLACES
+    asked = written(trimmed(small.where(~deep)), "places")
+    found = looked_up(asked, known, ["places", "key"], F.col("n"), asked.count()).where("first is not null")
+    other = F.when(F.col("first") != F.col("bucket"), F.col("first")).otherwise(F.col("second"))
+    best = found.withColumn("other", other).where("other is not null").groupBy("bucket").agg(F.min_by("other", F.struct(-F.bit_count("places"), F.col("other"))).alias("target"))
+    single = lambda d, n: d.select(F.col("bucket").alias(n), F.posexplode(parts).alias("i", "part"))
+    shared = single(small.where(deep), "bucket").join(single(every, "other"), ["i", "part"]).where("bucket <> other").groupBy("bucket", "other").agg(F.count("*").alias("n"))
+    best = best.unionByName(shared.groupBy("bucket").agg(F.min_by("other", F.struct(-F.col("n"), F.col("other"))).alias("target")))
     ends = every.orderBy("bucket").limit(2).agg(F.array_sort(F.collect_list("bucket")).alias("first"))
     alone = small.select("bucket").join(best, "bucket", "left_anti").crossJoin(F.broadcast(ends))
-    other = F.when(F.get("first", F.lit(0)) != F.col("bucket"), F.get("first", F.lit(0))).otherwise(F.get("first", F.lit(1)))
-    return best.unionByName(alone.select("bucket", other.alias("target")).where("target is not null"))
+    at = F.when(F.get("first", F.lit(0)) != F.col("bucket"), F.get("first", F.lit(0))).otherwise(F.get("first", F.lit(1)))
+    return best.unionByName(alone.select("bucket", at.alias("target")).where("target is not null"))
 
 
 def _by_vectors(small: DataFrame, homes: DataFrame, buckets: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica import schemas as S
 from lattica.functions import scalar as fn
+from lattica.operators.joins import paired
 
 PAIR = ["source_id", "target_id"]
 
@@ -16,13 +17,27 @@ def synthetic(pairs: DataFrame, kind: str, weight: float) -> DataFrame:
     return pairs.select("source_id", "target_id", F.lit(weight).alias("weight"), F.lit(kind).alias("edge_type"), F.lit("").alias("binding"), (F.col("called_names") if "called_names" in pairs.columns else F.array().cast("array<string>")).alias("called_names"), F.lit(False).alias("is_dead_import"), F.lit(True).alias("is_synthetic"))
 
 
+def naming_groups(files: DataFrame) -> DataFrame:
+    """token, source_tier, target_tier, sources, targets, links: files of a lower tier and of a higher one that share a word.
+
+    The links of a word are kept as two groups and their product, never as pairs, so the rows are as
+    many as words, not as files squared. files: node_id, tier, tokens (distinct)."""
+    held = files.where("tier is not null").select("tier", F.explode("tokens").alias("token")).groupBy("token", "tier").agg(F.count("*").alias("files"))
+    by_word = held.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("tier", "files"))).alias("tiers"))  # tiers are a handful
+    pairs = F.flatten(F.transform("tiers", lambda a: F.transform(F.filter("tiers", lambda b: b["tier"] > a["tier"]), lambda b: F.struct(a.alias("s"), b.alias("t")))))
+    rows = by_word.select("token", F.explode(pairs).alias("p"))
+    s, t = F.col("p.s"), F.col("p.t")
+    return rows.select("token", s["tier"].alias("source_tier"), t["tier"].alias("target_tier"), s["files"].alias("sources"), t["files"].alias("targets"), (s["files"] * t["files"]).alias("links"))
+
+
 def naming_edges(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """source_id, target_id, called_names: files of a lower tier to files of a higher one that share a word.
 
-    files: node_id, tier, tokens. An equi-join on the word with a residual on the tier."""
+    files: node_id, tier, tokens. The pairs of `naming_groups` written out; a word of many pairs is
+    split over tasks."""
     t = files.where("tier is not null").select("node_id", "tier", F.explode("tokens").alias("token"))
     a, b = t.toDF("source_id", "st", "token"), t.toDF("target_id", "tt", "token")
-    found = a.join(b, "token").where("st < tt").groupBy(PAIR).agg(F.array_sort(F.collect_set("token")).alias("called_names"))
+    found = paired(a, b, "token").where("st < tt").groupBy(PAIR).agg(F.array_sort(F.collect_set("token")).alias("called_names"))
     return found if existing is None else found.join(existing.select(PAIR), PAIR, "left_anti")
 
 
@@ -64,9 +79,15 @@ def url_pairs(clients: DataFrame, servers: DataFrame) -> DataFrame:
     return c.join(s, ["arity", "at", "part"]).where(fn.urls_match(F.col("client_url"), F.col("server_url"))).select("client", "server", F.col("server_url").alias("url"))
 
 
+def event_groups(emitters: DataFrame, listeners: DataFrame) -> DataFrame:
+    """event, emitters, listeners, links: how many files emit and await each event, and the product; both sides have id and event."""
+    count = lambda d, n: d.select("id", "event").distinct().groupBy("event").agg(F.count("*").alias(n))
+    return count(emitters, "emitters").join(count(listeners, "listeners"), "event").withColumn("links", F.col("emitters") * F.col("listeners"))
+
+
 def event_pairs(emitters: DataFrame, listeners: DataFrame) -> DataFrame:
-    """emitter, listener, event; both sides have id and event."""
-    return emitters.select(F.col("id").alias("emitter"), "event").distinct().join(listeners.select(F.col("id").alias("listener"), "event").distinct(), "event")
+    """emitter, listener, event; both sides have id and event. An event of many pairs is split over tasks."""
+    return paired(emitters.select(F.col("id").alias("emitter"), "event").distinct(), listeners.select(F.col("id").alias("listener"), "event").distinct(), "event")
 
 
 def admitted(links: DataFrame, existing: DataFrame) -> DataFrame:

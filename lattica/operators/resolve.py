@@ -40,7 +40,11 @@ def import_bases(imports: DataFrame, aliases: DataFrame, packages: DataFrame) ->
     rel = imports.where(F.col("spec").startswith(".")).select("source_path", "spec", F.lit(0).alias("base_order"), normalized(F.concat_ws("/", fn.parent(F.col("source_path")), "spec")).alias("base"))
     bare = imports.where(~F.col("spec").startswith("."))
     scoped = bare.join(nearest_scope(bare.select(F.col("source_path").alias("canonical_path")).distinct(), aliases).withColumnRenamed("canonical_path", "source_path"), "source_path")
-    fits = scoped.join(aliases, "scope").where(F.expr("startswith(spec, alias)")).groupBy("source_path", "spec").agg(F.min_by(F.struct("alias", "dir"), "ord").alias("a"))
+    # an import meets an alias by equality with its own beginning, of the lengths that aliases of its scope have
+    lengths = aliases.groupBy("scope").agg(F.collect_set(F.length("alias")).alias("lengths"))
+    begins = F.transform(F.filter("lengths", lambda n: n <= F.length("spec")), lambda n: F.substring("spec", F.lit(1), n))
+    begun = scoped.join(lengths, "scope").select("source_path", "spec", "scope", F.explode(begins).alias("alias"))
+    fits = begun.join(aliases, ["scope", "alias"]).groupBy("source_path", "spec").agg(F.min_by(F.struct("alias", "dir"), "ord").alias("a"))
     tail = F.expr("substring(spec, length(a.alias) + 1)")
     by_alias = fits.select("source_path", "spec", F.lit(0).alias("base_order"), normalized(F.concat_ws("/", "a.dir", tail)).alias("base"))
     by_package = bare.withColumn("package", fn.package(F.col("spec"))).join(packages, "package")

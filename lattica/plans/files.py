@@ -84,10 +84,23 @@ def _tier():
 _TIERS = "CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'PROMO' THEN 3 WHEN 'SMALL' THEN 4 END"
 
 
-@query(f", f AS (SELECT node_id, {_TIERS} AS tier, unnest(list_distinct(string_split(p_name, ' '))) AS token FROM paths) SELECT a.node_id AS source_id, b.node_id AS target_id, string_agg(DISTINCT a.token, ',' ORDER BY a.token) AS called_names FROM f a JOIN f b ON a.token = b.token AND a.tier < b.tier GROUP BY 1, 2", "paths")
+_TIERED = f", f AS (SELECT node_id, {_TIERS} AS tier, unnest(list_distinct(string_split(p_name, ' '))) AS token FROM paths)"
+
+
+def _tiered(t):
+    return v.paths(t).select("node_id", _tier().alias("tier"), F.array_distinct(F.split("p_name", " ")).alias("tokens"))
+
+
+@query(_TIERED + ", g AS (SELECT token, tier, count(*) AS n FROM f WHERE tier IS NOT NULL GROUP BY 1, 2) SELECT a.token, a.tier AS source_tier, b.tier AS target_tier, a.n AS sources, b.n AS targets, (a.n * b.n)::BIGINT AS links FROM g a JOIN g b ON a.token = b.token AND a.tier < b.tier", "paths")
 def naming_edges(t):
-    f = v.paths(t).select("node_id", _tier().alias("tier"), F.array_distinct(F.split("p_name", " ")).alias("tokens"))
-    return infer.naming_edges(f).withColumn("called_names", F.array_join("called_names", ","))
+    """The links by shared words as groups of files by word and tier."""
+    return infer.naming_groups(_tiered(t))
+
+
+@query(_TIERED + " SELECT a.node_id AS source_id, b.node_id AS target_id, string_agg(DISTINCT a.token, ',' ORDER BY a.token) AS called_names FROM f a JOIN f b ON a.token = b.token AND a.tier < b.tier GROUP BY 1, 2", "paths")
+def naming_pairs(t):
+    """The same links, pair by pair."""
+    return infer.naming_edges(_tiered(t)).withColumn("called_names", F.array_join("called_names", ","))
 
 
 @query(", b AS (SELECT node_id, string_split(canonical_path, '/') AS p FROM paths) SELECT node_id, CASE WHEN len(p) <= 1 THEN regexp_replace(p[1], '\\.[^.]*$', '') ELSE array_to_string(p[1:2], '/') END AS two, array_to_string(p[1:4], '/') AS four FROM b", "paths")
@@ -241,7 +254,7 @@ SELECT a.event, count(DISTINCT a.user_id)::BIGINT AS emitters, count(DISTINCT b.
 def event_join(t):
     name = fn.event_name(F.concat("event_type", F.lit(":"), F.floor("value").cast("int").cast("string")))
     e = t.events.select(F.col("user_id").alias("id"), name.alias("event")).where("event is not null")
-    return infer.event_pairs(e.where("id % 2 = 0"), e.where("id % 2 = 1")).groupBy("event").agg(F.countDistinct("emitter").alias("emitters"), F.countDistinct("listener").alias("listeners"), F.count("*").alias("pairs"))
+    return infer.event_groups(e.where("id % 2 = 0"), e.where("id % 2 = 1")).withColumnRenamed("links", "pairs")
 
 
 @query(", x AS (SELECT source_id, target_id, edge_type, binding AS label, source_line FROM edges_raw WHERE edge_type = 'CALLS_API'), k AS (SELECT DISTINCT source_id, target_id FROM edges_raw WHERE edge_type = 'RENDERS') SELECT source_id, target_id, edge_type, string_agg(DISTINCT label, ',' ORDER BY label) AS called_names, min(source_line) AS source_line FROM x WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source_id = x.source_id AND k.target_id = x.target_id) GROUP BY 1, 2, 3", "edges_raw")
