@@ -9,7 +9,7 @@ from lattica.functions import scalar as fn
 from lattica.operators import analytics, history, tenancy
 from lattica.plans import views as v
 from lattica.plans.registry import query
-from lattica.streaming import progress
+from lattica.streaming import progress, state
 
 
 @query("SELECT * EXCLUDE t, floor(lines * 100.0::DOUBLE / t * 10 + 0.5) / 10 AS percentage, row_number() OVER (PARTITION BY path ORDER BY lines DESC, author) = 1 AS is_primary FROM (SELECT *, sum(lines) OVER (PARTITION BY path) AS t FROM (SELECT l_partkey AS path, l_suppkey AS author, count(*)::BIGINT AS lines FROM lineitem GROUP BY 1, 2))")
@@ -141,6 +141,20 @@ def error_runs(t):
     return progress.error_runs(t.events.select(F.col("user_id").alias("task"), (F.col("event_type") == "error").alias("bad"), "ts", F.col("event_id").alias("seq")))
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS task, event_id AS seq, event_type AS stage, CASE event_type WHEN 'error' THEN NULL WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'failed' ELSE 'running' END AS status,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT task, 0::BIGINT AS n, 0::BIGINT AS seq, 0::BIGINT AS polls, 0::BIGINT AS errors, NULL::VARCHAR AS stage, NULL::VARCHAR AS outcome FROM e WHERE n = 1
+    UNION ALL SELECT task, n, seq, polls, errors, stage, CASE WHEN status IN ('completed', 'failed') THEN status WHEN errors >= 5 THEN 'lost' WHEN polls >= 900 THEN 'timed out' END AS outcome
+    FROM (SELECT e.task, e.n, e.seq, e.status, CASE WHEN r.outcome IS NULL THEN r.polls ELSE 0 END + 1 AS polls, CASE WHEN e.status IS NOT NULL THEN 0 WHEN r.outcome IS NULL THEN r.errors + 1 ELSE 1 END AS errors,
+          CASE WHEN e.status IS NOT NULL THEN e.stage WHEN r.outcome IS NULL THEN r.stage END AS stage FROM r JOIN e ON e.task = r.task AND e.n = r.n + 1))
+SELECT task, seq, outcome, polls, stage FROM r WHERE outcome IS NOT NULL""")
+def poll_outcomes(t):
+    """How each run of polls of a task ended; an error is a failed poll."""
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "completed").when(kind == "signup", "failed").when(kind != "error", "running")
+    return state.poll_outcomes(t.events.select(F.col("user_id").alias("task"), "ts", F.col("event_id").alias("seq"), status.alias("status"), kind.alias("stage")), 10**9)
+
+
 @query("SELECT l_orderkey AS task, l_linenumber AS n, least(100, CAST(l_quantity AS BIGINT) * 100 // 40)::BIGINT AS percent FROM lineitem")
 def clone_percent(t):
     return t.lineitem.select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("n"), fn.percent(F.col("l_quantity").cast("long"), F.lit(40)).alias("percent"))
