@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lattica import schemas as S
 from lattica.functions import scalar as fn
 from lattica.operators.edges import is_journey
-from lattica.operators.graph import reachable
+from lattica.operators.reach import reach_counts, reach_sets, reached_from_any, union_counts
 from lattica.session import written
 
 
@@ -142,9 +142,10 @@ def entry_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = e.withColumn("auth_state", F.when(F.col("g").isNotNull(), "protected").otherwise("public"))
     confidence = F.when(F.col("kind") == "server", 0.95).when((F.col("kind") == "page") & F.col("g").isNull(), 0.6).otherwise(0.9)
     evidence = F.when(F.col("kind") == "page", F.coalesce(F.concat(fn.name(F.col("g.layout")), F.lit(" imports "), F.col("g.dst")), F.lit("no guard found on any ancestor layout")))
-    reach = reachable(used, e.select(F.explode("render_chain").alias("root")).distinct())
-    own = reach.groupBy(F.col("root").alias("file")).agg(F.count("*").alias("own_reach_count"))
-    whole = e.select("file", F.explode("render_chain").alias("root")).join(reach, "root").select("file", "node").distinct().groupBy("file").agg(F.count("*").alias("reach_count"))
+    roots_of = e.select(F.col("file").alias("group"), F.explode("render_chain").alias("root"))
+    reach = reach_sets(used, roots_of.select(F.col("root").alias("node")).distinct())
+    own = reach_counts(reach, e.select(F.col("file").alias("root"))).withColumnsRenamed({"root": "file", "reached": "own_reach_count"})
+    whole = union_counts(reach, roots_of).withColumnsRenamed({"group": "file", "reached": "reach_count"})
     total = nodes.agg(F.count("*").alias("total"))
     out = e.join(own, "file").join(whole, "file").crossJoin(F.broadcast(total))
     depth = F.size(fn.segments(F.coalesce("url", F.lit("/"))))
@@ -158,7 +159,7 @@ def entry_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def coverage(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """reached, total, unreached_count and a sorted sample of files that no entry point reaches."""
     used = edges.where(is_journey(F.col("type"), F.col("is_synthetic"))).select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    reached = reachable(used, entries.select(F.explode("render_chain").alias("root"))).select(F.col("node").alias("canonical_path")).distinct()
+    reached = reached_from_any(used, entries.select(F.explode("render_chain").alias("node"))).select(F.col("node").alias("canonical_path"))
     return reached.agg(F.count("*").alias("reached")).crossJoin(nodes.agg(F.count("*").alias("total"))).crossJoin(unreached(nodes.select("canonical_path"), reached))
 
 

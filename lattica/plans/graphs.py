@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica.functions import scalar as fn
-from lattica.operators import analytics, cluster, domains, edges, graph, infer, metrics, vectors
+from lattica.operators import analytics, cluster, domains, edges, graph, infer, metrics, reach, vectors
 from lattica.plans import views as v
 from lattica.plans.registry import query
 
@@ -203,8 +204,19 @@ def bfs_reach(t):
 
 @query(", reach(root, node) AS (SELECT DISTINCT src, src FROM digraph UNION SELECT root, dst FROM digraph JOIN reach ON src = node) SELECT root, count(*)::BIGINT AS reached FROM reach GROUP BY 1", "digraph")
 def multi_source_coverage(t):
+    """How many nodes each source reaches."""
     e = v.digraph(t)
-    return graph.reachable(e, e.select(F.col("src").alias("root"))).groupBy("root").agg(F.count("*").alias("reached"))
+    return reach.reach_counts(reach.reach_sets(e), e.select(F.col("src").alias("root")))
+
+
+_PAIRS = ", reach(root, node) AS (SELECT src, src FROM digraph UNION SELECT dst, dst FROM digraph UNION SELECT root, dst FROM digraph JOIN reach ON src = node)"
+
+
+@query(_PAIRS + " SELECT a.root AS node, max(a.node) AS component FROM reach a JOIN reach b ON a.root = b.node AND a.node = b.root GROUP BY 1", "digraph")
+def strong_components(t):
+    """Nodes that reach each other, named by the greatest of them."""
+    found = reach.strong_components(v.digraph(t))
+    return found.select("node", F.max("node").over(Window.partitionBy("component")).alias("component"))
 
 
 @query(_REACH + ", n AS (SELECT src AS node FROM digraph UNION SELECT dst FROM digraph) SELECT count(*)::BIGINT AS unreached, coalesce(string_agg(node, ',' ORDER BY node) FILTER (r <= 50), '') AS sample FROM (SELECT node, row_number() OVER (ORDER BY node) AS r FROM n WHERE node NOT IN (SELECT node FROM reach))", "digraph")
