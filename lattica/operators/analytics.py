@@ -86,6 +86,43 @@ def category_histogram(files: DataFrame) -> DataFrame:
     return files.groupBy(fn.file_category(F.col("canonical_path")).alias("category")).agg(F.count("*").alias("files"))
 
 
+def breakdown(rows: DataFrame, dimensions: list[str]) -> DataFrame:
+    """dimension, value, files, share (percent): rows counted by each dimension and altogether, in one pass.
+
+    A null value of a dimension is a value of its own; the row of all has dimension `all`."""
+    sets = [[d] for d in dimensions] + [[]]
+    counted = rows.groupingSets(sets, *dimensions).agg(F.count("*").alias("files"), *(F.grouping(d).alias(f"__{d}") for d in dimensions))
+    dimension, value = F.lit("all"), F.lit(None).cast("string")
+    for d in reversed(dimensions):
+        dimension = F.when(F.col(f"__{d}") == 0, d).otherwise(dimension)
+        value = F.when(F.col(f"__{d}") == 0, F.col(d).cast("string")).otherwise(value)
+    named = counted.select(dimension.alias("dimension"), value.alias("value"), "files")
+    total = named.where("dimension = 'all'").agg(F.max("files").alias("total"))
+    return named.crossJoin(F.broadcast(total)).select("dimension", "value", "files", fn.half_up(F.col("files") * 100.0 / F.col("total"), 1).alias("share"))
+
+
+def singleton_diagnostics(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """What kinds of files are the only ones of their cluster, by category, degree and role (`breakdown`).
+
+    files: node_id, canonical_path, cluster_id; edges: source_id, target_id."""
+    sizes = files.where("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("size"), F.min("node_id").alias("node_id"))
+    alone = files.join(sizes.where("size = 1").select("node_id"), "node_id", "left_semi")
+    ends = edges.select(F.explode(F.array(F.struct(F.col("source_id").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target_id").alias("node_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x")).select("x.*")
+    degrees = alone.select("node_id", "canonical_path").join(ends.groupBy("node_id").agg(F.max("o").alias("o"), F.max("i").alias("i")), "node_id", "left").na.fill(0, ["o", "i"])
+    enters, leaves = F.col("i") > 0, F.col("o") > 0
+    degree = F.when(enters & leaves, "both").when(leaves, "entry-only").when(enters, "sink-only").otherwise("isolated")
+    role = F.when(leaves & ~enters, "ENTRY_POINT").when(enters & ~leaves, "TERMINAL_SINK").otherwise("INTERNAL")
+    return breakdown(degrees.select(fn.file_category(F.col("canonical_path")).alias("category"), degree.alias("degree"), role.alias("role")), ["category", "degree", "role"])
+
+
+def silent_diagnostics(files: DataFrame) -> DataFrame:
+    """What kinds of files neither import nor export anything, by category (`breakdown`).
+
+    files: canonical_path, raw_imports, exports (arrays; a null one counts as empty)."""
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    return breakdown(files.where(none("raw_imports") & none("exports")).select(fn.file_category(F.col("canonical_path")).alias("category")), ["category"])
+
+
 def snapshot_sizes(clusters: DataFrame, members: DataFrame) -> DataFrame:
     """cluster_id, files of every cluster, empty ones included; clusters: cluster_id; members: path, cluster_id."""
     counted = members.groupBy("cluster_id").agg(F.count("path").alias("files"))

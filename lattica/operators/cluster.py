@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from lattica import schemas as S
 from lattica.functions import scalar as fn
 from lattica.operators import vectors as vec
+from lattica.operators.communities import communities as communities_of
 from lattica.operators.edges import is_structural
 from lattica.operators.graph import connected_components
 from lattica.operators.joins import looked_up
 from lattica.session import ship, written
 
+WORKER = 200_000  # nodes and links of a bucket that one worker splits
 PLACED = "node_id, member: a node placed by its vector, and the member of the new cluster that it is nearest to"
 
 
@@ -145,16 +147,14 @@ def split(nodes: list, links: dict[tuple, float], most: int, prefix: str, resolu
     return out
 
 
-def split_buckets(buckets: DataFrame, edges: DataFrame, most: int = S.MAX_CLUSTER_SIZE) -> DataFrame:
-    """cluster_id, parent_id, node_id, is_leaf; each bucket is split on its own.
-
-    buckets: node_id, bucket; edges: source_id, target_id, weight, edge_type. Only the edges inside a
-    bucket travel with it; a bucket must fit in a worker, which the adaptive depth is for."""
-    ship(buckets.sparkSession)
+def _inside(buckets: DataFrame, edges: DataFrame) -> DataFrame:
+    """bucket, a, b, w: the structural links inside each bucket, a pair once."""
     side = lambda i, b: buckets.toDF(i, b)
     inner = edges.where(is_structural(F.col("edge_type"), F.col("weight")) & (F.col("source_id") != F.col("target_id"))).join(side("source_id", "bucket"), "source_id").join(side("target_id", "tb"), "target_id").where("bucket = tb")
-    links = inner.groupBy("bucket", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.max("weight").alias("w"))
+    return inner.groupBy("bucket", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.max("weight").alias("w"))
+
 
+def _split_in_workers(buckets: DataFrame, links: DataFrame, most: int) -> DataFrame:
     def run(key, vs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
         w = dict(zip(zip(es["a"], es["b"], strict=True), es["w"], strict=True))
         if not len(vs):
@@ -167,6 +167,59 @@ def split_buckets(buckets: DataFrame, edges: DataFrame, most: int = S.MAX_CLUSTE
     return buckets.groupBy("bucket").cogroup(links.groupBy("bucket")).applyInPandas(run, f"cluster_id string, parent_id string, node_id {kind}, is_leaf boolean")
 
 
+def _ranked(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """rows with the dense rank (from 0) of value under by, without a task that holds all of one key."""
+    values = written(rows.select(by, value).distinct().repartitionByRange(by, value).sortWithinPartitions(by, value).withColumn("part", F.spark_partition_id()), "ranked")
+    sizes = values.groupBy(by, "part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select(by, "part", F.coalesce("before", F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part", by).orderBy(value)) - 1
+    numbers = values.withColumn("own", own).join(before, [by, "part"]).select(by, value, (F.col("before") + F.col("own")).alias(name))
+    return rows.join(numbers, [by, value])
+
+
+def split_buckets(buckets: DataFrame, edges: DataFrame, most: int = S.MAX_CLUSTER_SIZE, worker: int = WORKER) -> DataFrame:
+    """cluster_id, parent_id, node_id, is_leaf; each bucket is split on its own.
+
+    buckets: node_id, bucket; edges: source_id, target_id, weight, edge_type. A bucket whose nodes and
+    links are `worker` at most is split by one worker, and only the links inside it travel with it. A
+    larger one is first divided into communities by rounds over all workers, again and again at higher
+    resolution until the parts fit, or into even chunks if there is one community only; the parts stand
+    below it as its children."""
+    ship(buckets.sparkSession)
+    links = written(_inside(buckets, edges), "inner")
+    todo, parents, done = written(buckets.select("node_id", "bucket", F.lit(None).cast("string").alias("parent_id")), "todo"), [], []
+    resolution = 1.0
+    while True:
+        sizes = todo.groupBy("bucket").agg(F.count("*").alias("n")).join(links.groupBy("bucket").agg(F.count("*").alias("m")), "bucket", "left")
+        large = written(sizes.where(F.col("n") + F.coalesce("m", F.lit(0)) > worker).where(F.col("n") > most).select("bucket"), "large")
+        done.append((todo.join(large, "bucket", "left_anti"), links.join(large, "bucket", "left_anti")))
+        if large.isEmpty():
+            break
+        nodes, inner = written(todo.join(large, "bucket", "left_semi"), "nodes"), written(links.join(large, "bucket", "left_semi"), "inner")
+        found = communities_of(nodes.select(F.col("node_id").alias("node")), inner.select("a", "b", "w"), resolution)
+        resolution *= S.SPLIT_RESOLUTION
+        part = nodes.join(found.withColumnRenamed("node", "node_id"), "node_id")
+        single = part.groupBy("bucket").agg(F.min("community").alias("least"), F.max("community").alias("greatest")).where("least = greatest").select("bucket")
+        chunked = _ranked(part.join(single, "bucket", "left_semi").drop("community"), "bucket", "node_id", "at").withColumn("child", F.floor(F.col("at") / most))
+        divided = _ranked(part.join(single, "bucket", "left_anti"), "bucket", "community", "child")
+        below = F.concat_ws(".", "bucket", F.col("child").cast("string"))
+        rows = chunked.select("node_id", below.alias("child"), F.col("parent_id").alias("above"), "bucket", "parent_id", F.lit(False).alias("kept"))
+        rows = written(rows.unionByName(divided.select("node_id", below.alias("child"), F.col("bucket").alias("above"), "bucket", "parent_id", F.lit(True).alias("kept"))), "parts")
+        parents.append(rows.where("kept").select(F.col("bucket").alias("cluster_id"), "parent_id", "node_id", F.lit(False).alias("is_leaf")))
+        todo = rows.select("node_id", F.col("child").alias("bucket"), F.col("above").alias("parent_id"))
+        where = todo.select("node_id", "bucket")
+        links = written(inner.drop("bucket").join(where.toDF("a", "bucket"), "a").join(where.toDF("b", "tb"), "b").where("bucket = tb").select("bucket", "a", "b", "w"), "inner")
+    out = None
+    for rows, inner in done:
+        leaves = _split_in_workers(rows.select("node_id", "bucket"), inner, most)
+        above = rows.select("node_id", F.col("parent_id").alias("above"))
+        named = leaves.join(above, "node_id").select("cluster_id", F.coalesce("parent_id", "above").alias("parent_id"), "node_id", "is_leaf")
+        out = named if out is None else out.unionByName(named)
+    for p in parents:
+        out = out.unionByName(p)
+    return out
+
+
 def bucket_flows(buckets: DataFrame, edges: DataFrame) -> DataFrame:
     """a, b, w: structural weight between two buckets, either direction."""
     e = edges.where(is_structural(F.col("edge_type"), F.col("weight")))

@@ -54,7 +54,7 @@ def partition_metrics(membership: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def move_preview(membership: DataFrame, edges: DataFrame, node: str, target: str) -> DataFrame:
-    """Metrics before and after a node's move, sizes of both clusters, the change of quality, a verdict and its reasons.
+    """Metrics before and after a node's move, sizes of both clusters, the change of quality, a verdict and its reasons (measures with direction and change).
 
     The edges are joined with their clusters once; only the moved node's own ends differ after."""
     by = ["scenario"]
@@ -81,12 +81,16 @@ def move_preview(membership: DataFrame, edges: DataFrame, node: str, target: str
 
 
 def _reasons(rise) -> Column:
-    """Sentences on what changes (fixed texts)."""
+    """measure, direction (up, down, none where it can't be told) and change of what a move changes, the most direct first.
 
-    def said(subject: str, c: str, form: str) -> Column:
-        return F.when(rise(c) >= 0, F.format_string(f"{subject} improves by {form}", rise(c))).otherwise(F.format_string(f"{subject} decreases by {form}", -rise(c)))
+    Cluster sizes are named only if their balance changes by a hundredth or more."""
 
-    points = "%.2f percentage points"
-    fit = F.when(F.col("has_edges"), said("File dependency fit", "placement", points)).otherwise("The file has no weighted dependency edges, so placement fit is unavailable")
-    balance = F.when(F.abs(rise("size_balance")) >= 0.01, said("Cluster-size balance", "size_balance", points))
-    return F.array_compact(F.array(fit, said("Graph modularity", "modularity", "%.4f"), said("Internal-edge cohesion", "cohesion", points), balance))
+    def entry(measure: str, known: Column | None = None) -> Column:
+        direction = F.when(rise(measure) >= 0, "up").otherwise("down")
+        change = fn.half_up(rise(measure), 4)
+        if known is not None:
+            direction, change = F.when(known, direction).otherwise("none"), F.when(known, change)
+        return F.struct(F.lit(measure).alias("measure"), direction.alias("direction"), change.alias("change"))
+
+    balance = F.when(F.abs(rise("size_balance")) >= 0.01, entry("size_balance"))
+    return F.array_compact(F.array(entry("placement", F.col("has_edges")), entry("modularity"), entry("cohesion"), balance))

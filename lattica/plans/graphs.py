@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica.functions import scalar as fn
-from lattica.operators import analytics, cluster, domains, edges, graph, infer, metrics, reach, vectors
+from lattica.operators import analytics, cluster, communities, domains, edges, graph, infer, metrics, reach, vectors
 from lattica.plans import views as v
 from lattica.plans.registry import query
 
@@ -49,11 +49,14 @@ x AS (SELECT """
     + ", " + ", ".join(f"{R4.format(f'({c}_after - {c}_before)')} AS {c}_delta" for c in ("modularity", "cohesion", "coupling", "size_balance", "placement", "quality"))
     + """, (SELECT cluster_id FROM nodes WHERE node_id = 'p1') AS from_cluster, (SELECT count(*) FROM nodes WHERE cluster_id = (SELECT cluster_id FROM nodes WHERE node_id = 'p1'))::BIGINT AS source_before, (SELECT count(*) - 1 FROM nodes WHERE cluster_id = (SELECT cluster_id FROM nodes WHERE node_id = 'p1'))::BIGINT AS source_after,
 (SELECT count(*) FROM nodes WHERE cluster_id = 'N7')::BIGINT AS target_before, (SELECT count(*) + 1 FROM nodes WHERE cluster_id = 'N7')::BIGINT AS target_after"""
-    + ", CASE WHEN quality_after - quality_before > 0.1 THEN 'IMPROVES' WHEN quality_after - quality_before < -0.1 THEN 'WORSENS' ELSE 'NEUTRAL' END AS verdict FROM x",
+    + ", CASE WHEN quality_after - quality_before > 0.1 THEN 'IMPROVES' WHEN quality_after - quality_before < -0.1 THEN 'WORSENS' ELSE 'NEUTRAL' END AS verdict, concat_ws(',', CASE WHEN (SELECT count(*) FROM f) = 0 THEN 'placement:none' ELSE "
+    + ", ".join(f"'{c}:' || CASE WHEN {c}_after >= {c}_before THEN 'up' ELSE 'down' END" + (" END" if c == "placement" else "") for c in ("placement", "modularity", "cohesion"))
+    + ", CASE WHEN abs(size_balance_after - size_balance_before) >= 0.01 THEN 'size_balance:' || CASE WHEN size_balance_after >= size_balance_before THEN 'up' ELSE 'down' END END) AS reasons FROM x",
     "edges_raw nodes",
 )
 def move_preview(t):
-    return metrics.move_preview(v.nodes(t), v.edges_raw(t), "p1", "N7").drop("reasons")
+    found = metrics.move_preview(v.nodes(t), v.edges_raw(t), "p1", "N7")
+    return found.withColumn("reasons", F.array_join(F.transform("reasons", lambda r: F.concat(r["measure"], F.lit(":"), r["direction"])), ","))
 
 
 _DEGREES = """, u AS (SELECT node_id, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o FROM (SELECT source_id AS node_id, 0 AS i, 1 AS o FROM {e} UNION ALL SELECT target_id, 1, 0 FROM {e}) GROUP BY 1),
@@ -304,6 +307,30 @@ def _supply(t):
     return b, v.edges_raw(t).withColumn("edge_type", F.lit("BELONGS_TO_DOMAIN"))
 
 
+@query(" SELECT count(*)::BIGINT AS nodes, true AS once, true AS no_less_than_directories FROM nodes", "nodes")
+def community_rounds(t):
+    """Communities of the whole graph by rounds over all workers: each node once, modularity no less than that of the clusters."""
+    n = v.nodes(t)
+    e = v.edges_raw(t).where("weight > 0").groupBy(F.col("source_id").alias("a"), F.col("target_id").alias("b")).agg(F.sum("weight").alias("w"))
+    start = n.select(F.col("node_id").alias("node"), F.col("cluster_id").alias("community"))
+    found = communities.communities(n.select(F.col("node_id").alias("node")), e, start=start)
+    better = communities.modularity(e, found) >= communities.modularity(e, start) - 1e-9
+    whole = n.join(found.groupBy(F.col("node").alias("node_id")).agg(F.count("*").alias("times")), "node_id", "left")
+    return whole.agg(F.count("*").alias("nodes"), (F.max(F.coalesce("times", F.lit(0))) == 1).alias("once")).select("nodes", F.coalesce("once", F.lit(True)).alias("once"), F.lit(better).alias("no_less_than_directories"))
+
+
+@query(" SELECT cluster_id AS bucket, count(*)::BIGINT AS nodes, count(*)::BIGINT AS placed, true AS once, true AS small, true AS nested FROM nodes GROUP BY 1", "nodes")
+def split_contract(t):
+    """What a split must keep: every node of a bucket in one leaf, leaves of 30 at most, parents that stand."""
+    b, e = _supply(t)
+    rows = cluster.split_buckets(b, e)
+    leaves = rows.where("is_leaf").groupBy("node_id").agg(F.count("*").alias("times"), F.min("cluster_id").alias("leaf"))
+    sizes = rows.where("is_leaf").groupBy(F.col("cluster_id").alias("leaf")).agg(F.count("*").alias("size"))
+    held = b.join(leaves, "node_id", "left").join(sizes, "leaf", "left")
+    under = (F.col("leaf") == F.col("bucket")) | F.col("leaf").startswith(F.concat("bucket", F.lit(".")))
+    return held.groupBy("bucket").agg(F.count("*").alias("nodes"), F.count("leaf").alias("placed"), (F.max("times") == 1).alias("once"), (F.max("size") <= 30).alias("small"), F.bool_and(under).alias("nested"))
+
+
 @query()
 def louvain_split(t):
     return cluster.split_buckets(*_supply(t))
@@ -330,3 +357,28 @@ def state_edges(t):
     module = F.concat(F.lit("o"), F.call_function("div", F.col("l_orderkey"), F.lit(8)))
     imports = t.lineitem.select(F.concat(F.lit("p"), "l_partkey").alias("source_id"), module.alias("target_id"), module.alias("label"), (n == 1).alias("provides"), (n == 2).alias("consumes"))
     return infer.state_edges(imports, v.edges_raw(t))
+
+
+_ALONE = """, d AS (SELECT n.node_id, p_partkey, (SELECT count(*) FROM edges_raw e WHERE e.source_id = n.node_id) AS o FROM nodes n JOIN part ON n.node_id = 'p' || p_partkey WHERE p_partkey % 5 = 0),
+f AS (SELECT ['next-page/layout', 'hook', 'style'][1 + p_partkey % 3] AS category, CASE WHEN o = 0 THEN 'isolated' ELSE 'entry-only' END AS degree, CASE WHEN o = 0 THEN 'INTERNAL' ELSE 'ENTRY_POINT' END AS role FROM d),
+g AS (SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(degree) = 0 THEN 'degree' WHEN grouping(role) = 0 THEN 'role' ELSE 'all' END AS dimension, coalesce(category, degree, role) AS value, count(*) AS files FROM f GROUP BY GROUPING SETS ((category), (degree), (role), ()))
+SELECT dimension, value, files::BIGINT AS files, floor(files * 1000.0::DOUBLE / (SELECT count(*) FROM f) + 0.5) / 10 AS share FROM g WHERE files > 0"""
+
+
+@query(_ALONE, "nodes edges_raw")
+def singleton_diagnostics(t):
+    """Every fifth part as a cluster of one file: what kinds of files stay alone."""
+    k = F.col("p_partkey") % 3
+    path = F.when(k == 0, "w/page.tsx").when(k == 1, "w/hooks/a.js").otherwise("w/z.css")
+    alone = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("c"), "p_partkey")).otherwise("rest")
+    files = t.part.select(F.concat(F.lit("p"), "p_partkey").alias("node_id"), path.alias("canonical_path"), alone.alias("cluster_id"))
+    return analytics.singleton_diagnostics(files, v.edges_raw(t)).where("files > 0")
+
+
+@query(" SELECT CASE WHEN grouping(category) = 0 THEN 'category' ELSE 'all' END AS dimension, category AS value, count(*)::BIGINT AS files, floor(count(*) * 1000.0::DOUBLE / (SELECT count(*) FROM part WHERE p_partkey % 4 = 0) + 0.5) / 10 AS share FROM (SELECT ['next-page/layout', 'hook', 'style'][1 + p_partkey % 3] AS category FROM part WHERE p_partkey % 4 = 0) GROUP BY GROUPING SETS ((category), ())", "nodes")
+def silent_diagnostics(t):
+    """Every fourth part neither imports nor exports: what kinds of files these are."""
+    k = F.col("p_partkey") % 3
+    path = F.when(k == 0, "w/page.tsx").when(k == 1, "w/hooks/a.js").otherwise("w/z.css")
+    said = F.when(F.col("p_partkey") % 4 != 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return analytics.silent_diagnostics(t.part.select(path.alias("canonical_path"), said.alias("raw_imports"), F.array().cast("array<string>").alias("exports")))

@@ -63,9 +63,9 @@ def test_move_preview(spark):
     want = {"modularity": (-0.2222, 0.0), "cohesion": (33.3333, 100.0), "coupling": (66.6667, 0.0), "size_balance": (100.0, 81.1278), "placement": (0.0, 100.0), "quality": (32.2917, 77.9596)}
     assert {k: (r[f"{k}_before"], r[f"{k}_after"]) for k in want} == want and r["quality_delta"] == 45.6679 and r["verdict"] == "IMPROVES"
     assert (r["from_cluster"], r["source_before"], r["source_after"], r["target_before"], r["target_after"]) == ("c1", 2, 1, 2, 3)
-    assert r["reasons"] == ["File dependency fit improves by 100.00 percentage points", "Graph modularity improves by 0.2222", "Internal-edge cohesion improves by 66.67 percentage points", "Cluster-size balance decreases by 18.87 percentage points"]
+    assert [tuple(x) for x in r["reasons"]] == [("placement", "up", 100.0), ("modularity", "up", 0.2222), ("cohesion", "up", 66.6667), ("size_balance", "down", -18.8722)]
     lone = metrics.move_preview(m, e.where("source_id = '9'"), "1", "c2").first()
-    assert lone["reasons"][0].startswith("The file has no weighted") and lone["verdict"] == "WORSENS"
+    assert tuple(lone["reasons"][0]) == ("placement", "none", None) and lone["verdict"] == "WORSENS"
 
 
 def test_propagation_on_a_chain(spark):
