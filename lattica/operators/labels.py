@@ -6,6 +6,7 @@ fallbacks. Answers are parsed tolerantly and never override what the data says.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 
 from lattica.functions import scalar as fn
 from lattica.operators.analytics import auto_titles, top_members
-from lattica.session import ship
+from lattica.session import ship, written
 from lattica.sources.code import registry
 
 BATCH = 8
+PROMPTS_A_TASK = 4
 ANSWER = "struct<cluster_id:string,title:string,summary:string>"
 CHECK = "struct<cluster_id:string,valid:boolean,confidence:double,reason:string,suggested_name:string>"
 
@@ -36,12 +38,25 @@ def prompts(nodes: DataFrame, by: str = "cluster_id") -> DataFrame:
     return joined.select(F.col("chunk").alias("batch"), F.concat(F.lit("Answer with a JSON array of objects with cluster_id, title and summary.\n\n"), F.array_join(F.transform("x", lambda s: s["t"]), "\n\n")).alias("prompt"))
 
 
-def answered(asked: DataFrame, model: Callable[[str], str | None], ddl: str) -> DataFrame:
-    """Rows of the JSON arrays that a model returns, asked one prompt after the other.
+def answered(asked: DataFrame, model: Callable[[str], str | None], ddl: str, tries: int = 2, pause: float = 0.0) -> DataFrame:
+    """Rows of the JSON arrays that a model returns; asked: batch, prompt.
 
-    A failed call gives none, and no more calls are made after it: a provider that fails has already
-    been tried again by its own client. The prompts are few, and one task asks them in order."""
+    Prompts are dealt over the session's tasks by ranges of batch, four or more to a task, so a
+    provider meets as many callers as the session has cores at most. A call that fails is made again after
+    a pause, `tries` times in all; then it gives no rows, and its task makes no more calls."""
     ship(asked.sparkSession)
+    asked = written(asked.select("batch", "prompt"), "prompts")
+    tasks = max(1, min(asked.sparkSession.sparkContext.defaultParallelism, asked.count() // PROMPTS_A_TASK))
+
+    def said(prompt: str) -> str | None:
+        for left in reversed(range(tries)):
+            try:
+                return model(prompt)
+            except Exception:  # a provider's failure is answered by the fallback
+                if not left:
+                    raise
+                time.sleep(pause)
+        return None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         failed = False
@@ -49,13 +64,14 @@ def answered(asked: DataFrame, model: Callable[[str], str | None], ddl: str) ->
             out = []
             for p in f["prompt"]:
                 try:
-                    out.append(None if failed else model(p))
-                except Exception:  # a provider's failure is answered by the fallback
+                    out.append(None if failed else said(p))
+                except Exception:
                     failed = True
                     out.append(None)
             yield pd.DataFrame({"answer": out})
 
-    return asked.orderBy("batch").select("prompt").coalesce(1).mapInPandas(run, "answer string").select(F.explode(fn.json_array(F.col("answer"), ddl)).alias("a")).select("a.*")
+    dealt = asked.repartitionByRange(tasks, "batch").sortWithinPartitions("batch") if tasks > 1 else asked.coalesce(1).sortWithinPartitions("batch")
+    return dealt.select("prompt").mapInPandas(run, "answer string").select(F.explode(fn.json_array(F.col("answer"), ddl)).alias("a")).select("a.*")
 
 
 def label_clusters(nodes: DataFrame, model: Callable[[str], str | None] | None = None) -> DataFrame:

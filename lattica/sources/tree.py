@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import PurePosixPath
+from typing import BinaryIO
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -66,6 +67,10 @@ class Store:
         found = self.remote.get_file_info(fs.FileSelector(path, recursive=False))
         return [x.base_name for x in found if x.type == fs.FileType.Directory], [(x.base_name, x.size) for x in found if x.type == fs.FileType.File]
 
+    def opened(self) -> BinaryIO:
+        """The root itself as a file that can be read from any place."""
+        return open(self.root, "rb") if self.remote is None else self.remote.open_input_file(self.root)
+
     def read(self, below: str) -> bytes:
         path = f"{self.root}/{below}"
         if self.remote is None:

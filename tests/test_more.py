@@ -27,6 +27,25 @@ def test_no_more_calls_after_a_failed_one(spark):
     assert [r["cluster_id"] for r in said.collect()] == ["p0"]
 
 
+def test_prompts_are_dealt_over_tasks_and_tried_again(spark, tmp_path):
+    from pyspark import TaskContext
+
+    asked = spark.createDataFrame([(i, f"p{i:02d}") for i in range(40)], "batch long, prompt string")
+
+    def model(p):
+        mark = tmp_path / p
+        if p.endswith("7") and not mark.exists():  # fails the first time
+            mark.write_text("")
+            raise ValueError(p)
+        if p == "p03":
+            raise ValueError(p)  # fails always, so its task stops there
+        return '[{"cluster_id": "%s", "title": "%d"}]' % (p, TaskContext.get().partitionId())
+
+    found = labels.answered(asked, model, labels.ANSWER).collect()
+    tasks = {r["title"] for r in found}
+    assert len(tasks) == 4 and {r["cluster_id"] for r in found} >= {f"p{i:02d}" for i in range(20, 40)} and "p02" in {r["cluster_id"] for r in found} and "p04" not in {r["cluster_id"] for r in found}
+
+
 def test_domain_validation_is_advisory(spark):
     c = spark.createDataFrame([("c1", "CANONICAL"), ("c2", "UNCLASSIFIED")], "cluster_id string, kind string")
     asked = spark.createDataFrame([(0, "p")], "batch long, prompt string")

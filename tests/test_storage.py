@@ -1,11 +1,14 @@
 """The pruned crawl and tables that change all at once."""
 
+import io
 import os
+import tarfile
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.sources import code, tree, versions
+from lattica.sources import archives, code, tree, versions
 
 
 def test_skipped_directories_are_never_opened():
@@ -103,3 +106,49 @@ def test_optimistic_changes_of_a_stored_table(spark, tmp_path):
     third = versions.upserted(store, "overrides", "path", ask(("a", "c4", 0)))
     assert second.first()["status"] == "UPDATED" and third.first()["status"] == "CONFLICT"
     assert [tuple(r) for r in store.read("overrides").collect()] == [("a", "c3", 1)]
+
+
+def test_archives_are_read_by_range(spark, tmp_path):
+    data = {f"src/f{i}.js": os.urandom(20_000) + b"a" * 30_000 for i in range(40)} | {"empty.js": b"", "big.js": b"b" * 400_000}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in data.items():
+            z.writestr(name, text, zipfile.ZIP_STORED if name.endswith("3.js") else zipfile.ZIP_DEFLATED)
+        for name in ("node_modules/x.js", "../evil.js", "d/", "a\\bin\\y.js"):
+            z.writestr(name, "x")
+    with tarfile.open(tmp_path / "b.tar", "w") as t:
+        for name, text in (data | {"dist/x.js": b"x", "long/" * 40 + "n.js": b"n"}).items():
+            x = tarfile.TarInfo(name)
+            x.size = len(text)
+            t.addfile(x, io.BytesIO(text))
+    found = archives.entries(spark, [str(tmp_path / "a.zip"), f"file://{tmp_path}/b.tar"], 200_000)
+    assert found.rdd.getNumPartitions() > 20
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["archive"].rsplit("/", 1)[1], {})[r["canonical_path"]] = bytes(r["content"])
+    assert got["a.zip"] == data and got["b.tar"] == data | {"long/" * 40 + "n.js": b"n"}
+
+
+class Counting(io.BytesIO):
+    read_bytes = 0
+
+    def read(self, *a):
+        out = super().read(*a)
+        Counting.read_bytes += len(out)
+        return out
+
+
+def test_a_directory_costs_its_own_bytes():
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w") as t:
+        for i in range(5):
+            x = tarfile.TarInfo(f"f{i}")
+            x.size = 1 << 20
+            t.addfile(x, io.BytesIO(bytes(1 << 20)))
+    f = Counting(raw.getvalue())
+    assert len(list(archives.tar_directory("x", f))) == 5 and Counting.read_bytes < 64 << 10
+
+
+def test_a_large_archive_makes_many_tasks():
+    listed = (archives.Entry("x.zip", f"f{i}", i << 20, 1 << 20, 1 << 20, 8) for i in range(3000))  # 3 GB
+    parts = list(archives.dealt(listed))
+    assert len(parts) > 90 and max(sum(e.size for e in p.entries) for p in parts) <= tree.PART_BYTES
