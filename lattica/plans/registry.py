@@ -25,6 +25,6 @@ def query(sql: str | None = None, views: str = ""):
 
 
 def load() -> tuple[dict, dict]:
-    from lattica.plans import files, graphs, records  # noqa: F401  (they register their queries)
+    from lattica.plans import files, graphs, records, sources  # noqa: F401  (they register their queries)
 
     return QUERIES, SQL
