@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lattica import schemas as S
 from lattica.functions import scalar as fn
 from lattica.operators import analytics, cluster, communities, domains, edges, graph, infer, metrics, reach, vectors
 from lattica.plans import views as v
@@ -382,3 +383,30 @@ def silent_diagnostics(t):
     path = F.when(k == 0, "w/page.tsx").when(k == 1, "w/hooks/a.js").otherwise("w/z.css")
     said = F.when(F.col("p_partkey") % 4 != 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
     return analytics.silent_diagnostics(t.part.select(path.alias("canonical_path"), said.alias("raw_imports"), F.array().cast("array<string>").alias("exports")))
+
+
+_PAGES = f"""WITH RECURSIVE n AS (SELECT s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN 'app/s' || s_suppkey || '/page.tsx' WHEN 1 THEN 'app/s' || (s_suppkey - 1) || '/layout.tsx' WHEN 2 THEN 'lib/auth-guard' || s_suppkey || '.ts'
+    WHEN 3 THEN 'lib/u' || s_suppkey || '.ts' ELSE 'app/login/s' || s_suppkey || '/page.tsx' END AS file FROM supplier),
+e AS (SELECT a.file AS src, b.file AS dst FROM n a JOIN n b ON b.k = a.k + CASE WHEN a.k % 5 = 1 AND a.k % 2 = 0 THEN 1 WHEN a.k % 5 = 0 THEN 3 WHEN a.k % 5 = 3 AND a.k % 3 = 0 THEN 5 END),
+reach(root, node) AS (SELECT file, file FROM n UNION SELECT root, dst FROM reach JOIN e ON src = node),
+p AS (SELECT n.file, regexp_extract(n.file, '^app(/.*)/page.tsx$', 1) AS url, l.file AS layout, min(e.dst) AS guard FROM n LEFT JOIN n l ON n.k % 5 = 0 AND l.k = n.k + 1 LEFT JOIN e ON e.src = l.file WHERE n.k % 5 IN (0, 4) GROUP BY ALL),
+c AS (SELECT p.file, count(DISTINCT node) FILTER (root = p.file) AS own, count(DISTINCT node) AS whole FROM p JOIN reach ON root = p.file OR root = p.layout GROUP BY 1),
+x AS (SELECT p.*, own, whole, CASE WHEN guard IS NULL THEN 'public' ELSE 'protected' END AS auth_state, CASE WHEN guard IS NULL AND url NOT LIKE '/login/%' THEN 1 ELSE 0 END AS late, len(string_split(url, '/')) - 1 AS depth FROM p JOIN c USING (file)),
+f AS (SELECT auth_state, arg_min(file, (late, depth, -own, file)) AS landing FROM x GROUP BY 1)
+SELECT x.file, url, 'page' AS kind, x.auth_state, CASE WHEN guard IS NULL THEN 0.6 ELSE 0.9 END::DOUBLE AS confidence, CASE WHEN guard IS NULL THEN 'no guard found on any ancestor layout' ELSE 'layout.tsx imports ' || guard END AS evidence,
+    CASE WHEN layout IS NULL THEN x.file ELSE layout || ',' || x.file END AS render_chain, whole::BIGINT AS reach_count, own::BIGINT AS own_reach_count, floor(whole * 10000.0::DOUBLE / (SELECT count(*) FROM n) + 0.5) / 10000 AS reach_ratio, x.file = landing AS is_landing
+FROM x JOIN f USING (auth_state) ORDER BY own DESC, x.file LIMIT {S.MAX_ENTRY_POINTS}"""
+
+
+@query(_PAGES)
+def entry_points(t):
+    """Pages with layouts, some guarded, that reach chains of libraries: ranked roots with their reach and landings."""
+    k, kind = F.col("s_suppkey"), F.col("s_suppkey") % 5
+    of = lambda before, n, after: F.concat(F.lit(before), n.cast("string"), F.lit(after))
+    path = F.when(kind == 0, of("app/s", k, "/page.tsx")).when(kind == 1, of("app/s", k - 1, "/layout.tsx")).when(kind == 2, of("lib/auth-guard", k, ".ts")).when(kind == 3, of("lib/u", k, ".ts")).otherwise(of("app/login/s", k, "/page.tsx"))
+    n = t.supplier.select(k.alias("k"), path.alias("canonical_path"))
+    step = F.when((F.col("k") % 5 == 1) & (F.col("k") % 2 == 0), 1).when(F.col("k") % 5 == 0, 3).when((F.col("k") % 5 == 3) & (F.col("k") % 3 == 0), 5)
+    to = n.select((F.col("k") + step).alias("k"), F.col("canonical_path").alias("source")).join(n.withColumnRenamed("canonical_path", "target"), "k")
+    e = to.select("source", "target", F.lit("BELONGS_TO_DOMAIN").alias("type"), F.lit(False).alias("is_synthetic"))
+    files = n.select("canonical_path", F.array().cast("array<string>").alias("external_dependencies"), F.lit(None).cast("string").alias("cluster_id"), F.lit(None).cast("string").alias("domain"))
+    return analytics.entry_points(files, e).drop("cluster_id", "domain").withColumn("render_chain", F.array_join("render_chain", ","))
