@@ -28,7 +28,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.hot import looked_up
+from lattica.operators.joins import looked_up
 from lattica.session import dropped, settled, written
 
 FILTERS = "ABCDE"
@@ -51,7 +51,7 @@ def with_earlier_copies(rows: DataFrame, digest: str, key: str, flag: str) -> Da
 
     rows are read three times, so they should be written."""
     copies = written(rows.groupBy(digest).agg(F.min(key).alias("__first"), F.count("*").alias("__n")).where("__n > 1"), "copies")
-    found = looked_up(rows, copies, digest, F.col("__n"), rows.count())
+    found = looked_up(rows, copies, [digest], F.col("__n"), rows.count())
     later = F.when(F.col("__first").isNull(), F.lit(False)).otherwise(F.coalesce(F.col(key) > F.col("__first"), F.lit(True)))
     return found.withColumn(flag, later).drop("__first", "__n")
 

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.hot import looked_up
+from lattica.operators.joins import looked_up
 from lattica.session import settled, ship, written
 
 FAMILY = 20
@@ -183,7 +183,7 @@ def conversation_trie(conversations: DataFrame) -> DataFrame:
         nodes = written(family_nodes(conversations), "families")
         trie = written(merged(nodes), "trie")
         above = trie.where("children > 0").select(F.col("key").alias("parent"), F.col("first").alias("parent_conv_id"), F.col("children").alias("siblings"))
-        found = looked_up(trie, above, "parent", F.col("siblings"), trie.count()).drop("siblings")
+        found = looked_up(trie, above, ["parent"], F.col("siblings"), trie.count()).drop("siblings")
         found = found.join(subtree_sums(nodes, trie), "key", "left").join(ends_hashes(nodes), "key", "left")
         return found.select(
             F.col("first").alias("conv_id"), "depth", "parent_conv_id", F.col("members").alias("n_convs"), F.col("children").alias("n_children"),

@@ -3,7 +3,8 @@
 import random
 from itertools import permutations
 
-from lattica.llm import audit, hot
+from lattica.llm import audit
+from lattica.operators import joins
 
 from . import util
 
@@ -55,7 +56,7 @@ def test_all_orders_equal_brute_force(spark):
 
 def test_heavy_digests_are_broadcast(spark, monkeypatch):
     rows, labels = fixture(5)
-    monkeypatch.setattr(hot, "HEAVY", 20)
+    monkeypatch.setattr(joins, "HEAVY", 20)
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {(r["part"], r["filter_order"], r["step"]): r["removed"] for r in audit.filter_audit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert got == {k: v[1] for k, v in brute(rows, labels).items()}

@@ -4,7 +4,8 @@ import hashlib
 import random
 import zlib
 
-from lattica.llm import hot, trie
+from lattica.llm import trie
+from lattica.operators import joins
 
 from . import util
 
@@ -77,7 +78,7 @@ def test_trie_equals_brute_force(spark):
 def test_copies_and_blocks(spark, monkeypatch):
     """One conversation in a third of the rows; ids in several blocks; parents both heavy and light."""
     monkeypatch.setattr(trie, "_BLOCK_BITS", 4)
-    monkeypatch.setattr(hot, "HEAVY", 20)
+    monkeypatch.setattr(joins, "HEAVY", 20)
     rows = fixture(2) + [(c, t, "user", f"same {t}") for c in range(2000, 2300) for t in range(2)]
     assert got(spark, rows) == brute(rows)
 
