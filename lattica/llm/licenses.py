@@ -7,6 +7,8 @@ of the template's words (containment). Words are ordered by their frequency in t
 rarest first; a matching block must hold one of a template's first |T| - ceil(THRESHOLD * |T|) + 1
 words (prefix filter), have enough template words (length filter), and at the first of them that it
 holds, enough of the template must be left (positional filter). What passes is verified by counting.
+An inverted index from prefix words to templates names the pairs of a text and a template that are looked
+at, so the work follows the texts' rare words and not the number of templates.
 The templates are a short list; only counts of their own words reach the driver.
 
 Apart from the sets, phrases are found where their words stand one after the other.
@@ -90,26 +92,48 @@ class _Scan:
         self.rank = rank
         place = lambda hs: np.searchsorted(vocabulary, hs)
         self.templates = []
-        for hs, (_, label) in zip(hashed([t for t, _ in templates]), templates, strict=True):
+        index: list[list[int]] = [[] for _ in range(len(vocabulary))]  # by a word's rank, the templates in whose prefix it stands
+        for k, (hs, (_, label)) in enumerate(zip(hashed([t for t, _ in templates]), templates, strict=True)):
             ordered = np.unique(rank[place(hs)])
             need = math.ceil(threshold * len(ordered) - 1e-9)
-            position = np.full(len(vocabulary), -1, dtype=np.int64)
-            position[ordered] = np.arange(len(ordered))
-            self.templates.append((position, len(ordered), need, WINDOW * len(hs), label))
+            self.templates.append((ordered, need, WINDOW * len(hs), label))
+            for r in ordered[: len(ordered) - need + 1].tolist():
+                index[r].append(k)
+        self.index_at = np.concatenate([[0], np.cumsum([len(x) for x in index])]).astype(np.int64)
+        self.index = np.array([k for x in index for k in x], dtype=np.int64)
         self.phrases = [(rank[place(hs)], label) for hs, (_, label) in zip(hashed([t for t, _ in phrases]), phrases, strict=True)]
 
+    def candidates(self, ranks: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Pairs of a text and a template of whose prefix it holds a word: the texts' words looked up in the index."""
+        if not len(ranks):
+            return np.zeros((0, 2), dtype=np.int64)
+        words = np.unique(of * len(self.vocabulary) + ranks)
+        text, word = words // len(self.vocabulary), words % len(self.vocabulary)
+        n = np.diff(self.index_at)[word]
+        ends = np.cumsum(n)
+        template = self.index[np.repeat(self.index_at[word] - ends + n, n) + np.arange(ends[-1])]
+        pairs = np.unique(np.repeat(text, n) * len(self.templates) + template)
+        return np.stack([pairs // len(self.templates), pairs % len(self.templates)], axis=1)
+
     def blocks(self, ranks: np.ndarray, at: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, str, float]]:
         """Text, label and containment of each window that matches, given the template words' ranks, places and texts."""
-        for position, size, need, length, label in self.templates:
-            own = np.flatnonzero(position[ranks] >= 0)
-            p, place, text = position[ranks[own]], at[own], of[own]
-            end = np.minimum(np.searchsorted(place, place + length), np.searchsorted(text, text, side="right"))
+        pairs = self.candidates(ranks, of)
+        begins, stops = np.searchsorted(of, pairs[:, 0]), np.searchsorted(of, pairs[:, 0], side="right")
+        for (text, template), lo, hi in zip(pairs.tolist(), begins.tolist(), stops.tolist(), strict=True):
+            ordered, need, length, label = self.templates[template]
+            size = len(ordered)
+            if hi - lo < need:
+                continue
+            p = np.minimum(np.searchsorted(ordered, ranks[lo:hi]), size - 1)
+            own = np.flatnonzero(ordered[p] == ranks[lo:hi])
+            p, place = p[own], at[lo:hi][own]
+            end = np.searchsorted(place, place + length)
             begin = np.arange(len(own))
             prefix = np.concatenate([[0], np.cumsum(p <= size - need)])
             for i in np.flatnonzero((end - begin >= need) & (prefix[end] > prefix[begin])).tolist():
                 held = np.unique(p[i : end[i]])
                 if size - held[0] >= need and len(held) >= need:
-                    yield int(text[i]), label, len(held) / size
+                    yield text, label, len(held) / size
 
     def run(self, texts: pa.Array) -> list[list]:
         w = tx.words(texts, tx.NOT_ALNUM, lower=True)

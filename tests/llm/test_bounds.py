@@ -107,3 +107,25 @@ def test_vectors_of_ten_thousand_components(spark, monkeypatch):
     for q in (0, 20):
         best = sorted((-scores[q, c], c) for c in range(40) if c != q)[:5]
         assert [found[q, k + 1] for k in range(5)] == [(c, -s) for s, c in best]
+
+
+def test_more_templates_are_no_more_pairs():
+    """A thousand templates whose words the texts don't hold make no candidates."""
+    import pyarrow as pa
+
+    from lattica.llm import licenses
+
+    other = tuple((" ".join(f"w{k}x{j}" for j in range(12)), f"l{k}") for k in range(1000))
+    texts = pa.array([f"{t} and more of it" for t, _ in licenses.TEMPLATES] + ["nothing here", None])
+
+    def scan(templates):
+        vocabulary = licenses._vocabulary(templates, licenses.PHRASES)
+        return licenses._Scan(vocabulary, np.zeros(len(vocabulary), dtype=np.int64), templates, licenses.PHRASES, licenses.THRESHOLD)
+
+    few, many = scan(licenses.TEMPLATES), scan((*licenses.TEMPLATES, *other))
+    counted = []
+    for s in (few, many):
+        make = s.candidates
+        s.candidates = lambda *a, make=make: counted.append(len(found := make(*a))) or found
+    assert [r[5] for r in few.run(texts)] == [r[5] for r in many.run(texts)]
+    assert counted[1] <= 2 * counted[0] and all(label in r[5] for r, (_, label) in zip(few.run(texts), licenses.TEMPLATES, strict=False))
