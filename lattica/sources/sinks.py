@@ -33,10 +33,14 @@ def read_blueprint(spark, path: str) -> DataFrame:
 
 
 def _fragments(df: DataFrame, order: list[str], path: str) -> None:
-    """The rows as JSON in order, each with a comma behind it, a file for each range of the order."""
+    """The rows as JSON in order, each with a comma behind it, a file for each range of the order.
+
+    A row is an object, or a plain value if its only column is `value`."""
     plain = df.select(*(F.map_entries(c).alias(c) if k.startswith("map") else F.col(c) for c, k in df.dtypes))
     ranged = plain.repartitionByRange(*order).sortWithinPartitions(*order)
     value = F.to_json(F.struct(*order, *(c for c in df.columns if c not in order)))
+    if df.columns == ["value"]:
+        value = F.regexp_replace(F.to_json(F.array("value")), r"^\[|\]$", "")
     ranged.select(value.alias("value")).write.mode("overwrite").option("lineSep", ",\n").text(path)
 
 
@@ -94,6 +98,20 @@ def write_cluster_report(report: DataFrame, path: str) -> None:
     write_document({"schema_version": SCHEMA_VERSION}, {"clusters": (report, ["cluster_id"])}, report.sparkSession, path)
 
 
+def write_delta_document(delta: DataFrame, prev: DataFrame, new: DataFrame, path: str) -> None:
+    """Writes the six lists of `history.delta_document`, of any size, as one JSON document.
+
+    delta: rows of `history.snapshot_delta`; prev and new: path, cluster_id of the two snapshots."""
+    of = lambda kind: delta.where(F.col("change") == kind).select(F.col("path").alias("value"))
+    names = [d.select(F.col("cluster_id").alias("value")).where("value is not null").distinct() for d in (prev, new)]
+    moved = delta.where("change = 'moved'").select(F.col("path").alias("file"), "from_cluster", "to_cluster")
+    lists = {
+        "added_nodes": (of("added"), ["value"]), "removed_nodes": (of("removed"), ["value"]), "modified_nodes": (of("moved"), ["value"]), "moved_nodes": (moved, ["file"]),
+        "added_clusters": (names[1].join(names[0], "value", "left_anti"), ["value"]), "removed_clusters": (names[0].join(names[1], "value", "left_anti"), ["value"]),
+    }
+    write_document({}, lists, delta.sparkSession, path)
+
+
 def node_ids(nodes: DataFrame) -> DataFrame:
     """node_id, canonical_path: the ids under which a snapshot's files are stored."""
     from lattica.sources.code import registry

@@ -1,6 +1,7 @@
 """The pruned crawl and tables that change all at once."""
 
 import io
+import json
 import os
 import tarfile
 import zipfile
@@ -8,7 +9,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.sources import archives, code, tree, versions
+from lattica.operators import history
+from lattica.sources import archives, code, sinks, tree, versions
 
 
 def test_skipped_directories_are_never_opened():
@@ -77,6 +79,17 @@ def test_of_two_writers_one_conflicts(spark, tmp_path):
     assert held(two) == [1, 2] and two.vacuum(keep=9) == 0  # the loser took its data away
 
 
+def test_a_dead_writer_blocks_nobody(spark, tmp_path, monkeypatch):
+    store = versions.Versions(spark, f"{tmp_path}/s")
+    store.commit({"t": rows(spark, 1)}, "a")
+    (tmp_path / "s" / "_versions" / f"{2:020d}.claim0").write_bytes(b"")  # by a writer that was killed
+    with pytest.raises(versions.Conflict):
+        store.commit({"t": rows(spark, 2)}, "b")  # it may be alive yet
+    monkeypatch.setattr(versions, "CLAIM_SECONDS", -1)
+    assert store.commit({"t": rows(spark, 2)}, "b") == 2 and held(store) == [1, 2]
+    assert not [x for x in os.listdir(tmp_path / "s" / "_versions") if "claim" in x and not x.endswith(".crc")]
+
+
 def test_a_transaction_is_stored_once(spark, tmp_path):
     store = versions.Versions(spark, f"{tmp_path}/s")
     for number in (0, 0, 1, 0, 1):
@@ -152,3 +165,14 @@ def test_a_large_archive_makes_many_tasks():
     listed = (archives.Entry("x.zip", f"f{i}", i << 20, 1 << 20, 1 << 20, 8) for i in range(3000))  # 3 GB
     parts = list(archives.dealt(listed))
     assert len(parts) > 90 and max(sum(e.size for e in p.entries) for p in parts) <= tree.PART_BYTES
+
+
+def test_delta_documents_equal_the_row(spark, tmp_path):
+    prev = spark.createDataFrame([(f"f{i}", f"c{i % 3}") for i in range(9)] + [('q"[uo]te', "old")], "path string, cluster_id string")
+    new = spark.createDataFrame([(f"f{i}", f"c{(i + i // 6) % 4}") for i in range(3, 12)], "path string, cluster_id string")
+    delta = history.snapshot_delta(prev, new)
+    sinks.write_delta_document(delta, prev, new, f"{tmp_path}/d.json")
+    with open(tmp_path / "d.json") as f:
+        got = json.load(f)
+    row = history.delta_document(delta, prev, new).first().asDict(recursive=True)
+    assert got == row and got["removed_clusters"] == ["old"] and 'q"[uo]te' in got["removed_nodes"]
