@@ -36,9 +36,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or the
+    checkpoint folder that the application has set itself.
 
-    Only where it is unset (tests, a single machine) a temporary folder is made and set.
+    Only where neither is there (tests, a single machine) a temporary folder is made and set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
@@ -47,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     made = getattr(sc, "_lattica_shared", None)
+    if made is None and sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir().rstrip("/")
     if made is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -61,6 +64,15 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lattica-{tag}-{uuid.uuid4().hex}"
 
 
+def temporary(spark: SparkSession, tag: str) -> str:
+    """A fresh path below the shared folder, deleted when the application ends."""
+    path = scratch(spark, tag)
+    fs, where = _store(spark, path)
+    fs.mkdirs(where)  # what isn't there can't be marked
+    fs.deleteOnExit(where)
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read again.
 
