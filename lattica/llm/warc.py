@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import bloom
 from lattica.llm import text as tx
-from lattica.session import scratch, ship, written
+from lattica.session import ship, temporary, written
 
 MAGIC = 0x184D2A5D
 MIN_REVISIT = 100
@@ -116,7 +116,7 @@ def parse(rec: bytes) -> dict:
     return {"fields": fields, "payload_bytes": length, "payload": None if fields["WARC-Type"] == "revisit" else payload}
 
 
-def _writer(folder: str, limit: int):
+def _writer(folder: str, limit: int, run_id: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -127,7 +127,7 @@ def _writer(folder: str, limit: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, n
-            name = f"part-{ctx.partitionId():06d}-{n:05d}-{ctx.taskAttemptId()}.warc.zst"
+            name = f"part-{run_id}-{ctx.partitionId():06d}-{n:05d}-{ctx.taskAttemptId()}.warc.zst"
             store.create_dir(root, recursive=True)
             data = archive(held)
             with store.open_output_stream(f"{root}/{name}", compression=None) as out:
@@ -163,10 +163,31 @@ def with_revisits(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, limit: int = ARCHIVE_BYTES) -> DataFrame:
-    """The manifest, already written: path, records, raw_bytes and bytes of each archive."""
+    """The manifest, already written: path, records, raw_bytes and bytes of each archive.
+
+    An archive's name holds its run and its task's attempt, so a task that runs again overwrites nothing; what attempts
+    that don't count have left in the folder is deleted when the manifest is there."""
     ship(pages.sparkSession)
     rows = with_revisits(pages).select("page_id", "url", "payload", "digest", "refers_to")
-    return written(rows.mapInArrow(_writer(folder, limit), "path string, records long, raw_bytes long, bytes long"), "manifest")
+    run_id = _run_id()
+    manifest = written(rows.mapInArrow(_writer(folder, limit, run_id), "path string, records long, raw_bytes long, bytes long"), "manifest")
+    _without_orphans(manifest, folder, f"part-{run_id}-")
+    return manifest
+
+
+def _run_id() -> str:
+    return uuid.uuid4().hex[:12]
+
+
+def _without_orphans(manifest: DataFrame, folder: str, prefix: str) -> None:
+    """Deletes archives of this run that the manifest doesn't name (archives are few beside their records)."""
+    spark = manifest.sparkSession
+    known = {r["path"].rsplit("/", 1)[1] for r in manifest.select("path").toLocalIterator()}
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for x in fs.listStatus(where) if fs.exists(where) else ():
+        if x.getPath().getName().startswith(prefix) and x.getPath().getName() not in known:
+            fs.delete(x.getPath(), False)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +229,7 @@ def read_archives(spark, paths: list[str], id_type: str = "long") -> DataFrame:
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes all pages into archives and reads them back."""
     spark = pages.sparkSession
-    manifest = write_archives(pages, folder or scratch(spark, "warc"))
+    manifest = write_archives(pages, folder or temporary(spark, "warc"))
     paths = [r["path"] for r in manifest.select("path").toLocalIterator()]
     return read_archives(spark, paths, pages.schema["page_id"].dataType.simpleString())
 

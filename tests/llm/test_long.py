@@ -54,3 +54,15 @@ def test_long_payloads_come_back(spark):
     assert found[1]["payload_digest"] == hashlib.sha256(t.encode()).hexdigest() and found[1]["record_type"] == "response"
     assert (found[2]["record_type"], found[2]["refers_to"], found[2]["payload_bytes"]) == ("revisit", 1, len(t.encode()))
     assert pages.select(F.max(F.length("html"))).first()[0] > 1_000_000
+
+
+def test_attempts_that_do_not_count_leave_nothing(spark, tmp_path, monkeypatch):
+    """A second run into a folder keeps the first one's archives and removes its own stray ones."""
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * 40) for i in range(30)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/warc"
+    first = [r["path"] for r in warc.write_archives(pages, folder).collect()]
+    monkeypatch.setattr(warc, "_run_id", lambda: "0123456789ab")
+    (tmp_path / "warc" / "part-0123456789ab-000000-00000-77.warc.zst").write_bytes(b"by an attempt that was lost")
+    second = [r["path"] for r in warc.write_archives(pages, folder).collect()]
+    left = {x.name for x in (tmp_path / "warc").iterdir() if not x.name.endswith(".crc")}
+    assert left == {p.rsplit("/", 1)[1] for p in first + second} and warc.read_archives(spark, second).count() == 30
