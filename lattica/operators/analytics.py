@@ -204,8 +204,14 @@ def visible_projects(projects: DataFrame, members: DataFrame, org_members: DataF
     """Projects that a member sees: all but for the role MEMBER, who sees owned and assigned ones.
 
     projects: project_id, org_id, owner_id; members: project_id, user_id; org_members: org_id, user_id, role."""
-    j = projects.join(org_members, "org_id").join(members.select("project_id", "user_id", F.lit(1).alias("assigned")).distinct(), ["project_id", "user_id"], "left")
-    return j.where((F.col("role") != "MEMBER") | (F.col("owner_id") == F.col("user_id")) | F.col("assigned").isNotNull()).select("user_id", "project_id")
+    plain = F.coalesce(F.col("role"), F.lit("MEMBER")) == "MEMBER"
+    all_of_them = projects.join(org_members.where(~plain), "org_id").select("user_id", "project_id")
+    # a plain member meets owned and assigned projects by user and organisation, never all of an organisation
+    inside = org_members.where(plain).select("org_id", "user_id")
+    owned = projects.select("project_id", "org_id", F.col("owner_id").alias("user_id"))
+    assigned = members.select("project_id", "user_id").join(projects.select("project_id", "org_id"), "project_id")
+    own = owned.unionByName(assigned).distinct().join(inside, ["org_id", "user_id"]).select("user_id", "project_id")
+    return all_of_them.unionByName(own)
 
 
 def at_least(role, least: str):

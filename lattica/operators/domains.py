@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattica import schemas as S
 from lattica.functions import scalar as fn
 from lattica.operators.graph import propagate
+from lattica.session import written
 
 
 def layer_words(tokens: DataFrame, share: float = S.LAYER_WORD_SHARE) -> DataFrame:
@@ -23,6 +24,16 @@ def layer_word_set(tokens: DataFrame) -> DataFrame:
     return layer_words(tokens).select("token").unionByName(custom).distinct()
 
 
+def without_layer_words(tokens: DataFrame) -> DataFrame:
+    """node_id, tokens without the words that name layers; tokens: node_id, tokens (distinct).
+
+    A node that has no other words keeps an empty list."""
+    held = written(tokens.select("node_id", "tokens"), "tokens")
+    left = held.select("node_id", F.explode("tokens").alias("token")).join(layer_word_set(held), "token", "left_anti")
+    kept = left.groupBy("node_id").agg(F.array_sort(F.collect_list("token")).alias("kept"))
+    return held.select("node_id").join(kept, "node_id", "left").select("node_id", F.coalesce("kept", F.array().cast("array<string>")).alias("tokens"))
+
+
 def token_classes(tokens: DataFrame) -> DataFrame:
     """token, files, kind: common words, and the recurring words that can name a domain of their own."""
     known = sorted({w for ws in S.LEXICON.values() for w in ws.split()})

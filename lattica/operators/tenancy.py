@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.scalar import trim_to_null
 from lattica.operators.analytics import at_least, invitation_valid
+from lattica.session import written
 
 
 def members_with_profiles(members: DataFrame, users: DataFrame) -> DataFrame:
@@ -49,6 +51,21 @@ def invited(invitations: DataFrame, asked: DataFrame, now) -> DataFrame:
     return j.withColumn("result", F.when(F.col("expires_at").isNull(), "CREATED").when(F.col("expires_at") < now, "RENEWED").otherwise("CONFLICT")).drop("expires_at")
 
 
+def noted(notes: DataFrame, asked: DataFrame, members: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """The new rows of notes, and each request with its outcome (ADDED, EMPTY, FORBIDDEN).
+
+    notes: note_id, project_id, author_id, text, created_at; asked: project_id, author_id, text; members: project_id,
+    user_id. Only members add notes, and none without text; numbers go on from the greatest, by project and author."""
+    inside = members.select("project_id", F.col("user_id").alias("author_id"), F.lit(True).alias("inside")).distinct()
+    text = trim_to_null(F.col("text"))
+    judged = written(asked.join(inside, ["project_id", "author_id"], "left").withColumn("text", text).withColumn("result", F.when(F.col("inside").isNull(), "FORBIDDEN").when(F.col("text").isNull(), "EMPTY").otherwise("ADDED")).drop("inside"), "notes")
+    last = notes.agg(F.coalesce(F.max("note_id"), F.lit(0)).alias("last"))
+    fresh = judged.where("result = 'ADDED'").withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy("author_id", "text")))
+    before = fresh.groupBy("project_id").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("project_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a project
+    numbered = fresh.join(before, "project_id").crossJoin(F.broadcast(last)).withColumn("note_id", F.col("last") + F.col("before") + F.col("rank"))
+    return numbered.select("note_id", "project_id", "author_id", "text", now.alias("created_at")), judged
+
+
 def deletable_notes(notes: DataFrame, members: DataFrame, user_id: int) -> DataFrame:
     """Notes that a user may delete: their own, or all in projects where they rank ADMIN or higher."""
     role = members.where(F.col("user_id") == user_id).select("project_id", "role")

@@ -430,3 +430,23 @@ def opaque_json(t):
     stored = F.when(k % 3 == 0, F.to_json(F.array("event_id", "user_id"))).when(k % 3 == 1, "no json")
     found = fn.json_list(stored, "bigint")
     return t.events.select("event_id", F.size(found).alias("n"), F.get(found, F.lit(1)).alias("second"))
+
+
+_PATH_WORDS = f", w AS (SELECT node_id, list_distinct(list_filter(regexp_extract_all(p_name || ' ' || CASE WHEN node_id % 3 < 2 THEN 'shared data' ELSE 'billing' END, '[a-z]+'), lambda x: length(x) >= 3)) AS tokens FROM paths), t AS (SELECT node_id, unnest(tokens) AS token FROM w), l AS (SELECT token FROM t GROUP BY 1 HAVING count(*) / (SELECT count(*) FROM w) >= {S.LAYER_WORD_SHARE} UNION SELECT unnest([{_strings(sorted(set(S.LAYER_WORDS)))}]))"
+
+
+def _path_words(t):
+    words = F.regexp_extract_all(F.concat("p_name", F.lit(" "), F.when(F.col("node_id") % 3 < 2, "shared data").otherwise("billing")), F.lit("[a-z]+"), F.lit(0))
+    return v.paths(t).select("node_id", F.array_distinct(F.filter(words, lambda x: F.length(x) >= 3)).alias("tokens"))
+
+
+@query(_PATH_WORDS + " SELECT token FROM l", "paths")
+def layer_word_set(t):
+    """Words that name layers: frequent ones and those by custom."""
+    return domains.layer_word_set(_path_words(t))
+
+
+@query(_PATH_WORDS + " SELECT w.node_id, coalesce(string_agg(t.token, ',' ORDER BY t.token), '') AS tokens FROM w LEFT JOIN t ON t.node_id = w.node_id AND t.token NOT IN (SELECT token FROM l) GROUP BY 1", "paths")
+def words_without_layers(t):
+    """Each part's words without those that name layers."""
+    return domains.without_layer_words(_path_words(t)).withColumn("tokens", F.array_join("tokens", ","))

@@ -169,8 +169,19 @@ def persist_delta(delta: DataFrame, previous_id: str, snapshot_id: str, root: st
     Versions(delta.sparkSession, root).commit({"deltas": rows}, snapshot_id)
 
 
+def persist_rows(rows: DataFrame, table: str, snapshot_id: str, root: str, expected: int | None = None) -> int:
+    """Stores a snapshot's rows of a table (notes, overrides, revisions) in place of those it had; the new version."""
+    marked = rows.select(F.lit(snapshot_id).alias("snapshot_id"), *(c for c in rows.columns if c != "snapshot_id"))
+    return Versions(rows.sparkSession, root).commit({table: marked}, snapshot_id, expected=expected)
+
+
+def stored_rows(spark: SparkSession, root: str, table: str, snapshot_id: str) -> DataFrame:
+    """A snapshot's rows of a table; only its own folders are opened."""
+    return Versions(spark, root).read(table, snapshot_id)
+
+
 def rewrite_clusters(root: str, snapshot_id: str, clusters: DataFrame, expected: int | None = None) -> int:
     """Puts a snapshot's checked clusters in place of the stored ones; the new version.
 
     With expected, the version that they were read from, a rewrite on something older is a `Conflict`."""
-    return Versions(clusters.sparkSession, root).commit({"clusters": clusters.select(F.lit(snapshot_id).alias("snapshot_id"), *(c for c in clusters.columns if c != "snapshot_id"))}, snapshot_id, expected=expected)
+    return persist_rows(clusters, "clusters", snapshot_id, root, expected)

@@ -100,3 +100,13 @@ def test_history_from_exports(spark):
     assert [(r["line"], r["author"]) for r in b.orderBy("line").collect()] == [(1, "Ann"), (2, "Ann"), (3, None)]
     got = history.ownership(b.select("path", "author")).collect()
     assert [(r["author"], r["percentage"]) for r in got] == [("Ann", 100.0)]
+
+
+def test_notes_are_added_by_members(spark):
+    notes = spark.createDataFrame([(7, 10, 5, "x", dt.datetime(2024, 1, 1))], "note_id long, project_id long, author_id long, text string, created_at timestamp")
+    asked = spark.createDataFrame([(10, 5, " hi "), (10, 6, "a"), (11, 5, "b"), (10, 5, "  "), (12, 9, "no")], "project_id long, author_id long, text string")
+    members = spark.createDataFrame([(10, 5), (10, 6), (11, 5)], "project_id long, user_id long")
+    new, judged = tenancy.noted(notes, asked, members, F.lit(dt.datetime(2024, 1, 2)))
+    assert sorted((r["note_id"], r["project_id"], r["text"]) for r in new.collect()) == [(8, 10, "hi"), (9, 10, "a"), (10, 11, "b")]
+    assert sorted(r["result"] for r in judged.collect()) == ["ADDED", "ADDED", "ADDED", "EMPTY", "FORBIDDEN"]
+    assert tenancy.noted(notes.where("false"), asked.where("false"), members, F.lit(None).cast("timestamp"))[0].collect() == []

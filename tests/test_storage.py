@@ -176,3 +176,15 @@ def test_delta_documents_equal_the_row(spark, tmp_path):
         got = json.load(f)
     row = history.delta_document(delta, prev, new).first().asDict(recursive=True)
     assert got == row and got["removed_clusters"] == ["old"] and 'q"[uo]te' in got["removed_nodes"]
+
+
+def test_rows_of_a_snapshot_replace_those_it_had(spark, tmp_path):
+    root = f"{tmp_path}/s"
+    notes = lambda *x: spark.createDataFrame([(i,) for i in x], "note_id long")
+    sinks.persist_rows(notes(1, 2), "notes", "s1", root)
+    at = sinks.persist_rows(notes(3), "notes", "s2", root)
+    sinks.persist_rows(notes(1, 2, 4), "notes", "s1", root)
+    assert sorted(r["note_id"] for r in sinks.stored_rows(spark, root, "notes", "s1").collect()) == [1, 2, 4]
+    assert [tuple(r) for r in sinks.stored_rows(spark, root, "notes", "s2").collect()] == [("s2", 3)]
+    with pytest.raises(versions.Conflict):
+        sinks.rewrite_clusters(root, "s1", spark.createDataFrame([("c", True)], "cluster_id string, llm_valid boolean"), at)
