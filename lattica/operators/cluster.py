@@ -245,7 +245,7 @@ def closest_directory(small: DataFrame, every: DataFrame) -> DataFrame:
     place is shared, the first other bucket by name is the target."""
     parts = F.split("bucket", "/")
     keys = lambda d: d.select("bucket", F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.least(F.size(parts), F.lit(_PLACES))).cast("int") - 1)).alias("places")).withColumn("key", F.transform(parts, lambda x, i: F.when((i < _PLACES) & (F.expr("places").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0), x)))
-    trimmed = lambda d: keys(d).withColumn("key", F.slice("key", F.lit(1), F.floor(F.log2("places")).cast("int") + 1))  # noqa: E731  (up to the last place of the set)
+    trimmed = lambda d: keys(d).withColumn("key", F.slice("key", F.lit(1), F.length(F.bin("places"))))  # noqa: E731  (up to the last place of the set)
     held = written(trimmed(every), "places")
     firsts = held.groupBy("places", "key").agg(F.min("bucket").alias("first"), F.count("*").alias("n")).where("n > 1")
     seconds = held.join(firsts, ["places", "key"]).where(F.col("bucket") != F.col("first")).groupBy("places", "key").agg(F.min("bucket").alias("second"))
