@@ -204,14 +204,31 @@ def visible_projects(projects: DataFrame, members: DataFrame, org_members: DataF
     """Projects that a member sees: all but for the role MEMBER, who sees owned and assigned ones.
 
     projects: project_id, org_id, owner_id; members: project_id, user_id; org_members: org_id, user_id, role."""
-    plain = F.coalesce(F.col("role"), F.lit("MEMBER")) == "MEMBER"
+    plain = _is_plain()
     all_of_them = projects.join(org_members.where(~plain), "org_id").select("user_id", "project_id")
+    return all_of_them.unionByName(_own_projects(projects, members, org_members))
+
+
+def visible_counts(projects: DataFrame, members: DataFrame, org_members: DataFrame) -> DataFrame:
+    """user_id, projects: how many rows of `visible_projects` a member has, of the same tables.
+
+    Who sees all of an organisation gets its number of projects; the projects aren't written out."""
+    sizes = projects.groupBy("org_id").agg(F.count("*").alias("projects"))
+    all_of_them = org_members.where(~_is_plain()).join(sizes, "org_id").select("user_id", "projects")
+    own = _own_projects(projects, members, org_members).groupBy("user_id").agg(F.count("*").alias("projects"))
+    return all_of_them.unionByName(own).groupBy("user_id").agg(F.sum("projects").alias("projects"))
+
+
+def _is_plain():
+    return F.coalesce(F.col("role"), F.lit("MEMBER")) == "MEMBER"
+
+
+def _own_projects(projects: DataFrame, members: DataFrame, org_members: DataFrame) -> DataFrame:
     # a plain member meets owned and assigned projects by user and organisation, never all of an organisation
-    inside = org_members.where(plain).select("org_id", "user_id")
+    inside = org_members.where(_is_plain()).select("org_id", "user_id")
     owned = projects.select("project_id", "org_id", F.col("owner_id").alias("user_id"))
     assigned = members.select("project_id", "user_id").join(projects.select("project_id", "org_id"), "project_id")
-    own = owned.unionByName(assigned).distinct().join(inside, ["org_id", "user_id"]).select("user_id", "project_id")
-    return all_of_them.unionByName(own)
+    return owned.unionByName(assigned).distinct().join(inside, ["org_id", "user_id"]).select("user_id", "project_id")
 
 
 def at_least(role, least: str):

@@ -180,7 +180,7 @@ def visible_projects(t):
     p = t.orders.join(org, "o_custkey").select(F.col("o_orderkey").alias("project_id"), "org_id", F.col("o_custkey").alias("owner_id"))
     u = t.customer.select(F.col("c_nationkey").alias("org_id"), F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 3 == 0, "ADMIN").otherwise("MEMBER").alias("role"))
     m = p.select("project_id", (F.col("owner_id") + 25).alias("user_id"))
-    return analytics.visible_projects(p, m, u).groupBy("user_id").agg(F.count("*").alias("projects"))
+    return analytics.visible_counts(p, m, u)
 
 
 @query("SELECT c_custkey AS user_id, ['OWNER', 'ADMIN', 'MEMBER', 'VIEWER', 'NONE'][1 + c_custkey % 5] AS role, c_custkey % 5 <= 1 AS is_admin FROM customer")

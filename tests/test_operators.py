@@ -202,6 +202,17 @@ def test_visible_projects_and_roles(spark):
     assert [one(spark, lambda r: analytics.at_least(r, "ADMIN"), x) for x in ("OWNER", "ADMIN", "MEMBER", "none")] == [True, True, False, False]
 
 
+def test_visible_counts_write_no_organisation_out(spark):
+    p = spark.range(300).selectExpr("id as project_id", "id % 2 as org_id", "1000 + id % 5 as owner_id")
+    m = spark.createDataFrame([(2, 1001), (3, 1001), (1, 1001)], "project_id long, user_id long")
+    o = spark.createDataFrame([(i % 2, i, "ADMIN" if i < 300 else None) for i in [*range(300), *range(1000, 1005)]], "org_id long, user_id long, role string")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    got = analytics.visible_counts(p, m, o)
+    assert rows(got) == rows(analytics.visible_projects(p, m, o).groupBy("user_id").agg(F.count("*").alias("projects")))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [org_id" in plan  # the organisation's projects are counted before they meet its members
+
+
 def test_slugs_and_even_chunks(spark):
     s = spark.createDataFrame([(1, "My Org"), (2, "My Org!")], "id long, title string")
     assert {r["id"]: r["slug"] for r in analytics.unique_slugs(s).collect()} == {1: "my-org", 2: "my-org-1"}
