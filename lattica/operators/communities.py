@@ -1,15 +1,17 @@
 """Communities of graphs that no single worker holds, by rounds of moves that don't disturb each other.
 
-A round finds every node's best move by modularity gain and makes those that are the best of both the
-communities that they touch. Such moves share no community, so each gains what it was computed to
-gain, and the modularity rises with every round. When few nodes move any more, communities become
+A round finds every node's best move by modularity gain. Communities that more nodes want to join than
+to leave only take nodes in, the others only give some away. Made one by one, by gain and degree, a move
+then gains no less than computed, but for the degrees of those that left its home or joined its goal
+before; it is made if its gain outweighs these. So many nodes join one community at once, and the
+modularity rises with every round. When few nodes move any more, communities become
 the nodes of a smaller graph, and so on until nothing gains. At last a community whose parts aren't linked is
 taken apart, which can only raise the modularity. Everything is joins and partial sums.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import connected_components
@@ -19,11 +21,11 @@ LEAST_GAIN = 1e-9
 FEW = 20  # a level ends when less than one in so many of its nodes moves
 
 
-def _moves(both: DataFrame, label: DataFrame, degree: DataFrame, twice: float, resolution: float) -> DataFrame:
-    """node, community (the new one): this round's moves.
+def _moves(both: DataFrame, held: DataFrame, twice: float, resolution: float, turn: int) -> tuple[DataFrame, int]:
+    """node, next (the new community), written, and their number: a round's moves.
 
-    both: a, b, w in both directions without loops; label: node, community; degree: node, k."""
-    held = written(label.join(degree, "node"), "held")
+    both: a, b, w in both directions without loops; held: node, community, k. turn decides for communities
+    that as many want to join as to leave."""
     volume = held.groupBy("community").agg(F.sum("k").alias("volume"))
     toward = both.join(held.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("toward"))
     own = held.select("node", "community", F.lit(0.0).alias("toward"))
@@ -31,11 +33,24 @@ def _moves(both: DataFrame, label: DataFrame, degree: DataFrame, twice: float, r
     options = options.join(held.select("node", F.col("community").alias("home"), "k"), "node")
     at_home = F.col("community") == F.col("home")
     gain = F.col("toward") - resolution * (F.col("volume") - F.when(at_home, F.col("k")).otherwise(0.0)) * F.col("k") / twice
-    best = options.withColumn("gain", F.round(gain, 12)).groupBy("node", "home").agg(F.max_by("community", F.struct("gain", F.col("community") == F.col("home"), "community")).alias("to"), F.max("gain").alias("most"), F.max(F.when(at_home, F.col("gain"))).alias("now"))
-    wanted = written(best.where(F.col("most") > F.col("now") + LEAST_GAIN).select("node", "home", "to", (F.col("most") - F.col("now")).alias("gain")), "wanted")
-    first = wanted.select(F.explode(F.array("home", "to")).alias("community"), F.struct("gain", "node").alias("bid")).groupBy("community").agg(F.max("bid").alias("bid")).select("community", F.col("bid.node").alias("node"))
-    both_ends = wanted.join(first.select(F.col("community").alias("home"), "node"), ["home", "node"]).join(first.select(F.col("community").alias("to"), "node"), ["to", "node"])
-    return both_ends.select("node", F.col("to").alias("community"))
+    best = options.withColumn("gain", F.round(gain, 12)).groupBy("node", "home", "k").agg(F.max_by("community", F.struct("gain", F.col("community") == F.col("home"), "community")).alias("to"), F.max("gain").alias("most"), F.max(F.when(at_home, F.col("gain"))).alias("now"))
+    wanted = written(best.where(F.col("most") > F.col("now") + LEAST_GAIN).select("node", "home", "to", "k", (F.col("most") - F.col("now")).alias("gain")), "wanted")
+    ends = wanted.select(F.explode(F.array(F.struct(F.col("home").alias("community"), F.lit(-1).alias("way")), F.struct(F.col("to").alias("community"), F.lit(1).alias("way")))).alias("e"))
+    takes = F.sum("e.way") * 2 + F.pmod(F.xxhash64("e.community", F.lit(turn)), F.lit(2)) > 0
+    side = ends.groupBy("e.community").agg(takes.alias("takes"))
+    able = wanted.join(side.where("not takes").select(F.col("community").alias("home")), "home").join(side.where("takes").select(F.col("community").alias("to")), "to")
+    before = lambda c: F.coalesce(F.sum("k").over(Window.partitionBy(c).orderBy(F.desc("each"), "node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    able = able.withColumn("each", F.col("gain") / F.col("k")).withColumn("lost", resolution * (before("home") + before("to")) / twice)
+    moves = written(able.where(F.col("each") > F.col("lost")).select("node", F.col("to").alias("next")), "moves")
+    n = moves.count()
+    if not n:  # the best of both its communities, of which there is one if anything gains
+        dropped(moves)
+        bids = wanted.select(F.explode(F.array("home", "to")).alias("community"), F.struct("gain", "node").alias("bid")).groupBy("community").agg(F.max("bid").alias("bid"))
+        first = bids.select("community", F.col("bid.node").alias("node"))
+        moves = written(wanted.join(first.select(F.col("community").alias("home"), "node"), ["home", "node"]).join(first.select(F.col("community").alias("to"), "node"), ["to", "node"]).select("node", F.col("to").alias("next")), "moves")
+        n = moves.count()
+    dropped(wanted)
+    return moves, n
 
 
 def communities(nodes: DataFrame, links: DataFrame, resolution: float = 1.0, start: DataFrame | None = None) -> DataFrame:
@@ -56,26 +71,27 @@ def _searched(nodes: DataFrame, links: DataFrame, resolution: float, start: Data
         at = written(weighed.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")), "links")
         names = written(nodes.select("node").distinct().select("node", F.col("node").alias("group")), "names")
         twice = 2.0 * (at.agg(F.sum("w")).first()[0] or 0.0)
-        initial = start
+        initial, turn = start, 0
         while twice:
             groups = names.select(F.col("group").alias("node")).distinct()
-            label = written(groups.select("node", F.col("node").alias("community")) if initial is None else groups.join(initial, "node").select("node", "community"), "label")
+            label = groups.select("node", F.col("node").alias("community")) if initial is None else groups.join(initial, "node").select("node", "community")
             initial = None
             degree = at.select(F.explode(F.array("a", "b")).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("k"))
-            degree = written(groups.join(degree, "node", "left").na.fill(0.0, ["k"]), "degree")
+            label = written(label.join(degree, "node", "left").na.fill(0.0, ["k"]), "label")
             both = written(at.where("a <> b").unionByName(at.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "both")
             n = label.count()
             while True:
-                moves = written(_moves(both, label, degree, twice, resolution), "moves")
-                moved = moves.count()
+                turn += 1
+                moves, moved = _moves(both, label, twice, resolution, turn)
                 if not moved:
                     break
-                new = written(label.join(moves.withColumnRenamed("community", "next"), "node", "left").select("node", F.coalesce("next", "community").alias("community")), "label")
+                new = written(label.join(moves, "node", "left").select("node", F.coalesce("next", "community").alias("community"), "k"), "label")
                 dropped(label, moves)
                 label = new
                 if moved * FEW < n:
                     break
-            if label.select("community").distinct().count() == n and not moved:
+            dropped(both)
+            if not moved and label.select("community").distinct().count() == n:
                 break
             heads = label.groupBy("community").agg(F.min("node").alias("head"))
             renamed = written(label.join(heads, "community").select("node", "head"), "renamed")

@@ -42,6 +42,17 @@ def test_modularity_never_falls_below_the_start(spark):
     assert after >= before and after > 0.8 * one_worker > 0
 
 
+def test_many_nodes_join_a_community_in_one_round(spark, monkeypatch):
+    links = [(h * 100, h * 100 + i, 1.0) for h in range(4) for i in range(1, 31)]
+    v, e = frames(spark, sorted({n for a, b, _ in links for n in (a, b)}), links)
+    tags = []
+    kept = communities.written
+    monkeypatch.setattr(communities, "written", lambda df, tag: tags.append(tag) or kept(df, tag))
+    found = {r["node"]: r["community"] for r in communities.communities(v, e).collect()}
+    assert all(found[b] == found[a] for a, b, _ in links) and len(set(found.values())) == 4
+    assert tags.count("wanted") < 12  # one leaf of each hub a round would take 30
+
+
 def test_a_bucket_beyond_a_worker_keeps_the_contract(spark):
     nodes, links = cliques(4, 9)
     buckets = spark.createDataFrame([(n, "big") for n in nodes] + [(n, "small") for n in range(1000, 1005)], "node_id long, bucket string")
