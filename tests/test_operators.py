@@ -1,5 +1,7 @@
 """Hand-computed cases of functions and operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +299,23 @@ def test_nearest_beyond_the_broadcast_and_in_slices(spark):
     assert {r["id"]: r["v"] for r in got.collect()} == {1: [2.0, 1.0], 2: [0.0, 1.0]}
 
 
+def test_nearest_members_by_matrix_products_equal_the_cosines(spark):
+    from lattica.operators import vectors
+
+    r = random.Random(5)
+    usual = [[float(r.randint(-3, 3)) for _ in range(8)] for _ in range(60)]
+    usual += [[2 * x for x in v] for v in usual[:9]] + usual[:9]  # equals and multiples tie
+    odd = [None, [0.0] * 8, [1.0, None] * 4, [], [float("nan")] * 8, [1e-120] * 8, [1e200] + [0.0] * 7, [1.0, 2.0]]
+    rows = lambda d: sorted(str(tuple(r)) for r in d.collect())
+    for some in (usual, usual + odd):
+        v = spark.createDataFrame([(i, i % 2, x) for i, x in enumerate(some)], "id long, grp long, v array<double>")
+        pairs = v.join(v.toDF("best", "grp", "w"), "grp").where("id <> best").withColumn("s", fn.cosine(F.col("v"), F.col("w")))
+        want = pairs.groupBy("id").agg(F.min_by(F.struct("best", "s"), F.struct(-F.col("s"), F.col("best"))).alias("r")).select("id", "r.best", "r.s")
+        got = vectors.nearest_member(v, v, block=16)
+        assert rows(got) == rows(want)
+    assert "CoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_louvain_goes_on_until_nothing_moves():
     n = 400
     links = {(i, i + 1): 1.0 + (i % 2) * 1e-3 for i in range(n - 1)}
