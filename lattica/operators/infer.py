@@ -43,7 +43,8 @@ def naming_edges(files: DataFrame, existing: DataFrame | None = None) -> DataFra
 
 def sibling_edges(files: DataFrame) -> DataFrame:
     """Both directions between the convention files of a directory; files: node_id, dir."""
-    return files.toDF("source_id", "dir").join(files.toDF("target_id", "dir"), "dir").where("source_id <> target_id").select(PAIR)
+    f = files.select("node_id", "dir")
+    return paired(f.toDF("source_id", "dir"), f.toDF("target_id", "dir"), "dir").where("source_id <> target_id").select(PAIR)
 
 
 def ancestors(dir_):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 HEAVY = 1000  # a key is heavy if more than one in so many rows have it
 PAIRS = 1 << 20  # pairs that one task makes of a key
+TASKS = 4096  # of a join at most
 
 
 def looked_up(rows: DataFrame, known: DataFrame, keys: list[str], weight: Column, total: int) -> DataFrame:
@@ -26,11 +27,15 @@ def paired(left: DataFrame, right: DataFrame, key: str, most: int = PAIRS) -> Da
     """The inner join of two sides by a key, a key of many pairs split over many tasks.
 
     A key with l and r rows is dealt into about l * r / most cells: its left rows by their hash, the
-    right ones to each cell. Other columns must have different names on the two sides."""
+    right ones to each cell. The pairs are counted first, and the join has as many tasks as they need:
+    its sides are small beside them, so their bytes tell nothing. Other columns must have different
+    names on the two sides."""
     sizes = left.groupBy(key).agg(F.count("*").alias("__l")).join(right.groupBy(key).agg(F.count("*").alias("__r")), key)
     hot = sizes.where(F.col("__l") * F.col("__r") > most).select(key, F.least(F.ceil(F.col("__l") * F.col("__r") / most), F.col("__l")).alias("__cells"))
     # a key is hot only if it has more than most ** 0.5 rows on a side, so hot keys are few beside the rows
     one = F.coalesce("__cells", F.lit(1).cast("long"))
     a = left.join(hot, key, "left").withColumn("__cell", F.pmod(F.xxhash64(*(c for c in left.columns if c != key)), one)).drop("__cells")
     b = right.join(hot, key, "left").withColumn("__cell", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("__cells")
-    return a.join(b, [key, "__cell"]).drop("__cell")
+    pairs = sizes.agg(F.sum(F.col("__l") * F.col("__r"))).first()[0] or 0
+    tasks = min(TASKS, max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // most)))
+    return a.repartition(tasks, key, "__cell").join(b.repartition(tasks, key, "__cell"), [key, "__cell"]).drop("__cell")

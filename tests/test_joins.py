@@ -72,3 +72,11 @@ def test_closest_directory_equals_brute_force(spark):
     assert got == brute(every, every)
     one = spark.createDataFrame([("a",)], "bucket string")
     assert cluster.closest_directory(one, one).collect() == []
+
+
+def test_siblings_are_paired_by_as_many_tasks_as_pairs_need(spark):
+    f = spark.range(1500).selectExpr("id as node_id", "case when id < 1200 then 'd' else concat('d', id div 2) end as dir").coalesce(1)
+    got = infer.sibling_edges(f).withColumn("task", F.spark_partition_id())
+    n = got.agg(F.count("*").alias("n"), F.countDistinct("source_id", "target_id").alias("d"), F.countDistinct("task").alias("t")).first()
+    assert (n["n"], n["d"]) == (1200 * 1199 + 300, 1200 * 1199 + 300) and n["t"] > 1
+    assert got.where("source_id < 1200").select("task").distinct().count() == 2  # 1,440,000 pairs of one directory
