@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from lattica import schemas as S
 from lattica.functions import scalar as fn
-from lattica.session import ship
+from lattica.session import fan_out, ship
 from lattica.sources import tree
 from lattica.sources.scan import extract
 
 PREVIEW_BYTES, SNIFF_BYTES = 2 << 20, 8 << 10
+EXTRACT_BYTES = 16 << 20  # of files, by Catalyst's estimate, that one task extracts
 
 
 def crawl(spark: SparkSession, root: str) -> DataFrame:
@@ -161,7 +162,10 @@ EXTRACTED = "canonical_path STRING, raw_imports ARRAY<STRUCT<path:STRING,line:IN
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """What each file imports, exports, calls and names; files: canonical_path, source."""
+    """What each file imports, exports, calls and names; files: canonical_path, source.
+
+    Scanning costs far more than reading, so files are dealt over tasks first. Who reads the result more
+    than once should write it."""
     ship(files.sparkSession)
     arg = pa.struct([("kind", pa.string()), ("value", pa.string())])
     types = {"raw_imports": pa.list_(pa.struct([("path", pa.string()), ("line", pa.int32())])), "exports": pa.map_(pa.string(), pa.int32()), "callsites": pa.list_(pa.string()), "ref_usages": pa.list_(pa.string()), "calls": pa.list_(pa.struct([("callee", pa.string()), ("line", pa.int32()), ("args", pa.list_(arg))])), "bindings": pa.map_(pa.string(), pa.string()), "names": pa.map_(pa.string(), pa.list_(pa.string()))}
@@ -171,7 +175,8 @@ def extracted(files: DataFrame) -> DataFrame:
             found = [extract(s or "") for s in b["source"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["canonical_path"], *(pa.array([f[k] for f in found], t) for k, t in types.items()), b["summary"]], ["canonical_path", *types, "summary"])
 
-    rows = files.select("canonical_path", "source", F.substring(fn.preprocess(F.col("source"), F.col("canonical_path")), 1, 300).alias("summary"))
+    dealt = files.select("canonical_path", "source").repartition(fan_out(files, EXTRACT_BYTES), "canonical_path")
+    rows = dealt.select("canonical_path", "source", F.substring(fn.preprocess(F.col("source"), F.col("canonical_path")), 1, 300).alias("summary"))
     return rows.mapInArrow(run, EXTRACTED)
 
 
