@@ -10,6 +10,7 @@ from lattica.operators import domains, infer, resolve
 from lattica.plans import analyze
 from lattica.plans import views as v
 from lattica.plans.registry import query
+from lattica.session import written
 from lattica.sources import code
 
 
@@ -175,7 +176,7 @@ def source_extract(t):
 def dead_imports(t):
     registry = t.part.select(F.col("p_partkey").alias("node_id"), F.concat(F.lit("lib/"), "p_partkey", F.lit(".ts")).alias("canonical_path"))
     none = t.spark.createDataFrame([], "scope string, alias string, dir string, ord int")
-    raw = analyze.raw_edges(code.extracted(_sources(t)), registry, none, t.spark.createDataFrame([], "package string, dir string"))
+    raw = analyze.raw_edges(written(code.extracted(_sources(t)), "extracted"), registry, none, t.spark.createDataFrame([], "package string, dir string"))
     return raw.select("source_id", "target_id", F.col("is_dead_import").alias("is_dead"))
 
 
@@ -410,7 +411,7 @@ def server_routes(t):
     files = t.part.select(F.concat(F.lit("lib/"), k, F.lit(".ts")).alias("canonical_path"), text.alias("source"), F.when(k % 2 == 0, F.array(F.lit("Express"))).alias("external_dependencies"))
     main = t.part.where(k % 3 == 0).select(F.concat(F.lit("main/"), k, F.lit(".ts")).alias("canonical_path"), F.concat(F.lit("app.use('/api', r"), k, F.lit(");")).alias("source"), F.lit(None).cast("array<string>").alias("external_dependencies"))
     every = files.unionByName(main)
-    x = code.extracted(every).join(every.select("canonical_path", "external_dependencies"), "canonical_path")
+    x = written(code.extracted(every), "extracted").join(every.select("canonical_path", "external_dependencies"), "canonical_path")
     bindings = t.part.where(k % 3 == 0).select(F.concat(F.lit("main/"), k, F.lit(".ts")).alias("canonical_path"), F.concat(F.lit("r"), k).alias("name"), F.concat(F.lit("lib/"), k, F.lit(".ts")).alias("target"))
     return infer.server_routes(x, bindings).select("canonical_path", "url", "line", "origin")
 

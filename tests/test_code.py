@@ -198,3 +198,16 @@ def test_archives_and_previews(spark):
     snaps = spark.createDataFrame([("s1", "a", bytearray(gzip.compress(b"{}"))), ("s2", "b", None), ("s3", "c", None)], "snapshot_id string, commit_sha string, compressed_map binary")
     files = spark.createDataFrame([("b", "[]")], "commit_sha string, document string")
     assert {r["snapshot_id"]: r["document"] for r in code.snapshot_document(files, snaps).collect()} == {"s1": "{}", "s2": "[]"}
+
+
+def test_extraction_is_dealt_over_tasks_and_done_once(spark, tmp_path):
+    from lattica.plans import registry
+
+    f = spark.range(100).coalesce(1).selectExpr("concat('a/', id, '.ts') as canonical_path", "concat('export const e', id, ' = 1;') as source")
+    tasks = code.extracted(f).withColumn("task", F.spark_partition_id()).agg(F.countDistinct("task").alias("t"), F.count("*").alias("n")).first()
+    assert (tasks["t"], tasks["n"]) == (4, 100)
+    rows = [(i, f"name {i}", "ECONOMY X", "Brand#1", i % 7, 1.0) for i in range(1, 13)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("dead_imports", "server_routes"):
+        plan = registry.load()[0][name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan  # it reads what was extracted once
