@@ -127,7 +127,8 @@ def test_naming_edges_query_pairs_every_shared_word(spark, tmp_path):
                 want.add((i, j, ",".join(sorted(both))))
     got = [(r["source_id"], r["target_id"], r["called_names"]) for r in registry.load()[0]["naming_pairs"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
-    groups = registry.load()[0]["naming_edges"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in registry.load()[0]["naming_edges"](spark, str(tmp_path)).collect()} == want
+    groups = registry.load()[0]["naming_groups"](spark, str(tmp_path)).collect()
     assert sum(r["links"] for r in groups) == sum(len(words.split(",")) for *_, words in want) and len({(r["token"], r["source_tier"], r["target_tier"]) for r in groups}) == len(groups)
 
 
