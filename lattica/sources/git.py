@@ -49,15 +49,23 @@ def parse_blame(text: str) -> list[tuple]:
     return out
 
 
+BATCH = 10_000  # rows of an Arrow batch, or those of one text
+
+
 def _parsed(files: DataFrame, f, names: list[str], types: list, ddl: str) -> DataFrame:
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), *types], strict=True)], ["key", *names])
         for b in batches:
+            held: list[tuple] = []
             for key, raw in zip(b["key"].to_pylist(), b["content"].to_pylist(), strict=True):
-                rows = f((raw or b"").decode("utf-8", "replace"))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["key", *names])
+                held += ((key, *row) for row in f((raw or b"").decode("utf-8", "replace")))
+                if len(held) >= BATCH:  # small texts share a batch
+                    yield made(held)
+                    held = []
+            if held:
+                yield made(held)
 
     return files.mapInArrow(run, f"key string, {ddl}")
 

@@ -211,3 +211,16 @@ def test_extraction_is_dealt_over_tasks_and_done_once(spark, tmp_path):
     for name in ("dead_imports", "server_routes"):
         plan = registry.load()[0][name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" not in plan  # it reads what was extracted once
+
+
+def test_small_blame_texts_share_a_batch(spark):
+    import types
+
+    import pyarrow as pa
+
+    from lattica.sources import git
+
+    run = git._parsed(types.SimpleNamespace(sparkSession=spark, mapInArrow=lambda run, ddl: run), git.parse_blame, ["line", "author", "email"], [pa.int32(), pa.string(), pa.string()], "line int, author string, email string")
+    text = b"author u1\nauthor-mail <u1@x.org>\n\tlet x = 1;\n"
+    out = list(run(iter([pa.RecordBatch.from_pydict({"key": [f"f{i}" for i in range(100)] + ["none"], "content": [text] * 100 + [None]})])))
+    assert len(out) == 1 and out[0].num_rows == 100 and out[0].to_pylist()[7] == {"key": "f7", "line": 1, "author": "u1", "email": "u1@x.org"}
