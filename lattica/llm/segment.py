@@ -10,8 +10,8 @@ leaves the path of an earlier one. Only the k best waiting branches of a text ca
 its queue holds no more, and a branch that is too unlikely for any noise to bring it in is not made.
 
 Pieces never hold a space mark behind another character (this is asserted), so a text's lattice is
-the chain of its chunks' lattices; these are built once for each distinct chunk, and the random
-completions of all chunks of many texts are drawn at once. Piece probabilities are counted over
+the chain of its chunks' lattices; chunks that end alike share nodes, which are kept from slice to
+slice, and the random completions of all chunks of many texts are drawn at once. Piece probabilities are counted over
 the whole table with the vocabulary's own encoding, plus one for each piece; the vocabulary itself
 is given. Noise is a hash of the row's key, the sample and the place: the same row gives the same
 samples anywhere.
@@ -29,14 +29,13 @@ their names. A text longer than a slice is worked on alone.
 from __future__ import annotations
 
 import contextlib
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,10 +45,86 @@ from lattica.session import ship
 
 MARK = "▁"
 SAMPLES = 4
-_CHUNK = re.compile("▁+[^▁\n]*|[^▁\n]+|\n+")
-_CACHE_CHUNKS = 200_000
-_WALK = 1 << 17  # chunks that are completed together
+# bytes are of words, spaces or line ends; between which of them a chunk ends
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[0x20], _KIND[0x0A] = 1, 2
+_PARTS = np.array([False, True, True, False, False, True, True, True, False])
+_JOINED = 64  # chunks that are encoded together
+_WALK = 1 << 15  # chunks that are completed together
 _SLICE = 1 << 20
+_HELD = 1 << 20  # chunks that are counted together at most
+_CALL = 1024
+_NODES = 1 << 18  # held from slice to slice
+
+
+class _Table:
+    """A hash table from numbers to numbers, both from 0 on."""
+
+    def __init__(self, size: int) -> None:
+        self.held, self.bits = 0, max(4, (2 * size).bit_length())
+        self.key, self.value = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, -1, dtype=np.int32)
+
+    def clear(self) -> None:
+        self.held = 0
+        self.key.fill(-1)
+        self.value.fill(-1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _placed(self, key: np.ndarray) -> np.ndarray:
+        """The slots of keys that weren't held, equal ones in one slot."""
+        slot = self._slot(key)
+        todo = np.arange(len(key))
+        while len(todo):
+            at, k = slot[todo], key[todo]
+            free = self.key[at] < 0
+            self.key[at[free]] = k[free]  # of several keys the last one gets the slot
+            left = np.flatnonzero(self.key[at] != k)
+            todo = todo[left]
+            slot[todo] = (at[left] + 1) & (len(self.key) - 1)
+        return slot
+
+    def add(self, key: np.ndarray, value: np.ndarray) -> None:
+        """Keys that differ and aren't held yet."""
+        self.held += len(key)
+        self.value[self._placed(key)] = value
+
+    def number(self, key: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys' values, and the new ones among them, which get the numbers from start on."""
+        out = self.find(key)
+        new = np.flatnonzero(out < 0)
+        fresh = key[new]
+        if len(new):
+            if 2 * (self.held + len(new)) > len(self.key):
+                used = self.key >= 0
+                k, v = self.key[used], self.value[used]
+                self.__init__(2 * (self.held + len(new)))
+                self.add(k, v)
+            slot, each = self._placed(fresh), np.arange(len(new))
+            self.value[slot] = each
+            owner = self.value[slot]
+            first = owner == each
+            ids = start + np.cumsum(first)[owner] - 1
+            self.value[slot], out[new], fresh = ids, ids, fresh[first]
+            self.held += len(fresh)
+        return out, fresh
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The keys' values; -1 where there is none."""
+        slot = self._slot(key)
+        out, held = self.value[slot].astype(np.int64), self.key[slot]
+        other = np.flatnonzero(held != key)
+        if len(other):
+            out[other] = -1
+            todo = other[held[other] >= 0]
+            while len(todo):
+                slot[todo] = (slot[todo] + 1) & (len(self.key) - 1)
+                held = self.key[slot[todo]]
+                same = held == key[todo]
+                out[todo[same]] = self.value[slot[todo[same]]]
+                todo = todo[~same & (held >= 0)]
+        return out
 
 
 class _Trie:
@@ -64,34 +139,15 @@ class _Trie:
                 s = states.setdefault(s << 21 | ord(c), len(states) + 1)
             self.ends.append(s)
         self.states = len(states) + 1
-        self.bits = max(4, (4 * len(states)).bit_length())
-        self.key, self.value = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, -1, dtype=np.int64)
-        key, value = np.fromiter(states, dtype=np.int64, count=len(states)), np.arange(1, len(states) + 1)
-        slot = self._slot(key)
-        while len(key):
-            free = np.flatnonzero(self.key[slot] < 0)
-            self.key[slot[free]] = key[free]  # of several keys the last one gets the slot
-            placed = self.key[slot] == key
-            self.value[slot[placed]] = value[placed]
-            key, value, slot = key[~placed], value[~placed], (slot[~placed] + 1) & (len(self.key) - 1)
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.next = _Table(2 * len(states))
+        self.begin = np.full(0x110000, -1, dtype=np.int32)  # the states of single characters
+        for w in {w[0] for w in words}:
+            self.begin[ord(w)] = states[ord(w)]
+        self.next.add(np.fromiter(states, dtype=np.int64, count=len(states)), np.arange(1, len(states) + 1))
 
     def child(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The next states; -1 where there is none."""
-        key = (state << 21) | char
-        slot = self._slot(key)
-        out, held = self.value[slot], self.key[slot]
-        todo = np.flatnonzero((held != key) & (held >= 0))
-        out[held != key] = -1
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & (len(self.key) - 1)
-            held = self.key[slot[todo]]
-            same = held == key[todo]
-            out[todo[same]] = self.value[slot[todo[same]]]
-            todo = todo[~same & (held >= 0)]
-        return out
+        return self.next.find((state << 21) | char)
 
 
 class Pieces:
@@ -111,13 +167,11 @@ class Pieces:
         self.trie = _Trie(list(self.place))
         self.piece_of = np.full(self.trie.states, -1, dtype=np.int64)
         self.piece_of[self.trie.ends] = list(self.place.values())
-        # what each piece stands for, one after the other
+        # what each piece stands for
         plain = [b"" if special[i] else self.model.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         for b, i in self.byte.items():
             plain[i] = bytes([b])
-        self.plain = np.frombuffer(b"".join(plain), dtype=np.uint8)
-        self.plain_n = np.array([len(p) for p in plain], dtype=np.int64)
-        self.plain_at = np.cumsum(self.plain_n) - self.plain_n
+        self.plain = pa.array(plain, pa.large_binary())
         self.marked = np.array([not special[i] and self.model.id_to_piece(i).startswith(MARK) for i in range(n)])
         self.special = np.array(special)
 
@@ -136,103 +190,143 @@ def decode(path: str, ids: list[int]) -> str:
     return pieces(path).model.decode([int(i) for i in ids])
 
 
-def chunks(text: str) -> list[str]:
-    return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct chunks of texts, spaces as they are; which of them follow one another; and how many each text has."""
+    if pc.any(pc.match_substring(texts, MARK)).as_py():
+        texts = pc.replace_substring(texts, MARK, " ")
+    data, at = tx.raw(texts)
+    full = at[:-1] < at[1:]
+    data = np.insert(data, at[:-1][full], 0x20)
+    at = at + np.concatenate([[0], np.cumsum(full)])
+    kind = _KIND[data]
+    first = np.ones(len(data) + 1, dtype=bool)
+    first[1:-1] = _PARTS[kind[:-1] * 3 + kind[1:]]
+    first[at] = True
+    begin = np.flatnonzero(first)
+    wide = len(data) >= 1 << 31
+    cut = pa.Array.from_buffers(pa.large_string() if wide else pa.string(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int64 if wide else np.int32)), pa.py_buffer(data)])
+    coded = cut.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.diff(np.searchsorted(begin, at))
 
 
-@dataclass
 class Graph:
-    """Lattices of chunks as arrays over nodes (first edge, number of edges) and over edges.
-
-    A chunk's root is the place of its first character among all chunks' characters."""
-
-    first: np.ndarray
-    degree: np.ndarray
-    piece: np.ndarray
-    next: np.ndarray  # -1 at a chunk's end
-    source: np.ndarray
-    share: np.ndarray  # log-probability among a node's edges
-    upto: np.ndarray  # probability of the node's edges so far, this one included; above 1 for the last
-
-
-def lattices(v: Pieces, log_p: np.ndarray, lens: np.ndarray, chars: np.ndarray) -> Graph:
-    """The lattices of chunks of some lengths, whose characters follow one another."""
-    n, ends = len(chars), np.cumsum(lens)
-    end = np.repeat(ends, lens)
-    at, state, steps = np.arange(n), np.zeros(n, dtype=np.int64), []
-    alone = np.zeros(n, dtype=bool)  # characters that are a piece
-    length = 0
-    while len(at):  # all pieces from all places, a character more each time
-        state = v.trie.child(state, chars[at + length])
-        length += 1
-        at, state = at[state >= 0], state[state >= 0]
-        p = v.piece_of[state]
-        hit = np.flatnonzero(p >= 0)
-        steps.append((at[hit], p[hit], length))
-        if length == 1:
-            alone[at[hit]] = True
-        more = at + length < end[at]
-        at, state = at[more], state[more]
-    degree = np.bincount(np.concatenate([x[0] for x in steps]), minlength=n) + ~alone
-    first = np.cumsum(degree) - degree
-    total_edges = int(degree.sum())
-    piece, target, weight = np.zeros(total_edges, dtype=np.int32), np.zeros(total_edges, dtype=np.int32), np.zeros(total_edges)
-    used = np.zeros(n, dtype=np.int64)
-    for where, p, length in reversed(steps):
-        slot = first[where] + used[where]
-        used[where] += 1
-        piece[slot], weight[slot], target[slot] = p, log_p[p], where + length
-    missing = np.flatnonzero(~alone)
-    chain_first, chain_piece, chain_next = [], [], []
-    for c in np.unique(chars[missing]).tolist():  # such a character is the chain of its bytes
-        where = missing[chars[missing] == c]
-        ids = [v.byte[b] for b in chr(c).encode("utf-8", "surrogatepass")]
-        slot = first[where] + used[where]
-        piece[slot], weight[slot], target[slot] = ids[0], log_p[ids].sum(), where + 1
-        for k, i in enumerate(ids[1:]):
-            chain_first.append(slot if k == 0 else np.full(len(slot), -1))
-            chain_piece.append(np.full(len(slot), i))
-            chain_next.append(np.full(len(slot), len(ids) - 2 - k))
-    total, p = np.zeros(n + 1), np.zeros(total_edges)
-    share = np.zeros(total_edges)
-    order = np.argsort(-lens, kind="stable")
-    by_length, longer = ends[order], np.searchsorted(-lens[order], -np.arange(1, int(lens.max(initial=0)) + 1), side="right")
-    for back, m in enumerate(longer.tolist(), 1):  # the places with `back` characters left
-        node = by_length[:m] - back
-        d = degree[node]
-        e = _spans(first[node], d)
-        begin = np.cumsum(d) - d
-        t = target[e]
-        score = weight[e] + np.where(t < end[node].repeat(d), total[t], 0.0)
-        top = np.maximum.reduceat(score, begin)
-        x = np.exp(score - top.repeat(d))
-        whole = np.add.reduceat(x, begin)
-        total[node] = top + np.log(whole)
-        p[e], share[e] = x / whole.repeat(d), score - total[node].repeat(d)
-    source = np.repeat(np.arange(n, dtype=np.int32), degree)
-    target[target == end[source]] = -1
-    upto = p
-    for k in range(1, int(degree.max(initial=0))):
-        e = first[degree > k] + k
-        upto[e] += upto[e - 1]
-    upto[first + degree - 1] = 2.0
-    if chain_first:
-        # the chain's nodes stand behind the others, in the order of the characters' bytes; a node's edge is its own
-        base, m = n, total_edges
-        more_next = []
-        for slot, left in zip(chain_first, chain_next, strict=True):
-            ids = base + np.arange(len(left))
-            if (slot >= 0).all():
-                goal = target[slot]
-                target[slot] = ids
-            more_next.append(np.where(left > 0, ids + len(left), goal))
-            base += len(left)
-        extra = base - n
-        first, degree = np.concatenate([first, m + np.arange(extra)]), np.concatenate([degree, np.ones(extra, dtype=degree.dtype)])
-        piece, target = np.concatenate([piece, *chain_piece]), np.concatenate([target, *more_next])
-        source = np.concatenate([source, n + np.arange(extra)])
-        share, upto = np.concatenate([share, np.zeros(extra)]), np.concatenate([upto, np.full(extra, 2.0)])
-    return Graph(first, degree, piece.astype(np.int32), target, source, share, upto)
+    """Lattices of chunks as arrays over nodes and edges, kept from slice to slice.
+
+    A node stands for the rest of a chunk, so chunks that end alike share nodes. Node 0 is the end; a node has
+    the number of the node behind its first character and its edges, the longest piece first."""
+
+    NODE = (("char", np.int64), ("rest", np.int64), ("first", np.int64), ("degree", np.int64), ("total", np.float64))
+    # then is the first edge of the next node, or -1; share the log-probability among a node's edges, rival a
+    # bound of the others' shares; chance the probability, above 1 for a node's last edge
+    EDGE = (("piece", np.int32), ("then", np.int32), ("source", np.int32), ("share", np.float64), ("rival", np.float32), ("chance", np.float64))
+
+    def __init__(self, v: Pieces, log_p: np.ndarray) -> None:
+        self.v, self.log_p = v, log_p
+        self._allocate()
+
+    def _allocate(self) -> None:
+        self.nodes, self.edges, self.known = 1, 0, _Table(_NODES)
+        for arrays, n in ((self.NODE, _NODES), (self.EDGE, 3 * _NODES)):
+            for name, kind in arrays:
+                setattr(self, name, np.zeros(n, dtype=kind))
+
+    def clear(self) -> None:
+        if len(self.char) > 2 * _NODES:  # what one long text has taken isn't kept
+            self._allocate()
+        self.nodes, self.edges = 1, 0
+        self.known.clear()
+
+    def _room(self, arrays: tuple, n: int) -> None:
+        for name, kind in arrays:
+            held = getattr(self, name)
+            if len(held) < n:
+                wider = np.zeros(max(n, 2 * len(held)), dtype=kind)
+                wider[: len(held)] = held
+                setattr(self, name, wider)
+
+    def roots(self, lens: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The first edges of chunks of some lengths, whose characters follow one another; nodes not held yet are made."""
+        if self.nodes + len(chars) // 2 > _NODES:
+            self.clear()
+        order = np.argsort(-lens, kind="stable")
+        ends, root, begins = np.cumsum(lens)[order], np.zeros(len(lens), dtype=np.int64), [self.nodes]
+        longer = np.searchsorted(-lens[order], -np.arange(1, int(lens.max(initial=0)) + 1), side="right")
+        for back, m in enumerate(longer.tolist(), 1):  # the places with `back` characters left
+            key = root[:m] << 21 | chars[ends[:m] - back]
+            node, fresh = self.known.number(key, self.nodes)
+            if len(fresh):
+                a, z = self.nodes, self.nodes + len(fresh)
+                self._room(self.NODE, z)
+                self.char[a:z], self.rest[a:z] = fresh & 0x1FFFFF, fresh >> 21
+                self.nodes = z
+                begins.append(z)
+            root[:m] = node
+        if len(begins) > 1:
+            self._connect(begins)
+        out = np.empty_like(root)
+        out[order] = self.first[root]
+        return out
+
+    def _connect(self, begins: list[int]) -> None:
+        """The edges of the last nodes, which begin and end there for each number of characters left."""
+        v, low, e0 = self.v, begins[0], self.edges
+        at = np.arange(low, self.nodes)
+        pos, state, steps = at, at, []
+        while len(at):  # all pieces from all places, a character more each time
+            state = v.trie.child(state, self.char[pos]) if steps else v.trie.begin[self.char[pos]].astype(np.int64)
+            on = np.flatnonzero(state >= 0)
+            at, state, pos = at[on], state[on], self.rest[pos[on]]
+            p = v.piece_of[state]
+            hit = np.flatnonzero(p >= 0)
+            steps.append((at[hit] - low, p[hit], pos[hit]))
+            on = np.flatnonzero(pos)
+            at, state, pos = at[on], state[on], pos[on]
+        alone = np.zeros(self.nodes - low, dtype=bool)  # characters that are a piece
+        alone[steps[0][0]] = True
+        missing = np.flatnonzero(~alone)
+        degree = np.bincount(np.concatenate([x[0] for x in steps]), minlength=len(alone)) + ~alone
+        slot = e0 + np.cumsum(degree)
+        self._room(self.EDGE, int(slot[-1]))
+        self.edges = int(slot[-1])
+        self.first[low : self.nodes], self.degree[low : self.nodes] = slot - degree, degree
+        to = np.zeros(self.edges - e0, dtype=np.int64)  # the next node
+        slot[missing] -= 1  # such a character is the chain of its bytes
+        chains = []
+        for c in np.unique(self.char[low + missing]).tolist():
+            where = missing[self.char[low + missing] == c]
+            ids = [v.byte[b] for b in chr(c).encode("utf-8", "surrogatepass")]
+            self.piece[slot[where]], to[slot[where] - e0] = ids[0], self.rest[low + where]
+            chains.append((slot[where], ids))
+        for where, p, node in steps:
+            slot[where] -= 1
+            x = slot[where]
+            self.piece[x], to[x - e0] = p, node
+        self.source[e0 : self.edges] = np.repeat(np.arange(low, self.nodes), degree)
+        weight = self.log_p[self.piece[e0 : self.edges]]
+        for x, ids in chains:
+            weight[x - e0] = self.log_p[ids].sum()
+        for a, b in zip(begins, begins[1:]):  # noqa: B905
+            x, y = int(self.first[a]), int(self.first[b - 1] + self.degree[b - 1])
+            d, begin = self.degree[a:b], self.first[a:b] - x
+            score = weight[x - e0 : y - e0] + self.total[to[x - e0 : y - e0]]
+            top = np.maximum.reduceat(score, begin)
+            odds = np.exp(score - top.repeat(d))
+            whole = np.add.reduceat(odds, begin)
+            self.total[a:b] = top + np.log(whole)
+            self.chance[x:y], self.share[x:y] = odds / whole.repeat(d), score - self.total[a:b].repeat(d)
+        self.rival[e0 : self.edges] = np.log((1.0 - np.minimum(self.chance[e0 : self.edges], 1.0) + 1e-15).astype(np.float32)) + np.float32(1e-4)
+        self.chance[self.first[low : self.nodes] + degree - 1] = 2.0
+        self.then[e0 : self.edges] = np.where(to > 0, self.first[to], -1)
+        for x, ids in chains:  # nodes of one edge each
+            for i in ids[1:]:
+                n, m = self.nodes, self.edges
+                self._room(self.NODE, n + len(x))
+                self._room(self.EDGE, m + len(x))
+                node, edge = np.arange(n, n + len(x)), np.arange(m, m + len(x))
+                self.first[node], self.degree[node] = edge, 1
+                self.piece[edge], self.then[edge], self.source[edge], self.share[edge], self.rival[edge], self.chance[edge] = i, self.then[x], node, 0.0, -np.inf, 2.0
+                self.then[x], x = edge, edge
+                self.nodes, self.edges = n + len(x), m + len(x)
 
 
 _DEPTH, _SAMPLE, _ALL = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, (1 << 64) - 1
@@ -240,31 +334,37 @@ _MOST = 38.0  # no exponential variate of a 53-bit number is below e**-38
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+    u = (h >> np.uint64(11)).astype(np.float64)
+    u *= 2.0**-53
+    u += 2.0**-54
+    return u
 
 
-def _walk(g: Graph, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A random completion of the chunk from each node: edges one after the other, and their numbers."""
-    lens = np.zeros(len(node), dtype=np.int64)
-    act, v, picks = np.arange(len(node)), node, []
+def _walk(g: Graph, e: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A random completion of the chunk from each node, given by its first edge: edges one after the other, and their numbers."""
+    lens = np.ones(len(e), dtype=np.int64)
+    act, picks = np.arange(len(e)), []
     while len(act):
-        e = g.first[v]
-        many = np.flatnonzero(g.degree[v] > 1)
-        if len(many):
-            u = _uniform(tx.mix(seed[act[many]] + np.uint64(_DEPTH * (len(picks) + 1) & _ALL)))
-            at, todo = e[many], np.arange(len(many))
-            while len(todo):
-                todo = todo[u[todo] >= g.upto[at[todo]]]
-                at[todo] += 1
-            e[many] = at
+        u = _uniform(tx.mix(seed + np.uint64(_DEPTH * (len(picks) + 1) & _ALL)))
+        u -= g.chance.take(e)
+        todo = np.flatnonzero(u >= 0)
+        at, u = e[todo], u[todo]
+        while len(todo):
+            at += 1
+            u -= g.chance.take(at)
+            e[todo] = at
+            on = np.flatnonzero(u >= 0)
+            todo, at, u = todo[on], at[on], u[on]
         picks.append((act, e))
+        then = g.then.take(e)
+        on = np.flatnonzero(then >= 0)
+        act, e, seed = act[on], then[on], seed[on]
         lens[act] += 1
-        v = g.next[e]
-        more = v >= 0
-        act, v = act[more], v[more]
-    out, begin = np.empty(int(lens.sum()), dtype=np.int32), np.cumsum(lens) - lens
+    begin = np.cumsum(lens)
+    out = np.empty(int(begin[-1]) if len(begin) else 0, dtype=np.int64)
+    begin -= lens
     for depth, (act, e) in enumerate(picks):
-        out[begin[act] + depth] = e
+        out[begin[act] + depth if depth else begin] = e
     return out, lens
 
 
@@ -280,7 +380,7 @@ class _Open:
     def __init__(self, n: int, k: int) -> None:
         self.score = np.full((n, k), -np.inf)
         self.phi = np.zeros((n, k))
-        self.at = {name: np.zeros((n, k), dtype=np.int64) for name in ("step", "chunk", "edge", "of")}
+        self.at = {name: np.zeros((n, k), dtype=np.int64) for name in ("step", "edge", "of")}
 
     def offer(self, text: np.ndarray, score: np.ndarray, phi: np.ndarray, **at: np.ndarray) -> None:
         k = self.score.shape[1]
@@ -298,7 +398,7 @@ class _Open:
                 self.at[name][text[x], low] = values[x] if isinstance(values, np.ndarray) else values
 
 
-def _expand(g: Graph, path: np.ndarray, begin: np.ndarray, end: np.ndarray, perturbed: np.ndarray, keys: np.ndarray, sample: int, texts: np.ndarray, step: np.ndarray, phi: np.ndarray, chunk: np.ndarray, queue: _Open) -> None:
+def _expand(g: Graph, path: np.ndarray, share: np.ndarray, begin: np.ndarray, end: np.ndarray, perturbed: np.ndarray, keys: np.ndarray, sample: int, texts: np.ndarray, step: np.ndarray, phi: np.ndarray, queue: _Open) -> None:
     """Offers the branches that leave the paths of some texts from a step on.
 
     A branch's score is a Gumbel variate around its log-probability, cut at its path's own score. It
@@ -307,33 +407,39 @@ def _expand(g: Graph, path: np.ndarray, begin: np.ndarray, end: np.ndarray, pert
     while len(texts):
         width = max(16, min(width, (1 << 19) // len(texts)))
         least = queue.score.min(1)
-        idx = begin[texts][:, None] + step[:, None] + np.arange(width)
+        idx = (begin[texts] + step)[:, None] + np.arange(width)
         ok = idx < end[texts][:, None]
-        e = path[np.minimum(idx, len(path) - 1)]
-        over = ok & (g.next[e] < 0)
-        after = np.cumsum(np.concatenate([phi[:, None], np.where(ok, g.share[e], 0.0)], axis=1), axis=1)
-        done = np.cumsum(over, axis=1)
-        v = g.source[e]
-        row, col = np.nonzero(ok & (g.degree[v] > 1))
-        node, taken = v[row, col], e[row, col]
-        count = g.degree[node].astype(np.int64)
+        np.minimum(idx, len(path) - 1, out=idx)
+        e = path[idx]
+        after = np.cumsum(np.concatenate([phi[:, None], np.where(ok, share[idx], 0.0)], axis=1), axis=1)
+        row, col = np.nonzero(ok & (after[:, :-1] + g.rival[e] + _MOST > least[texts][:, None]))
+        taken = e[row, col]
+        node, before, place = g.source[taken], after[row, col], step[row] + col
+        text, count = texts[row], g.degree[node]
         which = np.repeat(np.arange(len(row)), count)
-        slot = _spans(np.zeros(len(count), dtype=np.int64), count)
-        edge = g.first[node][which] + slot
-        text = texts[row[which]]
-        f = after[row, col][which] + g.share[edge]
-        keep = np.flatnonzero((edge != taken[which]) & (f + _MOST > least[text]))
-        which, slot, edge, text, f = which[keep], slot[keep], edge[keep], text[keep], f[keep]
-        place = step[row[which]] + col[which]
-        noise = tx.mix(keys[text] ^ tx.mix((place.astype(np.uint64) << np.uint64(20)) + np.uint64((sample + 1) << 12) + slot.astype(np.uint64)))
-        score = f - np.log(np.exp(f - perturbed[text]) - np.log(_uniform(noise)))
+        edge = _spans(g.first[node], count)
+        f = before[which] + g.share[edge]
+        keep = np.flatnonzero((edge != taken[which]) & (f + _MOST > least[text][which]))
+        which, edge, f = which[keep], edge[keep], f[keep]
+        slot = (edge - g.first[node][which]).astype(np.uint64)
+        noise = tx.mix(keys[text][which] ^ tx.mix(((place.astype(np.uint64) << np.uint64(20)) + np.uint64((sample + 1) << 12))[which] + slot))
+        u = _uniform(noise)
+        # a score above the least needs -log(u), which is 1 - u at least, below exp(f - least)
+        keep = np.flatnonzero(1.0 - u < 1.000001 * np.exp(np.minimum(f - least[text][which], 1.0)))
+        which, edge, f, u = which[keep], edge[keep], f[keep], u[keep]
+        text = text[which]
+        score = f - np.log(np.exp(f - perturbed[text]) - np.log(u))
         keep = np.flatnonzero(score > least[text])
         if len(keep):
-            which = which[keep]
-            queue.offer(text[keep], score[keep], f[keep], step=place[keep], chunk=chunk[row[which]] + (done - over)[row[which], col[which]], edge=edge[keep].astype(np.int64), of=sample)
-        step, phi, chunk = step + width, after[:, -1], chunk + done[:, -1]
+            queue.offer(text[keep], score[keep], f[keep], step=place[which[keep]], edge=edge[keep], of=sample)
+        step, phi = step + width, after[:, -1]
         on = np.flatnonzero((begin[texts] + step < end[texts]) & (phi + _MOST > queue.score[texts].min(1)))
-        texts, step, phi, chunk, width = texts[on], step[on], phi[on], chunk[on], 2 * width
+        texts, step, phi, width = texts[on], step[on], phi[on], width + 48
+
+
+def _walks(g: Graph, first: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = [_walk(g, first[i : i + _WALK].copy(), tx.mix(seed[i : i + _WALK])) for i in range(0, max(1, len(first)), _WALK)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 @dataclass
@@ -358,86 +464,111 @@ def search(g: Graph, roots: np.ndarray, per: np.ndarray, keys: np.ndarray, k: in
     place = tx.mix(keys[of] ^ tx.mix((np.arange(len(roots)) - begin_chunk[of] + 1).astype(np.uint64)))
     queue = _Open(n, k)
     out: list[Sample] = []
-    paths: list[tuple[np.ndarray, np.ndarray]] = []
+    # of each sample: edges, where texts begin, and where the chunks begin that it drew; a text's first of these, and its number in the text
+    paths: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     for s in range(k):
         seed = np.uint64(_SAMPLE * (s + 1) & _ALL)
-        parts = [_walk(g, roots[i : i + _WALK], tx.mix(place[i : i + _WALK] ^ seed)) for i in range(0, len(roots), _WALK)] or [(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))]
-        fresh = np.concatenate([p[0] for p in parts])
-        fresh_at = np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
         if s == 0:
-            texts, path, at = np.arange(n), fresh, fresh_at[np.append(begin_chunk, len(roots))]
+            path, lens = _walks(g, roots, place ^ seed)
+            heads, head, nth = np.concatenate([[0], np.cumsum(lens)]), begin_chunk, np.zeros(n, dtype=np.int64)
+            texts, at = np.arange(n), heads[np.append(begin_chunk, len(roots))]
             perturbed = -np.log(-np.log(_uniform(tx.mix(keys ^ np.uint64(0xA0761D6478BD642F)))))
-            from_step, phi, chunk = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n, dtype=np.int64)
+            from_step, phi = np.zeros(n, dtype=np.int64), np.zeros(n)
         else:
             best = queue.score.argmax(1)
             perturbed = queue.score[np.arange(n), best]
             texts = np.flatnonzero(perturbed > -np.inf)
             best = best[texts]
-            step, chunk, edge, source = (queue.at[name][texts, best] for name in ("step", "chunk", "edge", "of"))
+            step, edge, source = (queue.at[name][texts, best] for name in ("step", "edge", "of"))
             phi = queue.phi[texts, best]
             queue.score[texts, best] = -np.inf
+            chunk = np.zeros(len(texts), dtype=np.int64)
+            for src in range(s):
+                x = np.flatnonzero(source == src)
+                _, at, heads, head, nth = paths[src]
+                behind = np.searchsorted(heads, at[texts[x]] + step[x], side="right") - 1 - head[texts[x]]
+                chunk[x] = nth[texts[x]] + np.maximum(behind, -1)
             # the rest of the branch's chunk, and of the text
-            going = np.flatnonzero(g.next[edge] >= 0)
-            inner, inner_n = _walk(g, g.next[edge[going]], tx.mix(keys[texts[going]] ^ tx.mix(step[going].astype(np.uint64) + (seed >> np.uint64(1)))))
+            going = np.flatnonzero(g.then[edge] >= 0)
+            inner, inner_n = _walk(g, g.then[edge[going]], tx.mix(keys[texts[going]] ^ tx.mix(step[going].astype(np.uint64) + (seed >> np.uint64(1)))))
             mid = np.zeros(len(texts), dtype=np.int64)
             mid[going] = inner_n
-            tail = fresh_at[begin_chunk[texts] + chunk + 1]
-            tail_n = fresh_at[begin_chunk[texts] + per[texts]] - tail
-            length = np.zeros(n, dtype=np.int64)
-            length[texts] = step + 1 + mid + tail_n
+            behind = per[texts] - chunk - 1
+            first = np.cumsum(behind) - behind
+            x = _spans(begin_chunk[texts] + chunk + 1, behind)
+            fresh, lens = _walks(g, roots[x], place[x] ^ seed)
+            fresh_at = np.concatenate([[0], np.cumsum(lens)])
+            tail = fresh_at[first]
+            tail_n = fresh_at[first + behind] - tail
+            length, head, nth = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+            length[texts], head[texts], nth[texts] = step + 1 + mid + tail_n, first, chunk + 1
             at = np.concatenate([[0], np.cumsum(length)])
             to = at[texts]
-            path = np.empty(at[-1], dtype=np.int32)
+            heads = fresh_at[:-1] + np.repeat(to + step + 1 + mid - tail, behind)
+            path = np.empty(at[-1], dtype=np.int64)
             for src in range(s):
                 x = np.flatnonzero(source == src)
                 path[_spans(to[x], step[x])] = paths[src][0][_spans(paths[src][1][texts[x]], step[x])]
             path[to + step] = edge
             path[_spans(to + step + 1, mid)] = inner
-            path[_spans(to + step + 1 + mid, tail_n)] = fresh[_spans(tail, tail_n)]
-            from_step, chunk = step + 1, chunk + (g.next[edge] < 0)
-        paths.append((path, at))
+            path[_spans(to + step + 1 + mid, tail_n)] = fresh
+            from_step = step + 1
+        paths.append((path, at, heads, head, nth))
         full = at[:-1][texts] < at[1:][texts]
-        log_prob = np.zeros(len(texts))
+        log_prob, share = np.zeros(len(texts)), g.share[path]
         if full.any():
-            log_prob[full] = np.add.reduceat(g.share[path], at[:-1][texts[full]])
+            log_prob[full] = np.add.reduceat(share, at[:-1][texts[full]])
         out.append(Sample(texts, g.piece[path], at, log_prob, perturbed[texts]))
         some = np.flatnonzero(full)
-        _expand(g, path, at[:-1], at[1:], perturbed, keys, s, texts[some], from_step[some], phi[some], chunk[some], queue)
+        _expand(g, path, share, at[:-1], at[1:], perturbed, keys, s, texts[some], from_step[some], phi[some], queue)
     return out, queue.score.max(1)
 
 
-def sampled(texts: list[str], keys: np.ndarray, v: Pieces, log_p: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def sampled(texts: pa.Array | list[str], keys: np.ndarray, v: Pieces, log_p: np.ndarray, k: int, graph: Graph | None = None) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each sample: its texts, its number, the pieces and where each text's begin, log_prob, perturbed and inclusion."""
-    split = [chunks(t) for t in texts]
-    flat = list(chain.from_iterable(split))
-    known = dict(zip(dict.fromkeys(flat), count()))  # noqa: B905
-    lens = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
-    graph = lattices(v, log_p, lens, np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64))
-    roots = (np.cumsum(lens) - lens)[np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))]
-    found, left = search(graph, roots, np.fromiter(map(len, split), dtype=np.int64, count=len(split)), keys, k)
+    graph = graph or Graph(v, log_p)
+    distinct, which, per = chunks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    chars = np.frombuffer(tx.raw(distinct)[0].tobytes().decode().encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    chars[chars == 0x20] = ord(MARK)
+    roots = graph.roots(pc.utf8_length(distinct).to_numpy().astype(np.int64), chars)[which]
+    found, left = search(graph, roots, per, keys, k)
     for s, x in enumerate(found):
         with np.errstate(over="ignore"):
             inclusion = np.where(left[x.texts] > -np.inf, -np.expm1(-np.exp(np.minimum(x.log_prob - left[x.texts], 50.0))), 1.0)
         yield x.texts, s, x.pieces, np.append(x.at[:-1][x.texts], x.at[-1]), x.log_prob, x.perturbed, inclusion
 
 
+def _own_counts(v: Pieces, distinct: pa.Array, times: np.ndarray) -> np.ndarray:
+    """How often each piece is in the vocabulary's own encoding of chunks that occur some times; equal times are encoded together."""
+    order = np.argsort(times, kind="stable")
+    values, begin = np.unique(times[order], return_index=True)
+    groups = [(c, i, min(i + _JOINED, z)) for c, a, z in zip(values.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True) for i in range(a, z, _JOINED)]
+    # behind a line end a chunk has no mark put before it; the first id is that of the mark
+    held, at = tx.raw(pc.binary_join_element_wise(*(pa.scalar(x, distinct.type) if isinstance(x, str) else x for x in ("", distinct.take(pa.array(order)), "\n"))))
+    n = np.zeros(v.size, dtype=np.int64)
+    for i in range(0, len(groups), _CALL):
+        part = groups[i : i + _CALL]
+        ids = v.model.encode([held[at[a] : at[z]].tobytes().decode() for _, a, z in part], num_threads=1)
+        lens = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) - 1
+        flat = np.fromiter(chain.from_iterable(x[1:] for x in ids), dtype=np.int64, count=int(lens.sum()))
+        n += np.bincount(flat, np.repeat([float(c) for c, *_ in part], lens), v.size).astype(np.int64)
+    n[v.byte[0x0A]] -= int(times.sum())
+    return n
+
+
 def _counting(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(path)
         n = np.zeros(v.size, dtype=np.int64)
-        known: dict[str, list[int]] = {}
-        for b in tx.slices(batches, limit=_SLICE):
-            held = Counter(chain.from_iterable(chunks(t) for t in b["text"].to_pylist()))
-            if len(known) > _CACHE_CHUNKS:
-                known.clear()
-            new = [c for c in held if c not in known]
-            # behind a line end a chunk has no mark put before it; the first two ids are that of the mark and the line end
-            known.update(zip(new, (ids[2:] for ids in v.model.encode(["\n" + c for c in new], num_threads=1)), strict=True))
-            ids = [known[c] for c in held]
-            lens = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(lens.sum()))
-            times = np.repeat(np.fromiter(held.values(), dtype=np.int64, count=len(held)), lens)
-            np.add.at(n, flat, times)
+        held: list[pa.Table] = []
+        for b in chain(tx.slices(batches, limit=_SLICE), [None]):
+            if b is not None:
+                distinct, which, _ = chunks(b["text"])
+                held.append(pa.table({"chunk": distinct.cast(pa.large_string()), "times": np.bincount(which, minlength=len(distinct))}))
+            if held and (b is None or sum(map(len, held)) > _HELD or sum(t.nbytes for t in held) > _HELD << 5):
+                all_of = pa.concat_tables(held).group_by("chunk", use_threads=False).aggregate([("times", "sum")])
+                n += _own_counts(v, all_of["chunk"].combine_chunks(), all_of["times_sum"].to_numpy())
+                held = []
         found = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n[found])], ["piece", "n"])
 
@@ -464,9 +595,10 @@ def sample_segmentations(rows: DataFrame, keys: list[str], path: str, k: int = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, p = pieces(path), np.array(log_p)
+        graph = Graph(v, p)
         for b in tx.slices(batches, limit=_SLICE):
             seeds = tx.mix(b["seed"].to_numpy().view(np.uint64))
-            for texts, s, ids, at, log_prob, perturbed, inclusion in sampled(b["text"].to_pylist(), seeds, v, p, k):
+            for texts, s, ids, at, log_prob, perturbed, inclusion in sampled(b["text"], seeds, v, p, k, graph):
                 packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * at).astype("<i4")), pa.py_buffer(ids.astype("<u4"))])
                 which = b["key"].take(pa.array(texts))
                 yield pa.RecordBatch.from_arrays([which, pa.array(np.full(len(texts), s, dtype=np.int32)), packed, *(pa.array(x) for x in (log_prob, perturbed, inclusion))], ["key", *names])
@@ -481,17 +613,17 @@ def texts_of(path: str, ids: pa.BinaryArray) -> pa.Array:
     Ids that don't begin with a mark, hold special ones or make no UTF-8 are left to the model."""
     v = pieces(path)
     data, at = tx.raw(ids.fill_null(b""))
-    flat, at = np.frombuffer(data.tobytes(), "<u4"), at // 4
-    n = v.plain_n[flat]
-    raw = v.plain[_spans(v.plain_at[flat], n)].tobytes()
-    ends = np.concatenate([[0], np.cumsum(n)])[at]
+    flat, at = np.frombuffer(data.tobytes(), "<u4").astype(np.int64), at // 4
     full = at[:-1] < at[1:]
-    odd = tx.per_text(v.special[flat], at) > 0
+    odd = np.zeros(len(ids), dtype=bool)
+    if (special := v.special[flat]).any():
+        odd = tx.per_text(special, at) > 0
     odd[full] |= ~v.marked[flat[at[:-1][full]]]
-    plain = [raw[a:z] for a, z in zip((ends[:-1] + full).tolist(), ends[1:].tolist(), strict=True)]
     if not odd.any():
+        raw, ends = tx.raw(v.plain.take(pa.array(flat)))
+        whole = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[at]), pa.py_buffer(raw)])
         with contextlib.suppress(pa.ArrowInvalid):
-            return pa.array(plain, pa.binary()).cast(pa.string())
+            return pc.binary_replace_slice(whole, 0, 1, b"").cast(pa.binary()).cast(pa.string())
     return pa.array([v.model.decode(flat[a:z].tolist()) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
 
 

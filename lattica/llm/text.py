@@ -33,9 +33,12 @@ LOWER[0x41:0x5B] += 0x20
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser with full avalanche."""
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _M2
+    x ^= x >> np.uint64(27)
+    x *= _M3
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: np.uint64 = np.uint64(0)) -> np.ndarray:

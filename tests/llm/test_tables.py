@@ -252,6 +252,28 @@ def test_segmentations_follow_their_distribution():
                 assert abs(pairs[a, b] / n - w) < 5 * math.sqrt(w / n) + 1e-4
 
 
+def test_lattices_are_kept_and_shared_by_chunks_that_end_alike(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    v = segment.pieces(P.path("piece_bpe_32k.model"))
+    log_p = np.random.default_rng(5).uniform(-9, -1, v.size)
+    slices = [["other mother", "", None], ["smother \u2581 other\n\nx\u2167\U0001f600 ", "other\u2167"], ["", ""], ["other mother", "a\x00b", "mother\n smother"]]
+
+    def found(graph):
+        return [[(w.tolist(), s, ids.tolist(), at.tolist(), *(x.tolist() for x in rest)) for w, s, ids, at, *rest in segment.sampled(texts, segment.tx.mix(np.arange(len(texts), dtype=np.uint64)), v, log_p, 4, graph() if callable(graph) else graph)] for texts in slices]
+
+    alone = found(lambda: segment.Graph(v, log_p))
+    kept = segment.Graph(v, log_p)
+    assert found(kept) == alone
+    held = kept.nodes, kept.edges
+    assert found(kept) == alone and (kept.nodes, kept.edges) == held  # nothing is built again
+    one = segment.Graph(v, log_p)
+    chunks = ["\u2581other", "\u2581mother", "\u2581smother"]
+    one.roots(np.array([len(c) for c in chunks]), np.array([ord(c) for c in "".join(chunks)]))
+    assert one.nodes == 1 + len({c[i:] for c in chunks for i in range(len(c))})
+    monkeypatch.setattr(segment, "_NODES", 16)  # cleared and grown all the time
+    assert found(segment.Graph(v, log_p)) == alone
+
+
 def test_long_texts_are_segmented_whole():
     P = pytest.importorskip("public_tokenizers")
     path = P.path("piece_bpe_32k.model")
