@@ -72,6 +72,13 @@ class _Table:
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def _room(self, n: int) -> None:
+        if 2 * (self.held + n) > len(self.key):
+            used = self.key >= 0
+            key, value = self.key[used], self.value[used]
+            self.__init__(2 * (self.held + n))
+            self.add(key, value)
+
     def _placed(self, key: np.ndarray) -> np.ndarray:
         """The slots of keys that weren't held, equal ones in one slot."""
         slot = self._slot(key)
@@ -87,6 +94,7 @@ class _Table:
 
     def add(self, key: np.ndarray, value: np.ndarray) -> None:
         """Keys that differ and aren't held yet."""
+        self._room(len(key))
         self.held += len(key)
         self.value[self._placed(key)] = value
 
@@ -96,11 +104,7 @@ class _Table:
         new = np.flatnonzero(out < 0)
         fresh = key[new]
         if len(new):
-            if 2 * (self.held + len(new)) > len(self.key):
-                used = self.key >= 0
-                k, v = self.key[used], self.value[used]
-                self.__init__(2 * (self.held + len(new)))
-                self.add(k, v)
+            self._room(len(new))
             slot, each = self._placed(fresh), np.arange(len(new))
             self.value[slot] = each
             owner = self.value[slot]
@@ -261,6 +265,16 @@ class Graph:
                 self.nodes = z
                 begins.append(z)
             root[:m] = node
+            if m == 1 and len(fresh) and back < len(longer):  # what stands before a new node of the longest chunk is new too
+                ids = np.arange(self.nodes, self.nodes + len(longer) - back)
+                key = np.append(node, ids[:-1]) << 21 | chars[ends[0] - len(longer) : ends[0] - back][::-1]
+                self.known.add(key, ids)
+                self._room(self.NODE, self.nodes + len(ids))
+                self.char[ids], self.rest[ids] = key & 0x1FFFFF, key >> 21
+                self.nodes += len(ids)
+                begins += (ids + 1).tolist()
+                root[0] = ids[-1]
+                break
         if len(begins) > 1:
             self._connect(begins)
         out = np.empty_like(root)
@@ -345,8 +359,11 @@ def _walk(g: Graph, e: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.nda
     lens = np.ones(len(e), dtype=np.int64)
     act, picks = np.arange(len(e)), []
     while len(act):
-        u = _uniform(tx.mix(seed + np.uint64(_DEPTH * (len(picks) + 1) & _ALL)))
-        u -= g.chance.take(e)
+        u = g.chance.take(e)
+        if (u < 1).any():
+            u = _uniform(tx.mix(seed + np.uint64(_DEPTH * (len(picks) + 1) & _ALL))) - u
+        else:  # one edge each
+            u = -u
         todo = np.flatnonzero(u >= 0)
         at, u = e[todo], u[todo]
         while len(todo):
