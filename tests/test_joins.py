@@ -80,3 +80,21 @@ def test_siblings_are_paired_by_as_many_tasks_as_pairs_need(spark):
     n = got.agg(F.count("*").alias("n"), F.countDistinct("source_id", "target_id").alias("d"), F.countDistinct("task").alias("t")).first()
     assert (n["n"], n["d"]) == (1200 * 1199 + 300, 1200 * 1199 + 300) and n["t"] > 1
     assert got.where("source_id < 1200").select("task").distinct().count() == 2  # 1,440,000 pairs of one directory
+
+
+def test_naming_pairs_are_made_once_and_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(infer, "MEMBERS", 4, raising=False)
+    monkeypatch.setattr(infer, "RUN", 40, raising=False)
+    r = random.Random(2)
+    rows = [(n, r.choice([0, 1, 2, None]), r.sample(["user", "order", "", "cart", None], r.randint(0, 3))) for n in [*range(70), *range(10), None, None]]  # some in two tiers
+    files = spark.createDataFrame(rows, "node_id long, tier int, tokens array<string>")
+    want = {}
+    for a, s, x in rows:
+        for b, t, y in rows:
+            if s is not None and t is not None and s < t and (both := {*x} & {*y} - {None}):
+                want.setdefault((a, b), set()).update(both)
+    got = infer.naming_edges(files)
+    made = [tuple(p) for p in got.collect()]
+    assert sorted(made, key=str) == sorted(((a, b, sorted(w)) for (a, b), w in want.items()), key=str)
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert "Aggregate" not in above and "Repartition" not in above
