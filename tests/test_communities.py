@@ -68,3 +68,28 @@ def test_a_bucket_beyond_a_worker_keeps_the_contract(spark):
     assert len({r["cluster_id"] for r in leaves if r["node_id"] < 36}) == 4
     chunks = cluster.split_buckets(buckets, edges.where("false"), 9, worker=20).where("is_leaf").groupBy("cluster_id").agg(F.count("*").alias("n")).collect()
     assert sum(r["n"] for r in chunks) == 43 and max(r["n"] for r in chunks) <= 9
+
+
+def test_slices_and_blocks_give_what_joins_give(spark, monkeypatch):
+    r = random.Random(5)
+    nodes = [f"n{i}" for i in range(300)]
+    links = [(f"n{a}", f"n{b}", float(r.randint(1, 4))) for a, b in ((r.randrange(300), (r.randrange(10) * 30) + r.randrange(300) % 30) for _ in range(1200))]
+    links += [(f"n{i}", f"n{i // 30 * 30}", 6.0) for i in range(300)] + [("n3", "n3", 2.0), ("n1", "n2", 0.0)]  # pairs repeat, some are loops
+    v = spark.createDataFrame([(n,) for n in nodes], "node string")
+    e = spark.createDataFrame(links, "a string, b string, w double")
+    start = spark.createDataFrame([(n, f"s{i % 7}") for i, n in enumerate(nodes)], "node string, community string")
+    tags, kept = [], communities.written
+    monkeypatch.setattr(communities, "written", lambda df, tag: tags.append(tag) or kept(df, tag))
+    reached = []
+    for block in (1000, 70):
+        monkeypatch.setattr(communities, "BLOCK", block)
+        monkeypatch.setattr(communities, "LEAST_SLICE", 100)
+        tags.clear()
+        found, q, known = communities.compared(v, e, start=start)
+        assert tags.count("wanted") < 9  # rounds of the first level; one worker holds the rest
+        assert sorted(x["node"] for x in found.collect()) == sorted(nodes)
+        assert abs(q - communities.modularity(e, found)) < 1e-9 and abs(known - communities.modularity(e, start)) < 1e-9
+        reached.append(q)
+    assert abs(reached[0] - reached[1]) < 1e-9 and reached[0] > 0.3
+    monkeypatch.setattr(communities, "WORKER", 0)
+    assert communities.compared(v, e, start=start)[1] > 0.9 * reached[0]
