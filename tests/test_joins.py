@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lattica.operators import cluster, infer, joins, resolve
+from lattica.plans import registry
 from lattica.sources import code
 
 
@@ -98,3 +99,12 @@ def test_naming_pairs_are_made_once_and_not_shuffled(spark, monkeypatch):
     assert sorted(made, key=str) == sorted(((a, b, sorted(w)) for (a, b), w in want.items()), key=str)
     above = got._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
     assert "Aggregate" not in above and "Repartition" not in above
+
+
+def test_naming_pairs_query_shows_words_before_pairs_are_written_out(spark, tmp_path):
+    parts = [(i, f"{a} {b}", f"{t} X") for i, (a, b, t) in enumerate([("red", "ring", "ECONOMY"), ("red", "bolt", "LARGE"), ("ring", "red", "SMALL"), ("red", "red", "LARGE")])]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").selectExpr("*", "'b' as p_brand", "1 as p_size", "1.0 as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.load()[0]["naming_pairs"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(0, 1, "red"), (0, 2, "red,ring"), (0, 3, "red"), (1, 2, "red"), (3, 2, "red")}
+    above, below = got._jdf.queryExecution().optimizedPlan().toString().split("Join Inner", 1)
+    assert "Aggregate" not in above and above.count("Generate explode") == 2 and "array_join" in above.split("Generate explode")[-1]
