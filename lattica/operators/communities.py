@@ -33,6 +33,7 @@ LEAST_SLICE = 1 << 16  # fewer rows than the workers' cores are made of no small
 NAMES = 32 << 20  # characters of names that are broadcast
 WORKER = 200_000  # nodes and links of a smaller graph that one worker searches
 GATHERED = 1 << 20  # rows that a task packs at once
+TREE = 1 << 22  # nodes whose parts a task holds at once
 ROW = "x long, y long, a binary, b binary, w binary"
 WANTED = "node long, home long, to long, k double, gain double"
 
@@ -74,7 +75,7 @@ def _summed(key: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _slices(at: DataFrame, n: int, links: int) -> DataFrame:
-    """x, y, a, b, w: the links of the x-th range of nodes with the y-th block of nodes, in both directions, without loops; written."""
+    """x, y, a, b, w: the links of the x-th range of nodes with the y-th block of nodes, in both directions, each pair once, without loops; written."""
     each = min(SLICE, max(LEAST_SLICE, links // (2 * at.sparkSession.sparkContext.defaultParallelism)))
     width, block = max(1, -(-n * each // max(1, 2 * links))), BLOCK
     across = -(-n // width)
@@ -91,9 +92,9 @@ def _slices(at: DataFrame, n: int, links: int) -> DataFrame:
                 yield _rows(ROW, [(int(cell[i]) % across, int(cell[i]) // across, a[i:j], b[i:j], w[i:j])])
 
     def join(t: pa.Table) -> pa.Table:
-        a, b, w = _arrays(t, "a", "i8"), _arrays(t, "b", "i8"), _arrays(t, "w", "f8")
-        order = _order(a - a.min(), width)
-        return pa.Table.from_batches([_rows(ROW, [(t["x"][0].as_py(), t["y"][0].as_py(), a[order], b[order], w[order])])])
+        low = t["x"][0].as_py() * width
+        key, w, _ = _summed((_arrays(t, "a", "i8") - low) * n + _arrays(t, "b", "i8"), _arrays(t, "w", "f8"))
+        return pa.Table.from_batches([_rows(ROW, [(t["x"][0].as_py(), t["y"][0].as_py(), key // n + low, key % n, w)])])
 
     tasks = max(int(at.sparkSession.conf.get("spark.sql.shuffle.partitions")), across)
     parts = at.where("a <> b").select("a", "b", "w").mapInArrow(pack, ROW)
@@ -218,10 +219,18 @@ def _numbered(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def _degrees(at: DataFrame) -> DataFrame:
+def _degrees(at: DataFrame, slices: DataFrame) -> DataFrame:
     """node, k: the weights of each node's links, those to itself twice."""
-    ends = at.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).unionByName(at.groupBy(F.col("b").alias("node")).agg(F.sum("w").alias("k")))
-    return ends.groupBy("node").agg(F.sum("k").alias("k"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                t = pa.Table.from_batches([batch.slice(i, 1)])
+                node, k, _ = _summed(_arrays(t, "a", "i8"), _arrays(t, "w", "f8"))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(k)], ["node", "k"])
+
+    loops = at.where("a = b").select(F.col("a").alias("node"), (2 * F.col("w")).alias("k"))
+    return slices.select("a", "w").mapInArrow(sums, "node long, k double").unionByName(loops).groupBy("node").agg(F.sum("k").alias("k"))
 
 
 def _placed(at: DataFrame, label: DataFrame, n: int) -> DataFrame:
@@ -255,7 +264,8 @@ def _searched(at: DataFrame, degree: DataFrame, slices: DataFrame, n: int, links
             found = written(every.join(_by_one(at, resolution), "node", "left").select("node", F.coalesce("community", "node").alias("community")), "label")
             return names.join(found.toDF("group", "community"), "group").select("id", F.col("community").alias("group"))
         if level > 1:
-            degree, slices = _degrees(at), _slices(at, n, links)
+            slices = _slices(at, n, links)
+            degree = _degrees(at, slices)
         label = written(label.join(degree, "node", "left").na.fill(0.0, ["k"]), "label")
         ever = False
         while True:
@@ -294,15 +304,20 @@ def _inner(at: DataFrame, slices: DataFrame, found: DataFrame, n: int) -> DataFr
     """a, b: links with the same components as those between nodes of one community; found: id, group."""
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = b = np.zeros(0, "i8")
         for t in _gathered(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _tree(t["a"].to_numpy(), t["b"].to_numpy())], ["a", "b"])
+            if len(a) > TREE:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                a = b = a[:0]
+            a, b = _tree(np.r_[a, t["a"].to_numpy()], np.r_[b, t["b"].to_numpy()])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 t = pa.Table.from_batches([batch.slice(i, 1)])
                 a, b, c = (_arrays(t, x, "i8") for x in "abc")
-                same = c[a] == c[b]
+                same = (a < b) & (c[a] == c[b])
                 a, b = _tree(a[same], b[same])
                 yield pa.RecordBatch.from_arrays([pa.array(c[a]), pa.array(a), pa.array(b)], ["x", "a", "b"])
 
@@ -324,7 +339,7 @@ def compared(nodes: DataFrame, links: DataFrame, resolution: float = 1.0, start:
         near = F.broadcast if n <= BLOCK and (size or 0) <= NAMES else lambda d: d
         weighed = links.where("w > 0").select("a", "b", F.col("w").cast("double").alias("w"))
         ends = weighed.join(near(names.toDF("a", "x")), "a").join(near(names.toDF("b", "y")), "b")
-        at = written(ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")), "links")
+        at = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "w"), "links")
         total = at.agg(F.count("*"), F.sum("w")).first()
         twice, own = 2.0 * (total[1] or 0.0), None
         if start is not None:
@@ -333,11 +348,12 @@ def compared(nodes: DataFrame, links: DataFrame, resolution: float = 1.0, start:
             own = written(given.join(heads, "community", "left").groupBy("id").agg(F.coalesce(F.min("head"), "id").alias("own")), "start")
         if not twice:
             return names.select("node", F.col("node").alias("community"))
-        degree, slices = written(_degrees(at), "degree"), _slices(at, n, total[0])
+        slices = _slices(at, n, total[0])
+        degree = written(_degrees(at, slices), "degree")
 
         def whole(first: DataFrame | None) -> DataFrame:
             found = _searched(at, degree, slices, n, total[0], twice, resolution, first)
-            linked = connected_components(_inner(at, slices, found, n), "a", "b").toDF("id", "component")
+            linked = _components(_inner(at, slices, found, n)).toDF("id", "component")
             found = found.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("group"))
             both = found.withColumn("own", F.col("group")) if own is None else found.join(own, "id")
             both = written(both, "found")
@@ -354,6 +370,15 @@ def compared(nodes: DataFrame, links: DataFrame, resolution: float = 1.0, start:
     return settled(make, "communities"), *values
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """node, component; links (a, b, b being less) that are stars already need no rounds."""
+    stars = written(links, "stars")
+    once = stars.groupBy("a").count().where("count > 1").isEmpty()
+    if once and stars.join(stars.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))  # the others are their own
+    return connected_components(stars, "a", "b")
+
+
 def _modularities(at: DataFrame, degree: DataFrame, slices: DataFrame, both: DataFrame, n: int, twice: float, resolution: float) -> list[float]:
     """The modularities of two labels; at, degree, slices as in `_searched`; both: id, group, own."""
 
